@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm import conversations as c
-from tessera.llm import lookalikes, mixing, packing, splitting, tokens
+from tessera.llm import lookalikes, mixing, neighbours, packing, splitting, tokens
 from tessera.sources.tables import read_table
 
 
@@ -17,12 +17,20 @@ def _split(s, d, pieces):
     return splitting.split_texts(read_table(s, d, "memories"), "memory_id", "content", pieces=pieces)
 
 
+def _units(s, d):
+    all_ = neighbours.collection(read_table(s, d, "candidates"), read_table(s, d, "memory_hits"))
+    return neighbours.unit_vectors(all_, "id", "vector", neighbours.KNN.dim)
+
+
 def _dropped(s, d):
     v = c.session_verdicts(read_table(s, d, "chat_messages"), read_table(s, d, "chat_sessions"))
     return v.where("dropped IS NOT NULL").select("session_id")
 
 
 QUERIES = {
+    "p2_found": lambda s, d: neighbours.near_pairs(_units(s, d), 0.95).select("id_a", "id_b"),
+    "p2_neighbours": lambda s, d: neighbours.nearest(_units(s, d), 10),
+    "p2_recall": lambda s, d: neighbours.recall(_units(s, d), 10),
     "p3_found": _dropped,
     "p3_conversations": lambda s, d: c.conversations(read_table(s, d, "chat_messages"), read_table(s, d, "chat_sessions")),
     "p5_found": lambda s, d: _split(s, d, False).select("memory_id").distinct(),
