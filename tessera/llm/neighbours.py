@@ -18,9 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from tessera.functions import bloom
 from tessera.session import cut
 
 
@@ -140,15 +143,15 @@ def _merged(row: np.ndarray, code: np.ndarray, role: np.ndarray) -> tuple[np.nda
     return row[first], code[first], np.bitwise_or.reduceat(role, np.flatnonzero(first)) if len(row) else role
 
 
-def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+def _vectors(column: pa.Array, dim: int, kind: type = np.float32) -> np.ndarray:
     """Rows of a binary column of ``dim`` floats."""
     if not len(column):
         return np.zeros((0, dim), dtype=np.float32)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float32, copy=False)
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, dim: int = 48) -> DataFrame:
-    """``id`` and ``unit``, the direction as ``dim`` 4-byte floats, of every usable vector; each id once.
+    """``id`` and ``unit``, the direction as ``dim`` 4-byte floats, of every usable vector.
 
     Not usable: a null id, a null vector, one of another length, all zero, or
     holding a null, NaN or infinity. Directions are rounded to six decimals, which
@@ -172,12 +175,12 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int = 48) -> DataFra
             )
 
     found = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return found.mapInArrow(run, "id bigint, unit binary").groupBy("id").agg(F.min("unit").alias("unit"))
+    return found.mapInArrow(run, "id bigint, unit binary")
 
 
 @dataclass
 class Collection:
-    """Distinct directions (rep, unit, n) and the ids of those that several ids share (rep, id)."""
+    """Distinct directions (rep, unit) and the ids of those that several ids share (rep, id)."""
 
     reps: DataFrame
     copies: DataFrame
@@ -185,12 +188,17 @@ class Collection:
 
 
 def collect_directions(units: DataFrame, hashing: Hashing) -> Collection:
-    """Ids of one direction stand behind the smallest of them."""
-    units = cut(units, "units")
-    reps = cut(units.groupBy("unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
-    shared = reps.where("n > 1").select("unit", "rep")
-    copies = cut(units.join(shared, "unit").select("rep", "id"), "copies")
-    return Collection(reps, copies, hashing.sized(reps.count()))
+    """Ids of one direction stand behind the smallest of them; a repeated id counts once.
+
+    An id has one vector; should it come with several, each is searched.
+    """
+    groups = units.groupBy("unit").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    groups = cut(groups, "directions")
+    n = groups.count()
+    shared = groups.where("last > rep").select("unit", "rep")
+    likely = units.where(bloom.might_contain(bloom.build(shared, F.col("unit"), n), F.col("unit")))
+    copies = cut(likely.join(shared, "unit").select("rep", "id").distinct(), "copies")
+    return Collection(groups.select("rep", "unit"), copies, hashing.sized(n))
 
 
 def _counts(reps: DataFrame, h: Hashing, tree: _Tree, depth: int, cap: int) -> dict[int, int]:
@@ -225,10 +233,11 @@ def _tree(reps: DataFrame, h: Hashing) -> tuple[_Tree, int]:
     return tree, cap
 
 
-def _filed(c: Collection, only: bool = False) -> DataFrame:
+def _filed(c: Collection, only: bool = False, kind: type = np.float32) -> DataFrame:
     """leaf, part, role, rep, unit: every vector in the buckets where it is filed or looks.
 
-    ``only``: just the ids divisible by 50 look (for measuring).
+    ``only``: just the ids divisible by 50 look (for measuring). ``kind``: the
+    floats that travel to the buckets.
     """
     h = c.hashing
     tree, _ = _tree(c.reps, h)
@@ -239,7 +248,9 @@ def _filed(c: Collection, only: bool = False) -> DataFrame:
             for i in range(0, batch.num_rows, 4096):
                 some = batch.slice(i, 4096)
                 reps = some.column(0).to_numpy()
-                row, depth, code, role = _entries(_vectors(some.column(1), h.dim), h, tree)
+                v = _vectors(some.column(1), h.dim)
+                units = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
+                row, depth, code, role = _entries(v, h, tree)
                 if only:
                     role = np.where(reps[row] % 50 == 0, role, role & 1)
                     row, depth, code, role = (x[role > 0] for x in (row, depth, code, role))
@@ -258,7 +269,7 @@ def _filed(c: Collection, only: bool = False) -> DataFrame:
                         np.concatenate([a[keep], b[x > 0]]) for a, b in ((row, r), (code, k), (depth, d), (role, x), (part, p))
                     )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code + (depth.astype(np.int64) << 56)), pa.array(part), pa.array(role.astype(np.int8)), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row))],
+                    [pa.array(code + (depth.astype(np.int64) << 56)), pa.array(part), pa.array(role.astype(np.int8)), some.column(0).take(pa.array(row)), units.take(pa.array(row))],
                     names=["leaf", "part", "role", "rep", "unit"],
                 )
 
@@ -269,11 +280,11 @@ def _filed(c: Collection, only: bool = False) -> DataFrame:
 BLOCK = 8_000_000
 
 
-def _blocks(table: pa.Table, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(table: pa.Table, dim: int, kind: type = np.float32) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids looking, ids filed, cosines) in blocks of bounded size; a vector has -2 with itself."""
     role = table.column("role").to_numpy()
     rep = table.column("rep").to_numpy()
-    v = _vectors(table.column("unit").combine_chunks(), dim)
+    v = _vectors(table.column("unit").combine_chunks(), dim, kind)
     filed, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     if not len(filed) or not len(asks):
         return
@@ -436,39 +447,41 @@ def recall(units: DataFrame, k: int = 10, hashing: Hashing = KNN) -> DataFrame:
 def near_pairs(units: DataFrame, least: float, hashing: Hashing = NEAR) -> DataFrame:
     """id_a < id_b, cosine: pairs of ids whose cosine is at least ``least``.
 
-    Candidates come from the shared buckets; the cosine of each is then worked out
-    in double precision. Every pair of ids of one direction is a pair.
+    Candidates come from the shared buckets, where 2-byte floats travel (a cosine
+    moves by less than 0.002); the cosine of each candidate is then worked out in
+    double precision. Every pair of ids of one direction is a pair.
     """
     c = collect_directions(units, hashing)
     dim = hashing.dim
 
     def run(table: pa.Table) -> pa.Table:
-        a, b, cos = [], [], []
-        v = None
-        for q, ids, s in _blocks(table, dim):
-            i, j = np.nonzero(s >= least - 1e-4)
-            if not len(i):
-                continue
-            if v is None:
-                rep = table.column("rep").to_numpy()
-                order = np.argsort(rep, kind="stable")
-                v = _vectors(table.column("unit").combine_chunks(), dim).astype(np.float64)
-            x, y = (v[order[np.searchsorted(rep[order], z)]] for z in (q[i], ids[j]))
-            exact = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            ok = exact >= least
-            a.append(np.minimum(q[i], ids[j])[ok]), b.append(np.maximum(q[i], ids[j])[ok]), cos.append(exact[ok])
-        cat = lambda z, t: pa.array(np.concatenate(z) if z else np.zeros(0), t)
-        return pa.table({"a": cat(a, pa.int64()), "b": cat(b, pa.int64()), "cosine": cat(cos, pa.float64())})
-
-    pairs = _filed(c).groupBy("leaf", "part").applyInArrow(run, "a bigint, b bigint, cosine double")
-    pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+        a, b = [], []
+        for q, ids, s in _blocks(table, dim, np.float16):
+            i, j = np.nonzero(s >= least - 2e-3)
+            a.append(np.minimum(q[i], ids[j])), b.append(np.maximum(q[i], ids[j]))
+        cat = lambda z: pa.array(np.concatenate(z) if z else np.zeros(0), pa.int64())
+        return pa.table({"a": cat(a), "b": cat(b)})
+
+    @F.pandas_udf(T.DoubleType())
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        u, v = (np.frombuffer(b"".join(z), dtype=np.float32).reshape(-1, dim).astype(np.float64) for z in (x, y))
+        return pd.Series((u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1)))
+
+    likely = _filed(c, kind=np.float16).groupBy("leaf", "part").applyInArrow(run, "a bigint, b bigint")
+    likely = cut(likely.distinct(), "likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("rep"))
+    named = bloom.build(ends, F.col("rep"), 2 * likely.count())
+    few = c.reps.where(bloom.might_contain(named, F.col("rep")))
+    pairs = likely.join(few.select(F.col("rep").alias("a"), F.col("unit").alias("u")), "a")
+    pairs = pairs.join(few.select(F.col("rep").alias("b"), F.col("unit").alias("v")), "b")
+    pairs = pairs.select("a", "b", cosine("u", "v").alias("cosine")).where(F.col("cosine") >= least)
     one, two = (c.copies.select(F.col("rep").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
     wide = pairs.join(one, "a", "left").join(two, "b", "left").select(
         F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"), "cosine"
     )
     left, right = c.copies.select("rep", F.col("id").alias("x")), c.copies.select("rep", F.col("id").alias("y"))
     same = left.join(right, "rep").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
-    return wide.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine")
+    return wide.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine").where("id_a < id_b")
 
 
 def collection(candidates: DataFrame, hits: DataFrame) -> DataFrame:
