@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import bloom
 
-_BEGINNING = F.lit("0001-01-01").cast("timestamp")
+def _beginning() -> Column:
+    return F.lit("0001-01-01").cast("timestamp")
 
 
 def orphan_references(
@@ -59,7 +60,7 @@ def orphan_references(
     p = parents.select(
         *[F.col(c).alias(k) for k, c in zip(keys, on.values())],
         F.struct(
-            (F.coalesce(F.col(since), _BEGINNING) if since else _BEGINNING).alias("since"),
+            (F.coalesce(F.col(since), _beginning()) if since else _beginning()).alias("since"),
             (F.col(order) if order else F.lit(0)).alias("order"),
             (F.col(until) if until else F.lit(None)).cast("timestamp").alias("until"),
         ).alias("_v"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Plan modules; each has QUERIES and SQL.
-MODULES = ("problems", "temporal", "relational")
+MODULES = ("problems", "temporal", "relational", "evidence")
 FLAGSHIP = "p4_found"
 
 

@@ -15,7 +15,12 @@ def _t(name):
 
 orders, lineitem, customer, part, nation, supplier, sources = map(_t, ("orders", "lineitem", "customer", "part", "nation", "supplier", "sources"))
 evidence = lambda s, d: read_table(s, d, "decision_evidence").distinct()
-N = F.count(F.lit(1))
+
+
+def n_():
+    return F.count(F.lit(1))
+
+
 _FILTERS = r.SearchFilters(kinds=("note", "document"), occurred_after="2025-02-01", occurred_before="2026-02-01")
 
 
@@ -29,13 +34,13 @@ def _spans(s, d):
     chunk = left.select("user_id", F.col("event_id").alias("chunk"), F.col("a").alias("b_start"), (F.col("a") + 40).alias("b_end"))
     diff = left.select("user_id", F.col("event_id").alias("diff"), F.col("a").alias("a_start"), (F.col("a") + F.col("event_id") % 3 * 5).cast("int").alias("a_end"))
     meets = r.spans_overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    return diff.join(chunk, "user_id").where(meets).groupBy("user_id").agg(N.alias("pairs"), F.countDistinct("chunk").alias("chunks"))
+    return diff.join(chunk, "user_id").where(meets).groupBy("user_id").agg(n_().alias("pairs"), F.countDistinct("chunk").alias("chunks"))
 
 
 def _interval(s, d):
     o = orders(s, d).select("o_orderkey", F.col("o_orderdate").alias("decided"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(90))).alias("until"))
     l = lineitem(s, d).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_shipdate").alias("seen"), "l_extendedprice")
-    return r.interval_join(o, l, ["o_orderkey"], "decided", "until", "seen").groupBy("o_orderkey").agg(N.alias("hits"), F.min("seen").alias("first_seen"))
+    return r.interval_join(o, l, ["o_orderkey"], "decided", "until", "seen").groupBy("o_orderkey").agg(n_().alias("hits"), F.min("seen").alias("first_seen"))
 
 
 def _jaccard(s, d):
@@ -58,7 +63,9 @@ def _connections(s, d):
     return named.where("l_orderkey <> 1").join(mine, "entity", "left_semi").groupBy("entity").agg(F.countDistinct("l_orderkey").alias("items"))
 
 
-W_TYPE = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def w_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
 
 QUERIES = {
     "current_and_live": lambda s, d: memories(s, d).where(r.live()).select("memory_id", "kind"),
@@ -74,15 +81,15 @@ QUERIES = {
     "glob_exclusion": lambda s, d: memories(s, d).where(r.glob_excluded("external_key", ["*.pdf", "notes/*", "inbox/*/b*"])).select("memory_id"),
     "row_level_scope": lambda s, d: r.scoped(events(s, d).withColumn("owner", F.concat(F.lit("u"), "user_id")), "owner", "u17").select("event_id"),
     "second_page": lambda s, d: r.page(memories(s, d), [F.desc("ingested_at"), F.asc("memory_id")], 20, 20).select("memory_id", "ingested_at"),
-    "inner_join": lambda s, d: evidence(s, d).where("memory_id IS NOT NULL").select("evidence_id", "memory_id").join(memories(s, d), "memory_id").join(sources(s, d).select("source_id", F.col("kind").alias("source_kind")), "source_id").groupBy("source_kind", "kind").agg(N.alias("n")),
+    "inner_join": lambda s, d: evidence(s, d).where("memory_id IS NOT NULL").select("evidence_id", "memory_id").join(memories(s, d), "memory_id").join(sources(s, d).select("source_id", F.col("kind").alias("source_kind")), "source_id").groupBy("source_kind", "kind").agg(n_().alias("n")),
     "left_join_zero_kept": lambda s, d: sources(s, d).join(memories(s, d).where(r.live()).select("source_id", "memory_id"), "source_id", "left").groupBy("source_name").agg(F.count("memory_id").alias("items")),
-    "left_join_aggregates": lambda s, d: memories(s, d).groupBy("source_id", "external_key").agg(N.alias("versions"), F.max("memory_id").alias("memory_id")).join(evidence(s, d).groupBy("memory_id").agg(N.alias("cited")), "memory_id", "left").select("source_id", "external_key", "versions", F.coalesce("cited", F.lit(0)).alias("cited")),
+    "left_join_aggregates": lambda s, d: memories(s, d).groupBy("source_id", "external_key").agg(n_().alias("versions"), F.max("memory_id").alias("memory_id")).join(evidence(s, d).groupBy("memory_id").agg(n_().alias("cited")), "memory_id", "left").select("source_id", "external_key", "versions", F.coalesce("cited", F.lit(0)).alias("cited")),
     "semi_join": lambda s, d: memories(s, d).join(evidence(s, d).where("relation = 'contradicts'"), "memory_id", "left_semi").select("memory_id"),
     "anti_join": lambda s, d: memories(s, d).where(r.live()).join(evidence(s, d), "memory_id", "left_anti").select("memory_id"),
     "not_reviewed": lambda s, d: memories(s, d).join(sources(s, d).select("source_id", "source_name"), "source_id").join(evidence(s, d).select("source_name", "external_key"), ["source_name", "external_key"], "left_anti").select("memory_id"),
     "customers_without_orders": lambda s, d: customer(s, d).join(orders(s, d), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
     "key_difference": lambda s, d: memories(s, d).select("external_key").distinct().join(read_table(s, d, "item_log").select("external_key"), "external_key", "left_anti"),
-    "full_outer_join": lambda s, d: memories(s, d).groupBy("kind").agg(N.alias("items")).join(read_table(s, d, "documents").groupBy("kind").agg(N.alias("documents")), "kind", "full_outer").select("kind", "items", "documents"),
+    "full_outer_join": lambda s, d: memories(s, d).groupBy("kind").agg(n_().alias("items")).join(read_table(s, d, "documents").groupBy("kind").agg(n_().alias("documents")), "kind", "full_outer").select("kind", "items", "documents"),
     "cooccurrence": lambda s, d: r.pairs_within(lineitem(s, d), ["l_orderkey"], "l_partkey", 3),
     "natural_key_relink": lambda s, d: r.natural_key_links(evidence(s, d).select("evidence_id", "source_name", "external_key").dropna(), memories(s, d).where(r.live()).join(sources(s, d).select("source_id", "source_name"), "source_id").select("source_name", "external_key", "memory_id"), ["source_name", "external_key"]).select("evidence_id", "memory_id"),
     "interval_join": _interval,
@@ -90,17 +97,17 @@ QUERIES = {
     "jaccard_history": _jaccard,
     "term_overlap": _term_overlap,
     "connections": _connections,
-    "stats_one_pass": lambda s, d: memories(s, d).agg(N.alias("total"), F.count_if("is_current").alias("current"), F.count_if(r.live()).alias("live"), F.countDistinct("source_id", "external_key").alias("items"), F.count_if(F.col("occurred_at").isNull()).alias("undated"), F.round(F.count_if(r.live()) / N, 6).alias("live_share")),
-    "filtered_counts": lambda s, d: events(s, d).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("value") > 20).alias("large"), N.alias("n")),
+    "stats_one_pass": lambda s, d: memories(s, d).agg(n_().alias("total"), F.count_if("is_current").alias("current"), F.count_if(r.live()).alias("live"), F.countDistinct("source_id", "external_key").alias("items"), F.count_if(F.col("occurred_at").isNull()).alias("undated"), F.round(F.count_if(r.live()) / n_(), 6).alias("live_share")),
+    "filtered_counts": lambda s, d: events(s, d).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("value") > 20).alias("large"), n_().alias("n")),
     "distinct_edges": lambda s, d: lineitem(s, d).where("l_partkey <> l_suppkey").agg(F.countDistinct("l_partkey", "l_suppkey", "l_returnflag").alias("edges")),
-    "event_latency": lambda s, d: read_table(s, d, "item_log").groupBy("source_name").agg(N.alias("n"), F.round(F.avg((F.unix_micros("arrived_at") - F.unix_micros("recorded_at")) / 1e6), 4).alias("mean_lag_s"), F.max(F.unix_micros("arrived_at") - F.unix_micros("recorded_at")).alias("worst_lag_us")),
-    "importance_evidence": lambda s, d: memories(s, d).groupBy("source_id", "external_key").agg(N.alias("versions")).groupBy("versions").agg(N.alias("items")),
-    "weekly_rhythm": lambda s, d: memories(s, d).where("occurred_at IS NOT NULL AND occurred_at_source <> 'filesystem'").groupBy(F.date_trunc("week", "occurred_at").alias("week")).agg(N.alias("n"), F.round(F.count_if(F.weekday("occurred_at") >= 5) / N, 6).alias("weekend_share")).where("weekend_share >= 0.4 OR weekend_share <= 0.1"),
-    "corpus_fingerprint": lambda s, d: memories(s, d).agg(F.sha2(F.concat_ws("|", N, F.count_if("is_current"), F.unix_micros(F.max("ingested_at")), F.max("memory_id")), 256).alias("fingerprint")),
-    "system_report": lambda s, d: memories(s, d).agg(N.alias("n")).select(F.lit("versions").alias("section"), "n").union(sources(s, d).agg(N.alias("n")).select(F.lit("sources"), "n")).union(evidence(s, d).agg(N.alias("n")).select(F.lit("evidence"), "n")).union(read_table(s, d, "chat_sessions").distinct().agg(N.alias("n")).select(F.lit("sessions"), "n")),
+    "event_latency": lambda s, d: read_table(s, d, "item_log").groupBy("source_name").agg(n_().alias("n"), F.round(F.avg((F.unix_micros("arrived_at") - F.unix_micros("recorded_at")) / 1e6), 4).alias("mean_lag_s"), F.max(F.unix_micros("arrived_at") - F.unix_micros("recorded_at")).alias("worst_lag_us")),
+    "importance_evidence": lambda s, d: memories(s, d).groupBy("source_id", "external_key").agg(n_().alias("versions")).groupBy("versions").agg(n_().alias("items")),
+    "weekly_rhythm": lambda s, d: memories(s, d).where("occurred_at IS NOT NULL AND occurred_at_source <> 'filesystem'").groupBy(F.date_trunc("week", "occurred_at").alias("week")).agg(n_().alias("n"), F.round(F.count_if(F.weekday("occurred_at") >= 5) / n_(), 6).alias("weekend_share")).where("weekend_share >= 0.4 OR weekend_share <= 0.1"),
+    "corpus_fingerprint": lambda s, d: memories(s, d).agg(F.sha2(F.concat_ws("|", n_(), F.count_if("is_current"), F.unix_micros(F.max("ingested_at")), F.max("memory_id")), 256).alias("fingerprint")),
+    "system_report": lambda s, d: memories(s, d).agg(n_().alias("n")).select(F.lit("versions").alias("section"), "n").union(sources(s, d).agg(n_().alias("n")).select(F.lit("sources"), "n")).union(evidence(s, d).agg(n_().alias("n")).select(F.lit("evidence"), "n")).union(read_table(s, d, "chat_sessions").distinct().agg(n_().alias("n")).select(F.lit("sessions"), "n")),
     "doctor_checks": lambda s, d: read_table(s, d, "candidates").distinct().agg(F.count_if(F.col("tokens") > 512).alias("oversize"), F.count_if(r.stale("embedding_model", "mini-48-v2")).alias("wrong_model"), F.count_if(F.col("vector").isNull()).alias("unembedded")),
-    "relation_counts": lambda s, d: evidence(s, d).groupBy("relation").agg(N.alias("n"), F.countDistinct("decision_id").alias("decisions")),
-    "purge_scope": lambda s, d: memories(s, d).where("external_key LIKE 'inbox/%'").join(evidence(s, d).groupBy("memory_id").agg(N.alias("links")), "memory_id", "left").groupBy("source_id").agg(N.alias("versions"), F.countDistinct("external_key").alias("items"), F.coalesce(F.sum("links"), F.lit(0)).alias("links")),
+    "relation_counts": lambda s, d: evidence(s, d).groupBy("relation").agg(n_().alias("n"), F.countDistinct("decision_id").alias("decisions")),
+    "purge_scope": lambda s, d: memories(s, d).where("external_key LIKE 'inbox/%'").join(evidence(s, d).groupBy("memory_id").agg(n_().alias("links")), "memory_id", "left").groupBy("source_id").agg(n_().alias("versions"), F.countDistinct("external_key").alias("items"), F.coalesce(F.sum("links"), F.lit(0)).alias("links")),
     "orphaned_entities": lambda s, d: part(s, d).join(lineitem(s, d), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"),
     "value_summary": lambda s, d: events(s, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.min("value").alias("least"), F.round(F.stddev_pop("value"), 6).alias("spread")),
     "message_ordinals": lambda s, d: read_table(s, d, "chat_messages").where("session_id IS NOT NULL").select("session_id", "message_id", F.row_number().over(Window.partitionBy("session_id").orderBy("received_at", "message_id")).alias("n")),
@@ -110,22 +117,22 @@ QUERIES = {
     "random_sample": lambda s, d: r.sample(orders(s, d), "o_orderkey", 100, 11).select("o_orderkey"),
     "ordering_top_k": lambda s, d: orders(s, d).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).orderBy("o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate"),
     "union_distinct": lambda s, d: memories(s, d).select("external_key").union(read_table(s, d, "documents").select("external_key")).distinct(),
-    "union_all": lambda s, d: memories(s, d).select("kind").union(read_table(s, d, "documents").select("kind")).groupBy("kind").agg(N.alias("n")),
+    "union_all": lambda s, d: memories(s, d).select("kind").union(read_table(s, d, "documents").select("kind")).groupBy("kind").agg(n_().alias("n")),
     "intersect_keys": lambda s, d: memories(s, d).select("external_key").intersect(evidence(s, d).select("external_key")),
     "except_keys": lambda s, d: evidence(s, d).select("external_key").subtract(memories(s, d).select("external_key")),
     "intersect_all": lambda s, d: memories(s, d).select("kind").intersectAll(read_table(s, d, "documents").select("kind")),
     "except_all": lambda s, d: read_table(s, d, "documents").select("kind").exceptAll(memories(s, d).select("kind")),
     "best_unordered_pair": lambda s, d: r.best_pairs(lineitem(s, d).where("l_partkey <> l_suppkey"), "l_partkey", "l_suppkey", "l_quantity"),
-    "rollup": lambda s, d: lineitem(s, d).rollup("l_returnflag", "l_linestatus").agg(N.alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.grouping_id().cast("int").alias("level")),
-    "cube": lambda s, d: memories(s, d).cube("kind", "occurred_at_source").agg(N.alias("n"), F.grouping_id().cast("int").alias("level")),
-    "grouping_sets": lambda s, d: orders(s, d).groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(N.alias("n")),
-    "pivot": lambda s, d: lineitem(s, d).groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(N.cast("bigint")),
+    "rollup": lambda s, d: lineitem(s, d).rollup("l_returnflag", "l_linestatus").agg(n_().alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.grouping_id().cast("int").alias("level")),
+    "cube": lambda s, d: memories(s, d).cube("kind", "occurred_at_source").agg(n_().alias("n"), F.grouping_id().cast("int").alias("level")),
+    "grouping_sets": lambda s, d: orders(s, d).groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(n_().alias("n")),
+    "pivot": lambda s, d: lineitem(s, d).groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(n_().cast("bigint")),
     "ranking_windows": lambda s, d: orders(s, d).select("o_orderkey", *[f.over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias(n) for n, f in {"rn": F.row_number(), "rk": F.rank(), "dr": F.dense_rank(), "nt": F.ntile(3)}.items()]),
-    "frame_windows": lambda s, d: events(s, d).select("event_id", F.round(F.sum("value").over(W_TYPE.rowsBetween(-2, 0)), 4).alias("last_three"), F.lag("value").over(W_TYPE).alias("before"), F.lead("value", 2).over(W_TYPE).alias("after_next"), F.first("value").over(W_TYPE).alias("first_value")),
+    "frame_windows": lambda s, d: events(s, d).select("event_id", F.round(F.sum("value").over(w_user().rowsBetween(-2, 0)), 4).alias("last_three"), F.lag("value").over(w_user()).alias("before"), F.lead("value", 2).over(w_user()).alias("after_next"), F.first("value").over(w_user()).alias("first_value")),
     "range_window": lambda s, d: events(s, d).select("event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)).alias("in_last_hour")),
     "lateral_top_n": lambda s, d: r.top_per(orders(s, d), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select("o_custkey", "o_orderkey", "rank"),
-    "revenue_by_nation": lambda s, d: lineitem(s, d).join(orders(s, d), F.col("l_orderkey") == F.col("o_orderkey")).join(customer(s, d), F.col("o_custkey") == F.col("c_custkey")).join(nation(s, d), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), N.alias("n")),
-    "pricing_summary": lambda s, d: lineitem(s, d).where("l_shipdate <= timestamp'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), N.alias("n")),
+    "revenue_by_nation": lambda s, d: lineitem(s, d).join(orders(s, d), F.col("l_orderkey") == F.col("o_orderkey")).join(customer(s, d), F.col("o_custkey") == F.col("c_custkey")).join(nation(s, d), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), n_().alias("n")),
+    "pricing_summary": lambda s, d: lineitem(s, d).where("l_shipdate <= timestamp'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), n_().alias("n")),
 }
 
 E = "(SELECT DISTINCT * FROM decision_evidence)"
