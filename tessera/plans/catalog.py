@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 
 #: Plan modules; each has QUERIES and SQL.
-MODULES = ("problems", "temporal", "relational", "evidence")
-FLAGSHIP = "p4_found"
+MODULES = ("problems", "temporal", "relational", "evidence", "retrieval")
+FLAGSHIP = "hybrid_documents"
 
 
 def _gather(attribute: str) -> dict:
