@@ -5,6 +5,8 @@ Each works on one request at a time, after a top-k that bounds its candidates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -86,21 +88,28 @@ def diverse_selection(candidates: DataFrame, request: str, key: str, relevance:
 def compact_history(steps: DataFrame, run: str, ordinal: str, tokens: str, budget: int, verbatim: int = 2) -> DataFrame:
     """The last ``verbatim`` steps stay; older ones are kept from the newest while they fit, skipping what does not.
 
-    Output: run, ordinal, state (verbatim, kept, dropped).
+    Output: run, ordinal, state (verbatim, kept, dropped). Each choice depends on
+    those before it, so a run is one sequence; it streams through sorted batches
+    and only the room that is left is held.
     """
     kinds = dict(steps.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordinal, ascending=False)
-        left, states = budget, []
-        for i, t in enumerate(pdf[tokens].tolist()):
-            if i < verbatim:
-                states.append("verbatim")
-            elif t <= left:
-                states.append("kept")
-                left -= t
-            else:
-                states.append("dropped")
-        return pd.DataFrame({run: pdf[run].to_numpy(), ordinal: pdf[ordinal].to_numpy(), "state": states})
-
-    return steps.select(run, ordinal, tokens).groupBy(run).applyInPandas(fold, f"{run} {kinds[run]}, {ordinal} {kinds[ordinal]}, state string")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, left, seen = object(), 0, 0
+        for f in frames:
+            states = []
+            for k, t in zip(f[run].tolist(), f[tokens].tolist()):
+                if k != key:
+                    key, left, seen = k, budget, 0
+                seen += 1
+                if seen <= verbatim:
+                    states.append("verbatim")
+                elif t <= left:
+                    states.append("kept")
+                    left -= t
+                else:
+                    states.append("dropped")
+            yield pd.DataFrame({run: f[run], ordinal: f[ordinal], "state": states})
+
+    ordered = steps.select(run, ordinal, tokens).repartition(run).sortWithinPartitions(run, F.desc(ordinal))
+    return ordered.mapInPandas(fold, f"{run} {kinds[run]}, {ordinal} {kinds[ordinal]}, state string")

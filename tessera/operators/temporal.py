@@ -22,8 +22,9 @@ def spine(bounds: DataFrame, period: str, start: str = "start", end: str = "end"
     """Every bucket from the one ``start`` lies in while before ``end``; none if end <= start or either is null."""
     step = F.expr(f"INTERVAL 1 {period}")
     first = truncate(period, start)
+    last = F.greatest(first, F.col(end) - F.expr("INTERVAL 1 MICROSECOND"))
     bounds = bounds.where(F.col(end) > F.col(start))
-    return bounds.select(F.explode(F.sequence(first, F.col(end) - F.expr("INTERVAL 1 MICROSECOND"), step)).alias("bucket"))
+    return bounds.select(F.explode(F.sequence(first, last, step)).alias("bucket"))
 
 
 def activity_by_period(df: DataFrame, at: str, period: str, kind: str, start: str | None = None, end: str | None = None) -> DataFrame:
