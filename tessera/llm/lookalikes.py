@@ -19,6 +19,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.session import cut
+
 # Letters of other scripts with the shape of a Latin letter, pair by pair.
 CYRILLIC = "А В Е Ѕ І Ј К М Н О Р С Т Х а е о р с у х ѕ і ј һ ԁ ԛ ԝ Ԛ Ԝ ӏ Ӏ".split()
 CYRILLIC_AS = "A B E S I J K M H O P C T X a e o p c y x s i j h d q w Q W l I".split()
@@ -200,7 +202,7 @@ def same_looking(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs of texts, so copies of one text are never compared with each other.
     """
     d = documents.select(F.col(id_col).alias("id"), _digests(F.col(text_col)).alias("d")).where("d.form IS NOT NULL")
-    d = d.select("id", F.col("d.form").alias("form"), F.col("d.text").alias("text"))
+    d = cut(d.select("id", F.col("d.form").alias("form"), F.col("d.text").alias("text")), "digests")
     texts = d.groupBy("form", "text").agg(F.lit(1).alias("one"))
     several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
     texts = texts.join(several, "form", "left_semi").select("form", "text")
