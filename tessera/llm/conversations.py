@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.changefeed import plain
+from tessera.session import cut
 
 #: Ordinals per range.
 RANGE = 4096
@@ -33,8 +34,8 @@ def visible(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).rlike(f"[^{_BLANK}]")
 
 
-def _ordered_turns(messages: DataFrame, with_content: bool) -> DataFrame:
-    """One row per session and ordinal: role, whether it is sound, its number within its range."""
+def _ordered_turns(messages: DataFrame) -> DataFrame:
+    """One row per session and ordinal: role, whether it is sound, its number within its range. Texts stay behind: only digests move."""
     digest = F.when(F.col("content").isNull(), "-").otherwise(F.sha2("content", 256))
     rows = messages.where(F.col("session_id").isNotNull()).select(
         "session_id",
@@ -43,13 +44,11 @@ def _ordered_turns(messages: DataFrame, with_content: bool) -> DataFrame:
         F.coalesce(plain("role"), F.lit("")).alias("role"),
         digest.alias("_digest"),
         visible("content").alias("_visible"),
-        *(["content"] if with_content else []),
     )
     turns = rows.groupBy("session_id", "_range", "ordinal").agg(
         F.min(F.struct("role", "_digest")).alias("_low"),
         F.max(F.struct("role", "_digest")).alias("_high"),
         F.min("_visible").alias("_visible"),
-        *([F.first("content").alias("content")] if with_content else []),
     )
     sound = (
         F.col("ordinal").isNotNull()
@@ -62,10 +61,18 @@ def _ordered_turns(messages: DataFrame, with_content: bool) -> DataFrame:
         "session_id", "_range", "ordinal", F.col("_low.role").alias("role"),
         (sound & ~F.coalesce(F.lag("_low.role").over(within) == F.col("_low.role"), F.lit(False))).alias("_sound"),
         F.row_number().over(within).alias("_n"),
-        *(["content"] if with_content else []),
     )
 
 
+def _ranges(turns: DataFrame) -> DataFrame:
+    return turns.groupBy("session_id", "_range").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("_sound").alias("sound"),
+        F.min_by("role", "ordinal").alias("first"),
+        F.max_by("role", "ordinal").alias("last"),
+    )
+
+
 def session_verdicts(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row per distinct session id of ``sessions``: turns, and why it is dropped (null: kept).
 
@@ -76,13 +83,10 @@ def session_verdicts(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     Repeated deliveries of a turn are one turn. Message rows without a session id
     or of unlisted sessions are ignored, as are null session ids of ``sessions``.
     """
-    turns = _ordered_turns(messages, False)
-    ranges = turns.groupBy("session_id", "_range").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_sound").alias("sound"),
-        F.min_by("role", "ordinal").alias("first"),
-        F.max_by("role", "ordinal").alias("last"),
-    )
+    return _verdicts(_ranges(_ordered_turns(messages)), sessions)
+
+
+def _verdicts(ranges: DataFrame, sessions: DataFrame) -> DataFrame:
     before = Window.partitionBy("session_id").orderBy("_range")
     joined = ranges.withColumn("joins", ~F.coalesce(F.lag("last").over(before) == F.col("first"), F.lit(False)))
     whole = joined.groupBy("session_id").agg(
@@ -108,14 +112,16 @@ def conversations(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     A conversation stays a set of rows rather than one nested value, because a
     session has no length limit. Sort by session_id, turn to read it.
     """
-    kept = session_verdicts(messages, sessions).where("dropped IS NULL").select("session_id")
-    turns = _ordered_turns(messages, True).join(kept, "session_id", "left_semi")
-    counts = _ordered_turns(messages, False).groupBy("session_id", "_range").agg(F.max("_n").alias("n"))
+    turns = cut(_ordered_turns(messages), "turns")
+    ranges = _ranges(turns)
+    kept = _verdicts(ranges, sessions).where("dropped IS NULL").select("session_id")
     before = Window.partitionBy("session_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("session_id", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    return turns.join(starts, ["session_id", "_range"]).select(
-        "session_id", (F.col("_start") + F.col("_n") - 1).alias("turn"), "ordinal", "role", "content"
-    )
+    starts = ranges.join(kept, "session_id", "left_semi").select("session_id", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    numbered = turns.join(starts, ["session_id", "_range"]).select("session_id", "ordinal", "role", (F.col("_start") + F.col("_n") - 1).alias("turn"))
+    # every delivery of a kept turn has the same text
+    texts = messages.select("session_id", F.col("ordinal").cast("bigint").alias("ordinal"), "content").dropna(subset=["session_id", "ordinal"])
+    texts = texts.groupBy("session_id", "ordinal").agg(F.first("content").alias("content"))
+    return numbered.join(texts, ["session_id", "ordinal"]).select("session_id", "turn", "ordinal", "role", "content")
 
 
 def _gaps(messages: DataFrame, channel: str, time: str, key: str) -> DataFrame:
