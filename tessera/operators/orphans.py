@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import bloom
+from tessera.session import cut
 
 def _beginning() -> Column:
     return F.lit("0001-01-01").cast("timestamp")
@@ -83,12 +84,13 @@ def orphan_references(
         .when(last["since"] <= t, F.when(last["until"] <= t, "deleted"))
         .otherwise("between"),
     )
-    settled = joined.where("state != 'between'").select("_ref.*", "state")
-    out = certain.unionByName(settled)
     if since is None:
-        return out
-    between = joined.where("state = 'between'").select(*keys, "_t", "_ref")
-    return out.unionByName(_as_of(between, p, keys, bucket_seconds))
+        return certain.unionByName(joined.where("state IS NOT NULL").select("_ref.*", "state"))
+    # read several times below, and only these rows: written once
+    judged = cut(joined.where("state IS NOT NULL").select(*keys, "_t", "_ref", "state"), "judged")
+    settled = judged.where("state <> 'between'").select("_ref.*", "state")
+    between = judged.where("state = 'between'").drop("state")
+    return certain.unionByName(settled).unionByName(_as_of(between, p, keys, bucket_seconds))
 
 
 def _bucket(t: Column, seconds: int) -> Column:
