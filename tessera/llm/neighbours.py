@@ -321,16 +321,13 @@ _PAIR = np.dtype([("id", "<i8"), ("cos", "<f4")])
 
 
 def _top_of_group(dim: int, k: int):
-    def run(table: pa.Table) -> pa.Table:
-        reps, found = [], []
-        for q, ids, s in _blocks(table, dim):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, ids, s in _blocks(pa.Table.from_batches(batches), dim):
             cols = _best(s, k)
             pairs = np.zeros(cols.shape, dtype=_PAIR)
             pairs["id"], pairs["cos"] = ids[cols], np.take_along_axis(s, cols, 1)
-            reps.append(q)
-            found += [p[p["cos"] > -2].tobytes() for p in pairs]
-        ids = np.concatenate(reps) if reps else np.zeros(0, dtype=np.int64)
-        return pa.table({"rep": pa.array(ids, pa.int64()), "found": pa.array(found, pa.binary())})
+            found = pa.array([p[p["cos"] > -2].tobytes() for p in pairs], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), found], names=["rep", "found"])
 
     return run
 
@@ -454,13 +451,11 @@ def near_pairs(units: DataFrame, least: float, hashing: Hashing = NEAR) -> DataF
     c = collect_directions(units, hashing)
     dim = hashing.dim
 
-    def run(table: pa.Table) -> pa.Table:
-        a, b = [], []
-        for q, ids, s in _blocks(table, dim, np.float16):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, ids, s in _blocks(pa.Table.from_batches(batches), dim, np.float16):
             i, j = np.nonzero(s >= least - 2e-3)
-            a.append(np.minimum(q[i], ids[j])), b.append(np.maximum(q[i], ids[j]))
-        cat = lambda z: pa.array(np.concatenate(z) if z else np.zeros(0), pa.int64())
-        return pa.table({"a": cat(a), "b": cat(b)})
+            ends = [pa.array(f(q[i], ids[j]), pa.int64()) for f in (np.minimum, np.maximum)]
+            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     @F.pandas_udf(T.DoubleType())
     def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
