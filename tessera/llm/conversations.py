@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.changefeed import plain
+from tessera.operators.ordered import running_sum, with_previous
 from tessera.session import cut
 
 #: Ordinals per range.
@@ -125,19 +126,9 @@ def conversations(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def _gaps(messages: DataFrame, channel: str, time: str, key: str) -> DataFrame:
-    """Seconds since the message before in the channel, found within days and across them."""
-    rows = messages.where(F.col(channel).isNotNull() & F.col(time).isNotNull()).withColumn("_day", F.to_date(time))
-    days = rows.groupBy(channel, "_day").agg(F.max(time).alias("_latest"))
-    before = Window.partitionBy(channel).orderBy("_day")
-    days = days.select(channel, "_day", F.lag("_latest").over(before).alias("_earlier"))
-    within = Window.partitionBy(channel, "_day").orderBy(time, key)
-    seconds = lambda c: F.unix_micros(c) / F.lit(1e6)
-    return (
-        rows.join(days, [channel, "_day"])
-        .withColumn("_before", F.coalesce(F.lag(time).over(within), F.col("_earlier")))
-        .withColumn("_gap", seconds(F.col(time)) - seconds(F.col("_before")))
-        .drop("_before", "_earlier")
-    )
+    """Adds ``_gap``: seconds since the message before in the channel."""
+    rows = with_previous(messages.where(F.col(channel).isNotNull()), [channel], time, key)
+    return rows.withColumn("_gap", (F.unix_micros(time) - F.unix_micros("previous")) / F.lit(1e6)).drop("previous")
 
 
 def calibrated_gap(messages: DataFrame, channel: str, time: str, key: str) -> float | None:
@@ -174,14 +165,6 @@ def split_at_gaps(messages: DataFrame, channel: str, time: str, key: str, gap: f
     before (by time, then ``key``). Rows without channel or time are left out:
     they cannot be placed.
     """
-    rows = _gaps(messages, channel, time, key).withColumn("_new", F.coalesce(F.col("_gap") >= gap, F.lit(False)).cast("long"))
-    within = Window.partitionBy(channel, "_day").orderBy(time, key).rowsBetween(Window.unboundedPreceding, 0)
-    days = rows.groupBy(channel, "_day").agg(F.sum("_new").alias("_opened"))
-    before = Window.partitionBy(channel).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(channel, "_day", F.coalesce(F.sum("_opened").over(before), F.lit(0)).alias("_start"))
-    return (
-        rows.withColumn("_in", F.sum("_new").over(within))
-        .join(days, [channel, "_day"])
-        .withColumn("part", F.col("_start") + F.col("_in"))
-        .drop("_day", "_gap", "_new", "_in", "_start")
-    )
+    opens = F.coalesce(F.col("_gap") >= gap, F.lit(False)).cast("bigint")
+    rows = _gaps(messages, channel, time, key).withColumn("_new", opens)
+    return running_sum(rows, [channel], time, key, "_new", "part").drop("_new", "_gap")
