@@ -31,8 +31,9 @@ def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def hubs(mentions: DataFrame, share: float = HUB_SHARE, least: int = HUB_LEAST) -> DataFrame:
     """Per entity the items that mention it, idf = ln(1 + N / df), and whether it is a hub."""
+    pairs = mentions.select("item", "entity").distinct()
     n = mentions.agg(F.countDistinct("item").alias("n")).scalar()
-    df = mentions.groupBy("entity").agg(F.countDistinct("item").alias("df")).withColumn("n", n)
+    df = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("df")).withColumn("n", n)
     return df.select(
         "entity", "df", F.log1p(F.col("n") / F.col("df")).alias("idf"),
         (F.col("df") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("n")))).alias("hub"),
@@ -87,10 +88,11 @@ def expand(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, retrieve
     route shown is the one of fewest hops, then highest idf. Seeds and what was
     retrieved already are not candidates.
     """
+    mentions = cut(mentions.select("item", "entity").distinct(), "mentions")  # read four times below
     h = hubs(mentions)
     reached = reach(mentions, relations, seeds, h.where("hub"), depth).groupBy("entity").agg(F.min("hops").alias("hops"))
     weighed = reached.join(h.select("entity", "idf"), "entity")
-    near = mentions.select("item", "entity").distinct().join(weighed, "entity")
+    near = mentions.join(weighed, "entity")
     near = near.join(seeds.select("item"), "item", "left_anti").join(retrieved.select("item"), "item", "left_anti")
     per = near.groupBy("item").agg(
         F.round(F.sum(F.col("idf") / F.col("hops")), 9).alias("score"),

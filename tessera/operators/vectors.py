@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.session import cut
+
 #: Rows of a block of the exact search; both sides are cut into blocks of about this many.
 BLOCK = 8192
 _TOP = "query bigint, id bigint, score double"
@@ -97,7 +99,7 @@ def ivf_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector: s
     A list of more than ``part_rows`` rows is searched in parts.
     """
     c = centroids(rows, id_col, vector, lists)
-    filed = _assigned(rows, id_col, vector, c, 1)
+    filed = cut(_assigned(rows, id_col, vector, c, 1), "lists")
     sizes = {r["list"]: r.n for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = F.element_at(F.create_map(*[x for j in range(len(c)) for x in (F.lit(j).cast("bigint"), F.lit(sizes.get(j, 0) // part_rows + 1))]), F.col("list"))
     r = filed.select("id", "v", "list", F.pmod(F.hash("id"), parts).alias("part"), F.lit(False).alias("ask"))

@@ -15,6 +15,7 @@ from tessera.operators import relational as rel
 from tessera.operators import retrieval as r
 from tessera.operators import selection as sel
 from tessera.operators import vectors as v
+from tessera.session import cut
 from tessera.sources.tables import read_table
 
 SEARCHES = {1: "review checklist", 2: "token budget", 3: "the handwritten labels", 4: "export job", 5: "missing reply"}
@@ -55,7 +56,7 @@ def hybrid(s, d):
 
 def _signals(s, d):
     now = F.lit("2026-06-01").cast("timestamp")
-    legs = _legs(s, d)
+    legs = cut(_legs(s, d), "legs")  # top lists, used twice
     found = legs.select("query", "id").distinct()
     dated = found.join(documents(s, d).select(F.col("doc_id").alias("id"), "occurred_at"), "id")
     recent = r.ranked(dated.withColumn("x", F.round(sc.recency(F.col("occurred_at"), now), 9)), ["query"], "x", "id")
