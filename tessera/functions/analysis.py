@@ -19,17 +19,6 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def stem(word: Column) -> Column:
-    """A light English suffix stripper on built-ins: plural and verb endings of words that stay four letters long.
-
-    Not the Porter2 of full-text engines; see the README.
-    """
-    w = F.regexp_replace(word, r"(?<=^.{3})ies$", "y")
-    w = F.regexp_replace(w, r"(?<=^.{2,30}(?:ss|sh|ch|x|z))es$", "")
-    w = F.regexp_replace(w, r"(?<=^.{3,30}[^s])s$", "")
-    return F.regexp_replace(w, r"(?<=^.{4,30})(?:ing|ed)$", "")
-
-
 def parse_search(query: str) -> list[list[tuple[tuple[str, ...], bool]]]:
     """Alternatives, each a list of (phrase, excluded): quotes make a phrase, ``or`` parts alternatives, a
     leading minus excludes. Never an error; a query of stop words alone has no alternative."""

@@ -101,6 +101,22 @@ def extract(chunks: DataFrame, id_col: str, text: str, model: Callable[[], Extra
     return chunks.select(id_col, F.col(text).alias("_t")).where("_t IS NOT NULL").mapInPandas(run, f"{id_col} {kind}, text string, name string, kind string, confidence double")
 
 
+def scored_pairs(pairs: DataFrame, id_col: str, query: str, text: str, model: Callable[[], Reranker]) -> DataFrame:
+    """The model's score of every (query, text) pair: id, score. Bring only as many as are to be reranked."""
+    kind = dict(pairs.dtypes)[id_col]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model()
+        for f in frames:
+            scores = pd.Series(0.0, index=f.index)
+            for q, g in f.groupby("_q"):
+                scores[g.index] = m.score(q, g["_t"].tolist())
+            yield pd.DataFrame({id_col: f[id_col], "score": scores})
+
+    filled = pairs.select(id_col, F.coalesce(query, F.lit("")).alias("_q"), F.coalesce(text, F.lit("")).alias("_t"))
+    return filled.mapInPandas(run, f"{id_col} {kind}, score double")
+
+
 KINDS = ("person", "organisation", "technology", "file", "project", "place", "concept")
 
 

@@ -119,7 +119,3 @@ def top_per(df: DataFrame, by: list[str], order: Sequence[Column], n: int) -> Da
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """L4: ``n`` rows drawn by a hash of key and seed: the same rows on every run and partitioning."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
-
-
-def random_order_key(key: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key))

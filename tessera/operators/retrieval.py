@@ -7,19 +7,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions.analysis import STOP_WORDS, parse_search, words
 from tessera.functions.scores import rrf_term, strength
+from tessera.functions.stemming import stem, stemmed
 
 #: Results reranked by the costly scorer, and the step by which the tail is put below them.
 RERANKED, TAIL_STEP = 25, 1e-6
 
 
-def postings(docs: DataFrame, id_col: str, text: str, terms: list[str] | None = None) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, text: str, terms: list[str] | None = None, stems: bool = False) -> DataFrame:
     """Inverted index as rows: term, id, positions (ascending, from 0). Stop words keep their place but have no row.
 
-    With ``terms`` only those, filtered before anything is shuffled. Null and
-    empty texts have no row.
+    With ``stems`` terms are Porter2 stems. With ``terms`` only those, filtered
+    before anything is shuffled. Null and empty texts have no row.
     """
     p = docs.select(F.col(id_col).alias("id"), F.posexplode(words(text)).alias("pos", "term"))
-    p = p.where(F.col("term").isin(terms)) if terms is not None else p.where(~F.col("term").isin(STOP_WORDS))
+    p = p.where(~F.col("term").isin(STOP_WORDS))
+    p = p.withColumn("term", stemmed("term")) if stems else p
+    p = p.where(F.col("term").isin(terms)) if terms is not None else p
     return p.groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -55,13 +58,15 @@ def cover_density(lists: list[list[int]], weight: float = 0.1) -> float:
     return score
 
 
-def keyword_topk(docs: DataFrame, id_col: str, text: str, query: str, k: int) -> DataFrame:
-    """Full search grammar (phrases, or, exclusion) ranked by cover density, ties by id: id, score, rank.
+def keyword_topk(docs: DataFrame, id_col: str, text: str, query: str, k: int, stems: bool = True) -> DataFrame:
+    """Full search grammar (phrases, or, exclusion) over stems, ranked by cover density, ties by id: id, score, rank.
 
     A blank query, or one of stop words alone, finds nothing. Only postings of the
     query's words are shuffled, and one document's at a time reach Python.
     """
     alternatives = parse_search(query)
+    if stems:
+        alternatives = [[(tuple(map(stem, phrase)), no) for phrase, no in a] for a in alternatives]
     terms = sorted({t for a in alternatives for p, _ in a for t in p})
 
     def score(at: dict[str, list[int]]) -> float | None:
@@ -81,7 +86,7 @@ def keyword_topk(docs: DataFrame, id_col: str, text: str, query: str, k: int) ->
     def scored(found: pd.Series) -> pd.Series:
         return pd.Series([score({r["term"]: list(r["positions"]) for r in rows}) for rows in found], dtype="float64")
 
-    per = postings(docs, id_col, text, terms).groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
+    per = postings(docs, id_col, text, terms, stems).groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
     per = per.select("id", F.round(scored("found"), 9).alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
     per = per.orderBy(F.desc("score"), "id").limit(k)
     return per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))

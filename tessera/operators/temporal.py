@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.operators.ordered import running_sum, with_previous
 
 PERIODS = ("day", "week", "month")
-#: Provenances of a time, the strongest first; unknown is always reported, and last.
-PROVENANCES = ("declared", "parsed", "filesystem", "inferred", "unknown")
 
 
 def truncate(period: str, at: str | Column) -> Column:

@@ -11,9 +11,6 @@ from tessera.operators import vectors as v
 from tessera.operators.versions import keyed_diff
 from tessera.sources.tables import read_table
 
-SEEDS = "l_orderkey IN (1, 2, 3)"
-
-
 def _raw(s, d):
     li = read_table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     part = read_table(s, d, "part").select("p_partkey", "p_brand")
@@ -45,6 +42,12 @@ def _near(s, d):
     return pairs.where("score >= 0.5").select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "score").distinct()
 
 
+def _labels(s, d):
+    p = read_table(s, d, "part").select(F.col("p_partkey").cast("string").alias("a"), F.col("p_brand").alias("b"), "p_name")
+    c = g.components(p, "a", "b")
+    return g.component_label(c.join(p, c["node"] == p["a"]), "component", "p_name")
+
+
 def _parts(s, d):
     return read_table(s, d, "part").select("p_partkey", F.lower("p_type").alias("kind"), "p_name", "p_brand")
 
@@ -68,6 +71,7 @@ QUERIES = {
     "connected_components": lambda s, d: g.components(g.project_relations(_raw(s, d).where("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("a"), F.lit("m").alias("p"), F.col("entity").alias("b"), F.lit(1.0).alias("c")).where("b LIKE 'p%'"), "a", "p", "b", "c"), "subject", "object"),
     "pairwise_similarity": _near,
     "similar_components": lambda s, d: g.components(_near(s, d), "a", "b"),
+    "component_labels": _labels,
     "canonical_names": lambda s, d: _names(s, d).select("candidate_id", tx.canonicalized(F.col("name"), F.lit("file")).alias("canonical")),
     "canonical_keys": lambda s, d: _parts(s, d).select("p_partkey", tx.canonical_key("p_name").alias("key"), tx.collapse_key("p_name").alias("collapsed")),
     "exact_candidates": lambda s, d: en.exact_candidates(_parts(s, d), "p_brand", tx.collapse_key("p_name"), "p_partkey"),
@@ -111,5 +115,6 @@ SELECT p_brand, p_name, p_partkey AS winner FROM (SELECT *, row_number() OVER (P
     "merge_collisions": f"WITH {_RAW}, m AS (SELECT DISTINCT l_orderkey, l_linenumber, {_MAP} AS entity FROM raw WHERE entity LIKE 's%') SELECT entity, count(*) AS n FROM m GROUP BY 1",
     "merge_ledger": f"WITH {_RAW} SELECT entity AS was, 's2' AS now, count(*) AS n FROM raw WHERE entity IN ('s1', 's3') GROUP BY ALL",
     "near_duplicate_names": f"SELECT kind, key, count(*) AS n FROM {_COLL} GROUP BY ALL HAVING count(*) > 1",
+    "component_labels": "SELECT component, label, members FROM (SELECT p_brand, min(least(p_partkey::VARCHAR, p_brand)) AS component, arg_min(p_name, {'n': -length(p_name), 's': p_name}) AS label, count(*) AS members FROM part GROUP BY 1)",
     "entity_lookup": "SELECT n_nationkey FROM nation WHERE lower(n_name) = 'nation_7'",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scores as sc
 from tessera.functions import text as tx
 from tessera.functions.analysis import parse_search
+from tessera.functions.stemming import stem
 from tessera.operators import (
     chunks, context, entities, evaluate, evidence, graph, ordered, ports, relational as rel, retrieval as r, selection as sel, surfacing, temporal as t, vectors, versions,
 )
@@ -165,6 +166,15 @@ def test_search_grammar():
     assert parse_search("the of and") == [] and parse_search("") == [] and parse_search('-x "') == []
 
 
+STEMS = "consigning:consign consistency:consist consolatory:consolatori knackeries:knackeri knitting:knit generously:generous communication:communic ties:tie cries:cri gas:gas gaps:gap hopping:hop hoped:hope by:by say:say agreed:agre proceed:proceed relational:relat happily:happili policy:polici dying:die feed:feed controlled:control news:news naïve:naïve 2x:2x"
+
+
+def test_stems():
+    for pair in STEMS.split():
+        word, want = pair.split(":")
+        assert stem(word) == want, pair
+
+
 def test_cover_density():
     assert r.cover_density([[0], [1]]) == pytest.approx(0.2)
     assert r.cover_density([[0], [4]]) == pytest.approx(0.2 / 4)
@@ -178,6 +188,9 @@ def test_keyword_search(spark):
     assert {x.id for x in r.keyword_topk(docs, "d", "t", '"red fox" -dog', 9).collect()} == {1}
     assert {x.id for x in r.keyword_topk(docs, "d", "t", "dog or far", 9).collect()} == {2, 6}
     assert r.keyword_topk(docs, "d", "t", "the", 9).count() == 0
+    forms = spark.createDataFrame([(1, "They decided."), (2, "deciding now"), (3, "a decision")], "d long, t string")
+    assert {x.id for x in r.keyword_topk(forms, "d", "t", "decides", 9).collect()} == {1, 2}
+    assert r.keyword_topk(forms, "d", "t", "decides", 9, stems=False).count() == 0
     assert rows(r.keyword_tf_topk(docs, "d", "t", {1: "red fox"}, 2), "id", "score") == [(1, 3), (2, 2)]
 
 
@@ -358,5 +371,7 @@ def test_ports(spark):
     docs = spark.createDataFrame([(1, "the file a/b.py and snake_case"), (2, None), (3, " ")], "d int, t string")
     got = rows(ports.verified(ports.extract(docs, "d", "t", ports.PatternExtractor), "d"), "name", "start", "fate")
     assert got == [("a/b.py", 9, "kept"), ("snake_case", 20, "kept")]
+    pairs = spark.createDataFrame([(1, "red fox", "a red dog"), (2, "red fox", None), (3, None, "x"), (4, "fox", "FOX")], "i int, q string, t string")
+    assert rows(ports.scored_pairs(pairs, "i", "q", "t", ports.OverlapReranker)) == [(1, 0.5), (2, 0.0), (3, 0.0), (4, 1.0)]
     e = ports.embed(docs, "t", lambda: ports.HashEmbedder(8))
     assert e.count() == 1 and ports.embed(docs, "t", lambda: ports.HashEmbedder(8), e).count() == 0
