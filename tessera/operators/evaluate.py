@@ -32,6 +32,27 @@ def summary(metrics: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy("metric").agg(r(F.avg("v")).alias("mean"), r(F.median("v")).alias("median"), F.min("v").alias("least"), r(F.stddev_pop("v")).alias("spread"))
 
 
+def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float], buckets: int = 64) -> DataFrame:
+    """Per group the value at round-half-even(p * (n - 1)) of its sorted values, a column per share. Nulls do not count.
+
+    Values are filed under approximate quantiles of their group; counts say in which
+    bucket a rank lies, and only rows of that bucket are sorted. A group that holds
+    most rows is spread over its buckets.
+    """
+    v = df.select(by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    edges = v.groupBy(by).agg(F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 4096).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    e, n = (edges.select(F.col(by).alias("_g"), c) for c in ("_e", "_n"))
+    filed = v.join(e, v[by].eqNullSafe(e["_g"])).select(by, "_v", F.size(F.filter(F.array_distinct("_e"), lambda x: x < F.col("_v"))).alias("_b"))
+    w = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = filed.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.bround(F.lit(p) * (F.col("_n") - 1).cast("double"), 0).cast("bigint").alias("at")) for name, p in shares.items()]))
+    asked = sizes.join(n, sizes[by].eqNullSafe(n["_g"])).select(by, "_b", "_s", "_c", wanted.alias("q")).where("q.at >= _s AND q.at < _s + _c")
+    hit = asked.select(F.col(by).alias("_g"), F.col("_b").alias("_gb"), F.col("q.name").alias("name"), (F.col("q.at") - F.col("_s") + 1).alias("_r"))
+    rows = filed.join(hit, filed[by].eqNullSafe(hit["_g"]) & (filed["_b"] == hit["_gb"])).select(by, "name", "_r", "_v")
+    found = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by, "name").orderBy("_v"))).where("_k = _r")
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("name") == s, F.col("_v"))).alias(s) for s in shares])
+
+
 def weight_grid(rankings: DataFrame, relevant: DataFrame, by: str, grid: dict[str, list[float]], k: int = 10, rrf_k: int = 60) -> DataFrame:
     """Mean reciprocal rank and recall@k of the fusion for every combination of weights, best first in ``place``.
 

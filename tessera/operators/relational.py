@@ -92,6 +92,16 @@ def spans_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return point | ((a_start < b_end) & (b_start < a_end))
 
 
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: int = 64) -> DataFrame:
+    """Pairs of a key whose spans meet (see :func:`spans_overlap`). Spans are filed under the stretches of
+    ``width`` that they touch, and a pair is taken where the later start lies, so only near spans meet. Null ends meet nothing."""
+    at = lambda c: F.floor(F.col(c) / width)
+    wide = lambda df, s: df.where((F.col(s[0]) <= F.col(s[1]))).withColumn("_b", F.explode(F.sequence(at(s[0]), at(s[1]))))
+    met = wide(left, a).join(wide(right, b), [*keys, "_b"])
+    once = F.col("_b") == F.greatest(at(a[0]), at(b[0]))
+    return met.where(once & spans_overlap(*map(F.col, (*a, *b)))).drop("_b")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two sets; 0 where both are empty, null where one is null."""
     union = F.size(F.array_union(a, b))

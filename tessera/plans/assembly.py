@@ -55,7 +55,7 @@ def _intent(s, d):
 
 def _excerpts(s, d):
     docs = read_table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text", "source", F.col("external_key").alias("key"), F.explode(sentence_spans("text")).alias("s"))
-    return docs.where("s.start % 5 = 0").select("doc_id", r.locator(F.col("source"), F.col("key"), F.lit(0), F.col("s.start"), F.col("s.end"), F.lit(1)).alias("locator"), r.excerpt(F.col("text"), F.col("s.start"), F.col("s.end") - F.col("s.start")).alias("excerpt"))
+    return docs.select("doc_id", r.locator(F.col("source"), F.col("key"), F.lit(0), F.col("s.start"), F.col("s.end"), F.lit(1)).alias("locator"), r.excerpt(F.col("text"), F.col("s.start"), F.col("s.end") - F.col("s.start")).alias("excerpt"))
 
 
 def _counts(s, d):

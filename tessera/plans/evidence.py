@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores as sc
 from tessera.operators import evidence as e
+from tessera.operators.evaluate import nearest_rank
 from tessera.plans.temporal import M, memories
 from tessera.sources.tables import read_table
 
@@ -89,7 +90,7 @@ QUERIES = {
     "importance_scores": lambda s, d: memories(s, d).groupBy("source_id", "external_key").agg(F.count(F.lit(1)).alias("v"), F.max("occurred_at").alias("t")).select(
         "source_id", "external_key", sc.importance(F.col("v") * 3, F.col("v"), sc.recency(F.col("t"), F.lit("2026-06-01").cast("timestamp"))).alias("importance")),
     "recency_scores": lambda s, d: memories(s, d).select("memory_id", F.round(sc.recency(F.col("occurred_at"), F.lit("2026-06-01").cast("timestamp")), 6).alias("recency")),
-    "nearest_rank_percentile": lambda s, d: read_table(s, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("v")).select("event_type", sc.nearest_rank(F.col("v"), 0.95).alias("p95"), sc.nearest_rank(F.col("v"), 0.5).alias("p50")),
+    "nearest_rank_percentile": lambda s, d: nearest_rank(read_table(s, d, "events"), "event_type", "value", {"p95": 0.95, "p50": 0.5}),
 }
 
 _O = "o AS (SELECT l_orderkey AS decision_id, ['worked', 'failed', 'mixed', 'too_early'][l_linenumber % 4 + 1] AS verdict, l_shipdate AS observed_at, l_extendedprice AS created_at FROM lineitem), v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY observed_at DESC, created_at DESC, verdict DESC) AS n FROM o) WHERE n = 1)"

@@ -19,6 +19,13 @@ def _raw(s, d):
     return li.select("l_orderkey", "l_linenumber", three.alias("entity"))
 
 
+def _of(s, d, lines):
+    """Mentions of the lines of one state: what two projections that saw different lines hold."""
+    li = read_table(s, d, "lineitem").where(lines)
+    two = F.explode(F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")))
+    return g.project_mentions(li.select("l_orderkey", "l_linenumber", two.alias("entity")), "l_orderkey", "entity", "l_linenumber")
+
+
 def mentions(s, d):
     return g.project_mentions(_raw(s, d), "l_orderkey", "entity", "l_linenumber")
 
@@ -42,6 +49,11 @@ def _near(s, d):
     return pairs.where("score >= 0.5").select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "score").distinct()
 
 
+def _cited(s, d):
+    """Decisions and the items they cite."""
+    return read_table(s, d, "decision_evidence").select(F.concat(F.lit("d"), "decision_id").alias("a"), F.concat_ws("/", "source_name", "external_key").alias("b"))
+
+
 def _labels(s, d):
     p = read_table(s, d, "part").select(F.col("p_partkey").cast("string").alias("a"), F.col("p_brand").alias("b"), "p_name")
     c = g.components(p, "a", "b")
@@ -60,7 +72,7 @@ QUERIES = {
     "graph_mentions": mentions,
     "graph_relations": relations,
     "graph_hash": lambda s, d: g.content_hash(mentions(s, d), ["item", "entity", "mentions"]),
-    "graph_divergence": lambda s, d: keyed_diff(mentions(s, d).where("mentions = 1 OR item % 7 = 0"), mentions(s, d).withColumn("mentions", F.when(F.col("item") % 1000 == 0, 99).otherwise(F.col("mentions"))).where("item % 11 <> 0"), ["item", "entity"], ["mentions"]).groupBy("difference").agg(F.count(F.lit(1)).alias("n")),
+    "graph_divergence": lambda s, d: keyed_diff(_of(s, d, "l_linestatus = 'F'"), _of(s, d, "l_returnflag <> 'N'"), ["item", "entity"], ["mentions"]).groupBy("difference").agg(F.count(F.lit(1)).alias("n")),
     "graph_label_counts": lambda s, d: mentions(s, d).groupBy(F.substring("entity", 1, 1).alias("label")).agg(F.countDistinct("entity").alias("nodes"), F.count(F.lit(1)).alias("edges")),
     "entity_df_hubs": lambda s, d: g.hubs(mentions(s, d)).withColumn("idf", F.round("idf", 6)),
     "graph_neighbours": lambda s, d: g.neighbours(relations(s, d), s.createDataFrame([("p1",)], "node string"), 3, "subject", "object"),
@@ -68,7 +80,8 @@ QUERIES = {
     "hub_suppressed_expansion": lambda s, d: _expand(s, d).select("item", "score"),
     "graph_prune": lambda s, d: mentions(s, d).join(read_table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("item")), "item", "left_anti").groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
     "graph_sync_scope": lambda s, d: g.sync_scope(_seeds(s, d), mentions(s, d).where("entity LIKE 'p%'")),
-    "connected_components": lambda s, d: g.components(g.project_relations(_raw(s, d).where("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("a"), F.lit("m").alias("p"), F.col("entity").alias("b"), F.lit(1.0).alias("c")).where("b LIKE 'p%'"), "a", "p", "b", "c"), "subject", "object"),
+    "connected_components": lambda s, d: g.components(_cited(s, d), "a", "b"),
+    "correction_threads": lambda s, d: g.components(read_table(s, d, "chat_messages").select("message_id", "corrects_message_id"), "message_id", "corrects_message_id"),
     "pairwise_similarity": _near,
     "similar_components": lambda s, d: g.components(_near(s, d), "a", "b"),
     "component_labels": _labels,
@@ -88,12 +101,14 @@ _MEN = f"{_RAW}, men AS (SELECT l_orderkey AS item, entity, count(*) AS mentions
 _REL = "rel AS (SELECT 'p' || p_partkey AS subject, 'made_by' AS predicate, p_brand AS object, count(*) AS assertions, max(p_retailprice) AS confidence FROM part GROUP BY ALL)"
 _HUB = "hub AS (SELECT entity, count(DISTINCT item) AS df, ln(1 + (SELECT count(DISTINCT item) FROM men) / count(DISTINCT item)) AS idf, count(DISTINCT item) >= greatest(2, ceil(0.1e0 * (SELECT count(DISTINCT item) FROM men))) AS hub FROM men GROUP BY 1)"
 _COLL = "(SELECT p_partkey, p_brand, p_name, lower(p_type) AS kind, CASE WHEN ends_with(b, 's') AND length(b) > 3 THEN left(b, -1) WHEN ends_with(b, 'py') AND length(b) > 4 THEN left(b, -2) WHEN ends_with(b, 'md') AND length(b) > 4 THEN left(b, -2) WHEN ends_with(b, 'txt') AND length(b) > 5 THEN left(b, -3) WHEN ends_with(b, 'json') AND length(b) > 6 THEN left(b, -4) WHEN ends_with(b, 'yml') AND length(b) > 5 THEN left(b, -3) WHEN ends_with(b, 'yaml') AND length(b) > 6 THEN left(b, -4) ELSE b END AS key FROM (SELECT *, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS b FROM part))"
+_CC = "e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS r FROM e2 UNION SELECT e2.b, w.r FROM w JOIN e2 ON e2.a = w.node WHERE w.r < e2.b) SELECT node, min(r) AS component FROM w GROUP BY 1"
 _MAP = "CASE WHEN entity IN ('s1', 's3') THEN 's2' ELSE entity END"
 
 SQL = {
     "graph_mentions": f"WITH {_MEN} SELECT * FROM men",
     "graph_relations": f"WITH {_REL} SELECT * FROM rel",
-    "graph_divergence": f"""WITH {_MEN}, e AS (SELECT * FROM men WHERE mentions = 1 OR item % 7 = 0), a AS (SELECT item, entity, CASE WHEN item % 1000 = 0 THEN 99 ELSE mentions END AS mentions FROM men WHERE item % 11 <> 0)
+    "graph_divergence": """WITH x AS (SELECT l_orderkey AS item, unnest(['p' || l_partkey, 's' || l_suppkey]) AS entity, l_linestatus, l_returnflag FROM lineitem),
+e AS (SELECT item, entity, count(*) AS mentions FROM x WHERE l_linestatus = 'F' GROUP BY ALL), a AS (SELECT item, entity, count(*) AS mentions FROM x WHERE l_returnflag <> 'N' GROUP BY ALL)
 SELECT difference, count(*) AS n FROM (SELECT CASE WHEN a.item IS NULL THEN 'missing' WHEN e.item IS NULL THEN 'unexpected' WHEN a.mentions <> e.mentions THEN 'changed' END AS difference FROM e FULL JOIN a ON e.item = a.item AND e.entity = a.entity) WHERE difference IS NOT NULL GROUP BY 1""",
     "graph_label_counts": f"WITH {_MEN} SELECT left(entity, 1) AS label, count(DISTINCT entity) AS nodes, count(*) AS edges FROM men GROUP BY 1",
     "entity_df_hubs": f"WITH {_MEN}, {_HUB} SELECT entity, df, round(idf, 6) AS idf, hub FROM hub",
@@ -115,6 +130,8 @@ SELECT p_brand, p_name, p_partkey AS winner FROM (SELECT *, row_number() OVER (P
     "merge_collisions": f"WITH {_RAW}, m AS (SELECT DISTINCT l_orderkey, l_linenumber, {_MAP} AS entity FROM raw WHERE entity LIKE 's%') SELECT entity, count(*) AS n FROM m GROUP BY 1",
     "merge_ledger": f"WITH {_RAW} SELECT entity AS was, 's2' AS now, count(*) AS n FROM raw WHERE entity IN ('s1', 's3') GROUP BY ALL",
     "near_duplicate_names": f"SELECT kind, key, count(*) AS n FROM {_COLL} GROUP BY ALL HAVING count(*) > 1",
+    "connected_components": f"""WITH RECURSIVE e AS (SELECT DISTINCT 'd' || decision_id AS a, concat_ws('/', source_name, external_key) AS b FROM decision_evidence), {_CC}""",
+    "correction_threads": f"WITH RECURSIVE e AS (SELECT DISTINCT message_id AS a, corrects_message_id AS b FROM chat_messages WHERE corrects_message_id IS NOT NULL), {_CC}",
     "component_labels": "SELECT component, label, members FROM (SELECT p_brand, min(least(p_partkey::VARCHAR, p_brand)) AS component, arg_min(p_name, {'n': -length(p_name), 's': p_name}) AS label, count(*) AS members FROM part GROUP BY 1)",
     "entity_lookup": "SELECT n_nationkey FROM nation WHERE lower(n_name) = 'nation_7'",
 }

@@ -59,7 +59,7 @@ def _restored(s, d):
 
 
 def _pairs(s, d):
-    a = _assumptions(s, d).where("l_linenumber <= 2")
+    a = _assumptions(s, d)
     x = a.select("l_orderkey", F.col("l_suppkey").alias("a"), F.col("l_extendedprice").alias("ap"))
     y = a.select("l_orderkey", F.col("l_suppkey").alias("b"), F.col("l_extendedprice").alias("bp"))
     return x.join(y, "l_orderkey").where("a < b").select("l_orderkey", "a", "b", F.round(F.abs(F.col("ap") - F.col("bp")), 2).alias("difference")).distinct()
@@ -87,10 +87,9 @@ def _similar_names(s, d):
 
 
 def _shared(s, d):
-    m = g.mentions(s, d).where("item <= 200")
-    sets = m.groupBy("item").agg(F.collect_set("entity").alias("e"))
-    nxt = sets.select((F.col("item") - 1).alias("item"), F.col("e").alias("f"))
-    return sets.join(nxt, "item").select("item", F.size(F.array_intersect("e", "f")).alias("shared"))
+    """Parts that an order shares with the next one: an equi-join on item and entity, no sets are built."""
+    m = g.mentions(s, d).where("entity LIKE 'p%'").select("item", "entity")
+    return m.join(m.select((F.col("item") - 1).alias("item"), "entity"), ["item", "entity"]).groupBy("item").agg(n_().alias("shared"))
 
 
 QUERIES = {
@@ -133,9 +132,9 @@ SELECT key AS message_id, CASE WHEN hops <= 8 THEN final END AS item, CAST(least
     "surfacing_log": f"SELECT * FROM ({_GATE}) WHERE reason = 'cleared' ORDER BY day DESC, user_id LIMIT 100",
     "entity_stats": f"WITH {g._MEN}, t AS (SELECT left(entity, 1) AS type, entity, CAST(sum(mentions) AS BIGINT) AS n FROM men GROUP BY ALL) SELECT type, entity, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, entity) AS r FROM t) WHERE r <= 5",
     "mention_edges": f"WITH {g._MEN} SELECT DISTINCT item, entity FROM men WHERE item IN (1, 2, 3, 5)",
-    "shared_entities": f"WITH {g._MEN}, s AS (SELECT item, list(DISTINCT entity) AS e FROM men WHERE item <= 200 GROUP BY 1) SELECT a.item, CAST(len(list_intersect(a.e, b.e)) AS INTEGER) AS shared FROM s a JOIN s b ON b.item = a.item + 1",
+    "shared_entities": f"WITH {g._MEN} SELECT a.item, count(*) AS shared FROM men a JOIN men b ON b.item = a.item + 1 AND b.entity = a.entity WHERE a.entity LIKE 'p%' GROUP BY 1",
     "assumption_list": "SELECT l_suppkey, count(*) AS open, min(o_orderdate) AS oldest FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag NOT IN ('A', 'R') GROUP BY 1",
-    "group_candidate_pairs": "SELECT DISTINCT x.l_orderkey, x.l_suppkey AS a, y.l_suppkey AS b, round(abs(x.l_extendedprice - y.l_extendedprice), 2) AS difference FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey WHERE x.l_linenumber <= 2 AND y.l_linenumber <= 2",
+    "group_candidate_pairs": "SELECT DISTINCT x.l_orderkey, x.l_suppkey AS a, y.l_suppkey AS b, round(abs(x.l_extendedprice - y.l_extendedprice), 2) AS difference FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey",
     "pattern_list": f"SELECT p.*, first_seen, last_seen FROM ({ev.SQL['pattern_confidence']}) p JOIN (SELECT l_suppkey AS grp, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY 1) USING (grp)",
     "live_model": "SELECT kind, memory_id, CAST(r AS INTEGER) AS rank FROM (SELECT kind, memory_id, row_number() OVER (PARTITION BY kind ORDER BY version DESC, memory_id) AS r FROM (SELECT DISTINCT kind, memory_id, version FROM memories WHERE is_current AND deleted_at IS NULL)) WHERE r <= 10",
     "next_claim": "SELECT event_id FROM events WHERE event_type = 'purchase' ORDER BY value DESC, ts, event_id LIMIT 1",

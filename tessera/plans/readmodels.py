@@ -53,7 +53,7 @@ QUERIES = {
     "file_changes": lambda s, d: files.changed(memories(s, d).where("is_current").select("external_key", F.col("ingested_at").alias("modified_at"), F.length("content_hash").cast("long").alias("bytes")), memories(s, d).where("is_current AND kind <> 'note'").select("external_key", F.col("ingested_at").alias("modified_at"), F.length("content_hash").cast("long").alias("bytes"))).select("external_key").distinct(),
     "vanished_files": lambda s, d: files.vanished(memories(s, d).where("deleted_at IS NULL"), memories(s, d)),
     "blob_store": lambda s, d: files.blobs(read_table(s, d, "documents").select(F.col("text").cast("binary").alias("content"))).select("hash", "bytes"),
-    "new_artifacts": lambda s, d: files.unknown_blobs(files.blobs(read_table(s, d, "documents").select(F.col("text").cast("binary").alias("content"))), files.blobs(read_table(s, d, "documents").where("doc_id % 2 = 0").select(F.col("text").cast("binary").alias("content")))).select("hash"),
+    "new_artifacts": lambda s, d: files.unknown_blobs(files.blobs(read_table(s, d, "documents").select(F.col("text").cast("binary").alias("content"))), files.blobs(read_table(s, d, "documents").where("kind = 'note'").select(F.col("text").cast("binary").alias("content")))).select("hash"),
     "parser_dispatch": lambda s, d: memories(s, d).groupBy(files.parser_of("external_key").alias("parser")).agg(n_().alias("n")),
     "log_append": lambda s, d: log.append(read_table(s, d, "item_log").select("seq"), events(s, d).select("event_id", "ts"), [F.unix_micros("ts"), F.col("event_id")], "2026-01-01").select("event_id", "seq"),
     "log_scan": lambda s, d: log.scan(read_table(s, d, "item_log"), 5000).select("seq", "event_id"),
@@ -86,7 +86,7 @@ LEFT JOIN (SELECT memory_id, count(*) AS shared FROM {E} e GROUP BY 1) x ON x.me
     "file_changes": "SELECT DISTINCT external_key FROM memories m WHERE is_current AND NOT EXISTS (SELECT 1 FROM memories k WHERE k.is_current AND k.kind <> 'note' AND k.external_key = m.external_key AND k.ingested_at = m.ingested_at)",
     "vanished_files": "SELECT external_key FROM memories EXCEPT SELECT external_key FROM memories WHERE deleted_at IS NULL",
     "blob_store": "SELECT DISTINCT sha256(text) AS hash, CAST(strlen(text) AS INTEGER) AS bytes FROM documents WHERE text IS NOT NULL",
-    "new_artifacts": "SELECT sha256(text) AS hash FROM documents WHERE text IS NOT NULL EXCEPT SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL",
+    "new_artifacts": "SELECT sha256(text) AS hash FROM documents WHERE text IS NOT NULL EXCEPT SELECT sha256(text) FROM documents WHERE kind = 'note' AND text IS NOT NULL",
     "parser_dispatch": f"SELECT CASE WHEN regexp_matches(external_key, '\\.(md|markdown)$') THEN 'markdown' WHEN regexp_matches(external_key, '\\.(py|js|ts|go|rs|java|c|h|sh)$') THEN 'code' WHEN external_key LIKE '%.pdf' THEN 'pdf' ELSE 'text' END AS parser, count(*) AS n FROM {M} m GROUP BY 1",
     "log_append": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) + (SELECT max(seq) FROM item_log) AS seq FROM events",
     "log_scan": "SELECT seq, event_id FROM item_log WHERE seq > 5000",

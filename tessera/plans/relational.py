@@ -33,8 +33,8 @@ def _spans(s, d):
     left = e
     chunk = left.select("user_id", F.col("event_id").alias("chunk"), F.col("a").alias("b_start"), (F.col("a") + 40).alias("b_end"))
     diff = left.select("user_id", F.col("event_id").alias("diff"), F.col("a").alias("a_start"), (F.col("a") + F.col("event_id") % 3 * 5).cast("int").alias("a_end"))
-    meets = r.spans_overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    return diff.join(chunk, "user_id").where(meets).groupBy("user_id").agg(n_().alias("pairs"), F.countDistinct("chunk").alias("chunks"))
+    met = r.overlap_join(diff, chunk, ["user_id"], ("a_start", "a_end"), ("b_start", "b_end"))
+    return met.groupBy("user_id").agg(n_().alias("pairs"), F.countDistinct("chunk").alias("chunks"))
 
 
 def _interval(s, d):
@@ -53,7 +53,8 @@ def _term_overlap(s, d):
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) > 3))
     a = read_table(s, d, "chat_sessions").select("session_id", F.explode(words("title")).alias("term")).distinct()
     b = memories(s, d, "title").where(r.live()).select("memory_id", F.explode(words("title")).alias("term")).distinct()
-    return a.join(b, "term").groupBy("term").agg(F.countDistinct("session_id").alias("sessions"), F.countDistinct("memory_id").alias("items"))
+    # each side is counted per term before they meet, so a common term costs no more than a rare one
+    return a.groupBy("term").agg(n_().alias("sessions")).join(b.groupBy("term").agg(n_().alias("items")), "term")
 
 
 def _connections(s, d):
@@ -72,7 +73,7 @@ QUERIES = {
     "search_filters": lambda s, d: memories(s, d).where(_FILTERS.condition()).select("memory_id", "kind", "occurred_at"),
     "search_filters_deleted": lambda s, d: memories(s, d).where(r.SearchFilters(kinds=("code",), include_deleted=True).condition()).select("memory_id"),
     "all_of_tags": lambda s, d: r.with_all(_tags(s, d), "user_id", "event_type", ["click", "purchase", "error", "signup"]),
-    "conjunctive_tag_filter": lambda s, d: events(s, d).where("value > 50").join(r.with_all(_tags(s, d).where("user_id % 2 = 0"), "user_id", "event_type", ["click", "purchase"]), "user_id", "left_semi").select("event_id"),
+    "conjunctive_tag_filter": lambda s, d: events(s, d).where("value > 50").join(r.with_all(_tags(s, d), "user_id", "event_type", ["click", "purchase"]), "user_id", "left_semi").select("event_id"),
     "stale_rows": lambda s, d: read_table(s, d, "candidates").select("candidate_id", "embedding_model").distinct().where(r.stale("embedding_model", "mini-48-v2")).select("candidate_id"),
     "substring_search": lambda s, d: read_table(s, d, "chat_messages").where(F.col("content").ilike("%decide%")).select("message_id"),
     "suffix_match": lambda s, d: memories(s, d).where(F.col("external_key").endswith(".py")).select("memory_id"),
@@ -143,7 +144,7 @@ SQL = {
     "search_filters": f"SELECT memory_id, kind, occurred_at FROM {M} m WHERE {LIVE} AND kind IN ('note', 'document') AND occurred_at BETWEEN '2025-02-01' AND '2026-02-01'",
     "search_filters_deleted": f"SELECT memory_id FROM {M} m WHERE kind = 'code'",
     "all_of_tags": "SELECT user_id FROM events WHERE event_type IN ('click', 'purchase', 'error', 'signup') GROUP BY 1 HAVING count(DISTINCT event_type) = 4",
-    "conjunctive_tag_filter": "SELECT event_id FROM events e WHERE value > 50 AND user_id % 2 = 0 AND (SELECT count(DISTINCT event_type) FROM events t WHERE t.user_id = e.user_id AND event_type IN ('click', 'purchase')) = 2",
+    "conjunctive_tag_filter": "SELECT event_id FROM events e WHERE value > 50 AND (SELECT count(DISTINCT event_type) FROM events t WHERE t.user_id = e.user_id AND event_type IN ('click', 'purchase')) = 2",
     "stale_rows": "SELECT DISTINCT candidate_id FROM candidates WHERE embedding_model IS DISTINCT FROM 'mini-48-v2'",
     "substring_search": "SELECT message_id FROM chat_messages WHERE content ILIKE '%decide%'",
     "suffix_match": f"SELECT memory_id FROM {M} m WHERE external_key LIKE '%.py'",

@@ -124,7 +124,7 @@ def _answers(s, d):
 
 
 def _trajectory(s, d):
-    e = read_table(s, d, "events").select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("hop"), "event_id").where("hop <= 4")
+    e = read_table(s, d, "events").select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("hop"), "event_id")
     return ev.trajectory(e.select("run", "hop", (F.col("event_id") % 5 + 1).alias("returned"), (F.col("event_id") % 3).alias("new"), (F.col("event_id") % 2 == 0).alias("used_id"), (F.col("event_id") % 3 == 0).alias("borrowed_term"), F.lit(2).alias("min_hops"), F.lit("answered").alias("ended"))).select("run", "overall")
 
 
@@ -209,7 +209,7 @@ SELECT *, CAST(row_number() OVER (ORDER BY mrr DESC, recall DESC, vector, "order
 SELECT count(*) AS n, round(avg(c / m) FILTER (i AND NOT r AND m > 0), 6) AS citation_rate, round(count(*) FILTER (NOT i AND r) / nullif(count(*) FILTER (NOT i), 0), 6) AS refusal_rate,
 round(count(*) FILTER (i AND r) / nullif(count(*) FILTER (i), 0), 6) AS false_refusal_rate, round(count(*) FILTER (NOT r AND x > 0) / nullif(count(*) FILTER (NOT r), 0), 6) AS hallucinated_rate FROM a""",
     "trajectory_scores": """WITH h AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hop FROM events),
-p AS (SELECT run, sum(event_id % 3)::DOUBLE / sum(event_id % 5 + 1) AS gain, avg(CASE WHEN event_id % 2 = 0 THEN 1e0 WHEN event_id % 3 = 0 THEN 0.5e0 ELSE 0e0 END) FILTER (hop > 1) AS dependency, least(1e0, 2 / max(hop)) AS efficiency FROM h WHERE hop <= 4 GROUP BY 1)
+p AS (SELECT run, sum(event_id % 3)::DOUBLE / sum(event_id % 5 + 1) AS gain, avg(CASE WHEN event_id % 2 = 0 THEN 1e0 WHEN event_id % 3 = 0 THEN 0.5e0 ELSE 0e0 END) FILTER (hop > 1) AS dependency, least(1e0, 2 / max(hop)) AS efficiency FROM h GROUP BY 1)
 SELECT run, round((coalesce(gain, 1) + coalesce(dependency, 1) + efficiency + 1) / 4, 6) AS overall FROM p""",
     "latest_hits_per_query": "SELECT query_id, hit_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS rank FROM (SELECT DISTINCT query_id, hit_id, score FROM memory_hits WHERE score IS NOT NULL)) WHERE rank <= 3",
 }

@@ -237,6 +237,26 @@ def test_ir_metrics(spark):
     assert got["q"].ndcg == round((1 / math.log2(3)) / (1 + 1 / math.log2(3)), 6) and got["missed"].ndcg == 0.0 and "none" not in got
 
 
+def test_nearest_rank_is_spread(spark):
+    rng = np.random.default_rng(1)
+    vals = [("hot", float(x)) for x in rng.integers(0, 50, 900)] + [("one", 3.0), ("one", None), ("none", None)] + [(None, float(i)) for i in range(10)]
+    df = spark.createDataFrame(vals, "g string, v double")
+    got = {x.g: (x.lo, x.hi) for x in evaluate.nearest_rank(df, "g", "v", {"lo": 0.5, "hi": 0.95}, buckets=8).collect()}
+    hot = sorted(v for g, v in vals if g == "hot")
+    assert got == {"hot": (hot[round(0.5 * 899)], hot[round(0.95 * 899)]), "one": (3.0, 3.0), None: (4.0, 9.0)}
+
+
+def test_overlap_join_equals_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    spans = lambda n: [(int(k), int(a), int(a + w)) for k, a, w in zip(rng.integers(0, 3, n), rng.integers(0, 400, n), rng.choice([0, 0, 5, 90], n))]
+    x, y = spans(60), spans(60)
+    a = spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "i int, k int, s int, e int")
+    b = spark.createDataFrame([(i, *r) for i, r in enumerate(y)], "j int, k int, t int, u int")
+    got = sorted(tuple(r) for r in rel.overlap_join(a, b, ["k"], ("s", "e"), ("t", "u"), 16).select("i", "j").collect())
+    meets = lambda p, q: (p[1] == p[2] and q[1] <= p[1] <= q[2]) or (p[1] < q[2] and q[1] < p[2])
+    assert got == sorted((i, j) for i, p in enumerate(x) for j, q in enumerate(y) if p[0] == q[0] and meets(p, q))
+
+
 def test_intent_application():
     f, w, o = context.apply_intent("notes since March 2025", rel.SearchFilters(occurred_after="2025-01-01 00:00:00"), datetime(2026, 6, 1))
     assert f.occurred_after == "2025-03-01 00:00:00" and f.occurred_before is None and (w, o) == (0.15, None)
