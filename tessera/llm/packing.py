@@ -41,16 +41,14 @@ class Packing:
 
 
 def _companions(sizes: np.ndarray, counts: dict[int, int], w: int, room: int) -> tuple[int, ...] | None:
-    """What must go with the largest item ``w``: a set that dominates all feasible ones, or None.
+    """What must go with an item of size ``w``: a set that dominates all feasible ones, or None.
 
-    ``sizes`` ascending, all with a count above 0 and at most ``w``. A set
-    dominates another that can be divided among its members without any member
-    being exceeded.
+    ``sizes`` ascending, all with a count above 0. A set dominates another that
+    can be divided among its members without any member being exceeded.
     """
-    left = counts[w] - 1
     fit = sizes[: np.searchsorted(sizes, room, side="right")]
-    if len(fit) and fit[-1] == w and not left:
-        fit = fit[:-1]
+    if counts[w] == 1:
+        fit = fit[fit != w]
     if not len(fit):
         return ()
     best = int(fit[-1])
@@ -83,29 +81,31 @@ def _companions(sizes: np.ndarray, counts: dict[int, int], w: int, room: int) ->
 
 
 def reduce_dominated(histogram: dict[int, int], capacity: int) -> tuple[Packing, dict[int, int]]:
-    """The containers fixed by dominance, and the histogram of what is left."""
+    """The containers fixed by dominance, and the histogram of what is left.
+
+    Sizes are tried from the largest; one without a dominating set stays in the
+    instance and may still accompany smaller ones.
+    """
     counts = {s: n for s, n in histogram.items() if n > 0 and s > 0}
     if counts and max(counts) > capacity:
         raise ValueError("an item is larger than the capacity")
-    out, kept = Packing(capacity), {}
+    out = Packing(capacity)
     sizes = sorted(counts)
-    while sizes:
-        w = sizes[-1]
-        more = _companions(np.array(sizes), counts, w, capacity - w)
-        if more is None:
-            kept[w] = counts.pop(w)
-            sizes.pop()
-            continue
-        pattern = Counter((w, *more))
-        n = min(counts[s] // q for s, q in pattern.items())
-        out.groups.append((n, dict(pattern)))
-        for s, q in pattern.items():
-            counts[s] -= n * q
-            if not counts[s]:
-                del counts[s]
-                sizes.pop(bisect.bisect_left(sizes, s))
+    for w in reversed(sizes.copy()):
+        while w in counts:
+            more = _companions(np.array(sizes), counts, w, capacity - w)
+            if more is None:
+                break
+            pattern = Counter((w, *more))
+            n = min(counts[s] // q for s, q in pattern.items())
+            out.groups.append((n, dict(pattern)))
+            for s, q in pattern.items():
+                counts[s] -= n * q
+                if not counts[s]:
+                    del counts[s]
+                    sizes.pop(bisect.bisect_left(sizes, s))
     out.fixed = out.containers
-    return out, kept
+    return out, counts
 
 
 def best_fit(histogram: dict[int, int], out: Packing) -> Packing:
