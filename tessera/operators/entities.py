@@ -16,9 +16,9 @@ def exact_candidates(entities: DataFrame, kind: str, key: Column, id_col: str) -
 
 
 def alias_candidates(entities: DataFrame, kind: str, key: Column, id_col: str, pairs=ALIASES) -> DataFrame:
-    """E5: entities whose keys are a listed pair, at 0.99: a, b, confidence. The list is small and sent to every task."""
+    """E5: entities whose keys are a listed pair, at 0.99: a, b, confidence. The list is a parameter."""
     keyed = entities.select(F.col(kind).alias("kind"), key.alias("key"), F.col(id_col).alias("id"))
-    listed = F.broadcast(entities.sparkSession.createDataFrame(list(pairs), "key string, other string"))
+    listed = entities.sparkSession.createDataFrame(list(pairs), "key string, other string")
     other = keyed.select("kind", F.col("key").alias("other"), F.col("id").alias("b"))
     return keyed.join(listed, "key").join(other, ["kind", "other"]).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), F.lit(0.99).alias("confidence"))
 

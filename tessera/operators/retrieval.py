@@ -32,9 +32,9 @@ def keyword_tf_topk(docs: DataFrame, id_col: str, text: str, queries: dict[int,
     spark = docs.sparkSession
     wanted = spark.createDataFrame(sorted(set(asked)), "query int, term string")
     need = wanted.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    hits = postings(docs, id_col, text, sorted({t for _, t in asked})).join(F.broadcast(wanted), "term")
+    hits = postings(docs, id_col, text, sorted({t for _, t in asked})).join(wanted, "term")
     per = hits.groupBy("query", "id").agg(F.count(F.lit(1)).alias("have"), F.sum(F.size("positions")).alias("score"))
-    per = per.join(F.broadcast(need), "query").where("have = need")
+    per = per.join(need, "query").where("have = need")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return per.select("query", "id", "score", rank.alias("rank")).where(F.col("rank") <= k)
 

@@ -59,6 +59,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Takes a folder of the shared folder away when the driver's interpreter ends."""
+    atexit.register(_remove, spark, path)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
@@ -69,5 +74,5 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}-{os.getpid()}"
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

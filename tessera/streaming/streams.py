@@ -9,15 +9,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.session import shared_folder
+from tessera.session import remove_at_exit, shared_folder
 
 
-def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's files as a stream, the timestamps cast as in batch."""
+def read_stream(spark: SparkSession, folder: str, name: str, files: int | None = None) -> DataFrame:
+    """A table's files as a stream, the timestamps cast as in batch.
+
+    ``files`` bounds a micro-batch, and with it what the stateful operators sort at
+    once; without it all files there are make one batch.
+    """
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     # a pattern, because the file source takes a plain path for a folder
-    df = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    df = reader.parquet(f"{folder}/{name}.parque[t]")
     casts = {c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}
     return df.withColumns(casts) if casts else df
 
@@ -31,6 +37,7 @@ def run_available(df: DataFrame, mode: str, each: Callable[[DataFrame, int], Dat
     """
     spark = df.sparkSession
     base = f"{shared_folder(spark)}/tessera/stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, base)
 
     def write(batch: DataFrame, n: int) -> None:
         (each(batch, n) if each else batch).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
@@ -106,9 +113,9 @@ def debounce_stream(df: DataFrame, key: str, event: str, at: str, seconds: float
 
 
 def dispatch(events: DataFrame, handlers: DataFrame, kind: str, event: str) -> DataFrame:
-    """ST7: one job per subscribed handler, with its key for deduplication. ``handlers``: kind, handler; small and fixed."""
+    """ST7: one job per subscribed handler, with its key for deduplication. ``handlers``: kind, handler."""
     h = handlers.select(F.col("kind").alias(kind), "handler")
-    return events.join(F.broadcast(h), kind).select(event, "handler", F.concat(F.col(event).cast("string"), F.lit(":"), "handler").alias("dedupe_key"))
+    return events.join(h, kind).select(event, "handler", F.concat(F.col(event).cast("string"), F.lit(":"), "handler").alias("dedupe_key"))
 
 
 def stream_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, within: str, late: str = "1 day") -> DataFrame:

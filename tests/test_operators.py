@@ -363,9 +363,9 @@ def test_folds(spark):
 
 
 def test_gate(spark):
-    h = spark.createDataFrame([("f", ["a", "b"], D, None, False), ("g", ["a", "b"], D - timedelta(days=3), D - timedelta(days=2), False)], "f string, keys array<string>, surfaced_at timestamp, dismissed_at timestamp, useful boolean")
-    c = spark.createDataFrame([("f", 1, ["a", "b"], 0.05, D + timedelta(hours=1)), ("f", 2, ["z"], 0.05, D + timedelta(hours=1)), ("f", 3, ["z"], 0.001, D + timedelta(hours=1)), ("f", 4, [], None, D), ("g", 5, ["a", "b"], 0.06, D), ("n", 6, ["q"], None, D)], "f string, c int, keys array<string>, score double, at timestamp")
-    assert {x.c: x.reason for x in surfacing.gate(c, h, "f", "c").collect()} == {1: "already_surfaced", 2: "cleared", 3: "below_threshold", 4: "no_context", 5: "dismissed", 6: "nothing_new"}
+    h = spark.createDataFrame([("f", ["a", "b"], D, None, False), ("g", ["a", "b"], D - timedelta(days=300), D - timedelta(days=29), False), ("h", ["a"], D - timedelta(days=90), D - timedelta(days=31), True)], "f string, keys array<string>, surfaced_at timestamp, dismissed_at timestamp, useful boolean")
+    c = spark.createDataFrame([("f", 1, ["a", "b"], 0.05, D + timedelta(hours=1)), ("f", 2, ["z"], 0.05, D + timedelta(hours=1)), ("f", 3, ["z"], 0.001, D + timedelta(hours=1)), ("f", 4, [], None, D), ("g", 5, ["a", "b"], 0.06, D), ("n", 6, ["q"], None, D), ("h", 7, ["a"], 0.05, D)], "f string, c int, keys array<string>, score double, at timestamp")
+    assert {x.c: x.reason for x in surfacing.gate(c, h, "f", "c").collect()} == {1: "already_surfaced", 2: "cleared", 3: "below_threshold", 4: "no_context", 5: "dismissed", 6: "nothing_new", 7: "cleared"}
 
 
 def test_files(spark, tmp_path):
