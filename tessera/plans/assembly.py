@@ -102,6 +102,7 @@ _HIT = "hit AS (SELECT DISTINCT hit_id, query_id, memory_id, source_name, extern
 _E = "(SELECT DISTINCT * FROM decision_evidence)"
 
 SQL = {
+    "embedding_cache": "SELECT DISTINCT sha256('hash-32|' || title) AS hash, 'hash-32' AS model, 32 AS dim FROM memories WHERE trim(title) <> '' AND title NOT LIKE 'A%'",
     "context_assembly": f"""WITH {_HIT}, b AS (SELECT query_id, memory_id, max(score) AS score FROM hit GROUP BY ALL),
 a AS (SELECT b.*, occurred_at, links FROM b LEFT JOIN {M} m USING (memory_id) LEFT JOIN (SELECT memory_id, count(*) AS links FROM {_E} e GROUP BY 1) l USING (memory_id)),
 p AS (SELECT query_id, memory_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, memory_id) AS rank FROM a

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from tessera.functions.analysis import STOP_WORDS
 from tessera.functions.normal import normal_text
 from tessera.operators import chunks as ch
 from tessera.operators import entities as en
@@ -116,7 +117,12 @@ QUERIES = {
 _GATE = st.SQL["surfacing_gate"]
 _LOG = "l AS (SELECT *, lower(regexp_replace(event_type, '^\\s+|\\s+$', '', 'g')) AS kind_ FROM item_log)"
 
+_TOPIC = f"length(term) > 3 AND term NOT IN ({', '.join(map(repr, STOP_WORDS))})"
+
 SQL = {
+    "unstated_assumptions": f"""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[\\pL\\pN_]+')) AS term FROM memories WHERE kind = 'note'),
+t AS (SELECT DISTINCT session_id, unnest(regexp_extract_all(lower(title), '[\\pL\\pN_]+')) AS term FROM chat_sessions)
+SELECT DISTINCT 'unstated' AS kind, session_id AS key FROM chat_sessions WHERE session_id NOT IN (SELECT session_id FROM t WHERE {_TOPIC} AND term IN (SELECT term FROM k))""",
     "gap_analysis": """WITH e AS (SELECT DISTINCT * FROM decision_evidence), a AS (SELECT 'orphaned_work' AS kind, decision_id::VARCHAR AS key, count(DISTINCT memory_id) AS support, count(*) FILTER (relation = 'contradicts') AS against, count(*) AS evidence
   FROM e GROUP BY decision_id HAVING count(DISTINCT memory_id) >= 2 AND (SELECT max(linked_at) FROM e) - max(linked_at) > INTERVAL 30 DAY),
 b AS (SELECT 'unevaluated' AS kind, l_suppkey::VARCHAR AS key, count(*) FILTER (l_returnflag NOT IN ('A', 'R') AND TIMESTAMP '2002-01-01' - l_shipdate > INTERVAL 30 DAY) AS support, count(*) FILTER (l_returnflag IN ('A', 'R')) AS against, count(*) AS evidence FROM lineitem GROUP BY l_suppkey),

@@ -71,7 +71,16 @@ QUERIES = {
     "line_diff": lambda s, d: ch.version_diffs(read_table(s, d, "memories"), ["source_id", "external_key"], "version", "content"),
 }
 
+_WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in [*tx.FUNCTION_WORDS, *tx.POINTING])
+_NORMAL = """WITH a AS (SELECT DISTINCT memory_id, nfc_normalize(content) AS t FROM memories),
+b AS (SELECT memory_id, replace(replace(CASE WHEN left(t, 1) = chr(65279) THEN substr(t, 2) ELSE t END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM a)
+SELECT memory_id, trim(regexp_replace(regexp_replace(t, '[\\t\\v\\f\\x1c-\\x1f\\x85\\pZ]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM b"""
+
 SQL = {
+    "normalize_text": _NORMAL,
+    "tags": "SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '#([\\pL\\pN\\pM_][\\pL\\pN\\pM_-]*)', 1))) AS tag FROM documents",
+    "refers_back": f"SELECT message_id, len(list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+')), lambda w: w NOT IN ({_WORDS}))) < 2 AS refers_back FROM chat_messages",
+    "code_definitions": "SELECT doc_id, CAST(unnest(range(0, len(d))) AS INTEGER) AS n, unnest(d) AS name FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^(?:async[ ]+)?(?:def|class|function|fn|func|struct|interface)[ ]+([A-Za-z_]\\w*)', 1) AS d FROM documents WHERE kind = 'code')",
     "token_count": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\v\\pZ\\x1c-\\x1f\\x{85}]')) AS INTEGER) AS tokens FROM documents",
     "kind_by_suffix": "SELECT DISTINCT memory_id, CASE WHEN regexp_matches(external_key, '\\.(md|txt)$') THEN 'note' WHEN external_key LIKE '%.py' THEN 'code' WHEN external_key LIKE '%.pdf' THEN 'document' ELSE 'other' END AS inferred FROM memories",
 }
