@@ -180,6 +180,11 @@ met AS (SELECT query, round(coalesce(h / n, 0), 6) AS recall, round(coalesce(h /
   round(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10) + 1) t(i)), 0), 6) AS ndcg FROM nr LEFT JOIN hit USING (query))"""
 
 SQL = {
+    "history_compaction": """WITH RECURSIVE m AS (SELECT session_id, ordinal, coalesce(max(length(content)), 0) AS t FROM chat_messages WHERE session_id IS NOT NULL AND ordinal IS NOT NULL GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ordinal DESC) AS n FROM m),
+w AS (SELECT session_id, ordinal, n, 400 AS room, 'verbatim' AS state FROM o WHERE n = 1 UNION ALL
+  SELECT o.session_id, o.ordinal, o.n, CASE WHEN o.n > 2 AND o.t <= w.room THEN w.room - o.t ELSE w.room END, CASE WHEN o.n <= 2 THEN 'verbatim' WHEN o.t <= w.room THEN 'kept' ELSE 'dropped' END
+  FROM w JOIN o ON o.session_id = w.session_id AND o.n = w.n + 1) SELECT session_id, ordinal, state FROM w""",
     "vector_topk": f"WITH {_V} SELECT * FROM vt WHERE rank <= 10",
     "not_unit_vectors": "SELECT DISTINCT candidate_id FROM candidates WHERE len(vector) = 48 AND abs(sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) - 1) >= 1e-3",
     "keyword_topk": f"WITH {_K} SELECT * FROM kw WHERE rank <= 10",

@@ -68,6 +68,14 @@ h AS (SELECT *, CASE WHEN m % 5 = 0 THEN surfaced_at + INTERVAL 1 HOUR END AS di
 _BAR = "round(least(4e0, greatest(1e0, 1.8e0 + 0.6e0 * {d} - 0.2e0 * {u})) * (1e0 / 61), 9)"
 
 SQL = {
+    "rate_limit": """WITH RECURSIVE o AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT event_type, event_id, n, [ts] AS held, true AS accepted FROM o WHERE n = 1 UNION ALL
+  SELECT o.event_type, o.event_id, o.n, CASE WHEN len(held) < 3 OR o.ts - held[1] >= INTERVAL 30 MINUTE THEN list_append(held, o.ts)[-3:] ELSE held END, len(held) < 3 OR o.ts - held[1] >= INTERVAL 30 MINUTE
+  FROM w JOIN o ON o.event_type = w.event_type AND o.n = w.n + 1) SELECT event_id, accepted FROM w""",
+    "pending_dedupe": """WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, value > 15 AS done, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
+w AS (SELECT user_id, event_type, event_id, n, CASE WHEN NOT done THEN event_id END AS pending, event_id AS stands_for FROM o WHERE n = 1 UNION ALL
+  SELECT o.user_id, o.event_type, o.event_id, o.n, CASE WHEN NOT done THEN coalesce(w.pending, o.event_id) END, coalesce(w.pending, o.event_id) FROM w JOIN o ON o.user_id = w.user_id AND o.event_type = w.event_type AND o.n = w.n + 1)
+SELECT event_id, stands_for FROM w""",
     "stream_ingest": "SELECT event_id, event_type FROM events",
     "tumbling_windows": _TUM,
     "stream_tumbling": _TUM,
