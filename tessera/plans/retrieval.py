@@ -101,7 +101,7 @@ def _grid(s, d):
 
 def _ann(s, d):
     e = embeddings(s, d)
-    return v.ivf_topk(e.where("vec_id % 50 = 0"), e, K, "vec_id", "embedding", probes=16)
+    return v.ivf_topk(e.where("vec_id % 50 = 0"), e, K, "vec_id", "embedding", lists=32, probes=23)
 
 
 def _mmr(s, d):
