@@ -203,7 +203,7 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
     "rerank_tail": f"""WITH {_LEGS}, f AS (SELECT query, id, round(sum(CASE ranking WHEN 'vector' THEN 1e0 ELSE 0.5e0 END / (60e0 + rank)), 12) AS fused FROM legs GROUP BY ALL),
 q(query, words) AS (VALUES {", ".join(f"({n}, {t.split()!r})" for n, t in SEARCHES.items())}),
 b AS (SELECT query, id, words, list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS w, row_number() OVER (PARTITION BY query ORDER BY fused DESC, id) AS before FROM f JOIN documents ON doc_id = id JOIN q USING (query)),
-s AS (SELECT query, id, before, CASE WHEN before <= 25 THEN round(len(list_intersect(words, w))::DOUBLE / len(words), 9) END AS s FROM b WHERE w IS NOT NULL OR before > 25),
+s AS (SELECT query, id, before, CASE WHEN before <= 25 THEN round(coalesce(len(list_intersect(words, w)), 0)::DOUBLE / len(words), 9) END AS s FROM b),
 t AS (SELECT query, id, before, coalesce(s, min(s) OVER (PARTITION BY query) - 1e-6 * (before - 25)) AS score FROM s)
 SELECT query, id, CAST(before AS INTEGER) AS before, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS final, round(score, 9) AS score FROM t""",
     "best_rank_seeds": f"WITH {_SIG}, b AS (SELECT query, id, CAST(min(rank) AS INTEGER) AS best FROM sig GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY best, id) AS INTEGER) AS place FROM b",

@@ -78,7 +78,7 @@ SELECT memory_id, trim(regexp_replace(regexp_replace(t, '[\\t\\v\\f\\x1c-\\x1f\\
 
 SQL = {
     "normalize_text": _NORMAL,
-    "tags": "SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '#([\\pL\\pN\\pM_][\\pL\\pN\\pM_-]*)', 1))) AS tag FROM documents",
+    "tags": "SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '#([\\pL\\pN_][\\pL\\pN_-]*)', 1))) AS tag FROM documents",
     "refers_back": f"SELECT message_id, len(list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+')), lambda w: w NOT IN ({_WORDS}))) < 2 AS refers_back FROM chat_messages",
     "code_definitions": "SELECT doc_id, CAST(unnest(range(0, len(d))) AS INTEGER) AS n, unnest(d) AS name FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^(?:async[ ]+)?(?:def|class|function|fn|func|struct|interface)[ ]+([A-Za-z_]\\w*)', 1) AS d FROM documents WHERE kind = 'code')",
     "token_count": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\v\\pZ\\x1c-\\x1f\\x{85}]')) AS INTEGER) AS tokens FROM documents",

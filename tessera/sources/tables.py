@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Table ``name`` of ``folder``, every ``timestamp_ntz`` cast to ``timestamp``."""
+    """Table ``name`` of ``folder``, every ``timestamp_ntz`` cast to ``timestamp``.
+
+    The session's zone is set to UTC if it is another, since the files mean UTC.
+    """
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     casts = {c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}
     return df.withColumns(casts) if casts else df
