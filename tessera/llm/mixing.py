@@ -86,10 +86,10 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 2
     wanted = [tuple(r) for r in targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).dropna(subset=["source"]).distinct().orderBy("source").limit(10_001).collect()]
     if len(wanted) > 10_000 or len({w[0] for w in wanted}) < len(wanted):
         raise ValueError("targets are a small fixed table with one row per source")
-    index = {w[0]: i for i, w in enumerate(wanted)}
-    sizes = sizes.where((F.col("tokens") > 0) & F.col(key).isNotNull() & F.col("source").isin(list(index)))
-    number = F.coalesce(*[F.when(F.col("source") == s, i) for s, i in index.items()], F.lit(0)) if index else F.lit(0)
-    sizes = cut(sizes.select(key, "source", number.alias("s"), F.col("tokens").cast("long").alias("tokens")), "mix")
+    numbers = targets.sparkSession.createDataFrame([(w[0], i) for i, w in enumerate(wanted)], "source string, s int")
+    # the list of names goes below the tokenizer, so other sources are not tokenized
+    sizes = sizes.where(F.col("source").isin([w[0] for w in wanted]) & (F.col("tokens") > 0) & F.col(key).isNotNull()).join(numbers, "source")
+    sizes = cut(sizes.select(key, "source", "s", F.col("tokens").cast("long").alias("tokens")), "mix")
     have = {r.s: (r.n, r.t) for r in sizes.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).collect()}
     taking = [i for i, (_, share, m) in enumerate(wanted) if i in have and (share or 0) > 0 and (m or 0) > 0]
     mass = sum(wanted[i][1] for i in taking)
