@@ -65,6 +65,67 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector
     return _ranked(tops, k, include_self)
 
 
+def _pairs_of_blocks(floor: float, rows: int = 128):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        ask = table.column("ask").to_numpy(zero_copy_only=False).astype(bool)
+        ids, v = table.column("id").to_numpy(), _matrix(table.column("v"))
+        q, x, qi, xi = v[ask], v[~ask], ids[ask], ids[~ask]
+        same = len(table) > 0 and table.column("qb")[0] == table.column("rb")[0]
+        for i in range(0, len(q) if len(x) else 0, rows):  # a few rows at a time: where all are near, all are written
+            s = q[i : i + rows] @ x.T
+            r, c = np.nonzero(s >= floor - 1e-9)
+            a, b, score = qi[i : i + rows][r], xi[c], s[r, c]
+            keep = a < b if same else a != b
+            ends = [pa.array(f(a[keep], b[keep]), pa.int64()) for f in (np.minimum, np.maximum)]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(score[keep], pa.float64())], names=["a", "b", "score"])
+
+    return run
+
+
+def _near_directions(rows: DataFrame, floor: float, id_col: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs at or above the floor between numbers of vectors that differ (a, b, score), and the ids of every
+    vector (rep: its number, id, first: its smallest id, score: of the vector with itself)."""
+    clean = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    clean = cut(clean.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())), "vectors")
+    reps = cut(clean.groupBy("v").agg(F.min("id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    own = F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 9)
+    held = cut(clean.join(reps, "v").select("rep", "id", "first", own.alias("score")).distinct(), "held")
+    n = reps.count() // BLOCK + 1
+    block, num = F.pmod(F.hash("rep"), F.lit(n)), F.col("rep").alias("id")
+    asks = reps.select(num, "v", block.alias("qb"), F.explode(F.sequence(block, F.lit(n - 1))).alias("rb"), F.lit(True).alias("ask"))
+    holds = reps.select(num, "v", F.explode(F.sequence(F.lit(0), block)).alias("qb"), block.alias("rb"), F.lit(False).alias("ask"))
+    found = asks.unionByName(holds).groupBy("qb", "rb").applyInArrow(_pairs_of_blocks(floor), "a bigint, b bigint, score double")
+    return cut(found.withColumn("score", F.round("score", 9)).where(F.col("score") >= floor), "near"), held
+
+
+def near_pairs(rows: DataFrame, floor: float, id_col: str, vector: str) -> DataFrame:
+    """Every pair of ids whose inner product, rounded to 9 places, is at least ``floor``: a < b, score.
+
+    Exact and without a limit of partners. Rows are cut into blocks by a hash of
+    their id and every pair of blocks is one matrix product. Equal vectors are one
+    while comparing; afterwards all their ids take part, so the result is as large
+    as the pairs are many. Null vectors, and vectors with a null, are left out.
+    """
+    found, held = _near_directions(rows, floor, id_col, vector)
+    x, y = held.select(F.col("rep").alias("a"), F.col("id").alias("x")), held.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    wide = found.join(x, "a").join(y, "b").select("x", "y", "score")
+    ids = held.where(F.col("score") >= floor)
+    same = ids.select("rep", "score", F.col("id").alias("x")).join(ids.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y", "score")
+    return wide.unionByName(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
+
+
+def near_links(rows: DataFrame, floor: float, id_col: str, vector: str) -> DataFrame:
+    """Links (a, b) that connect the same ids as :func:`near_pairs`, without its pairs among equal vectors."""
+    found, held = _near_directions(rows, floor, id_col, vector)
+    near = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    one, two = (held.where("id = first").select(F.col("rep").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
+    across = found.join(one, "a").join(two, "b").select("id_a", "id_b")
+    # ids of one vector are linked by each other if it is near itself, else by any vector that is near it
+    within = held.where(F.col("score") >= floor).select("first", "id").unionByName(held.join(near, "rep", "left_semi").select("first", "id"))
+    return across.union(within).toDF("a", "b").where("a <> b").distinct()
+
+
 def centroids(rows: DataFrame, id_col: str, vector: str, lists: int, sample: int = 20_000, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """Centres of the inverted lists, by spherical k-means on a sample of at most ``sample`` rows drawn by hash."""
     drawn = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(sample)

@@ -44,9 +44,7 @@ def _expand(s, d):
 
 
 def _near(s, d):
-    e = read_table(s, d, "embeddings")
-    pairs = v.vector_topk(e, e, 3, "vec_id", "embedding")
-    return pairs.where("score >= 0.5").select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "score").distinct()
+    return v.near_pairs(read_table(s, d, "embeddings"), 0.5, "vec_id", "embedding")
 
 
 def _cited(s, d):
@@ -83,7 +81,7 @@ QUERIES = {
     "connected_components": lambda s, d: g.components(_cited(s, d), "a", "b"),
     "correction_threads": lambda s, d: g.components(read_table(s, d, "chat_messages").select("message_id", "corrects_message_id"), "message_id", "corrects_message_id"),
     "pairwise_similarity": _near,
-    "similar_components": lambda s, d: g.components(_near(s, d), "a", "b"),
+    "similar_components": lambda s, d: g.components(v.near_links(read_table(s, d, "embeddings"), 0.5, "vec_id", "embedding"), "a", "b"),
     "component_labels": _labels,
     "canonical_names": lambda s, d: _names(s, d).select("candidate_id", tx.canonicalized(F.col("name"), F.lit("file")).alias("canonical")),
     "canonical_keys": lambda s, d: _parts(s, d).select("p_partkey", tx.canonical_key("p_name").alias("key"), tx.collapse_key("p_name").alias("collapsed")),

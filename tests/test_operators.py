@@ -208,6 +208,36 @@ def test_vectors_exact(spark):
     assert vectors.vector_topk(df.where("false"), df, 3, "i", "v").count() == 0
 
 
+def test_near_pairs_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    x[:20] = x[0] + 0.05 * rng.normal(size=(20, 8))  # near each other: far more than 3 partners
+    x[20:30] = x[20]  # equal
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[30:33] = 0.1 * x[30]  # equal and not near themselves
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "i long, v array<double>")
+    s = np.round(x @ x.T, 9)
+    want = {(i, j): s[i, j] for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.5}
+    got = vectors.near_pairs(df, 0.5, "i", "v").collect()
+    assert len(got) == len(want) and {(a.a, a.b) for a in got} == want.keys() and len(want) > 200
+    assert all(abs(a.score - want[a.a, a.b]) < 1e-8 for a in got)
+    pairs = spark.createDataFrame(list(want), "a long, b long")
+    assert rows(graph.components(vectors.near_links(df, 0.5, "i", "v"), "a", "b")) == rows(graph.components(pairs, "a", "b"))
+    assert vectors.near_pairs(df.where("false"), 0.5, "i", "v").count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [0.0, 1.0])], "i long, v array<double>")
+    assert rows(vectors.near_pairs(twice, 0.5, "i", "v")) == [(1, 2, 1.0), (1, 3, 1.0)]
+
+
+def test_similar_pairs_have_no_limit_of_partners(spark, tmp_path):
+    from tessera.plans import graph as plan
+
+    df = spark.createDataFrame([(i, [1.0, i / 1000], 0) for i in range(12)], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert plan.QUERIES["pairwise_similarity"](spark, str(tmp_path)).count() == 12 * 11 // 2
+    assert rows(plan.QUERIES["similar_components"](spark, str(tmp_path))) == [(i, 0) for i in range(12)]
+
+
 def test_rerank_tail_stays_below(spark):
     df = spark.createDataFrame([(1, i, 100.0 - i, float(i)) for i in range(30)], "q int, id int, s double, second double")
     got = r.rerank(df, ["q"], "id", "s", F.col("second")).orderBy("final").collect()
