@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Names of one technology that no rule of spelling can bring together.
 ALIASES = (("postgres", "postgresql"), ("py", "python"), ("sqlalchemy", "sa"))
 
+# Fixed value: the cosine from which two names are proposed as one.
+NAME_FLOOR = 0.86
+
 
 def exact_candidates(entities: DataFrame, kind: str, key: Column, id_col: str) -> DataFrame:
     """Entities of one type and canonical key, each with the anchor, the smallest id: kind, key, anchor, id."""
@@ -46,6 +49,6 @@ def revert(mentions: DataFrame, ledger: DataFrame, entity: str, place: list[str]
     return mentions.join(back, [*place, entity], "left").withColumn(entity, F.coalesce("was", entity)).drop("was")
 
 
-def similar_names(pairs: DataFrame, floor: float = 0.86) -> DataFrame:
+def similar_names(pairs: DataFrame, floor: float = NAME_FLOOR) -> DataFrame:
     """Pairs at or above the floor are proposed for review, never merged by themselves."""
     return pairs.where(F.col("score") >= floor).withColumn("status", F.lit("proposed"))

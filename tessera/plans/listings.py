@@ -83,8 +83,7 @@ def _pipeline(s, d):
 def _similar_names(s, d):
     names = read_table(s, d, "memories").select("title").where("title IS NOT NULL").distinct()
     vecs = ports.embed(names, "title", lambda: ports.HashEmbedder(32)).select(F.xxhash64("hash").alias("id"), "vector")
-    near = v.vector_topk(vecs, vecs, 5, "id", "vector").select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "score").distinct()
-    return en.similar_names(near)
+    return en.similar_names(v.near_pairs(vecs, en.NAME_FLOOR, "id", "vector"))
 
 
 def _shared(s, d):

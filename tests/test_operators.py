@@ -238,6 +238,17 @@ def test_similar_pairs_have_no_limit_of_partners(spark, tmp_path):
     assert rows(plan.QUERIES["similar_components"](spark, str(tmp_path))) == [(i, 0) for i in range(12)]
 
 
+def test_similar_names_have_no_limit_of_partners(spark, tmp_path):
+    from itertools import permutations
+
+    from tessera.plans import listings as plan
+
+    names = [" ".join(w) for w in permutations(["alpha", "beta", "gamma", "delta"])][:12]  # one vector: any order of the same words
+    spark.createDataFrame([(t,) for t in names], "title string").write.parquet(f"{tmp_path}/memories.parquet")
+    got = plan.QUERIES["similar_names"](spark, str(tmp_path))
+    assert got.count() == 12 * 11 // 2 and got.where("score < 0.86 OR status <> 'proposed'").count() == 0
+
+
 def test_rerank_tail_stays_below(spark):
     df = spark.createDataFrame([(1, i, 100.0 - i, float(i)) for i in range(30)], "q int, id int, s double, second double")
     got = r.rerank(df, ["q"], "id", "s", F.col("second")).orderBy("final").collect()
