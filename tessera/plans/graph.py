@@ -52,6 +52,12 @@ def _cited(s, d):
     return read_table(s, d, "decision_evidence").select(F.concat(F.lit("d"), "decision_id").alias("a"), F.concat_ws("/", "source_name", "external_key").alias("b"))
 
 
+def _merged(s, d):
+    """E8 over all mentions: those of parts and brands stay as they are."""
+    merges = s.createDataFrame([("s1", "s2"), ("s3", "s2")], "loser string, winner string")
+    return en.merge(_raw(s, d), merges, "entity", ["l_orderkey", "l_linenumber"])
+
+
 def _labels(s, d):
     p = read_table(s, d, "part").select(F.col("p_partkey").cast("string").alias("a"), F.col("p_brand").alias("b"), "p_name")
     c = g.components(p, "a", "b")
@@ -89,7 +95,9 @@ QUERIES = {
     "alias_candidates": lambda s, d: en.alias_candidates(read_table(s, d, "nation").select(F.lit("n").alias("k"), "n_name", "n_nationkey"), "k", F.lower("n_name"), "n_nationkey", (("nation_1", "nation_2"), ("france", "germany"))),
     "winner_choice": lambda s, d: en.winner(_parts(s, d).join(read_table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("m"), F.min("l_shipdate").alias("seen")), "p_partkey", "left"), ["p_brand", "p_name"], "m", "seen", "p_partkey"),
     "merge_collisions": lambda s, d: en.merge(_raw(s, d).where("entity LIKE 's%'"), s.createDataFrame([("s1", "s2"), ("s3", "s2")], "loser string, winner string"), "entity", ["l_orderkey", "l_linenumber"])[0].groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
-    "merge_ledger": lambda s, d: en.merge(_raw(s, d).where("entity LIKE 's%'"), s.createDataFrame([("s1", "s2"), ("s3", "s2")], "loser string, winner string"), "entity", ["l_orderkey", "l_linenumber"])[1].groupBy("was", "now").agg(F.count(F.lit(1)).alias("n")),
+    "merge_ledger": lambda s, d: _merged(s, d)[1].groupBy("was", "now").agg(F.count(F.lit(1)).alias("n")),
+    "graph_sync_scope_all": lambda s, d: g.sync_scope(_seeds(s, d), mentions(s, d)),
+    "merge_all": lambda s, d: _merged(s, d)[0].groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
     "near_duplicate_names": lambda s, d: _parts(s, d).groupBy("kind", tx.collapse_key("p_name").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
     "entity_lookup": lambda s, d: read_table(s, d, "nation").where(F.lower("n_name") == "nation_7").select("n_nationkey"),
 }
@@ -131,6 +139,8 @@ SELECT item, round(sum(idf / hops), 9) AS score FROM men JOIN r USING (entity) J
 SELECT p_brand, p_name, p_partkey AS winner FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY n DESC, seen NULLS LAST, p_partkey) AS k FROM m) WHERE k = 1""",
     "merge_collisions": f"WITH {_RAW}, m AS (SELECT DISTINCT l_orderkey, l_linenumber, {_MAP} AS entity FROM raw WHERE entity LIKE 's%') SELECT entity, count(*) AS n FROM m GROUP BY 1",
     "merge_ledger": f"WITH {_RAW} SELECT entity AS was, 's2' AS now, count(*) AS n FROM raw WHERE entity IN ('s1', 's3') GROUP BY ALL",
+    "graph_sync_scope_all": f"WITH {_MEN} SELECT item, 'incremental' AS mode FROM (SELECT item FROM men WHERE entity IN (SELECT entity FROM men WHERE item IN (1, 2, 3)) UNION SELECT unnest([1, 2, 3]))",
+    "merge_all": f"WITH {_RAW}, m AS (SELECT DISTINCT l_orderkey, l_linenumber, {_MAP} AS entity FROM raw) SELECT entity, count(*) AS n FROM m GROUP BY 1",
     "near_duplicate_names": f"SELECT kind, key, count(*) AS n FROM {_COLL} GROUP BY ALL HAVING count(*) > 1",
     "connected_components": f"""WITH RECURSIVE e AS (SELECT DISTINCT 'd' || decision_id AS a, concat_ws('/', source_name, external_key) AS b FROM decision_evidence), {_CC}""",
     "correction_threads": f"WITH RECURSIVE e AS (SELECT DISTINCT message_id AS a, corrects_message_id AS b FROM chat_messages WHERE corrects_message_id IS NOT NULL), {_CC}",

@@ -32,15 +32,15 @@ SHOWN = {
     "W7": "message_ordinals", "W8": "latest_verdict latest_hits_per_query", "W9": "rerank_tail", "W10": "facet_stability", "W11": "history_pairs",
     "L1": "vector_topk", "L2": "keyword_topk", "L3": "nulls_last_order nulls_first_order", "L4": "random_sample", "L5": "ordering_top_k", "L6": "rerank_tail", "L7": "next_claim",
     "L8": "mmr_select prompt_packing", "L9": "history_compaction",
-    "U1": "union_distinct connections", "U2": "intersect_keys shared_entities", "U3": "except_keys key_difference", "U4": "replay_diff graph_divergence", "U5": "best_unordered_pair", "U6": "rrf_fusion union_all",
+    "U1": "union_distinct connections", "U2": "intersect_keys shared_entities_all shared_entities", "U3": "except_keys key_difference", "U4": "replay_diff graph_divergence", "U5": "best_unordered_pair", "U6": "rrf_fusion union_all",
     "R1": "ann_topk", "R2": "vector_topk", "R3": "not_unit_vectors", "R4": "keyword_topk keyword_grammar postings", "R5": "hybrid_documents", "R6": "rrf_fusion weighted_rrf", "R7": "five_signal_fusion",
     "R8": "chunk_grouping", "R9": "rerank_tail", "R10": "recency_scores", "R11": "importance_scores", "R12": "temporal_intents", "R13": "intent_application", "R14": "five_signal_fusion",
     "R15": "citation_excerpts", "R16": "citation_integrity", "R17": "mmr_select", "R18": "mmr_select", "R19": "context_assembly", "R20": "prompt_packing", "R21": "ann_recall", "R22": "ir_metrics",
     "R23": "golden_evaluation", "R24": "weight_grid",
     "G1": "graph_mentions graph_relations", "G2": "graph_hash", "G3": "graph_divergence", "G4": "graph_upsert", "G5": "graph_prune", "G6": "graph_neighbours", "G7": "mention_edges", "G8": "graph_reach",
-    "G9": "hub_suppressed_expansion entity_df_hubs", "G10": "graph_sync_scope", "G11": "graph_label_counts", "G12": "connected_components similar_components",
+    "G9": "hub_suppressed_expansion entity_df_hubs", "G10": "graph_sync_scope_all graph_sync_scope", "G11": "graph_label_counts", "G12": "connected_components similar_components",
     "E1": "canonical_keys", "E2": "canonical_names", "E3": "canonical_keys near_duplicate_names", "E4": "exact_candidates", "E5": "alias_candidates", "E6": "similar_names", "E7": "winner_choice",
-    "E8": "merge_collisions merge_ledger", "E9": "normalize_text", "E10": "chunks", "E11": "sentences", "E12": "token_count", "E13": "embedding_cache", "E14": "version_changes", "E15": "line_diff", "E16": "tags",
+    "E8": "merge_all merge_collisions merge_ledger", "E9": "normalize_text", "E10": "chunks", "E11": "sentences", "E12": "token_count", "E13": "embedding_cache", "E14": "version_changes", "E15": "line_diff", "E16": "tags",
     "E17": "message_intent", "E18": "refers_back", "E19": "session_titles", "E20": "citation_grounding", "E21": "summary_grounding technical_terms", "E22": "citation_grounding", "E23": "query_kinds",
     "E24": "entity_extraction", "E25": "entity_extraction",
     "T1": "activity_by_day activity_by_week activity_by_month", "T2": "activity_in_range", "T3": "activity_by_day activity_in_range", "T4": "memories_as_of", "T5": "memories_in_range", "T6": "out_of_order",
@@ -51,7 +51,7 @@ SHOWN = {
     "ST1": "stream_ingest", "ST2": "pending_dedupe", "ST3": "rate_limit rate_limit_window", "ST4": "debounce stream_debounce", "ST5": "sessionize session_windows", "ST6": "delivery_lag event_latency", "ST7": "fan_out",
     "ST8": "precompute_policy", "ST9": "surfacing_gate", "ST10": "surfacing_thresholds feedback_bar", "ST12": "pipeline_stages", "ST13": "tombstones restored_items purge_rules",
     "ST14": "tumbling_windows sliding_windows stream_tumbling stream_sliding stream_join",
-    "Q1": "source_list", "Q2": "memory_detail", "Q3": "decision_list", "Q4": "decision_detail", "Q5": "assumption_list", "Q6": "group_candidate_pairs", "Q7": "review_queue", "Q8": "pattern_list evidence_by_side",
+    "Q1": "source_list", "Q2": "memory_detail_all memory_detail", "Q3": "decision_list", "Q4": "decision_detail", "Q5": "assumption_list", "Q6": "group_candidate_pairs", "Q7": "review_queue", "Q8": "pattern_list evidence_by_side",
     "Q9": "summary_grounding", "Q10": "event_tail", "Q11": "surfacing_log", "Q12": "session_list superseded_messages", "Q13": "processing_status", "Q14": "backfill_targets", "Q15": "live_model",
     "Q16": "assumption_proposals", "Q17": "entity_lookup",
 }

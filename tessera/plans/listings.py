@@ -86,12 +86,16 @@ def _similar_names(s, d):
     return en.similar_names(v.near_pairs(vecs, en.NAME_FLOOR, "id", "vector"))
 
 
-def _shared(s, d):
-    """Parts that an order shares with the next one: an equi-join on item and entity, no sets are built."""
-    m = g.mentions(s, d).where("entity LIKE 'p%'").select("item", "entity")
+def _with_next(m):
+    """Entities that an order shares with the next one: an equi-join on item and entity, no sets are built."""
+    m = m.select("item", "entity")
     return m.join(m.select((F.col("item") - 1).alias("item"), "entity"), ["item", "entity"]).groupBy("item").agg(n_().alias("shared"))
 
 
+def _shared(s, d):
+    return _with_next(g.mentions(s, d).where("entity LIKE 'p%'"))
+
+
 QUERIES = {
     "gap_analysis": _gaps,
     "unstated_assumptions": _unstated,
@@ -103,6 +107,7 @@ QUERIES = {
     "entity_stats": lambda s, d: rel.top_per(g.mentions(s, d).groupBy(F.substring("entity", 1, 1).alias("type"), "entity").agg(F.sum("mentions").alias("n")), ["type"], [F.desc("n"), F.asc("entity")], 5),
     "mention_edges": lambda s, d: g.mentions(s, d).where("item IN (1, 2, 3, 5)").select("item", "entity").distinct(),
     "shared_entities": _shared,
+    "shared_entities_all": lambda s, d: _with_next(g.mentions(s, d)),
     "similar_names": _similar_names,
     "assumption_list": lambda s, d: _assumptions(s, d).where("held IS NULL").join(ev.decisions(s, d).select(F.col("decision_id").alias("l_orderkey"), "decided_at"), "l_orderkey").groupBy("l_suppkey").agg(n_().alias("open"), F.min("decided_at").alias("oldest")),
     "group_candidate_pairs": _pairs,
@@ -138,6 +143,7 @@ SELECT key AS message_id, CASE WHEN hops <= 8 THEN final END AS item, CAST(least
     "entity_stats": f"WITH {g._MEN}, t AS (SELECT left(entity, 1) AS type, entity, CAST(sum(mentions) AS BIGINT) AS n FROM men GROUP BY ALL) SELECT type, entity, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, entity) AS r FROM t) WHERE r <= 5",
     "mention_edges": f"WITH {g._MEN} SELECT DISTINCT item, entity FROM men WHERE item IN (1, 2, 3, 5)",
     "shared_entities": f"WITH {g._MEN} SELECT a.item, count(*) AS shared FROM men a JOIN men b ON b.item = a.item + 1 AND b.entity = a.entity WHERE a.entity LIKE 'p%' GROUP BY 1",
+    "shared_entities_all": f"WITH {g._MEN} SELECT a.item, count(*) AS shared FROM men a JOIN men b ON b.item = a.item + 1 AND b.entity = a.entity GROUP BY 1",
     "assumption_list": "SELECT l_suppkey, count(*) AS open, min(o_orderdate) AS oldest FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag NOT IN ('A', 'R') GROUP BY 1",
     "group_candidate_pairs": "SELECT DISTINCT x.l_orderkey, x.l_suppkey AS a, y.l_suppkey AS b, round(abs(x.l_extendedprice - y.l_extendedprice), 2) AS difference FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey",
     "pattern_list": f"SELECT p.*, first_seen, last_seen FROM ({ev.SQL['pattern_confidence']}) p JOIN (SELECT l_suppkey AS grp, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY 1) USING (grp)",

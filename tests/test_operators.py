@@ -346,6 +346,26 @@ def test_merge_and_revert(spark):
 # ---- text ----
 
 
+def test_whole_mentions_and_memories(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    q, at = entry.queries(), str(tmp_path)
+    lines = [(1, 1, 1, 1), (1, 1, 3, 1), (2, 2, 2, 1), (3, 3, 3, 1), (4, 4, 1, 1), (5, 5, 9, 1), (7, 7, 9, 1)]  # order, part, supplier, line
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{at}/lineitem.parquet")
+    parts = [(i, "B" if i in (1, 2, 5) else f"B{i}") for i in range(1, 8)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{at}/part.parquet")
+    # 4 shares a supplier with a changed order, 5 only a brand, 7 nothing
+    assert rows(q["graph_sync_scope_all"](spark, at), "item") == [(1,), (2,), (3,), (4,), (5,)]
+    assert rows(q["shared_entities_all"](spark, at)) == [(1, 1)]
+    got = {r.entity: r.n for r in q["merge_all"](spark, at).collect()}
+    assert got["s2"] == 4 and got["p1"] == 1 and got["B"] == 3 and "s1" not in got and got["s9"] == 2
+    assert rows(q["merge_ledger"](spark, at)) == [("s1", "s2", 2), ("s3", "s2", 2)]
+    m = [(f"m{v}{k}", 1, k, v, v == 2, "h", "note", D, "x", D, None) for k in ("a-1", "b-100") for v in (1, 2)]
+    kinds = "memory_id string, source_id int, external_key string, version int, is_current boolean, content_hash string, kind string, occurred_at timestamp, occurred_at_source string, ingested_at timestamp, deleted_at timestamp"
+    spark.createDataFrame(m, kinds).write.parquet(f"{at}/memories.parquet")
+    assert rows(q["memory_detail_all"](spark, at), "external_key", "version", "place") == [("a-1", 1, 2), ("a-1", 2, 1), ("b-100", 1, 2), ("b-100", 2, 1)]
+
+
 def test_sentences():
     text = 'See e.g. this one. It works! "Really?" Yes. J. Smith left.'
     assert [text[a:b] for a, b in tx.sentences(text)] == ["See e.g. this one.", "It works!", '"Really?"', "Yes.", "J. Smith left."]
