@@ -265,6 +265,27 @@ def test_mmr_and_budget():
     assert sel.select_within([0, 1], [1, 1], ["a", "a"], 9, 2) == ["chosen", "CATEGORY_FULL"]
 
 
+def test_every_candidate_is_ordered_and_has_a_fate(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    x, rel_ = rng.normal(size=(n, 6)), rng.random(n)
+    x[:150] = x[0] + 0.1 * rng.normal(size=(150, 6))
+    rel_[:150] += 1  # the most relevant 150 are alike
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    scaled, near, want = (rel_ - rel_.min()) / (rel_.max() - rel_.min()), None, []
+    for _ in range(n):
+        s = 0.5 * scaled - 0.5 * (0 if near is None else near)
+        s[want] = -np.inf
+        want.append(int(s.argmax()))
+        near = unit @ unit[want[-1]] if near is None else np.maximum(near, unit @ unit[want[-1]])
+    assert sel.mmr_order(rel_, list(x), window=16) == want == sel.mmr_order(rel_, list(x))
+    tokens, kinds = [int(i) for i in rng.integers(0, 900, n)], ["abc"[i % 3] for i in range(n)]
+    df = spark.createDataFrame([("q", i, float(rel_[i]), x[i].tolist(), tokens[i], kinds[i]) for i in range(n)], "q string, k int, r double, v array<double>, t int, c string")
+    fate = sel.select_within(want, tokens, kinds, 6000, 20)
+    got = sel.diverse_selection(df, "q", "k", "r", "v", "t", "c")
+    assert rows(got, "k", "fate") == list(enumerate(fate)) and [r.k for r in got.orderBy("place").collect()] == want
+
+
 def test_compaction(spark):
     df = spark.createDataFrame([("r", i, tk) for i, tk in enumerate([5, 30, 6, 50, 50])], "run string, n int, t int")
     assert [x.state for x in sel.compact_history(df, "run", "n", "t", 12).orderBy("n").collect()] == ["kept", "dropped", "kept", "verbatim", "verbatim"]
