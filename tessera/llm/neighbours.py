@@ -44,6 +44,8 @@ class Hashing:
 
     #: Axes of the first level; 0: by the number of vectors, see :meth:`sized`.
     axes: int = 0
+    #: Probes added where axes have just become more than the vectors fill, see :meth:`sized`.
+    more: int = 0
 
     @property
     def width(self) -> int:
@@ -51,13 +53,18 @@ class Hashing:
 
     def sized(self, n: int) -> Hashing:
         """A cross-polytope of fewer axes for few vectors: a power of two, about one axis for every 256
-        vectors up to the full width. Its axes are the first ones of the turned vector."""
+        vectors up to the full width. Its axes are the first ones of the turned vector.
+
+        A bucket of more axes holds less of a neighbourhood, so recall falls at each step: ``more`` probes are added
+        at half the width, three times as many at the full width, and one time fewer at each doubling from there."""
         if self.axes:
             return self
-        return replace(self, axes=min(self.width, 1 << max(2, (n // 256).bit_length() - 1)))
+        axes = min(self.width, 1 << max(2, (n // 256).bit_length() - 1))
+        steps = max(0, 4 - (n // (256 * self.width)).bit_length()) if axes == self.width else int(2 * axes == self.width)
+        return replace(self, axes=axes, probes=self.probes + steps * self.more)
 
 
-KNN = Hashing()
+KNN = Hashing(more=4)
 #: Near-identical directions share their nearest axis far more often, so fewer tables do.
 NEAR = Hashing(tables=8, probes=10, child_probes=8)
 

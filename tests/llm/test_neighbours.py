@@ -53,6 +53,23 @@ def test_recall_and_exact_cosines(spark):
     assert one.queries == 60 and one.recall >= 0.9
 
 
+@pytest.mark.parametrize("n", [8_192, 16_384, 32_768])
+def test_recall_just_after_a_step_of_the_axes(n):
+    """As many axes as vectors just allow: what a query's buckets hold of its true neighbours."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(n, 48)) * np.linspace(1.6, 0.4, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    h, none = nb.KNN.sized(n), nb._Tree([], np.array([], dtype=np.int64))
+    row, _, code, role = nb._entries(x, h, none)
+    files, asks, found = role & 1 > 0, (role & 2 > 0) & (row < 200), 0
+    for i in range(200):
+        s = x @ x[i]
+        s[i] = -2
+        there = row[files][np.isin(code[files], code[asks][row[asks] == i])]
+        found += np.isin(np.argpartition(-s, 10)[:10], there).sum()
+    assert found / 2000 >= 0.9
+
+
 def test_divided_and_overfull_buckets_lose_nothing(spark):
     """A bucket of two thirds of all rows is divided three deep, and what stays too large is searched in parts."""
     rng = np.random.default_rng(4)
