@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -15,23 +16,28 @@ from tessera.operators.retrieval import rrf
 PROMPT_TOKENS = 6000
 
 
-def pack_prompt(hits: DataFrame, by: str, key: str, score: str, tokens: str, budget: int = PROMPT_TOKENS, pool: int = 50) -> DataFrame:
+def pack_prompt(hits: DataFrame, by: str, key: str, score: str, tokens: str, budget: int = PROMPT_TOKENS) -> DataFrame:
     """The best hits numbered [1..n] while they fit; what is too long is skipped, the rest goes on.
 
-    At most ``pool`` hits of a request are looked at, which bounds what is folded.
+    All hits of a request stream through sorted batches in order of score; only the room that is left is held.
     """
-    top = top_per(hits.select(by, key, F.coalesce(score, F.lit(0.0)).alias("_s"), F.coalesce(tokens, F.lit(0)).alias("_t")), [by], [F.desc("_s"), F.asc(key)], pool)
     kinds = dict(hits.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, number, out = budget, 0, []
-        for k, t in pdf.sort_values("rank")[[key, "_t"]].itertuples(index=False, name=None):
-            if t <= left:
-                left, number = left - t, number + 1
-                out.append((pdf[by].iloc[0], k, number))
-        return pd.DataFrame(out, columns=[by, key, "number"])
-
-    return top.groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, {key} {kinds[key]}, number int")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        request, left, number = object(), 0, 0
+        for f in frames:
+            keep, numbers = [], []
+            for i, (r, t) in enumerate(zip(f[by].astype(object).where(f[by].notna(), None).tolist(), f["_t"].tolist())):
+                if r != request:
+                    request, left, number = r, budget, 0
+                if t <= left:
+                    left, number = left - t, number + 1
+                    keep.append(i), numbers.append(number)
+            yield f.iloc[keep][[by, key]].assign(number=numbers)
+
+    every = hits.select(by, key, F.coalesce(score, F.lit(0.0)).alias("_s"), F.coalesce(tokens, F.lit(0)).alias("_t"))
+    ordered = every.repartition(by).sortWithinPartitions(by, F.desc("_s"), F.asc(key))
+    return ordered.mapInPandas(fold, f"{by} {kinds[by]}, {key} {kinds[key]}, number int")
 
 
 def apply_intent(query: str, filters: SearchFilters, now: datetime, recency_weight: float = 0.15) -> tuple[SearchFilters, float, str | None]:

@@ -286,6 +286,12 @@ def test_every_candidate_is_ordered_and_has_a_fate(spark):
     assert rows(got, "k", "fate") == list(enumerate(fate)) and [r.k for r in got.orderBy("place").collect()] == want
 
 
+def test_prompt_packing_goes_on_to_the_last_hit(spark):
+    hits = [("q", i, 1.0 - i / 100, 90) for i in range(70)] + [("q", 70, 0.1, 10), ("r", 1, 0.5, 100), (None, 2, 0.5, 60), (None, 3, 0.4, 60)]
+    got = context.pack_prompt(spark.createDataFrame(hits, "q string, k long, s double, t int"), "q", "k", "s", "t", 100)
+    assert sorted(map(tuple, got.collect()), key=str) == [("q", 0, 1), ("q", 70, 2), ("r", 1, 1), (None, 2, 1)]
+
+
 def test_compaction(spark):
     df = spark.createDataFrame([("r", i, tk) for i, tk in enumerate([5, 30, 6, 50, 50])], "run string, n int, t int")
     assert [x.state for x in sel.compact_history(df, "run", "n", "t", 12).orderBy("n").collect()] == ["kept", "dropped", "kept", "verbatim", "verbatim"]
