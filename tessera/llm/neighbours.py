@@ -424,7 +424,8 @@ def _exact(c: Collection, k: int, block: int = 16_384) -> DataFrame:
 
 
 def recall(units: DataFrame, k: int = 10, hashing: Hashing = KNN) -> DataFrame:
-    """Loss against brute force, measured for the ids divisible by 50: one row.
+    """Loss against brute force: one row. Measured over distinct directions, not ids: asked are those whose smallest
+    id is divisible by 50, and their neighbours are directions too, so copies of a direction are not measured.
 
     queries, k, recall (share of the true neighbours found; a neighbour as near as
     the last true one counts), cosine_loss (mean of true minus found cosine by
