@@ -1,9 +1,9 @@
 """Rebuilding conversations from message rows.
 
-Rows are sessionized by channel, put in order, given a role, and sessions that
-are empty, broken or without reciprocal replies are dropped. Where the channel
-is a session id (as in ``chat_messages``) the order is the ordinal and times play
-no part. Where a channel holds many sessions, :func:`split_at_gaps` cuts it at an
+Rows are sessionized by channel and put in order, their roles are read from the
+column (none is inferred), and sessions that are empty, broken or without
+reciprocal replies are dropped. Where the channel is a session id (as in
+``chat_messages``) the order is the ordinal and times play no part. Where a channel holds many sessions, :func:`split_at_gaps` cuts it at an
 inactivity gap that :func:`calibrated_gap` reads off the data.
 
 No step holds a whole session in one task: order is checked inside ranges of
