@@ -2,26 +2,30 @@
 
 Unit vectors are padded to a power of two and turned by fast Hadamard
 pseudo-rotations (three rounds of random signs and the transform). In each table
-a vector is filed under the signed axis nearest to its turned form. A query looks
-into the buckets of its own largest turned coordinates over all tables
-(multiprobe), and what it finds there is compared exactly.
-
-A bucket with more than ``cap`` vectors is divided by a further rotation, up to
-three deep; what is still too large is divided by id and every part is searched
-by itself, so no bucket, however hot, is one task. Identical directions are one
-vector with several ids while searching. No candidate is dropped.
+a vector is filed under the signed axis nearest to its turned form; with several
+``levels`` under one axis of each of as many rotations. A query looks into the
+cells that come next to its own over all tables (multiprobe), and what it finds
+there is compared exactly.
+
+Hashing is the same at every size: tables, levels and probes are parameters and
+never follow the data, so the cells a query looks into do not change when the
+collection grows, and its true neighbours only move nearer. What follows the data is
+the layout alone: cells are gathered into parts of bounded size, a cell above that
+size is cut by id on the side that is filed and by id on the side that asks, and
+every piece meets every other, so no candidate is dropped and no task is unbounded.
+:func:`exact_nearest` is the way without hashing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions import bloom
 from tessera.session import cut
@@ -29,44 +33,40 @@ from tessera.session import cut
 
 @dataclass(frozen=True)
 class Hashing:
-    """Parameters. More ``tables`` and ``probes`` find more and compare more."""
+    """Parameters. More ``tables`` and ``probes`` find more and compare more; a level more makes cells as many
+    times smaller as there are signed axes."""
 
     dim: int = 48
-    tables: int = 12
-    probes: int = 16
+    tables: int = 8
+    levels: int = 1
+    #: Cells a query looks into, over all tables.
+    probes: int = 48
     seed: int = 7
-    #: Vectors of a bucket above which it is divided, the axes a query then looks at, and how deep this goes.
-    cap: int = 32_768
-    child_probes: int = 24
-    depth: int = 3
-    #: Divided buckets known to every task: the cap rises where there would be more.
-    max_hot: int = 200_000
-
-    #: Axes of the first level; 0: by the number of vectors, see :meth:`sized`.
-    axes: int = 0
-    #: Probes added where axes have just become more than the vectors fill, see :meth:`sized`.
-    more: int = 0
+    #: Layout only, nothing is lost by it: vectors filed in a task at most, and vectors asking in it at most.
+    part_rows: int = 262_144
+    ask_rows: int = 1_048_576
 
     @property
     def width(self) -> int:
         return 1 << (self.dim - 1).bit_length()
 
-    def sized(self, n: int) -> Hashing:
-        """A cross-polytope of fewer axes for few vectors: a power of two, about one axis for every 256
-        vectors up to the full width. Its axes are the first ones of the turned vector.
+    @property
+    def span(self) -> int:
+        """Signed axes of one rotation."""
+        return 2 * self.width
 
-        A bucket of more axes holds less of a neighbourhood, so recall falls at each step: ``more`` probes are added
-        at half the width, three times as many at the full width, and one time fewer at each doubling from there."""
-        if self.axes:
-            return self
-        axes = min(self.width, 1 << max(2, (n // 256).bit_length() - 1))
-        steps = max(0, 4 - (n // (256 * self.width)).bit_length()) if axes == self.width else int(2 * axes == self.width)
-        return replace(self, axes=axes, probes=self.probes + steps * self.more)
+    @property
+    def below(self) -> int:
+        """Cells under one axis of the first level."""
+        return self.span ** (self.levels - 1)
 
 
-KNN = Hashing(more=4)
-#: Near-identical directions share their nearest axis far more often, so fewer tables do.
-NEAR = Hashing(tables=8, probes=10, child_probes=8)
+#: For the nearest of any likeness: one level, wide probing.
+KNN = Hashing()
+#: Near-identical directions share their nearest axes, so two levels and few probes do.
+NEAR = Hashing(tables=6, levels=2, probes=48)
+#: Turned coordinates above this (in units of their spread) cost a probe nothing.
+FREE = 3.84
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -88,73 +88,63 @@ def rotate(v: np.ndarray, h: Hashing, table: int, level: int) -> np.ndarray:
     return x
 
 
-def _axes(y: np.ndarray) -> np.ndarray:
-    """The signed axis of each coordinate: its number, plus the width if negative."""
-    return np.arange(y.shape[1]) + y.shape[1] * (y < 0)
-
+def cells(v: np.ndarray, h: Hashing) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``filed`` (row, table) -> cell, and ``row``, ``table``, ``cell`` of every probe.
 
-@dataclass
-class _Tree:
-    """Divided nodes by depth (ascending codes) and, of those of the last depth, into how many parts."""
-
-    hot: list[np.ndarray]
-    parts: np.ndarray
-
-
-def _entries(v: np.ndarray, h: Hashing, tree: _Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, depth, code, role) of every place a vector is filed (role 1), looked for (2) or both (3)."""
-    n, span = len(v), 2 * h.width
-    y = np.concatenate([rotate(v, h, t, 0)[:, : h.axes] for t in range(h.tables)], axis=1)
-    block = np.abs(y).reshape(n, h.tables, h.axes)
-    main = block.argmax(axis=2)
-    signs = (y < 0).reshape(n, h.tables, h.axes)
-    t = np.arange(h.tables)
-    filed = t * span + main + h.width * np.take_along_axis(signs, main[:, :, None], 2)[:, :, 0]
-    top = np.argpartition(-block.reshape(n, -1), min(h.probes, h.tables * h.axes) - 1, axis=1)[:, : h.probes]
-    asked = (top // h.axes) * span + top % h.axes + h.width * np.take_along_axis(y < 0, top, 1)
-    row = np.concatenate([np.repeat(np.arange(n), h.tables), np.repeat(np.arange(n), top.shape[1])])
-    code = np.concatenate([filed.ravel(), asked.ravel()])
-    role = np.concatenate([np.full(filed.size, 1), np.full(asked.size, 2)])
-    out = []
-    for depth in range(h.depth):
-        row, code, role = _merged(row, code, role)
-        hot = tree.hot[depth] if depth < len(tree.hot) else np.array([], dtype=np.int64)
-        divided = np.isin(code, hot) if len(hot) and depth + 1 < h.depth else np.zeros(len(code), dtype=bool)
-        out.append((row[~divided], np.full((~divided).sum(), depth), code[~divided], role[~divided]))
-        if not divided.any():
-            break
-        row, code, role = row[divided], code[divided], role[divided]
-        table = code // span ** (depth + 1) if depth else code // span
-        rows, codes, roles = [], [], []
-        for tab in np.unique(table):
-            use = np.flatnonzero(table == tab)
-            z = rotate(v[row[use]], h, int(tab), depth + 1)
-            axis = _axes(z)
-            files = np.flatnonzero(role[use] & 1)
-            best = np.abs(z[files]).argmax(axis=1)
-            rows.append(row[use][files]), codes.append(code[use][files] * span + axis[files, best]), roles.append(np.full(len(files), 1))
-            asks = np.flatnonzero(role[use] & 2)
-            some = np.argpartition(-np.abs(z[asks]), min(h.child_probes, h.width) - 1, axis=1)[:, : h.child_probes]
-            rows.append(np.repeat(row[use][asks], some.shape[1]))
-            codes.append((code[use][asks][:, None] * span + np.take_along_axis(axis[asks], some, 1)).ravel())
-            roles.append(np.full(some.size, 2))
-        row, code, role = np.concatenate(rows), np.concatenate(codes), np.concatenate(roles)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _merged(row: np.ndarray, code: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((code, row))
-    row, code, role = row[order], code[order], role[order]
-    first = np.ones(len(row), dtype=bool)
-    first[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
-    return row[first], code[first], np.bitwise_or.reduceat(role, np.flatnonzero(first)) if len(row) else role
-
-
-def _vectors(column: pa.Array, dim: int, kind: type = np.float32) -> np.ndarray:
-    """Rows of a binary column of ``dim`` floats."""
+    A probe costs the sum over the levels of the squared lack of its coordinate;
+    the cheapest over all tables are taken. Of two sorted lists only places i and j
+    with i * j <= probes (from 1) can be among the cheapest sums.
+    """
+    n, filed, costs, codes = len(v), [], [], []
+    keep = min(h.width, h.probes)
+    i, j = (x + 1 for x in np.divmod(np.arange(keep * keep), keep))
+    some = np.flatnonzero(i * j <= h.probes)
+    for t in range(h.tables):
+        own, cost, code = np.zeros(n, dtype=np.int64), None, None
+        for level in range(h.levels):
+            y = rotate(v, h, t, level)
+            size = np.abs(y)
+            order = np.argpartition(-size, keep - 1, axis=1)[:, :keep] if keep < h.width else np.broadcast_to(np.arange(h.width), y.shape)
+            lack = np.square(np.maximum(0, FREE / np.sqrt(h.width) - np.take_along_axis(size, order, 1)))
+            axis = order + h.width * (np.take_along_axis(y, order, 1) < 0)
+            if h.levels > 1:
+                by = np.argsort(lack, axis=1, kind="stable")
+                lack, axis = np.take_along_axis(lack, by, 1), np.take_along_axis(axis, by, 1)
+            best = size.argmax(axis=1)
+            own = own * h.span + best + h.width * (y[np.arange(n), best] < 0)
+            if cost is None:
+                cost, code = lack, axis
+                continue
+            width = cost.shape[1]
+            use = some[some // keep < width]
+            a, b = use // keep, use % keep
+            cost, code = cost[:, a] + lack[:, b], code[:, a] * h.span + axis[:, b]
+            if level + 1 < h.levels:
+                by = np.argsort(cost, axis=1, kind="stable")[:, :keep]
+                cost, code = np.take_along_axis(cost, by, 1), np.take_along_axis(code, by, 1)
+        filed.append(own), costs.append(cost), codes.append(code)
+    per = [c.shape[1] for c in costs]
+    table = np.repeat(np.arange(h.tables), per)
+    cost, code = np.concatenate(costs, axis=1), np.concatenate(codes, axis=1)
+    p = min(h.probes, cost.shape[1])
+    top = np.argpartition(cost, p - 1, axis=1)[:, :p]
+    return np.stack(filed, axis=1), np.repeat(np.arange(n), p), table[top].ravel(), np.take_along_axis(code, top, 1).ravel()
+
+
+def _floats(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a binary column of ``dim`` 4-byte floats or 2-byte fixed-point numbers."""
     if not len(column):
         return np.zeros((0, dim), dtype=np.float32)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float32, copy=False)
+    raw = b"".join(column.to_pylist())
+    if len(raw) == 4 * dim * len(column):
+        return np.frombuffer(raw, dtype=np.float32).reshape(-1, dim)
+    return np.frombuffer(raw, dtype="<i2").reshape(-1, dim).astype(np.float32) / np.float32(32767)
+
+
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of the given numbers of elements from one flat array."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * flat.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, dim: int = 48) -> DataFrame:
@@ -187,124 +177,258 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int = 48) -> DataFra
 
 @dataclass
 class Collection:
-    """Distinct directions (rep, unit) and the ids of those that several ids share (rep, id)."""
+    """Distinct directions (rep, unit, asks: whether one of its ids is asked for), the ids of those that several
+    ids share (rep, id), and the number of directions."""
 
     reps: DataFrame
     copies: DataFrame
-    hashing: Hashing
+    n: int
+
+
+def _asked(id_col: str, every: int) -> Column:
+    return F.col(id_col) % every == 0
 
 
-def collect_directions(units: DataFrame, hashing: Hashing) -> Collection:
+def collect_directions(units: DataFrame, every: int = 1) -> Collection:
     """Ids of one direction stand behind the smallest of them; a repeated id counts once.
 
     An id has one vector; should it come with several, each is searched.
     """
-    groups = units.groupBy("unit").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    groups = units.groupBy("unit").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.max(_asked("id", every)).alias("asks"))
     groups = cut(groups, "directions")
     n = groups.count()
     shared = groups.where("last > rep").select("unit", "rep")
     likely = units.where(bloom.might_contain(bloom.build(shared, F.col("unit"), n), F.col("unit")))
     copies = cut(likely.join(shared, "unit").select("rep", "id").distinct(), "copies")
-    return Collection(groups.select("rep", "unit"), copies, hashing.sized(n))
+    return Collection(groups.select("rep", "unit", "asks"), copies, n)
 
 
-def _counts(reps: DataFrame, h: Hashing, tree: _Tree, depth: int, cap: int) -> dict[int, int]:
-    """Codes of this depth with more than ``cap`` filed vectors, and how many; at most max_hot of them."""
+@dataclass
+class _Layout:
+    """Where the cells of each first-level axis (table * span + axis) are: their first part, into how many parts
+    they are cut by id, and of each part its first task and into how many its askers are cut."""
+
+    part: np.ndarray
+    pieces: np.ndarray
+    task: np.ndarray
+    slices: np.ndarray
+    tasks: int
+
+
+def _mix(ids: np.ndarray, salt: int) -> np.ndarray:
+    x = (ids.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(2)).astype(np.int64)
+
+
+#: Vectors hashed at once by a worker.
+CHUNK = 4096
+
+
+def _layout(c: Collection, h: Hashing) -> _Layout:
+    """Counted on the cluster; what comes back has tables times signed axes rows, whatever the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = np.zeros(h.tables * h.span, dtype=np.int64)
+        looks = files.copy()
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                v = _vectors(batch.column(0).slice(i, 4096), h.dim)
-                _, d, code, role = _entries(v, h, tree)
-                codes, n = np.unique(code[(d == depth) & ((role & 1) > 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
-
-    counted = reps.select("unit").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    return {r.code: r.n for r in counted.where(F.col("n") > cap).collect()}
-
-
-def _tree(reps: DataFrame, h: Hashing) -> tuple[_Tree, int]:
-    """Which buckets are divided. Their number is bounded: each holds more than ``cap`` of the filed vectors."""
-    total = reps.count() * h.tables
-    cap = max(h.cap, total // h.max_hot)
-    tree = _Tree([], np.zeros(0, dtype=np.int64))
-    if total <= cap:
-        return tree, cap
-    for depth in range(h.depth):
-        found = _counts(reps, h, tree, depth, cap)
-        codes = np.array(sorted(found), dtype=np.int64)
-        tree.hot.append(codes)
-        tree.parts = np.array([-(-found[c] // cap) for c in codes.tolist()], dtype=np.int64)
-        if not found:
-            break
-    return tree, cap
-
-
-def _filed(c: Collection, only: bool = False, kind: type = np.float32) -> DataFrame:
-    """leaf, part, role, rep, unit: every vector in the buckets where it is filed or looks.
-
-    ``only``: just the ids divisible by 50 look (for measuring). ``kind``: the
-    floats that travel to the buckets.
+            for i in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(i, CHUNK)
+                asks = np.asarray(some.column(1))
+                filed, row, table, code = cells(_floats(some.column(0), h.dim), h)
+                files += np.bincount((np.arange(h.tables) * h.span + filed // h.below).ravel(), minlength=len(files))
+                use = asks[row]
+                met = np.unique(row[use] * len(files) + table[use] * h.span + code[use] // h.below)
+                looks += np.bincount(met % len(files), minlength=len(files))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(files))), pa.array(files), pa.array(looks)], names=["cell", "files", "looks"])
+
+    counted = c.reps.select("unit", "asks").mapInArrow(run, "cell bigint, files bigint, looks bigint")
+    counted = counted.groupBy("cell").agg(F.sum("files").alias("files"), F.sum("looks").alias("looks"))
+    files = np.zeros(h.tables * h.span, dtype=np.int64)
+    looks = files.copy()
+    for r in counted.collect():
+        files[r.cell], looks[r.cell] = r.files, r.looks
+    return lay_out(files, looks, c.n, h)
+
+
+def lay_out(files: np.ndarray, looks: np.ndarray, n: int, h: Hashing) -> _Layout:
+    """Cells of a table go, largest first, to the part with the fewest filed; a cell above ``part_rows`` is cut."""
+    part, pieces = np.zeros(len(files), dtype=np.int64), np.ones(len(files), dtype=np.int64)
+    asking: list[int] = []
+    for t in range(h.tables):
+        mine = np.arange(t * h.span, (t + 1) * h.span)
+        large = mine[files[mine] > h.part_rows]
+        small = mine[files[mine] <= h.part_rows]
+        held = np.zeros(max(1, -(-int(files[small].sum()) // h.part_rows)), dtype=np.int64)
+        asked = np.zeros(len(held), dtype=np.int64)
+        for cell in small[np.argsort(-files[small], kind="stable")]:
+            p = int(held.argmin())
+            part[cell] = len(asking) + p
+            held[p] += files[cell]
+            asked[p] += looks[cell]
+        asking += np.minimum(asked, n).tolist()
+        for cell in large:
+            part[cell], pieces[cell] = len(asking), -(-int(files[cell]) // h.part_rows)
+            asking += [int(looks[cell])] * int(pieces[cell])
+    slices = np.maximum(1, -(-np.array(asking, dtype=np.int64) // h.ask_rows))
+    task = np.cumsum(slices) - slices
+    return _Layout(part, pieces, task, slices, int(slices.sum()))
+
+
+def _spread(counts: np.ndarray) -> np.ndarray:
+    """0 .. count - 1 for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _sent(reps: np.ndarray, asks: np.ndarray, v: np.ndarray, h: Hashing, lay: _Layout) -> tuple[np.ndarray, ...]:
+    """(row, task, cell it is filed in there or -1, number of cells it asks there, those cells one after the other)."""
+    filed, row, table, code = cells(v, h)
+    use = asks[row]
+    row, table, code = row[use], table[use], code[use]
+
+    at = (np.arange(h.tables) * h.span + filed // h.below).ravel()
+    own = np.repeat(np.arange(len(v)), h.tables)
+    part = lay.part[at] + _mix(reps[own], 1) % lay.pieces[at]
+    copies = lay.slices[part]
+    fkey = np.repeat(own * lay.tasks + lay.task[part], copies) + _spread(copies)
+    fcode = np.repeat(filed.ravel(), copies)
+
+    at = table * h.span + code // h.below
+    copies = lay.pieces[at]
+    part = np.repeat(lay.part[at], copies) + _spread(copies)
+    row, code = np.repeat(row, copies), np.repeat(code, copies)
+    akey = row * lay.tasks + lay.task[part] + _mix(reps[row], 2) % lay.slices[part]
+    order = np.argsort(akey, kind="stable")
+    groups, sizes = np.unique(akey, return_counts=True)
+
+    key = np.union1d(fkey, groups)
+    cell, n = np.full(len(key), -1, dtype=np.int32), np.zeros(len(key), dtype=np.int64)
+    cell[np.searchsorted(key, fkey)] = fcode
+    n[np.searchsorted(key, groups)] = sizes
+    return key // lay.tasks, key % lay.tasks, cell, n, code[order].astype(np.int32)
+
+
+_TASKS = "task int, role tinyint, rep bigint, cell int, asks binary, unit binary"
+
+
+def _placed(c: Collection, h: Hashing) -> DataFrame:
+    """Every vector once for each task that it is filed or looked for in, one task a partition, the filed first.
+
+    Between machines a direction has 2-byte numbers, which moves a cosine by about 1e-5.
     """
-    h = c.hashing
-    tree, _ = _tree(c.reps, h)
-    last = tree.hot[h.depth - 1] if len(tree.hot) == h.depth else np.zeros(0, dtype=np.int64)
+    lay = _layout(c, h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                some = batch.slice(i, 4096)
-                reps = some.column(0).to_numpy()
-                v = _vectors(some.column(1), h.dim)
-                units = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
-                row, depth, code, role = _entries(v, h, tree)
-                if only:
-                    role = np.where(reps[row] % 50 == 0, role, role & 1)
-                    row, depth, code, role = (x[role > 0] for x in (row, depth, code, role))
-                part = np.zeros(len(row), dtype=np.int64)
-                over = np.flatnonzero((depth == h.depth - 1) & np.isin(code, last)) if len(last) else []
-                if len(over):
-                    # filed in one part by id; looked for in every part
-                    parts = tree.parts[np.searchsorted(last, code[over])]
-                    keep = np.ones(len(row), dtype=bool)
-                    keep[over] = False
-                    r, k, d, x = (np.repeat(z[over], parts) for z in (row, code, depth, role))
-                    p = np.concatenate([np.arange(m) for m in parts])
-                    own = reps[r] % np.repeat(parts, parts) == p
-                    x = np.where(own, x, x & 2)
-                    row, code, depth, role, part = (
-                        np.concatenate([a[keep], b[x > 0]]) for a, b in ((row, r), (code, k), (depth, d), (role, x), (part, p))
-                    )
+            for i in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(i, CHUNK)
+                reps, v = some.column(0).to_numpy(), _floats(some.column(1), h.dim)
+                row, task, cell, n, asked = _sent(reps, np.asarray(some.column(2)), v, h, lay)
+                units = np.rint(v * 32767).astype("<i2")[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code + (depth.astype(np.int64) << 56)), pa.array(part), pa.array(role.astype(np.int8)), some.column(0).take(pa.array(row)), units.take(pa.array(row))],
-                    names=["leaf", "part", "role", "rep", "unit"],
-                )
-
-    return c.reps.select("rep", "unit").mapInArrow(run, "leaf bigint, part bigint, role tinyint, rep bigint, unit binary")
+                    [pa.array(task.astype(np.int32)), pa.array((cell < 0).astype(np.int8)), pa.array(reps[row]), pa.array(cell), _binary(asked, n), _binary(units, np.full(len(row), h.dim))],
+                    names=["task", "role", "rep", "cell", "asks", "unit"],
+                )
+
+    sent = c.reps.select("rep", "unit", "asks").mapInArrow(run, _TASKS)
+    return sent.repartitionById(lay.tasks, "task").sortWithinPartitions("task", "role")
+
+
+#: Scores held at once by a worker, and askers held at once.
+BLOCK, ASKERS = 8_000_000, 65_536
+
+
+class _Filed:
+    """The vectors filed in a task, by cell."""
+
+    def __init__(self, reps: np.ndarray, code: np.ndarray, v: np.ndarray):
+        order = np.argsort(code, kind="stable")
+        self.reps, self.v = reps[order], v[order]
+        self.codes, self.starts = np.unique(code[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+        self.by_rep = np.argsort(self.reps, kind="stable")
+
+    def scores(self, reps: np.ndarray, v: np.ndarray, n: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+        """(rows asking, first and last place of a cell, cosines) in blocks; a vector has -2 with itself."""
+        if not len(self.reps) or not len(asked):
+            return
+        row = np.repeat(np.arange(len(reps)), n)
+        at = np.searchsorted(self.codes, asked).clip(max=len(self.codes) - 1)
+        there = self.codes[at] == asked
+        row, at = row[there], at[there]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        sorted_reps = self.reps[self.by_rep]
+        near = np.searchsorted(sorted_reps, reps).clip(max=len(sorted_reps) - 1)
+        own = np.where(sorted_reps[near] == reps, self.by_rep[near], -1)
+        firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, dtype=int)
+        for i, j in zip(firsts.tolist(), np.append(firsts[1:], len(at)).tolist()):
+            a, b = int(self.starts[at[i]]), int(self.ends[at[i]])
+            x = self.v[a:b].T
+            step = max(1, BLOCK // (b - a))
+            for s in range(i, j, step):
+                rows = row[s : min(j, s + step)]
+                cos = v[rows] @ x
+                mine = own[rows]
+                self_in = np.flatnonzero((mine >= a) & (mine < b))
+                cos[self_in, mine[self_in] - a] = -2
+                yield rows, a, b, cos
+
+
+def _per_task(dim: int, answer: Callable[[_Filed, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]):
+    """Runs ``answer`` (filed, reps, vectors, numbers of cells asked, cells) over blocks of a task's askers.
+
+    The filed, which are bounded, come first and are held; askers stream past them.
+    """
 
+    def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lists = table.column("asks").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        n = np.asarray(pa.compute.binary_length(lists)).astype(np.int64) // 4
+        asked = np.frombuffer(b"".join(lists.to_pylist()), dtype=np.int32)
+        units = table.column("unit").combine_chunks()
+        units = units.chunk(0) if isinstance(units, pa.ChunkedArray) else units
+        return table.column("rep").to_numpy(), _floats(units, dim), n, asked
+
+    def blocks(batches: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+        table = pa.Table.from_batches(batches)
+        table = table.filter(pa.compute.greater(pa.compute.binary_length(table.column("asks")), 0))
+        for i in range(0, len(table), ASKERS):
+            yield table.slice(i, ASKERS)
 
-#: Scores held at once by a worker: rows of a block times vectors of a bucket.
-BLOCK = 8_000_000
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: list[pa.RecordBatch] = []
+        asks: list[pa.RecordBatch] = []
+        index: _Filed | None = None
+
+        def indexed() -> Iterator[pa.RecordBatch]:
+            nonlocal index
+            table = pa.Table.from_batches(files)
+            reps, v, _, _ = unpack(table)
+            index = _Filed(reps, table.column("cell").to_numpy(), v)
+            for block in blocks(files):
+                yield from answer(index, *unpack(block))
+            files.clear()
 
+        for batch in batches:
+            filed = np.asarray(batch.column(1)) == 0
+            if filed.any():
+                files.append(batch.filter(pa.array(filed)))
+            if not filed.all():
+                if index is None and files:
+                    yield from indexed()
+                asks.append(batch.filter(pa.array(~filed)))
+                if index is not None and sum(map(len, asks)) >= ASKERS:
+                    for block in blocks(asks):
+                        yield from answer(index, *unpack(block))
+                    asks.clear()
+        if index is None and files:
+            yield from indexed()
+        if index is not None and asks:
+            for block in blocks(asks):
+                yield from answer(index, *unpack(block))
 
-def _blocks(table: pa.Table, dim: int, kind: type = np.float32) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids looking, ids filed, cosines) in blocks of bounded size; a vector has -2 with itself."""
-    role = table.column("role").to_numpy()
-    rep = table.column("rep").to_numpy()
-    v = _vectors(table.column("unit").combine_chunks(), dim, kind)
-    filed, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-    if not len(filed) or not len(asks):
-        return
-    x, ids = np.ascontiguousarray(v[filed].T), rep[filed]
-    order = np.argsort(ids, kind="stable")
-    step = max(1, BLOCK // len(filed))
-    for i in range(0, len(asks), step):
-        q = asks[i : i + step]
-        s = v[q] @ x
-        at = np.searchsorted(ids[order], rep[q]).clip(max=len(ids) - 1)
-        same = np.flatnonzero(ids[order][at] == rep[q])
-        s[same, order[at[same]]] = -2
-        yield rep[q], ids, s
+    return run
 
 
 def _best(s: np.ndarray, k: int) -> np.ndarray:
@@ -327,18 +451,6 @@ _FOUND = T.StructType([T.StructField("rep", T.LongType()), T.StructField("found"
 _PAIR = np.dtype([("id", "<i8"), ("cos", "<f4")])
 
 
-def _top_of_group(dim: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, ids, s in _blocks(pa.Table.from_batches(batches), dim):
-            cols = _best(s, k)
-            pairs = np.zeros(cols.shape, dtype=_PAIR)
-            pairs["id"], pairs["cos"] = ids[cols], np.take_along_axis(s, cols, 1)
-            found = pa.array([p[p["cos"] > -2].tobytes() for p in pairs], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), found], names=["rep", "found"])
-
-    return run
-
-
 def _merge_top(k: int):
     """Best ``k`` of the lists of each rep; rows come sorted by rep, which may run over batches."""
 
@@ -378,13 +490,34 @@ def _merge_top(k: int):
     return run
 
 
-def _nearest_reps(filed: DataFrame, group: list[str], dim: int, k: int) -> DataFrame:
-    tops = filed.groupBy(*group).applyInArrow(_top_of_group(dim, k), _FOUND)
+def _top_of_task(k: int):
+    """The ``k`` best of each asker over all cells it asks for in the task."""
+
+    def answer(filed: _Filed, reps: np.ndarray, v: np.ndarray, n: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(reps), k), -2, dtype=np.float32)
+        who = np.full((len(reps), k), -1, dtype=np.int64)
+        for rows, a, _, cos in filed.scores(reps, v, n, asked):
+            cols = _best(cos, k)
+            new, ids = np.take_along_axis(cos, cols, 1), filed.reps[a + cols]
+            both, names = np.concatenate([best[rows], new], axis=1), np.concatenate([who[rows], ids], axis=1)
+            top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        pairs = np.zeros(best.shape, dtype=_PAIR)
+        pairs["id"], pairs["cos"] = who, best
+        real = best > -2
+        some = real.any(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(reps[some]), _binary(pairs[real], real.sum(axis=1)[some])], names=["rep", "found"])
+
+    return answer
+
+
+def _nearest_reps(placed: DataFrame, dim: int, k: int) -> DataFrame:
+    tops = placed.mapInArrow(_per_task(dim, _top_of_task(k)), _FOUND)
     return tops.repartition("rep").sortWithinPartitions("rep").mapInArrow(_merge_top(k), "rep bigint, near bigint, cosine float")
 
 
-def _with_copies(near: DataFrame, c: Collection, k: int, only: bool = False) -> DataFrame:
-    """From directions to ids: every id's ``k`` nearest other ids, ties by id; only k + 1 ids of a direction can matter."""
+def _with_copies(near: DataFrame, c: Collection, k: int, every: int = 1) -> DataFrame:
+    """From directions to ids: the ``k`` nearest other ids of every asked id, ties by id; only k + 1 ids of a direction can matter."""
     by_id = Window.partitionBy("rep").orderBy("id")
     few = c.copies.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select("rep", "id")
     other = near.join(few.select(F.col("rep").alias("near"), "id"), "near", "left")
@@ -393,52 +526,52 @@ def _with_copies(near: DataFrame, c: Collection, k: int, only: bool = False) ->
     best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "id_b")
     listed = other.unionByName(own).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     met = listed.join(c.copies, "rep", "left").select(F.coalesce("id", "rep").alias("id_a"), "id_b", "cosine").where("id_a <> id_b")
-    if only:
-        met = met.where("id_a % 50 = 0")
     rank = Window.partitionBy("id_a").orderBy(F.desc("cosine"), "id_b")
-    return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return met.where(_asked("id_a", every)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("id_a", "rank", "id_b", "cosine")
 
 
-def nearest(units: DataFrame, k: int = 10, hashing: Hashing = KNN) -> DataFrame:
-    """id_a, rank (from 1), id_b, cosine: for every id the ``k`` nearest others found, ties by id.
+def nearest(units: DataFrame, k: int = 10, hashing: Hashing = KNN, every: int = 1) -> DataFrame:
+    """id_a, rank (from 1), id_b, cosine (within 1e-4): for every id the ``k`` nearest others found, ties by id.
 
-    ``units`` comes from :func:`unit_vectors`. An id has fewer than ``k`` rows only
-    if its buckets held fewer others. An empty or one-row collection gives no row.
+    ``units`` comes from :func:`unit_vectors`. Asked are the ids divisible by
+    ``every``, searched are all. An id has fewer than ``k`` rows only if its cells
+    held fewer others. An empty or one-row collection gives no row.
     """
-    c = collect_directions(units, hashing)
-    near = _nearest_reps(_filed(c), ["leaf", "part"], hashing.dim, k)
-    return _with_copies(near, c, k).select("id_a", "rank", "id_b", "cosine")
-
-
-def _exact(c: Collection, k: int, block: int = 16_384) -> DataFrame:
-    """The true nearest of the reps divisible by 50, each block of them against each block of all."""
-    n = c.reps.count()
-    b, p = max(1, n // 50 // block + 1), max(1, n // block + 1)
-    rows = c.reps.select("rep", "unit", F.pmod(F.xxhash64("rep"), F.lit(b)).alias("b"), F.pmod(F.hash("rep"), F.lit(p)).alias("p"))
-    every = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
-    grid = rows.select("rep", "unit", every(b).alias("b"), F.col("p").cast("bigint").alias("p"), F.lit(1).cast("tinyint").alias("role"))
-    asks = rows.where("rep % 50 = 0").select(
-        "rep", "unit", F.col("b").cast("bigint").alias("b"), every(p).alias("p"), F.lit(2).cast("tinyint").alias("role")
-    )
-    return _nearest_reps(grid.unionByName(asks), ["b", "p"], c.hashing.dim, k)
+    c = collect_directions(units, every)
+    return _with_copies(_nearest_reps(_placed(c, hashing), hashing.dim, k), c, k, every)
 
 
-def recall(units: DataFrame, k: int = 10, hashing: Hashing = KNN) -> DataFrame:
-    """Loss against brute force: one row. Measured over distinct directions, not ids: asked are those whose smallest
-    id is divisible by 50, and their neighbours are directions too, so copies of a direction are not measured.
+def exact_nearest(units: DataFrame, k: int = 10, every: int = 1, dim: int = 48, block: int = 65_536) -> DataFrame:
+    """What :func:`nearest` approaches: blocks of those asked against blocks of all, each pair of blocks one task.
 
-    queries, k, recall (share of the true neighbours found; a neighbour as near as
-    the last true one counts), cosine_loss (mean of true minus found cosine by
+    Exact at any size; work and what is sent grow with the square of the collection.
+    """
+    c = collect_directions(units, every)
+    asking = c.reps.where("asks").count()
+    a, b = max(1, -(-asking // block)), max(1, -(-c.n // block))
+    own, other = F.pmod(F.xxhash64("rep"), F.lit(a)), F.pmod(F.hash("rep"), F.lit(b))
+    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    row = lambda at, role, cell, asks: (at.cast("int").alias("task"), F.lit(role).cast("tinyint").alias("role"), "rep", F.lit(cell).alias("cell"), F.lit(asks).alias("asks"), "unit")
+    filed = c.reps.withColumn("x", all_of(a)).select(*row(F.col("x") * b + other, 0, 0, b""))
+    asks = c.reps.where("asks").withColumn("x", all_of(b)).select(*row(own * b + F.col("x"), 1, -1, bytes(4)))
+    placed = filed.unionByName(asks).repartitionById(a * b, "task").sortWithinPartitions("task", "role")
+    return _with_copies(_nearest_reps(placed, dim, k), c, k, every)
+
+
+def recall(units: DataFrame, k: int = 10, hashing: Hashing = KNN, every: int = 50) -> DataFrame:
+    """Loss against brute force over the final ids: one row. Asked is every id divisible by ``every``, copies included.
+
+    queries, k, recall (share of the true neighbours found; an id as near as the
+    last true one counts, by 1e-4), cosine_loss (mean of true minus found cosine by
     rank), worst_loss.
     """
-    c = collect_directions(units, hashing)
-    found = cut(_nearest_reps(_filed(c, True), ["leaf", "part"], hashing.dim, k), "found")
-    true = cut(_exact(c, k), "true")
-    last = true.groupBy("rep").agg(F.min("cosine").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("cosine").alias("sum"))
-    got = found.join(last.select("rep", "least"), "rep").groupBy("rep").agg(
-        F.count_if(F.col("cosine") >= F.col("least") - 1e-6).alias("hits"), F.sum("cosine").alias("got")
+    found = cut(nearest(units, k, hashing, every), "found")
+    true = cut(exact_nearest(units, k, every, hashing.dim), "true")
+    last = true.groupBy("id_a").agg(F.min("cosine").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("cosine").alias("sum"))
+    got = found.join(last.select("id_a", "least"), "id_a").groupBy("id_a").agg(
+        F.count_if(F.col("cosine") >= F.col("least") - 1e-4).alias("hits"), F.sum("cosine").alias("got")
     )
-    per = last.join(got, "rep", "left")
+    per = last.join(got, "id_a", "left")
     loss = (F.col("sum") - F.coalesce("got", F.lit(0.0))) / F.col("n")
     return per.agg(
         F.count(F.lit(1)).alias("queries"),
@@ -449,40 +582,55 @@ def recall(units: DataFrame, k: int = 10, hashing: Hashing = KNN) -> DataFrame:
     )
 
 
-def near_pairs(units: DataFrame, least: float, hashing: Hashing = NEAR) -> DataFrame:
-    """id_a < id_b, cosine: pairs of ids whose cosine is at least ``least``.
+def near_directions(units: DataFrame, least: float, hashing: Hashing = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Pairs of directions (a < b, cosine) whose cosine is at least ``least``, and membership (rep, id) of the ids
+    that share a direction; a direction is named by its smallest id. Copies are not paired out.
 
-    Candidates come from the shared buckets, where 2-byte floats travel (a cosine
-    moves by less than 0.002); the cosine of each candidate is then worked out in
-    double precision. Every pair of ids of one direction is a pair.
+    Candidates come from the shared cells; the cosine of each is then worked out in double precision.
     """
-    c = collect_directions(units, hashing)
+    c = collect_directions(units)
     dim = hashing.dim
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, ids, s in _blocks(pa.Table.from_batches(batches), dim, np.float16):
-            i, j = np.nonzero(s >= least - 2e-3)
-            ends = [pa.array(f(q[i], ids[j]), pa.int64()) for f in (np.minimum, np.maximum)]
-            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+    def answer(filed: _Filed, reps: np.ndarray, v: np.ndarray, n: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lows, highs = [], []
+        for rows, a, _, cos in filed.scores(reps, v, n, asked):
+            i, j = np.nonzero(cos >= least - 2e-4)
+            if len(i):
+                x, y = reps[rows[i]], filed.reps[a + j]
+                lows.append(np.minimum(x, y)), highs.append(np.maximum(x, y))
+            if sum(map(len, lows)) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], names=["a", "b"])
+                lows, highs = [], []
+        if lows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], names=["a", "b"])
 
     @F.pandas_udf(T.DoubleType())
     def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
         u, v = (np.frombuffer(b"".join(z), dtype=np.float32).reshape(-1, dim).astype(np.float64) for z in (x, y))
         return pd.Series((u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1)))
 
-    likely = _filed(c, kind=np.float16).groupBy("leaf", "part").applyInArrow(run, "a bigint, b bigint")
+    likely = _placed(c, hashing).mapInArrow(_per_task(dim, answer), "a bigint, b bigint")
     likely = cut(likely.distinct(), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("rep"))
     named = bloom.build(ends, F.col("rep"), 2 * likely.count())
     few = c.reps.where(bloom.might_contain(named, F.col("rep")))
     pairs = likely.join(few.select(F.col("rep").alias("a"), F.col("unit").alias("u")), "a")
     pairs = pairs.join(few.select(F.col("rep").alias("b"), F.col("unit").alias("v")), "b")
-    pairs = pairs.select("a", "b", cosine("u", "v").alias("cosine")).where(F.col("cosine") >= least)
-    one, two = (c.copies.select(F.col("rep").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
+    return pairs.select("a", "b", cosine("u", "v").alias("cosine")).where(F.col("cosine") >= least), c.copies
+
+
+def near_pairs(units: DataFrame, least: float, hashing: Hashing = NEAR) -> DataFrame:
+    """id_a < id_b, cosine: pairs of ids whose cosine is at least ``least``.
+
+    :func:`near_directions` with its membership written out: every pair of ids of one
+    direction is a pair, so m copies of one vector give m * (m - 1) / 2 rows.
+    """
+    pairs, copies = near_directions(units, least, hashing)
+    one, two = (copies.select(F.col("rep").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
     wide = pairs.join(one, "a", "left").join(two, "b", "left").select(
         F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"), "cosine"
     )
-    left, right = c.copies.select("rep", F.col("id").alias("x")), c.copies.select("rep", F.col("id").alias("y"))
+    left, right = copies.select("rep", F.col("id").alias("x")), copies.select("rep", F.col("id").alias("y"))
     same = left.join(right, "rep").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
     return wide.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine").where("id_a < id_b")
 
