@@ -18,6 +18,7 @@ every piece meets every other, so no candidate is dropped and no task is unbound
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -78,16 +79,30 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rotate(v: np.ndarray, h: Hashing, table: int, level: int) -> np.ndarray:
-    """Pseudo-rotation number (table, level) of the rows of ``v``."""
+@functools.lru_cache(maxsize=256)
+def _rotation(h: Hashing, table: int, level: int) -> np.ndarray:
     rng = np.random.default_rng([h.seed, table, level])
-    x = np.zeros((len(v), h.width), dtype=np.float32)
-    x[:, : h.dim] = v
+    x = np.eye(h.dim, h.width, dtype=np.float32)
     for _ in range(3):
         x = _hadamard(x * rng.choice(np.array([-1, 1], dtype=np.float32), h.width)) / np.float32(np.sqrt(h.width))
     return x
 
 
+def rotate(v: np.ndarray, h: Hashing, table: int, level: int) -> np.ndarray:
+    """Pseudo-rotation number (table, level) of the rows of ``v``: the three rounds are put through the fast
+    transform once, and what they come to is one product for all rows."""
+    return v @ _rotation(h, table, level)
+
+
+def _cheapest(cost: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` cheapest of each row, cheapest first."""
+    if n < cost.shape[1]:
+        top = np.argpartition(cost, n - 1, axis=1)[:, :n]
+        cost, code = np.take_along_axis(cost, top, 1), np.take_along_axis(code, top, 1)
+    by = np.argsort(cost, axis=1)
+    return np.take_along_axis(cost, by, 1), np.take_along_axis(code, by, 1)
+
+
 def cells(v: np.ndarray, h: Hashing) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``filed`` (row, table) -> cell, and ``row``, ``table``, ``cell`` of every probe.
 
@@ -96,35 +111,25 @@ def cells(v: np.ndarray, h: Hashing) -> tuple[np.ndarray, np.ndarray, np.ndarray
     with i * j <= probes (from 1) can be among the cheapest sums.
     """
     n, filed, costs, codes = len(v), [], [], []
-    keep = min(h.width, h.probes)
-    i, j = (x + 1 for x in np.divmod(np.arange(keep * keep), keep))
-    some = np.flatnonzero(i * j <= h.probes)
+    free = np.float32(FREE / np.sqrt(h.width))
     for t in range(h.tables):
         own, cost, code = np.zeros(n, dtype=np.int64), None, None
         for level in range(h.levels):
             y = rotate(v, h, t, level)
             size = np.abs(y)
-            order = np.argpartition(-size, keep - 1, axis=1)[:, :keep] if keep < h.width else np.broadcast_to(np.arange(h.width), y.shape)
-            lack = np.square(np.maximum(0, FREE / np.sqrt(h.width) - np.take_along_axis(size, order, 1)))
-            axis = order + h.width * (np.take_along_axis(y, order, 1) < 0)
-            if h.levels > 1:
-                by = np.argsort(lack, axis=1, kind="stable")
-                lack, axis = np.take_along_axis(lack, by, 1), np.take_along_axis(axis, by, 1)
-            best = size.argmax(axis=1)
-            own = own * h.span + best + h.width * (y[np.arange(n), best] < 0)
+            axis = np.arange(h.width) + h.width * (y < 0)
+            own = own * h.span + np.take_along_axis(axis, size.argmax(axis=1)[:, None], 1)[:, 0]
+            lack, axis = _cheapest(np.square(np.maximum(0, free - size)), axis, h.probes)
             if cost is None:
                 cost, code = lack, axis
                 continue
-            width = cost.shape[1]
-            use = some[some // keep < width]
-            a, b = use // keep, use % keep
-            cost, code = cost[:, a] + lack[:, b], code[:, a] * h.span + axis[:, b]
-            if level + 1 < h.levels:
-                by = np.argsort(cost, axis=1, kind="stable")[:, :keep]
-                cost, code = np.take_along_axis(cost, by, 1), np.take_along_axis(code, by, 1)
+            i, j = np.divmod(np.arange(cost.shape[1] * lack.shape[1]), lack.shape[1])
+            near = np.flatnonzero((i + 1) * (j + 1) <= h.probes)
+            i, j = i[near], j[near]
+            cost, at = _cheapest(cost[:, i] + lack[:, j], np.broadcast_to(np.arange(len(near)), (n, len(near))), h.probes)
+            code = np.take_along_axis(code, i[at], 1) * h.span + np.take_along_axis(axis, j[at], 1)
         filed.append(own), costs.append(cost), codes.append(code)
-    per = [c.shape[1] for c in costs]
-    table = np.repeat(np.arange(h.tables), per)
+    table = np.repeat(np.arange(h.tables), [c.shape[1] for c in costs])
     cost, code = np.concatenate(costs, axis=1), np.concatenate(codes, axis=1)
     p = min(h.probes, cost.shape[1])
     top = np.argpartition(cost, p - 1, axis=1)[:, :p]
@@ -222,30 +227,33 @@ def _mix(ids: np.ndarray, salt: int) -> np.ndarray:
 
 
 #: Vectors hashed at once by a worker.
-CHUNK = 4096
+CHUNK = 2048
 
 
 def _layout(c: Collection, h: Hashing) -> _Layout:
-    """Counted on the cluster; what comes back has tables times signed axes rows, whatever the data."""
+    """Counted on the cluster; what comes back has tables times signed axes rows, whatever the data. A collection
+    that is below both bounds as a whole needs no count: its layout is the same for any."""
+    files = np.zeros(h.tables * h.span, dtype=np.int64)
+    looks = files.copy()
+    if c.n <= min(h.part_rows, h.ask_rows):
+        return lay_out(files, looks, c.n, h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = np.zeros(h.tables * h.span, dtype=np.int64)
-        looks = files.copy()
+        filed_in = np.zeros(h.tables * h.span, dtype=np.int64)
+        looked_in = filed_in.copy()
         for batch in batches:
             for i in range(0, batch.num_rows, CHUNK):
                 some = batch.slice(i, CHUNK)
                 asks = np.asarray(some.column(1))
                 filed, row, table, code = cells(_floats(some.column(0), h.dim), h)
-                files += np.bincount((np.arange(h.tables) * h.span + filed // h.below).ravel(), minlength=len(files))
+                filed_in += np.bincount((np.arange(h.tables) * h.span + filed // h.below).ravel(), minlength=len(filed_in))
                 use = asks[row]
-                met = np.unique(row[use] * len(files) + table[use] * h.span + code[use] // h.below)
-                looks += np.bincount(met % len(files), minlength=len(files))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(files))), pa.array(files), pa.array(looks)], names=["cell", "files", "looks"])
+                met = np.unique(row[use] * len(filed_in) + table[use] * h.span + code[use] // h.below)
+                looked_in += np.bincount(met % len(filed_in), minlength=len(filed_in))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(filed_in))), pa.array(filed_in), pa.array(looked_in)], names=["cell", "files", "looks"])
 
     counted = c.reps.select("unit", "asks").mapInArrow(run, "cell bigint, files bigint, looks bigint")
     counted = counted.groupBy("cell").agg(F.sum("files").alias("files"), F.sum("looks").alias("looks"))
-    files = np.zeros(h.tables * h.span, dtype=np.int64)
-    looks = files.copy()
     for r in counted.collect():
         files[r.cell], looks[r.cell] = r.files, r.looks
     return lay_out(files, looks, c.n, h)
@@ -534,28 +542,46 @@ def nearest(units: DataFrame, k: int = 10, hashing: Hashing = KNN, every: int =
     """id_a, rank (from 1), id_b, cosine (within 1e-4): for every id the ``k`` nearest others found, ties by id.
 
     ``units`` comes from :func:`unit_vectors`. Asked are the ids divisible by
-    ``every``, searched are all. An id has fewer than ``k`` rows only if its cells
-    held fewer others. An empty or one-row collection gives no row.
+    ``every``, searched are all. A direction whose cells held fewer than ``k`` others
+    is asked again by the exact route, so an id has fewer than ``k`` rows only if
+    there are no more ids. An empty or one-row collection gives no row.
     """
     c = collect_directions(units, every)
-    return _with_copies(_nearest_reps(_placed(c, hashing), hashing.dim, k), c, k, every)
+    near = cut(_nearest_reps(_placed(c, hashing), hashing.dim, k), "nearest")
+    most = min(k, c.n - 1)
+    asking = c.reps.where("asks").select("rep", "unit")
+    full = near.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+    short = cut(asking.join(full, "rep", "left_anti"), "short") if most > 0 else asking.limit(0)
+    if lacking := short.count():
+        again = _exact_reps(c, short, lacking, hashing.dim, k)
+        near = near.join(short, "rep", "left_anti").unionByName(again)
+    return _with_copies(near, c, k, every)
 
 
-def exact_nearest(units: DataFrame, k: int = 10, every: int = 1, dim: int = 48, block: int = 65_536) -> DataFrame:
+#: Rows of a block of the exact route.
+EXACT_BLOCK = 65_536
+
+
+def _exact_reps(c: Collection, asking: DataFrame, asks: int, dim: int, k: int, block: int = EXACT_BLOCK) -> DataFrame:
+    """rep, near, cosine of ``asking`` (rep, unit) against all: each pair of blocks is one task with one cell."""
+    a, b = max(1, -(-asks // block)), max(1, -(-c.n // block))
+    own, other = F.pmod(F.xxhash64("rep"), F.lit(a)), F.pmod(F.hash("rep"), F.lit(b))
+    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    row = lambda at, role, cell, cells: (at.cast("int").alias("task"), F.lit(role).cast("tinyint").alias("role"), "rep", F.lit(cell).alias("cell"), F.lit(cells).alias("asks"), "unit")
+    filed = c.reps.withColumn("x", all_of(a)).select(*row(F.col("x") * b + other, 0, 0, b""))
+    asked = asking.withColumn("x", all_of(b)).select(*row(own * b + F.col("x"), 1, -1, bytes(4)))
+    placed = filed.unionByName(asked).repartitionById(a * b, "task").sortWithinPartitions("task", "role")
+    return _nearest_reps(placed, dim, k)
+
+
+def exact_nearest(units: DataFrame, k: int = 10, every: int = 1, dim: int = 48, block: int = EXACT_BLOCK) -> DataFrame:
     """What :func:`nearest` approaches: blocks of those asked against blocks of all, each pair of blocks one task.
 
     Exact at any size; work and what is sent grow with the square of the collection.
     """
     c = collect_directions(units, every)
-    asking = c.reps.where("asks").count()
-    a, b = max(1, -(-asking // block)), max(1, -(-c.n // block))
-    own, other = F.pmod(F.xxhash64("rep"), F.lit(a)), F.pmod(F.hash("rep"), F.lit(b))
-    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    row = lambda at, role, cell, asks: (at.cast("int").alias("task"), F.lit(role).cast("tinyint").alias("role"), "rep", F.lit(cell).alias("cell"), F.lit(asks).alias("asks"), "unit")
-    filed = c.reps.withColumn("x", all_of(a)).select(*row(F.col("x") * b + other, 0, 0, b""))
-    asks = c.reps.where("asks").withColumn("x", all_of(b)).select(*row(own * b + F.col("x"), 1, -1, bytes(4)))
-    placed = filed.unionByName(asks).repartitionById(a * b, "task").sortWithinPartitions("task", "role")
-    return _with_copies(_nearest_reps(placed, dim, k), c, k, every)
+    asking = c.reps.where("asks").select("rep", "unit")
+    return _with_copies(_exact_reps(c, asking, asking.count(), dim, k, block), c, k, every)
 
 
 def recall(units: DataFrame, k: int = 10, hashing: Hashing = KNN, every: int = 50) -> DataFrame:
