@@ -12,8 +12,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Upper bound of a filter: 2**26 bits are 8 MB, whatever the number of keys.
-MAX_BITS = 1 << 26
+#: Upper bound of one filter: 2**26 bits are 8 MB, enough for this many keys at 16 bits each. More keys than one
+#: filter holds are parted into ranges of their hash, each with a filter of its own (see :func:`ranges`).
+MAX_BITS, KEYS = 1 << 26, 4_000_000
 
 
 def _wrap(spark: SparkSession, expression) -> Column:
@@ -29,13 +30,23 @@ def _expr(spark: SparkSession, column: Column):
 def filter_bits(keys: int, bits_per_key: int = 12, max_bits: int = MAX_BITS) -> int:
     """Bits for ``keys`` keys: ``bits_per_key`` each, a power of two, at most ``max_bits``.
 
-    Beyond the bound the filter only lets more keys pass to the exact check; it
-    never grows.
+    One filter never grows beyond the bound: callers with more than ``KEYS`` keys
+    build one for each of :func:`ranges`.
     """
     wanted = max(1024, keys * bits_per_key)
     return min(max_bits, 1 << math.ceil(math.log2(wanted)))
 
 
+def ranges(keys: int) -> int:
+    """How many filters hold ``keys`` keys at the same rate of false answers."""
+    return max(1, -(-keys // KEYS))
+
+
+def range_of(key: Column, n: int) -> Column:
+    """The range, of ``n``, that a key's hash falls into; independent of the hash inside the filters."""
+    return F.pmod(F.hash(key), F.lit(n))
+
+
 def build(df: DataFrame, key: Column, expected: int, max_bits: int = MAX_BITS) -> DataFrame:
     """One row with the filter over all non-null values of ``key``; null if there are none.
 
@@ -46,7 +57,7 @@ def build(df: DataFrame, key: Column, expected: int, max_bits: int = MAX_BITS) -
     hashed = df.where(key.isNotNull()).select(F.xxhash64(key).alias("h"))
     aggregate = spark._jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(
         _expr(spark, F.col("h")),
-        _expr(spark, F.lit(max(1, min(expected, 4_000_000))).cast("bigint")),
+        _expr(spark, F.lit(max(1, min(expected, KEYS))).cast("bigint")),
         _expr(spark, F.lit(filter_bits(expected, max_bits=max_bits)).cast("bigint")),
     )
     return hashed.agg(_wrap(spark, aggregate.toAggregateExpression()).alias("filter"))

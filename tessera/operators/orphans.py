@@ -8,10 +8,13 @@ reference and not yet removed. Orphans get one of three states:
 ``deleted``  the latest parent row known by then had already been removed.
 
 Method: a Bloom filter over the parent keys, of a size fixed beforehand, goes to
-every executor and proves definite orphans without a shuffle. Only references
-that pass it are joined exactly, against one pre-aggregated row per key, and
-only those that fall between two versions of their key need the as-of step,
-which works in buckets of time so that no key is ever held by one task.
+every executor and proves definite orphans without a shuffle. Where the keys are
+more than one filter holds, keys and references are parted by ranges of the key's
+hash and each range has its own filter, so the share proved does not fall with the
+number of keys. Only references that pass are joined exactly, against one
+pre-aggregated row per key, and only those that fall between two versions of their
+key need the as-of step, which works in buckets of time so that no key is ever held
+by one task.
 """
 
 from __future__ import annotations
@@ -69,8 +72,7 @@ def orphan_references(
 
     size = parents.count() if expected_keys is None else expected_keys
     packed = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
-    known = bloom.build(p, packed, size)
-    r = r.withColumn("_maybe", bloom.might_contain(known, packed))
+    r = _tested(r, p, packed, size)
     certain = r.where(~F.col("_maybe")).select("_ref.*", F.lit("missing").alias("state"))
 
     per_key = p.groupBy(*keys).agg(F.min("_v.since").alias("_first"), F.max("_v").alias("_last"))
@@ -93,6 +95,26 @@ def orphan_references(
     return certain.unionByName(settled).unionByName(_as_of(between, p, keys, bucket_seconds))
 
 
+def _tested(refs: DataFrame, parents: DataFrame, key: Column, size: int) -> DataFrame:
+    """``refs`` with ``_maybe``: false only if no parent has the key.
+
+    With several ranges both sides are written once in a folder per range, without
+    a shuffle, and every filter meets only the references of its own range; a key
+    that fills a third of them stays spread over the files of its folder.
+    """
+    n = bloom.ranges(size)
+    if n == 1:
+        return refs.withColumn("_maybe", bloom.might_contain(bloom.build(parents, key, size), key))
+    r = cut(refs.withColumn("_range", bloom.range_of(key, n)), "references", by=["_range"])
+    p = cut(parents.select(key.alias("_key"), bloom.range_of(key, n).alias("_range")), "parents", by=["_range"])
+    out = None
+    for i in range(n):
+        known = bloom.build(p.where(F.col("_range") == i), F.col("_key"), bloom.KEYS)
+        part = r.where(F.col("_range") == i).drop("_range").withColumn("_maybe", bloom.might_contain(known, key))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _bucket(t: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(t) / F.lit(seconds))
 

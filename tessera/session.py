@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,42 +39,68 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a single machine) is a folder
-    made here and set, so that a cluster is never given a local path.
+    Where the session names none, a folder is made and set on a single machine
+    (master ``local``); on a cluster, whose executors would each write to a disk of
+    their own, that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or "file://" + tempfile.mkdtemp(prefix="tessera-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(folder)
+        master = spark.sparkContext.master
+        if not _one_machine(master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a cluster, for sessions that do not install it on every machine."""
+    root = Path(__file__).resolve().parent
+    if _one_machine(spark.sparkContext.master):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tessera-ship-")) / "tessera.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Takes a folder of the shared folder away; nothing happens if the session or the folder is gone."""
     try:
         jvm = spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already
+    except Exception:
         pass
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Takes a folder of the shared folder away when the driver's interpreter ends."""
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", by: list[str] | None = None, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     A written table survives the loss of executors, keeps row counts and sizes
-    for the planner, and is not computed again by later actions. It is removed
-    when the driver's interpreter ends.
+    for the planner, and is not computed again by later actions. ``by`` lays the
+    rows out in one folder per value. ``instead_of`` is an earlier table of a loop
+    that ``df`` was the last to read: it is removed as soon as ``df`` is written.
+    The others are removed when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}-{os.getpid()}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        remove(spark, instead_of.__dict__["_written"])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = path
+    return out

@@ -135,3 +135,43 @@ def test_item_log(spark):
             ("s", "gone", 1, "artifact_observed", 1, "h", None), ("s", "gone", 2, "artifact_observed", 2, "h", T0), ("s", "p", 9, "item_purged", None, None, None), ("s", "p", 10, "artifact_observed", 1, "h", None)]
     log = spark.createDataFrame(rows, "source_name string, external_key string, seq long, event_type string, version int, content_hash string, deleted_at timestamp")
     assert [tuple(r) for r in cf.items_in_view(log).collect()] == [("s", "k", 2, "h2")]
+
+
+def test_more_keys_than_one_filter_holds(spark, monkeypatch):
+    """Keys go to several filters, which still prove nearly all orphans; the answer is that of one filter."""
+    from tessera.functions import bloom
+
+    rng = random.Random(9)
+    parents = [(f"k{i}", "x", T0, None, 1) for i in range(900)]
+    refs = [(i, rng.choice(["hot"] * 3 + [f"k{rng.randrange(900)}", f"gone{i}"]), "x", T0) for i in range(1500)]
+    want = run(spark, refs, parents)
+    monkeypatch.setattr(bloom, "KEYS", 100)
+    assert bloom.ranges(900) == 9
+    assert run(spark, refs, parents) == want == judge(refs, parents)
+    r = spark.createDataFrame([(*x, "clash") for x in refs], REF)
+    p = spark.createDataFrame([(*x, "clash") for x in parents], PAR)
+    key = F.struct("k", "h")
+    tested = o._tested(r.select("ref", "k", "h"), p.select("k", "h"), key, 900)
+    proved = tested.where("NOT _maybe").count()
+    assert tested.count() == 1500 and proved >= 0.9 * len(want)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from tessera import session
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+    assert session._one_machine("local[8]") and session._one_machine("local") and not session._one_machine("local-cluster[3,2,3000]")
