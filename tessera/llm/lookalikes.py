@@ -21,14 +21,26 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.session import cut
 
-# Letters of other scripts with the shape of a Latin letter, pair by pair.
-CYRILLIC = "А В Е Ѕ І Ј К М Н О Р С Т Х а е о р с у х ѕ і ј һ ԁ ԛ ԝ Ԛ Ԝ ӏ Ӏ".split()
-CYRILLIC_AS = "A B E S I J K M H O P C T X a e o p c y x s i j h d q w Q W l I".split()
-GREEK = "Α Β Ε Ζ Η Ι Κ Μ Ν Ο Ρ Τ Υ Χ ο ϳ".split()
-GREEK_AS = "A B E Z H I K M N O P T Y X o j".split()
-ARMENIAN, ARMENIAN_AS = ["օ", "հ"], ["o", "h"]
-#: Hyphens of the same length as the ASCII one.
-HYPHENS = "‐‑﹣－"
+# Letters of other scripts with the shape of a Latin letter, and beside them the Latin letters, pair by pair.
+CYRILLIC = "А В Е Ѕ І Ј К М Н О Р С Т Х Ү Ѵ Ԍ Ԛ Ԝ Ӏ Ӕ Ә Ӡ а е о р с у х ѕ і ј һ ԁ ԛ ԝ ӏ ү ѵ ӕ ә ӡ ԍ".split()
+CYRILLIC_AS = "A B E S I J K M H O P C T X Y V G Q W I Æ Ə Ʒ a e o p c y x s i j h d q w l y v æ ə ʒ ɢ".split()
+GREEK = "Α Β Ε Ζ Η Ι Κ Μ Ν Ο Ρ Τ Υ Χ Ϲ Ϳ α γ ι ν ο ρ υ ϲ ϳ".split()
+GREEK_AS = "A B E Z H I K M N O P T Y X C J a y i v o p u c j".split()
+ARMENIAN = "Լ Օ Ս Տ զ հ յ ո ս ց օ".split()
+ARMENIAN_AS = "L O U S q h j n u g o".split()
+CHEROKEE = "Ꭰ Ꭱ Ꭲ Ꭵ Ꭹ Ꭺ Ꭻ Ꭼ Ꮃ Ꮇ Ꮋ Ꮐ Ꮓ Ꮟ Ꮢ Ꮤ Ꮩ Ꮪ Ꮮ Ꮯ Ꮲ Ꮶ Ꮷ Ᏻ Ᏼ".split()
+CHEROKEE_AS = "D R T i y A J E W M H G Z b R W V S L C P K d G B".split()
+LISU = "ꓐ ꓑ ꓓ ꓔ ꓖ ꓗ ꓙ ꓚ ꓜ ꓝ ꓟ ꓠ ꓡ ꓢ ꓣ ꓦ ꓧ ꓪ ꓫ ꓬ ꓮ ꓰ ꓲ ꓳ ꓴ".split()
+LISU_AS = "B P D T G K J C Z F M N L S R V H W X Y A E I O U".split()
+COPTIC = "Ⲁ Ⲃ Ⲏ Ⲓ Ⲕ Ⲙ Ⲛ Ⲟ Ⲣ Ⲥ Ⲧ Ⲩ Ⲭ ⲟ ⲣ ⲥ".split()
+COPTIC_AS = "A B H I K M N O P C T Y X o p c".split()
+# Latin letters of one shape, and small capitals drawn as a small letter of another script.
+LATIN = "ɑ ɡ ı ɩ ȷ ᴄ ᴏ ᴜ ᴠ ᴡ ᴢ ꜱ ʙ ʜ ᴍ ᴛ ĸ".split()
+LATIN_AS = "a g i i j c o u v w z s в н м т к".split()
+# Punctuation with the shape of an ASCII mark; and hyphens, dashes of a hyphen's length and the minus.
+MARKS = "․ ꓸ ꓹ ∶ ˸ ։ ꞉ ꓽ ⁄ ∕ ∗ ∣ ∼ ǃ".split()
+MARKS_AS = ". . , : : : : : / / * | ~ !".split()
+HYPHENS = "‐‑﹣－‒−˗⁃"
 #: Fillers and selectors that show nothing although they are not format characters.
 FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤ"
 #: Format characters that do show.
@@ -50,7 +62,11 @@ def _invisible(ch: str) -> bool:
 
 def _rules():
     """(name, rule) pairs; a rule gives the replacement of one character, or None."""
-    shapes = dict(zip(CYRILLIC + GREEK + ARMENIAN, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS))
+    shapes: dict[str, str] = {}
+    for letters, latin in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS), (LISU, LISU_AS), (COPTIC, COPTIC_AS), (LATIN, LATIN_AS), (MARKS, MARKS_AS)):
+        if len(letters) != len(latin) or shapes.keys() & set(letters):
+            raise ValueError("shapes must be pairs, each letter once")
+        shapes |= zip(letters, latin)
 
     def form(ch: str) -> str | None:
         kind, _, rest = unicodedata.decomposition(ch).partition("> ")
@@ -212,3 +228,14 @@ def same_looking(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     two = d.select(F.col("id").alias("i2"), F.col("text").alias("t2"))
     met = pairs.join(one, "t1").join(two, "t2")
     return met.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b")).where("a <> b").distinct()
+
+
+def look_alike_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document whose form several different texts share: its id, ``class`` (the smallest id of the form) and
+    ``texts`` (how many different texts the form has). The pairs of :func:`same_looking` without writing them out:
+    as large as the documents, however many copies there are."""
+    d = documents.select(F.col(id_col).alias("id"), _digests(F.col(text_col)).alias("d")).where("d.form IS NOT NULL")
+    d = cut(d.select("id", F.col("d.form").alias("form"), F.col("d.text").alias("text")), "digests")
+    each = d.groupBy("form", "text").agg(F.min("id").alias("first"))
+    forms = each.groupBy("form").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    return d.join(forms, "form").select(F.col("id").alias(id_col), "class", "texts").distinct()

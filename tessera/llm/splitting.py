@@ -1,9 +1,10 @@
 """Splitting oversized texts at natural boundaries, by pointer doubling.
 
-Every boundary of a text (paragraph, line, sentence, word, and hard cuts inside
+Every boundary of a text (paragraph, line, sentence, word, and every place inside
 runs without any) is joined to its farthest legal successor; squaring the
-successor table until nothing new is reached gives all greedy cuts at once. All
-texts of an Arrow batch share one table, so there is no loop over pieces.
+successor table until nothing new is reached gives all greedy cuts at once, hard
+ones included. All texts of an Arrow batch share one table, so there is no loop over
+pieces.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ FILL = 0.5
 #: A composed normal form is at most three times shorter than the raw text is long: see prefilter.
 GROWTH = 3
 #: Code points per table: bounds the memory of a worker whatever the batch holds.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 # Characters that end a sentence, that may follow its end, and white space.
 ENDERS = ".!?…。！？:;"
@@ -81,7 +82,7 @@ def cut_tables(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP, fil
     mark = np.zeros(len(c) + 1, dtype=bool)
     for positions in (starts, stops, bounds[3]):
         mark[positions] = True
-    mark[_hard_nodes(np.flatnonzero(mark), c, starts, limit, step)] = True
+    mark |= _inside(np.flatnonzero(mark), len(c), step)
     nodes = np.flatnonzero(mark)
     end = stops[np.searchsorted(stops, nodes, side="right").clip(max=len(stops) - 1)]
     opens = np.zeros(len(c) + 1, dtype=bool)
@@ -102,7 +103,7 @@ def cut_tables(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP, fil
         ok = (far >= 0) & (at > nodes[todo]) & (at >= least)
         succ[todo[ok]] = np.searchsorted(nodes, at[ok])
     todo = np.nonzero(succ < 0)[0]
-    succ[todo] = np.searchsorted(nodes, reach[todo], side="right") - 1  # the hard cut at or just before the limit
+    succ[todo] = np.searchsorted(nodes, _whole(c, reach[todo]) if step > 64 else reach[todo])  # a hard cut at the limit
 
     reached = np.zeros(len(nodes), dtype=bool)
     front = np.searchsorted(nodes, starts)
@@ -122,26 +123,20 @@ def cut_tables(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP, fil
     return out
 
 
-def _hard_nodes(nodes: np.ndarray, c: np.ndarray, starts: np.ndarray, limit: int, step: int) -> np.ndarray:
-    """Cuts inside runs without a boundary: every ``step`` from the run's start, not before a combining mark."""
-    gaps = np.diff(nodes)
-    out = []
-    for i in np.nonzero(gaps > step)[0]:
-        a, b = int(nodes[i]), int(nodes[i + 1])
-        at = a + (limit if np.searchsorted(starts, a, "right") > np.searchsorted(starts, a, "left") else step)
-        while at < b:
-            back = at
-            while step > 64 and back > at - 32 and _joins(int(c[back])):
-                back -= 1
-            at = back if back > at - 32 else at
-            out.append(at)
-            at += step
-    return np.array(out, dtype=np.int64)
-
-
-def _joins(code: int) -> bool:
-    """Marks, joiners and selectors, which belong to the character before them."""
-    return 0x300 <= code <= 0x36F or code in (0x200D,) or 0xFE00 <= code <= 0xFE0F or 0x1F3FB <= code <= 0x1F3FF
+def _inside(nodes: np.ndarray, n: int, step: int) -> np.ndarray:
+    """Marks every position inside a run without a boundary that is longer than a piece: a hard cut may fall on any."""
+    gaps = np.flatnonzero(np.diff(nodes) > step)
+    edge = np.zeros(n + 2, dtype=np.int8)
+    edge[nodes[gaps] + 1] = 1
+    edge[nodes[gaps + 1]] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
+def _whole(c: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``at`` moved back, by less than 32, to the start of the character it would cut from its marks."""
+    marks = ((c >= 0x300) & (c <= 0x36F)) | (c == 0x200D) | ((c >= 0xFE00) & (c <= 0xFE0F)) | ((c >= 0x1F3FB) & (c <= 0x1F3FF))
+    starts = np.maximum.accumulate(np.where(marks, -1, np.arange(len(c))))[at]
+    return np.where(starts > at - 32, starts, at)
 
 
 def split_texts(

@@ -10,6 +10,9 @@ SAME = [
     ("word", "wo­rd"), ("word", "﻿word"), ("ABC 123", "ＡＢＣ　１２３"), ("file", "ﬁle"), ("vi", "ⅵ"), ("plain", "𝗉𝗅𝖺𝗂𝗇"), ("mono", "𝚖𝚘𝚗𝚘"),
     ("scope", "ѕсоре"), ("TAX", "ΤΑΧ"), ("ëi", "ёi"), ("первый", "первый"), ("가", "가"), ("K", "K"), ("کتاب", "ﮐﺘﺎﺏ"),
 ]
+SAME += list(zip("ν ρ α γ ѵ Ѵ Ү ү ӕ ԍ ո ս Ս Օ օ յ ց Ꭺ Ꮪ ꓮ Ⲟ ϲ Ϲ ɑ ɡ ı − ‒ ․ ∶".split(), "v p a y v V Y y æ ɢ n u U O o j g A S A O c C a g i - - . :".split()))
+SAME += [("nаïve", "naïve"), ("ό", "ó"), ("ᴛ", "т")]
+APART = [("σ", "o"), ("η", "n"), ("ω", "w"), ("κ", "k"), ("χ", "x"), ("β", "ß"), ("м", "m"), ("т", "t"), ("в", "b"), ("п", "n"), ("ь", "b"), ("—", "-"), ("–", "−"), ("‘a’", "'a'"), ("“a”", '"a"'), ("İ", "I"), ("ſ", "s"), ("ſ", "f"), ("Һ", "H"), ("з", "3"), ("б", "6"), ("…", "..."), ("·", "."), ("×", "x"), ("ℓ", "l")]
 DIFFERENT = [
     ("a", "A"), ("e", "é"), ("2", "²"), ("4", "④"), ("a b", "ab"), ("a\nb", "a b"), ("a\nb", "a\n\nb"), ("l", "1"), ("O", "0"), ("b", "𝐛"), ("a–b", "a-b"), ("и", "u"), ("ß", "ss"), ("a\tb", "a b"), ("a b", "a b"),
 ]
@@ -20,7 +23,7 @@ def test_same(a, b):
     assert k.one_form(a) == k.one_form(b)
 
 
-@pytest.mark.parametrize(("a", "b"), DIFFERENT)
+@pytest.mark.parametrize(("a", "b"), DIFFERENT + APART)
 def test_different(a, b):
     assert k.one_form(a) != k.one_form(b)
 
@@ -52,3 +55,11 @@ def test_pairs(spark):
 def test_long_text():
     t = "word ѕсоре " * 200_000
     assert k.one_form(t) == "word scope " * 200_000
+
+
+def test_classes_are_the_pairs_without_copies(spark):
+    rows = [(i, "scope") for i in range(5)] + [(9, "ѕсоре"), (10, "ѕсоре"), (11, "alone"), (12, "alone"), (13, None), (14, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in k.look_alike_classes(docs).collect()}
+    assert got == {(i, 0, 2) for i in [*range(5), 9, 10]}
+    assert k.same_looking(docs).count() == 10 and k.look_alike_classes(docs.where("false")).count() == 0

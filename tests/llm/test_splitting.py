@@ -57,3 +57,23 @@ def test_rows(spark):
     assert all(p.content[:200] == text[p.start : p.start + 200] and len(p.content) <= 2000 for p in pieces)
     assert {r.memory_id for r in split_texts(df, "memory_id", "content", pieces=False).collect()} == {"a", "f", None}
     assert split_texts(df.where("false"), "memory_id", "content").count() == 0
+
+
+def test_hard_cuts_equal_a_plain_loop():
+    """Runs of letters and combining marks: the cuts of the squared table are those of one step after another."""
+    rng = random.Random(6)
+    marks = "́̂️‍"
+    texts = ["".join(rng.choice("xyz") + "".join(rng.choices(marks, k=rng.choice([0, 0, 1, 3]))) for _ in range(rng.randint(1, 900))) for _ in range(20)]
+    texts += ["x" * 50 + "́" * 400, "plain words before " + "q" * 700 + " and after"]
+    limit, overlap = 150, 30
+    for t, cuts in zip(texts, cut_tables(texts, limit, overlap)):
+        valid(t, cuts, limit, overlap)
+        if " " in t:
+            continue
+        at, want = 0, [0]
+        while len(t) - at > (limit if at == 0 else limit - overlap):
+            at += limit if at == 0 else limit - overlap
+            back = next((p for p in range(at, at - 32, -1) if t[p] not in marks), at)
+            at = back
+            want.append(at)
+        assert cuts.tolist() == [*want, len(t)]
