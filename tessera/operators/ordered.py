@@ -41,3 +41,16 @@ def running_sum(df: DataFrame, scope: list[str], at: str, tie: str, amount: str,
     within = Window.partitionBy(*scope, "_b").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(sums, same).drop(*[f"_s{i}" for i in range(len(scope))], "_sb")
     return joined.withColumn(out, F.col("_start") + F.sum(amount).over(within)).drop("_b", "_start")
+
+
+def carried_last(df: DataFrame, scope: list[str], at: str, tie: str, value: str, out: str, seconds: int = 86_400) -> DataFrame:
+    """Adds ``out``: the last ``value`` that is not null over the rows up to and with this one in its scope."""
+    rows = df.withColumn("_b", bucket(at, seconds))
+    some = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("a"), F.col(tie).alias("t"), F.col(value).alias("v")))
+    ends = rows.groupBy(*scope, "_b").agg(F.max(some).alias("_end"))
+    before = Window.partitionBy(*scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(scope)], F.col("_b").alias("_sb"), F.last("_end.v", ignorenulls=True).over(before).alias("_start"))
+    same = [rows[c].eqNullSafe(ends[f"_s{i}"]) for i, c in enumerate(scope)] + [rows["_b"].eqNullSafe(ends["_sb"])]
+    within = Window.partitionBy(*scope, "_b").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(ends, same).drop(*[f"_s{i}" for i in range(len(scope))], "_sb")
+    return joined.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(within), F.col("_start"))).drop("_b", "_start")
