@@ -1,10 +1,12 @@
 """Rebuilding conversations from message rows.
 
-Rows are sessionized by channel and put in order, their roles are read from the
-column (none is inferred), and sessions that are empty, broken or without
-reciprocal replies are dropped. Where the channel is a session id (as in
-``chat_messages``) the order is the ordinal and times play no part. Where a channel holds many sessions, :func:`split_at_gaps` cuts it at an
-inactivity gap that :func:`calibrated_gap` reads off the data.
+Rows are sessionized by channel and put in order, and sessions that are empty,
+broken or without reciprocal replies are dropped. Where the channel is a session id
+with ordinals (:func:`session_verdicts`, :func:`conversations`), the order is the
+ordinal, roles are read from the column and times play no part. Where a channel
+holds many sessions (:func:`rebuilt_sessions`), rows are sorted by time, the channel
+is split at an inactivity gap read off the data, roles that are missing are inferred
+from their neighbours, and sessions in which only one side speaks are dropped.
 
 No step holds a whole session in one task: order is checked inside ranges of
 ordinals (or days), each range leaves one summary row, and only the summaries of
@@ -18,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.changefeed import plain
-from tessera.operators.ordered import running_sum, with_previous
+from tessera.operators.ordered import carried_last, running_sum, with_previous
 from tessera.session import cut
 
 #: Ordinals per range.
@@ -168,3 +170,36 @@ def split_at_gaps(messages: DataFrame, channel: str, time: str, key: str, gap: f
     opens = F.coalesce(F.col("_gap") >= gap, F.lit(False)).cast("bigint")
     rows = _gaps(messages, channel, time, key).withColumn("_new", opens)
     return running_sum(rows, [channel], time, key, "_new", "part").drop("_new", "_gap")
+
+
+def rebuilt_sessions(messages: DataFrame, channel: str, time: str, key: str, role: str, content: str, hint: Column | None = None, gap: float | None = None) -> DataFrame:
+    """Sessions of channels that hold many: channel, part, turn (from 0), role, inferred, time, key, content.
+
+    Deliveries of one channel that are equal in role (without case and surrounding white
+    space) and content and come at one time are one turn. Rows without channel, time or
+    visible content are left out: they cannot be placed or say nothing. A channel is split
+    where ``gap`` seconds (calibrated on the data if not given; without two different gaps
+    nothing is split) passed without a message. A role that is neither user nor assistant is
+    read from ``hint``, then inferred by taking turns from the last known one before, then
+    from the first known one of the part; a part without any opens with the user. Parts
+    in which not both speak are dropped.
+    """
+    read = F.when(plain(role).isin("user", "assistant"), plain(role))
+    kind = F.coalesce(read, hint) if hint is not None else read
+    rows = messages.where(F.col(channel).isNotNull() & F.col(time).isNotNull() & visible(content))
+    turns = rows.groupBy(channel, time, F.coalesce(plain(role), F.lit("")).alias("_spelled"), content).agg(F.min(key).alias(key), F.max(kind).alias("_known"), F.max(read).alias("_read"))
+    turns = cut(turns.drop("_spelled"), "turns")
+    gap = calibrated_gap(turns, channel, time, key) if gap is None else gap
+    parts = split_at_gaps(turns, channel, time, key, gap) if gap is not None else turns.withColumn("part", F.lit(0).cast("bigint"))
+    scope = [channel, "part"]
+    placed = running_sum(parts.withColumn("_one", F.lit(1).cast("bigint")), scope, time, key, "_one", "_n").drop("_one")
+    placed = placed.withColumn("turn", F.col("_n") - 1).drop("_n")
+    # user at even places: 0, at odd ones: 1; null where the role is not known
+    phase = F.when(F.col("_known").isNotNull(), (F.col("turn") + (F.col("_known") == "assistant").cast("bigint")) % 2)
+    placed = cut(carried_last(placed.withColumn("_own", phase), scope, time, key, "_own", "_phase"), "placed")
+    first = placed.groupBy(*scope).agg(F.min_by("_own", F.when(F.col("_own").isNotNull(), F.col("turn"))).alias("_first"))
+    said = placed.join(first, scope).withColumn("_phase", F.coalesce("_phase", "_first", F.lit(0)))
+    said = said.withColumn("role", F.coalesce("_known", F.when((F.col("turn") + F.col("_phase")) % 2 == 0, "user").otherwise("assistant")))
+    said = said.withColumn("inferred", F.col("_read").isNull())
+    both = said.groupBy(*scope).agg(F.min("role").alias("a"), F.max("role").alias("b")).where("a < b").select(*scope)
+    return said.join(both, scope, "left_semi").select(channel, "part", "turn", "role", "inferred", time, key, content)

@@ -22,6 +22,12 @@ def _units(s, d):
     return neighbours.unit_vectors(all_, "id", "vector", neighbours.KNN.dim)
 
 
+def _sittings(s, d):
+    """Every session id as a channel with many sittings: only questions have an intent, only answers can be refusals."""
+    hint = F.when(F.col("intent").isNotNull(), "user").when(F.col("answer_refused").isNotNull(), "assistant")
+    return c.rebuilt_sessions(read_table(s, d, "chat_messages"), "session_id", "created_at", "message_id", "role", "content", hint)
+
+
 def _dropped(s, d):
     v = c.session_verdicts(read_table(s, d, "chat_messages"), read_table(s, d, "chat_sessions"))
     return v.where("dropped IS NOT NULL").select("session_id")
@@ -33,6 +39,7 @@ QUERIES = {
     "p2_recall": lambda s, d: neighbours.recall(_units(s, d), 10),
     "p3_found": _dropped,
     "p3_conversations": lambda s, d: c.conversations(read_table(s, d, "chat_messages"), read_table(s, d, "chat_sessions")),
+    "p3_sessions": _sittings,
     "p5_found": lambda s, d: _split(s, d, False).select("memory_id").distinct(),
     "p5_pieces": lambda s, d: _split(s, d, True),
     "p6_packing": lambda s, d: packing.pack(tokens.sized(_documents(s, d), ["doc_id"]), read_table(s, d, "containers"))[0],
@@ -56,7 +63,25 @@ dropped AS (SELECT DISTINCT session_id FROM chat_sessions WHERE session_id IS NO
   AND (session_id NOT IN (SELECT session_id FROM n) OR session_id IN (SELECT session_id FROM bad)))
 """
 
+_SITTINGS = """
+WITH m AS (SELECT *, lower(regexp_replace(role, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')) AS spelled FROM chat_messages
+  WHERE session_id IS NOT NULL AND created_at IS NOT NULL AND regexp_matches(coalesce(content, ''), '[^\\s\\pZ\\p{Cc}\\p{Cf}]')),
+t AS (SELECT session_id, created_at, content, min(message_id) AS message_id, max(CASE WHEN spelled IN ('user', 'assistant') THEN spelled WHEN intent IS NOT NULL THEN 'user' WHEN answer_refused IS NOT NULL THEN 'assistant' END) AS known, max(CASE WHEN spelled IN ('user', 'assistant') THEN spelled END) AS read
+  FROM m GROUP BY session_id, created_at, coalesce(spelled, ''), content),
+g AS (SELECT *, (epoch_us(created_at) - epoch_us(lag(created_at) OVER w)) / 1e6 AS gap FROM t WINDOW w AS (PARTITION BY session_id ORDER BY created_at, message_id)),
+h AS (SELECT floor(log2(gap) * 8) AS b, count(*)::DOUBLE AS n FROM g WHERE gap > 0 GROUP BY 1),
+k AS (SELECT b, sum(n) OVER o AS n1, sum(n * b) OVER o AS m1, sum(n) OVER () AS n_all, sum(n * b) OVER () AS m_all, lead(b) OVER (ORDER BY b) AS b2 FROM h WINDOW o AS (ORDER BY b ROWS UNBOUNDED PRECEDING)),
+cal AS (SELECT pow(2, (b + 1 + b2) / 2 / 8) AS pause FROM k WHERE b2 IS NOT NULL ORDER BY pow(m1 / n1 - (m_all - m1) / (n_all - n1), 2) * n1 * (n_all - n1) DESC, b LIMIT 1),
+p AS (SELECT *, sum(CASE WHEN gap >= (SELECT pause FROM cal) THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at, message_id ROWS UNBOUNDED PRECEDING) AS part FROM g),
+i AS (SELECT *, row_number() OVER (PARTITION BY session_id, part ORDER BY created_at, message_id) - 1 AS turn FROM p),
+f AS (SELECT *, CASE WHEN known IS NOT NULL THEN (turn + CAST(known = 'assistant' AS INTEGER)) % 2 END AS own FROM i),
+l AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY session_id, part ORDER BY turn ROWS UNBOUNDED PRECEDING) AS before, first_value(own IGNORE NULLS) OVER (PARTITION BY session_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first FROM f),
+r AS (SELECT *, coalesce(known, CASE WHEN (turn + coalesce(before, first, 0)) % 2 = 0 THEN 'user' ELSE 'assistant' END) AS role FROM l)
+SELECT session_id, CAST(part AS BIGINT) AS part, turn, role, read IS NULL AS inferred, created_at, message_id, content FROM (SELECT *, min(role) OVER q AS a, max(role) OVER q AS b FROM r WINDOW q AS (PARTITION BY session_id, part)) WHERE a < b
+"""
+
 SQL = {
+    "p3_sessions": _SITTINGS,
     "p3_found": _TURNS + "SELECT session_id FROM dropped",
     "p3_conversations": _TURNS
     + "SELECT session_id, turn, CAST(ordinal AS BIGINT) AS ordinal, role, content FROM n WHERE session_id NOT IN (SELECT session_id FROM dropped)",

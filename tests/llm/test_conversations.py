@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import conversations as c
 
@@ -79,3 +80,24 @@ def test_split_at_calibrated_gap(spark):
 def test_visible(spark, text, seen):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(c.visible("t")).first()[0] is seen
+
+
+def test_rebuilt_sessions(spark):
+    """Two sittings in one channel, roles missing in both, a repeated delivery, a one-sided part, unusable rows."""
+    sec = lambda n: AT + timedelta(seconds=n)
+    rows = [
+        ("ch", "1", sec(0), "User ", "q1", None), ("ch", "1b", sec(0), "user", "q1", None), ("ch", "2", sec(20), None, "a1", None), ("ch", "3", sec(45), "tool", "q2", None), ("ch", "4", sec(70), "assistant", "a2", None),
+        ("ch", "5", sec(40_000), None, "q3", None), ("ch", "6", sec(40_025), "assistant", "a3", None), ("ch", "7", sec(40_050), "", "hinted", "assistant"),
+        ("one", "8", sec(0), "user", "hello", None), ("one", "9", sec(30), "user", "anyone", None),
+        ("none", "10", sec(0), None, "x", None), ("none", "11", sec(21), None, "y", None),
+        (None, "12", sec(0), "user", "x", None), ("ch", "13", None, "user", "x", None), ("ch", "14", sec(1), "user", "  ", None), ("ch", "15", sec(1), "user", None, None),
+    ]
+    m = spark.createDataFrame(rows, "channel string, id string, at timestamp, role string, content string, part string")
+    out = c.rebuilt_sessions(m.withColumnRenamed("part", "said"), "channel", "at", "id", "role", "content", F.col("said"))
+    got = [(r.channel, r.part, r.turn, r.role, r.inferred, r.content) for r in out.orderBy("channel", "part", "turn").collect()]
+    assert got == [
+        ("ch", 0, 0, "user", False, "q1"), ("ch", 0, 1, "assistant", True, "a1"), ("ch", 0, 2, "user", True, "q2"), ("ch", 0, 3, "assistant", False, "a2"),
+        ("ch", 1, 0, "user", True, "q3"), ("ch", 1, 1, "assistant", False, "a3"), ("ch", 1, 2, "assistant", True, "hinted"),
+        ("none", 0, 0, "user", True, "x"), ("none", 0, 1, "assistant", True, "y"),
+    ]
+    assert c.rebuilt_sessions(m.where("false"), "channel", "at", "id", "role", "content").count() == 0
