@@ -31,8 +31,11 @@ def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def hubs(mentions: DataFrame, share: float = HUB_SHARE, least: int = HUB_LEAST) -> DataFrame:
     """Per entity the items that mention it, idf = ln(1 + N / df), and whether it is a hub."""
-    pairs = mentions.select("item", "entity").distinct()
-    n = mentions.agg(F.countDistinct("item").alias("n")).scalar()
+    return _hubs(mentions.select("item", "entity").distinct(), share, least)
+
+
+def _hubs(pairs: DataFrame, share: float, least: int) -> DataFrame:
+    n = pairs.agg(F.countDistinct("item").alias("n")).scalar()
     df = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("df")).withColumn("n", n)
     return df.select(
         "entity", "df", F.log1p(F.col("n") / F.col("df")).alias("idf"),
@@ -59,46 +62,76 @@ def neighbours(edges: DataFrame, start: DataFrame, depth: int, src: str = "src",
     return seen.where("hops > 0")
 
 
-def reach(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, excluded: DataFrame | None = None, depth: int = 1) -> DataFrame:
-    """Entities reached from seed items: item, entity, hops.
+def _other_way(links: DataFrame, a: str, b: str) -> DataFrame:
+    one = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    return one.union(one.select("b", "a")).where("a <> b").distinct()
+
 
-    Entities a seed mentions count as 2 hops; those related to them over up to
-    ``depth`` relations have 1 hop for each, the fewest counting. No path goes
-    through an excluded entity (hubs). ``seeds`` has one column, item.
+def reach(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, excluded: DataFrame | None = None, depth: int = 2, by: list[str] | None = None) -> DataFrame:
+    """Entities reached from the entities that seed items mention: by, entity, hops.
+
+    A walk takes one hop from an entity to an item that mentions it, one from an item
+    to an entity it mentions, and one over a relation in either direction; it ends at
+    ``2 * depth`` hops, and the fewest count. A seed entity is reached from itself in 2
+    (through another item that mentions it), or in fewer from another seed. No walk
+    starts from, crosses or ends at an excluded entity (hubs). ``seeds`` has the columns
+    ``by`` (searches answered at once) and item. Items that mention what was reached are
+    found by a join with ``mentions``.
+
+    Breadth first: a hop joins only the entities that were new one and two hops before.
     """
-    m = mentions.select("item", "entity").distinct()
-    r = relations.select(F.col("subject").alias("a"), F.col("object").alias("b"))
-    both = r.union(r.select("b", "a")).distinct()
+    if not 1 <= depth <= 3:
+        raise ValueError("depth is 1 to 3")
+    m = cut(mentions.select("item", "entity").dropna().distinct(), "mentions")  # read by every hop
+    return _walked(m, _other_way(relations.dropna(subset=["subject", "object"]), "subject", "object"), seeds, excluded, depth, by or [])
+
+
+def _walked(m: DataFrame, r: DataFrame, seeds: DataFrame, excluded: DataFrame | None, depth: int, by: list[str]) -> DataFrame:
     if excluded is not None:
         bad = excluded.select("entity").distinct()
         m = m.join(bad, "entity", "left_anti")
-        both = both.join(bad.withColumnRenamed("entity", "a"), "a", "left_anti").join(bad.withColumnRenamed("entity", "b"), "b", "left_anti")
-    direct = m.join(seeds.select("item").distinct(), "item", "left_semi")
-    out, front = direct.withColumn("hops", F.lit(2)), direct
-    for step in range(1, depth + 1):
-        front = front.join(both, front["entity"] == both["a"]).select("item", F.col("b").alias("entity")).distinct()
-        out = out.unionByName(front.withColumn("hops", F.lit(step)))
-    return out.groupBy("item", "entity").agg(F.min("hops").alias("hops"))
-
-
-def expand(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, retrieved: DataFrame, depth: int = 1) -> DataFrame:
-    """Items near the seeds by rare entities: item, score, route, rank by (-score, item).
-
-    Hubs are left out of every path; an entity adds idf / hops once per item; the
-    route shown is the one of fewest hops, then highest idf. Seeds and what was
-    retrieved already are not candidates.
+        r = r.join(bad.withColumnRenamed("entity", "a"), "a", "left_anti").join(bad.withColumnRenamed("entity", "b"), "b", "left_anti")
+    start = seeds.select(*by, "item").distinct().join(m, "item").select(*by, "entity").distinct()
+
+    def shared(front: DataFrame) -> DataFrame:
+        items = front.join(m, "entity").select(*by, "item").distinct()
+        return items.join(m, "item").select(*by, "entity")
+
+    levels = [cut(start, "level")]
+    seen = levels[0].withColumn("hops", F.lit(0))
+    for hop in range(1, 2 * depth + 1):
+        near = levels[-1].join(r, levels[-1]["entity"] == r["a"]).select(*by, F.col("b").alias("entity"))
+        if hop == 1:
+            related = near  # seeds that another seed reaches over one relation
+        else:
+            near = near.unionByName(shared(levels[-2]))
+        new = near.distinct().join(seen.select(*by, "entity"), [*by, "entity"], "left_anti")
+        levels.append(cut(new, "level") if hop < 2 * depth else new)
+        seen = seen.unionByName(levels[-1].withColumn("hops", F.lit(hop)))
+    own = levels[0].withColumn("hops", F.lit(2)).unionByName(related.withColumn("hops", F.lit(1)))
+    return seen.where("hops > 0").unionByName(own).groupBy(*by, "entity").agg(F.min("hops").alias("hops"))
+
+
+def expand(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, retrieved: DataFrame | None = None, depth: int = 2, by: list[str] | None = None) -> DataFrame:
+    """Items near the seeds by rare entities: by, item, score, route, in order of (by, -score, item).
+
+    Hubs are left out of every walk; an entity adds idf / hops once per item; the
+    route shown ends at the entity of fewest hops, then highest idf. Seeds and what was
+    retrieved already (``by``, item) are not candidates.
     """
-    mentions = cut(mentions.select("item", "entity").distinct(), "mentions")  # read four times below
-    h = hubs(mentions)
-    reached = reach(mentions, relations, seeds, h.where("hub"), depth).groupBy("entity").agg(F.min("hops").alias("hops"))
-    weighed = reached.join(h.select("entity", "idf"), "entity")
-    near = mentions.join(weighed, "entity")
-    near = near.join(seeds.select("item"), "item", "left_anti").join(retrieved.select("item"), "item", "left_anti")
-    per = near.groupBy("item").agg(
+    by = by or []
+    pairs = cut(mentions.select("item", "entity").dropna().distinct(), "mentions")
+    h = cut(_hubs(pairs, HUB_SHARE, HUB_LEAST), "hubs")
+    both = _other_way(relations.dropna(subset=["subject", "object"]), "subject", "object")
+    reached = _walked(pairs, both, seeds, h.where("hub"), depth, by)
+    near = pairs.join(reached.join(h.select("entity", "idf"), "entity"), "entity")
+    known = seeds.select(*by, "item")
+    known = known if retrieved is None else known.union(retrieved.select(*by, "item"))
+    per = near.join(known.distinct(), [*by, "item"], "left_anti").groupBy(*by, "item").agg(
         F.round(F.sum(F.col("idf") / F.col("hops")), 9).alias("score"),
         F.min_by("entity", F.struct("hops", (-F.col("idf")).alias("i"), "entity")).alias("route"),
     )
-    return per.orderBy(F.desc("score"), "item")
+    return per.orderBy(*by, F.desc("score"), "item")
 
 
 def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:

@@ -43,6 +43,12 @@ def _expand(s, d):
     return g.expand(mentions(s, d), relations(s, d), _seeds(s, d), s.createDataFrame([(5,), (6,)], "item long"))
 
 
+def _reached(s, d):
+    """Default depth, hubs in no walk."""
+    m = mentions(s, d)
+    return g.reach(m, relations(s, d), _seeds(s, d), g.hubs(m).where("hub"))
+
+
 def _near(s, d):
     return v.near_pairs(read_table(s, d, "embeddings"), 0.5, "vec_id", "embedding")
 
@@ -81,6 +87,7 @@ QUERIES = {
     "entity_df_hubs": lambda s, d: g.hubs(mentions(s, d)).withColumn("idf", F.round("idf", 6)),
     "graph_neighbours": lambda s, d: g.neighbours(relations(s, d), s.createDataFrame([("p1",)], "node string"), 3, "subject", "object"),
     "graph_reach": lambda s, d: g.reach(mentions(s, d), relations(s, d), _seeds(s, d), None, 1),
+    "graph_reach_past_hubs": _reached,
     "hub_suppressed_expansion": lambda s, d: _expand(s, d).select("item", "score"),
     "graph_prune": lambda s, d: mentions(s, d).join(read_table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("item")), "item", "left_anti").groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
     "graph_sync_scope": lambda s, d: g.sync_scope(_seeds(s, d), mentions(s, d).where("entity LIKE 'p%'")),
@@ -106,6 +113,17 @@ _RAW = "raw AS (SELECT l_orderkey, l_linenumber, unnest(['p' || l_partkey, 's' |
 _MEN = f"{_RAW}, men AS (SELECT l_orderkey AS item, entity, count(*) AS mentions, min(l_linenumber) AS first_ordinal FROM raw GROUP BY ALL)"
 _REL = "rel AS (SELECT 'p' || p_partkey AS subject, 'made_by' AS predicate, p_brand AS object, count(*) AS assertions, max(p_retailprice) AS confidence FROM part GROUP BY ALL)"
 _HUB = "hub AS (SELECT entity, count(DISTINCT item) AS df, ln(1 + (SELECT count(DISTINCT item) FROM men) / count(DISTINCT item)) AS idf, count(DISTINCT item) >= greatest(2, ceil(0.1e0 * (SELECT count(DISTINCT item) FROM men))) AS hub FROM men GROUP BY 1)"
+
+
+def _walk(edges, hops):
+    """Walks over mentions and relations between entities that ``edges`` has; a node is an item ('i' and its key) or an entity ('e' and its name)."""
+    return f"""ed AS (SELECT 'i' || item AS a, 'e' || entity AS b FROM {edges} UNION SELECT 'e' || entity, 'i' || item FROM {edges}
+  UNION SELECT 'e' || subject, 'e' || object FROM rel WHERE subject IN (SELECT entity FROM {edges}) AND object IN (SELECT entity FROM {edges}) UNION SELECT 'e' || object, 'e' || subject FROM rel WHERE subject IN (SELECT entity FROM {edges}) AND object IN (SELECT entity FROM {edges})),
+st AS (SELECT DISTINCT 'e' || entity AS o FROM {edges} WHERE item IN (1, 2, 3)),
+wk AS (SELECT o, o AS node, 0 AS hops FROM st UNION SELECT o, b, hops + 1 FROM wk JOIN ed ON a = node WHERE hops < {hops}),
+reached AS (SELECT substr(node, 2) AS entity, min(hops) AS hops FROM (SELECT node, hops FROM wk WHERE node <> o AND node LIKE 'e%' UNION ALL SELECT o, 2 FROM st) GROUP BY 1)"""
+
+
 _COLL = "(SELECT p_partkey, p_brand, p_name, lower(p_type) AS kind, CASE WHEN ends_with(b, 's') AND length(b) > 3 THEN left(b, -1) WHEN ends_with(b, 'py') AND length(b) > 4 THEN left(b, -2) WHEN ends_with(b, 'md') AND length(b) > 4 THEN left(b, -2) WHEN ends_with(b, 'txt') AND length(b) > 5 THEN left(b, -3) WHEN ends_with(b, 'json') AND length(b) > 6 THEN left(b, -4) WHEN ends_with(b, 'yml') AND length(b) > 5 THEN left(b, -3) WHEN ends_with(b, 'yaml') AND length(b) > 6 THEN left(b, -4) ELSE b END AS key FROM (SELECT *, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS b FROM part))"
 _CC = "e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS r FROM e2 UNION SELECT e2.b, w.r FROM w JOIN e2 ON e2.a = w.node WHERE w.r < e2.b) SELECT node, min(r) AS component FROM w GROUP BY 1"
 _MAP = "CASE WHEN entity IN ('s1', 's3') THEN 's2' ELSE entity END"
@@ -124,12 +142,10 @@ SELECT difference, count(*) AS n FROM (SELECT CASE WHEN a.item IS NULL THEN 'mis
     "entity_df_hubs": f"WITH {_MEN}, {_HUB} SELECT entity, df, round(idf, 6) AS idf, hub FROM hub",
     "graph_neighbours": f"""WITH RECURSIVE {_REL}, both_ AS (SELECT subject AS a, object AS b FROM rel UNION SELECT object, subject FROM rel),
 w AS (SELECT 'p1' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN both_ ON a = node WHERE hops < 3) SELECT node, min(hops) AS hops FROM w GROUP BY 1 HAVING min(hops) > 0""",
-    "graph_reach": f"""WITH {_MEN}, {_REL}, direct AS (SELECT item, entity FROM men WHERE item IN (1, 2, 3)), both_ AS (SELECT subject AS a, object AS b FROM rel UNION SELECT object, subject FROM rel)
-SELECT item, entity, min(hops) AS hops FROM (SELECT item, entity, 2 AS hops FROM direct UNION ALL SELECT item, b, 1 FROM direct JOIN both_ ON a = entity) GROUP BY ALL""",
-    "hub_suppressed_expansion": f"""WITH {_MEN}, {_REL}, {_HUB}, ok AS (SELECT * FROM hub WHERE NOT hub), both_ AS (SELECT subject AS a, object AS b FROM rel UNION SELECT object, subject FROM rel),
-direct AS (SELECT DISTINCT entity FROM men JOIN ok USING (entity) WHERE item IN (1, 2, 3)),
-r AS (SELECT entity, min(hops) AS hops FROM (SELECT entity, 2 AS hops FROM direct UNION ALL SELECT b, 1 FROM direct JOIN both_ ON a = entity) GROUP BY 1)
-SELECT item, round(sum(idf / hops), 9) AS score FROM men JOIN r USING (entity) JOIN ok USING (entity) WHERE item NOT IN (1, 2, 3, 5, 6) GROUP BY 1""",
+    "graph_reach": f"WITH RECURSIVE {_MEN}, {_REL}, {_walk('men', 2)} SELECT * FROM reached",
+    "graph_reach_past_hubs": f"WITH RECURSIVE {_MEN}, {_REL}, {_HUB}, ok AS (SELECT item, entity FROM men JOIN hub USING (entity) WHERE NOT hub), {_walk('ok', 4)} SELECT * FROM reached",
+    "hub_suppressed_expansion": f"""WITH RECURSIVE {_MEN}, {_REL}, {_HUB}, ok AS (SELECT item, entity FROM men JOIN hub USING (entity) WHERE NOT hub), {_walk('ok', 4)}
+SELECT item, round(sum(idf / hops), 9) AS score FROM men JOIN reached USING (entity) JOIN hub USING (entity) WHERE item NOT IN (1, 2, 3, 5, 6) GROUP BY 1""",
     "graph_prune": f"WITH {_MEN} SELECT entity, count(*) AS n FROM men WHERE item NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
     "graph_sync_scope": f"WITH {_MEN}, m AS (SELECT * FROM men WHERE entity LIKE 'p%') SELECT item, 'incremental' AS mode FROM (SELECT item FROM m WHERE entity IN (SELECT entity FROM m WHERE item IN (1, 2, 3)) UNION SELECT unnest([1, 2, 3]))",
     "canonical_keys": f"SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS key, key AS collapsed FROM {_COLL}",
