@@ -19,15 +19,20 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def parse_search(query: str) -> list[list[tuple[tuple[str, ...], bool]]]:
+def parse_search(query: str) -> list[list[tuple[tuple[str | None, ...], bool]]]:
     """Alternatives, each a list of (phrase, excluded): quotes make a phrase, ``or`` parts alternatives, a
-    leading minus excludes. Never an error; a query of stop words alone has no alternative."""
-    out: list[list[tuple[tuple[str, ...], bool]]] = [[]]
+    leading minus excludes. A stop word inside a phrase is None: it keeps its place. Never an error; a query of
+    stop words alone, or of exclusions alone, has no alternative."""
+    out: list[list[tuple[tuple[str | None, ...], bool]]] = [[]]
     for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
         if word == "or" and not minus:
             out.append([])
             continue
-        phrase = tuple(w for w in re.findall(r"\w+", quoted or word) if w not in STOP_WORDS)
+        phrase = [None if w in STOP_WORDS else w for w in re.findall(r"\w+", quoted or word)]
+        while phrase and phrase[-1] is None:
+            phrase.pop()
+        while phrase and phrase[0] is None:
+            phrase.pop(0)
         if phrase:
-            out[-1].append((phrase, minus == "-"))
+            out[-1].append((tuple(phrase), minus == "-"))
     return [a for a in out if any(not excluded for _, excluded in a)]

@@ -5,9 +5,6 @@ from __future__ import annotations
 import functools
 import re
 
-import pandas as pd
-from pyspark.sql import functions as F, types as T
-
 # Fixed values of the Porter2 algorithm: words with a stem of their own, words left alone, endings and what they become.
 OWN = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
 ALONE = "sky news howe atlas cosmos bias andes".split()
@@ -82,9 +79,3 @@ def stem(word: str) -> str:
     elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
     return w.lower()
-
-
-@F.pandas_udf(T.StringType())
-def stemmed(words: pd.Series) -> pd.Series:
-    """Column form; each worker remembers the words it has met."""
-    return pd.Series([None if w is None else stem(w) for w in words], dtype=object)

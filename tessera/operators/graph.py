@@ -88,7 +88,7 @@ def reach(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, excluded:
 
 def _walked(m: DataFrame, r: DataFrame, seeds: DataFrame, excluded: DataFrame | None, depth: int, by: list[str]) -> DataFrame:
     if excluded is not None:
-        bad = excluded.select("entity").distinct()
+        bad = cut(excluded.select("entity").distinct(), "excluded")
         m = m.join(bad, "entity", "left_anti")
         r = r.join(bad.withColumnRenamed("entity", "a"), "a", "left_anti").join(bad.withColumnRenamed("entity", "b"), "b", "left_anti")
     start = seeds.select(*by, "item").distinct().join(m, "item").select(*by, "entity").distinct()

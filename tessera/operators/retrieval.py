@@ -2,41 +2,61 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions.analysis import STOP_WORDS, parse_search, words
 from tessera.functions.scores import rrf_term, strength
-from tessera.functions.stemming import stem, stemmed
+from tessera.functions.stemming import stem
+from tessera.session import cut, remove
 
 #: Results reranked by the costly scorer, and the step by which the tail is put below them.
 RERANKED, TAIL_STEP = 25, 1e-6
 
 
-def postings(docs: DataFrame, id_col: str, text: str, terms: list[str] | None = None, stems: bool = False) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, text: str, stems: bool = False) -> DataFrame:
     """Inverted index as rows: term, id, positions (ascending, from 0). Stop words keep their place but have no row.
 
-    With ``stems`` terms are Porter2 stems. With ``terms`` only those, filtered
-    before anything is shuffled. Null and empty texts have no row.
+    With ``stems`` terms are Porter2 stems, worked out once for each distinct word of a
+    batch. Null and empty texts have no row; a repeated row repeats its rows. A document
+    is one row, so nothing is shuffled.
     """
-    p = docs.select(F.col(id_col).alias("id"), F.posexplode(words(text)).alias("pos", "term"))
-    p = p.where(~F.col("term").isin(STOP_WORDS))
-    p = p.withColumn("term", stemmed("term")) if stems else p
-    p = p.where(F.col("term").isin(terms)) if terms is not None else p
-    return p.groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-def keyword_tf_topk(docs: DataFrame, id_col: str, text: str, queries: dict[int, str], k: int) -> DataFrame:
-    """Documents that hold every word of a query, by total occurrences, ties by id: query, id, score, rank."""
-    asked = [(q, t) for q, s in queries.items() for a in parse_search(s)[:1] for p, no in a if not no for t in p]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(sorted(set(asked)), "query int, term string")
-    need = wanted.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    hits = postings(docs, id_col, text, sorted({t for _, t in asked})).join(wanted, "term")
-    per = hits.groupBy("query", "id").agg(F.count(F.lit(1)).alias("have"), F.sum(F.size("positions")).alias("score"))
-    per = per.join(need, "query").where("have = need")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return per.select("query", "id", "score", rank.alias("rank")).where(F.col("rank") <= k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            terms: dict[str, int] = {}
+            number = [-1 if w in STOP_WORDS else terms.setdefault(stem(w) if stems else w, len(terms)) for w in coded.dictionary.to_pylist()]
+            term = np.array(number, dtype=np.int64)[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            order = np.lexsort((pos, term, row))
+            order = order[term[order] >= 0]
+            row, term, pos = row[order], term[order], pos[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else np.zeros(0, dtype=int)
+            held = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(pos))
+            names = pa.array(list(terms), pa.string())
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(term[first])), batch.column(0).take(pa.array(row[first])), held], names=["term", "id", "positions"])
+
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", kind), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    return docs.select(id_col, words(text).alias("w")).mapInArrow(run, schema)
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Stores postings by term, so that a search reads the row groups of its own terms. Terms are parted by
+    (term, id): one that a third of the documents hold is spread over files."""
+    made = cut(index, "postings")  # ranges are found by a sample first
+    made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+    remove(index.sparkSession, made.__dict__["_written"])
 
 
 def cover_density(lists: list[list[int]], weight: float = 0.1) -> float:
@@ -45,51 +65,70 @@ def cover_density(lists: list[list[int]], weight: float = 0.1) -> float:
     if not lists or any(not x for x in lists):
         return 0.0
     spots = sorted((p, i) for i, x in enumerate(lists) for p in x)
+    places = [p for p, _ in spots]
     last: dict[int, int] = {}
     score, open_from = 0.0, -1
-    for p, i in spots:
+    for at, (p, i) in enumerate(spots):
         last[i] = p
         if len(last) == len(lists):
             start = min(last.values())
             if start > open_from:  # a later start: the stretch before cannot be shortened
-                held = sum(start <= q <= p for q, _ in spots)
+                held = at + 1 - bisect_left(places, start)
                 score += weight * held / (1 + max(0, (p - start) - (held - 1)))
                 open_from = start
     return score
 
 
-def keyword_topk(docs: DataFrame, id_col: str, text: str, query: str, k: int, stems: bool = True) -> DataFrame:
-    """Full search grammar (phrases, or, exclusion) over stems, ranked by cover density, ties by id: id, score, rank.
-
-    A blank query, or one of stop words alone, finds nothing. Only postings of the
-    query's words are shuffled, and one document's at a time reach Python.
+def search_score(alternatives: list, at: dict[str, list[int]]) -> float | None:
+    """The best cover density over the alternatives that a document's positions meet; None if it meets none."""
+    best = None
+    for a in alternatives:
+        ok, lists = True, []
+        for phrase, excluded in a:
+            terms = [(j, t) for j, t in enumerate(phrase) if t is not None]
+            held = [set(at.get(t, ())) for _, t in terms]
+            first = any(all(p + j in h for (j, _), h in zip(terms, held)) for p in at.get(phrase[0], ()))
+            ok &= first != excluded
+            if not excluded:
+                lists += [at.get(t, []) for _, t in terms]
+        if ok:
+            best = max(best or 0.0, cover_density(lists))
+    return best
+
+
+def keyword_search(index: DataFrame, queries: dict[int, str], k: int, stems: bool = True, within: DataFrame | None = None) -> DataFrame:
+    """Query, id, score, rank of the ``k`` best documents of each query by cover density, ties by id.
+
+    Full search grammar: phrases in quotes, ``or``, exclusion by a minus. ``index`` are :func:`postings` (of stems,
+    if ``stems``), made on the spot or read from :func:`write_index`; only rows of the queries' terms are read and
+    shuffled, once for all queries. ``within``: only documents with these ids (one column) may be found. A blank
+    query, or one of stop words alone, finds nothing.
     """
-    alternatives = parse_search(query)
-    if stems:
-        alternatives = [[(tuple(map(stem, phrase)), no) for phrase, no in a] for a in alternatives]
-    terms = sorted({t for a in alternatives for p, _ in a for t in p})
-
-    def score(at: dict[str, list[int]]) -> float | None:
-        best = None
-        for a in alternatives:
-            ok, lists = True, []
-            for phrase, excluded in a:
-                first = [p for p in at.get(phrase[0], []) if all(p + j in at.get(t, []) for j, t in enumerate(phrase))]
-                ok &= bool(first) != excluded
-                if not excluded:
-                    lists += [at.get(t, []) for t in phrase]
-            if ok:
-                best = max(best or 0.0, cover_density(lists))
-        return best
-
-    @F.pandas_udf(T.DoubleType())
+    word = stem if stems else str
+    parsed = {q: [[(tuple(t and word(t) for t in phrase), no) for phrase, no in a] for a in parse_search(s)] for q, s in queries.items()}
+    terms = sorted({t for alternatives in parsed.values() for a in alternatives for p, _ in a for t in p if t})
+
+    @F.pandas_udf("array<struct<query int, score double>>")
     def scored(found: pd.Series) -> pd.Series:
-        return pd.Series([score({r["term"]: list(r["positions"]) for r in rows}) for rows in found], dtype="float64")
+        out = []
+        for rows in found:
+            at = {r["term"]: list(r["positions"]) for r in rows}
+            each = ((q, search_score(a, at)) for q, a in parsed.items())
+            out.append([{"query": q, "score": s} for q, s in each if s is not None])
+        return pd.Series(out, dtype=object)
+
+    hits = index.where(F.col("term").isin(terms))
+    if within is not None:
+        hits = hits.join(within.toDF("id").distinct(), "id", "left_semi")
+    per = hits.groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
+    per = per.select("id", F.explode(scored("found")).alias("s")).select(F.col("s.query").alias("query"), "id", F.round("s.score", 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return per.withColumn("rank", rank).where(F.col("rank") <= k)
+
 
-    per = postings(docs, id_col, text, terms, stems).groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
-    per = per.select("id", F.round(scored("found"), 9).alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
-    per = per.orderBy(F.desc("score"), "id").limit(k)
-    return per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+def keyword_topk(docs: DataFrame, id_col: str, text: str, query: str, k: int, stems: bool = True) -> DataFrame:
+    """:func:`keyword_search` for one query over texts without a stored index: id, score, rank."""
+    return keyword_search(postings(docs, id_col, text, stems=stems), {0: query}, k, stems).select("id", "score", "rank")
 
 
 def ranked(df: DataFrame, by: list[str], score: str, id_col: str) -> DataFrame:
@@ -131,6 +170,12 @@ def signal_fusion(rankings: DataFrame, weights: dict[str, float], by: list[str],
     return ranked(out, by, "score", "id")
 
 
+def explained(signals: list[str]) -> Column:
+    """One sentence that says which signals ranked a result, how strongly and where, in the given order."""
+    parts = [F.concat(strength(F.col(f"{n}_rank")), F.lit(f" {n} (rank "), F.col(f"{n}_rank"), F.lit(")")) for n in signals]
+    return F.concat(F.lit("Ranked by "), F.concat_ws(", ", *parts), F.lit("."))
+
+
 def group_chunks(hits: DataFrame, by: list[str], doc: str, chunk: str, score: str, k: int) -> DataFrame:
     """Documents by the best, then the mean of their chunks, then id; null scores do not count."""
     per = hits.where(F.col(score).isNotNull()).groupBy(*by, doc).agg(

@@ -33,11 +33,11 @@ SHOWN = {
     "L1": "vector_topk", "L2": "keyword_topk", "L3": "nulls_last_order nulls_first_order", "L4": "random_sample", "L5": "ordering_top_k", "L6": "rerank_tail", "L7": "next_claim",
     "L8": "mmr_select prompt_packing", "L9": "history_compaction",
     "U1": "union_distinct connections", "U2": "intersect_keys shared_entities_all shared_entities", "U3": "except_keys key_difference", "U4": "replay_diff graph_divergence", "U5": "best_unordered_pair", "U6": "rrf_fusion union_all",
-    "R1": "ann_topk", "R2": "vector_topk", "R3": "not_unit_vectors", "R4": "keyword_topk keyword_grammar postings", "R5": "hybrid_documents", "R6": "rrf_fusion weighted_rrf", "R7": "five_signal_fusion",
+    "R1": "ann_topk", "R2": "vector_topk", "R3": "not_unit_vectors", "R4": "keyword_topk keyword_grammar postings stored_index", "R5": "hybrid_documents hybrid_filtered", "R6": "rrf_fusion weighted_rrf", "R7": "five_signal_fusion",
     "R8": "chunk_grouping", "R9": "rerank_tail", "R10": "recency_scores", "R11": "importance_scores", "R12": "temporal_intents", "R13": "intent_application", "R14": "five_signal_fusion",
     "R15": "citation_excerpts", "R16": "citation_integrity", "R17": "mmr_select", "R18": "mmr_select", "R19": "context_assembly", "R20": "prompt_packing", "R21": "ann_recall", "R22": "ir_metrics",
     "R23": "golden_evaluation", "R24": "weight_grid",
-    "G1": "graph_mentions graph_relations", "G2": "graph_hash", "G3": "graph_divergence", "G4": "graph_upsert", "G5": "graph_prune", "G6": "graph_neighbours", "G7": "mention_edges", "G8": "graph_reach",
+    "G1": "graph_mentions graph_relations", "G2": "graph_hash", "G3": "graph_divergence", "G4": "graph_upsert", "G5": "graph_prune", "G6": "graph_neighbours", "G7": "mention_edges", "G8": "graph_reach graph_reach_past_hubs",
     "G9": "hub_suppressed_expansion entity_df_hubs", "G10": "graph_sync_scope_all graph_sync_scope", "G11": "graph_label_counts", "G12": "connected_components similar_components",
     "E1": "canonical_keys", "E2": "canonical_names", "E3": "canonical_keys near_duplicate_names", "E4": "exact_candidates", "E5": "alias_candidates", "E6": "similar_names", "E7": "winner_choice",
     "E8": "merge_all merge_collisions merge_ledger", "E9": "normalize_text", "E10": "chunks", "E11": "sentences", "E12": "token_count", "E13": "embedding_cache", "E14": "version_changes", "E15": "line_diff", "E16": "tags",

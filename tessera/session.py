@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,3 +105,22 @@ def cut(df: DataFrame, name: str = "cut", by: list[str] | None = None, instead_o
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_written"] = path
     return out
+
+
+#: Tables made once for a session: (application, name) to folder.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, name: str, write: Callable[[str], None]) -> DataFrame:
+    """The table ``name`` of this session: ``write`` is given a folder the first time, afterwards it is read again.
+
+    ``name`` must say what the table was made from, down to the state of its source.
+    It is removed when the driver's interpreter ends.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/tessera/stored-{uuid.uuid4().hex}-{os.getpid()}"
+        write(path)
+        remove_at_exit(spark, path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

@@ -191,7 +191,13 @@ def test_keyword_search(spark):
     forms = spark.createDataFrame([(1, "They decided."), (2, "deciding now"), (3, "a decision")], "d long, t string")
     assert {x.id for x in r.keyword_topk(forms, "d", "t", "decides", 9).collect()} == {1, 2}
     assert r.keyword_topk(forms, "d", "t", "decides", 9, stems=False).count() == 0
-    assert rows(r.keyword_tf_topk(docs, "d", "t", {1: "red fox"}, 2), "id", "score") == [(1, 3), (2, 2)]
+    many = {1: "red fox", 2: '"red fox" -dog', 3: "dog or far", 4: "the", 5: ""}
+    found = r.keyword_search(r.postings(docs, "d", "t", stems=True), many, 9)
+    assert {q: {x.id for x in found.collect() if x["query"] == q} for q in many} == {1: {1, 2, 6}, 2: {1}, 3: {2, 6}, 4: set(), 5: set()}
+    assert {x.id for x in r.keyword_search(r.postings(docs, "d", "t", stems=True), {1: "red fox"}, 9, within=docs.where("d > 1").select("d")).collect()} == {2, 6}
+    apart = spark.createDataFrame([(1, "source of that claim"), (2, "source claim"), (3, "claim of that source")], "d int, t string")
+    assert {x.id for x in r.keyword_topk(apart, "d", "t", '"source of that claim"', 9).collect()} == {1}
+    assert parse_search('"the source of that claim"') == [[(("source", None, None, "claim"), False)]]
 
 
 def test_vectors_exact(spark):
