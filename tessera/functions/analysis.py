@@ -7,11 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 # English words that carry no topic.
-STOP_WORDS = """a about above after again against all am an and any are as at be because been before being below
-between both but by can did do does doing down during each few for from further had has have having he her here hers
-him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own
-same she so some such than that the their them then there these they this those through to too under until up very was
-we were what when where which while who whom why will with you your""".split()
+STOP_WORDS = ["a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your"]
 
 
 def words(text: str | Column) -> Column:

@@ -7,14 +7,14 @@ import re
 
 # Fixed values of the Porter2 algorithm: words with a stem of their own, words left alone, endings and what they become.
 OWN = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
-ALONE = "sky news howe atlas cosmos bias andes".split()
-ALONE_LATER = "inning outing canning herring earring proceed exceed succeed".split()
+ALONE = ["sky", "news", "howe", "atlas", "cosmos", "bias", "andes"]
+ALONE_LATER = ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"]
 STEP_2 = {
     "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al",
     "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
 }
 STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
-STEP_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
 V, C = "[aeiouy]", "[^aeiouy]"
 _REGION = re.compile(f"^{C}*{V}+{C}")
 _EARLY = re.compile("^(?:gener|commun|arsen)")

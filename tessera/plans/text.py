@@ -33,10 +33,20 @@ def _intents(s, d):
 
 
 def _grounding(s, d):
-    a = messages(s, d).where("lower(trim(role)) = 'assistant'")
+    a = messages(s, d).where("lower(trim(role)) = 'assistant'").select("message_id", "content").distinct()
     return a.select("message_id", tx.grounding("content", 5).alias("g")).select("message_id", "g.claims", "g.supported", "g.rate", "g.refusal", "g.grounded", F.size("g.invented").alias("invented"))
 
 
+def _reflections(s, d):
+    """Answers read as reflections on their session's pattern: nothing is exempt, the uncited claims are
+    counted anew, and one may be written only if it cites something and nothing that does not exist."""
+    m = read_table(s, d, "chat_messages").where("lower(trim(role)) = 'assistant'").select("message_id", "session_id", "content").distinct()
+    about = read_table(s, d, "chat_sessions").groupBy("session_id").agg(F.min("title").alias("pattern"))
+    g = m.join(about, "session_id").select("message_id", "session_id", "pattern", tx.grounding("content", 5, exempt=False).alias("g"), F.array_sort(F.array_distinct(tx.cited(F.coalesce("content", F.lit(""))))).alias("citations"))
+    writable = (F.size("g.invented") == 0) & (F.col("g.supported") > 0)
+    return g.select("message_id", "session_id", "pattern", F.concat_ws(",", "citations").alias("citations"), (F.col("g.claims") - F.col("g.supported")).alias("uncited"), "g.rate", writable.alias("writable"))
+
+
 def _chunked(s, d):
     return ch.chunk(docs(s, d), "doc_id", "text", F.col("kind") == "code")
 
@@ -54,12 +64,13 @@ QUERIES = {
     "normalize_text": lambda s, d: read_table(s, d, "memories").select("memory_id", normal_text("content").alias("text")).distinct(),
     "token_count": lambda s, d: docs(s, d).select("doc_id", tx.token_count("text").alias("tokens")),
     "sentences": lambda s, d: docs(s, d).select("doc_id", F.size(tx.sentence_spans("text")).alias("sentences")),
-    "tags": lambda s, d: docs(s, d).select("doc_id", F.explode(tx.tags("text")).alias("tag")),
+    "tags": lambda s, d: docs(s, d).select("doc_id", F.explode(tx.tags("text")).alias("t")).select("doc_id", "t.name", "t.label"),
     "message_intent": lambda s, d: messages(s, d).select("message_id", tx.message_intent("content").alias("intent")),
     "refers_back": lambda s, d: messages(s, d).select("message_id", tx.refers_back("content").alias("refers_back")),
     "session_titles": lambda s, d: messages(s, d).select("message_id", tx.session_title("content").alias("title")),
     "query_kinds": lambda s, d: read_table(s, d, "chat_sessions").select("session_id", tx.is_prose("title").alias("prose")).distinct(),
     "citation_grounding": _grounding,
+    "reflection_list": _reflections,
     "technical_terms": lambda s, d: docs(s, d).select("doc_id", F.explode(tx.technical_terms("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("documents")),
     "summary_grounding": lambda s, d: read_table(s, d, "memories").select("memory_id", F.size(tx.unsupported_terms("title", F.col("content"))).alias("unsupported")).distinct(),
     "temporal_intents": _intents,
@@ -76,9 +87,27 @@ _NORMAL = """WITH a AS (SELECT DISTINCT memory_id, nfc_normalize(content) AS t F
 b AS (SELECT memory_id, replace(replace(CASE WHEN left(t, 1) = chr(65279) THEN substr(t, 2) ELSE t END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM a)
 SELECT memory_id, trim(regexp_replace(regexp_replace(t, '[\\t\\v\\f\\x1c-\\x1f\\x85\\pZ]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM b"""
 
+_CITED = "[\\[【](\\d+(?:\\s*,\\s*\\d+)*)[\\]】]"
+_PARTS = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(content, '^ +| +$', '', 'g'), '([.!?])[\\s\\v]+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '')"
+_NUMBERS = f"list_transform(flatten(list_transform(regexp_extract_all(content, '{_CITED}', 1), lambda s: string_split(s, ','))), lambda n: CAST(trim(n) AS INTEGER))"
+_NEGATED = "|".join(x.replace("'", "''").replace(" ", "[^\\w'']+") for x in tx.NEGATIONS)
+_REFUSED = f"regexp_matches(lower(content), '(?:^|[^\\w''])(?:{_NEGATED})(?:[^\\w'']+[\\w'']+){{0,3}}[^\\w'']+(?:{'|'.join(tx.DECLINED)})') AND len({_NUMBERS}) = 0"
+_NO_CLAIMS = "|".join(x.replace("'", "''") for x in tx.NO_CLAIM)
+_UNBOUND = "list_filter(nums, lambda n: n < 1 OR n > 5)"
+
 SQL = {
+    "citation_grounding": f"""WITH a AS (SELECT DISTINCT message_id, coalesce(content, '') AS content FROM chat_messages WHERE lower(trim(role)) = 'assistant'),
+p AS (SELECT message_id, content, {_NUMBERS} AS nums, coalesce({_REFUSED}, false) AS refusal, list_filter({_PARTS}, lambda s: regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(regexp_replace(lower(trim(s)), '^[-*# ]+', ''), '^(?:{_NO_CLAIMS})')) AS parts FROM a),
+c AS (SELECT *, CASE WHEN refusal THEN [] ELSE coalesce(parts, []) END AS claims FROM p),
+n AS (SELECT *, len(claims) AS n, len(list_filter(claims, lambda s: regexp_matches(s, '{_CITED}'))) AS k FROM c)
+SELECT message_id, CAST(n AS INTEGER) AS claims, CAST(k AS INTEGER) AS supported, CASE WHEN n > 0 THEN round(k / n, 6) ELSE 1e0 END AS rate, refusal, len(list_distinct({_UNBOUND})) = 0 AND (n = 0 OR k = n) AS grounded, CAST(len(list_distinct({_UNBOUND})) AS INTEGER) AS invented FROM n""",
+    "reflection_list": f"""WITH a AS (SELECT DISTINCT message_id, session_id, coalesce(content, '') AS content FROM chat_messages WHERE lower(trim(role)) = 'assistant'), s AS (SELECT session_id, min(title) AS pattern FROM chat_sessions GROUP BY 1),
+p AS (SELECT message_id, session_id, pattern, {_NUMBERS} AS nums, coalesce(list_filter({_PARTS}, lambda s: regexp_matches(s, '[A-Za-z]')), []) AS claims FROM a JOIN s USING (session_id)),
+n AS (SELECT *, len(claims) AS n, len(list_filter(claims, lambda s: regexp_matches(s, '{_CITED}'))) AS k FROM p)
+SELECT message_id, session_id, pattern, array_to_string(list_sort(list_distinct(nums)), ',') AS citations, CAST(n - k AS INTEGER) AS uncited, CASE WHEN n > 0 THEN round(k / n, 6) ELSE 0e0 END AS rate, len({_UNBOUND}) = 0 AND k > 0 AS writable FROM n""",
     "normalize_text": _NORMAL,
-    "tags": "SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '#([\\pL\\pN_][\\pL\\pN_-]*)', 1))) AS tag FROM documents",
+    "tags": """WITH l AS (SELECT doc_id, unnest(t) AS label, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '#([\\pL\\pN_][\\pL\\pN_-]*)', 1) AS t FROM documents)),
+f AS (SELECT doc_id, replace(replace(lower(label), 'ß', 'ss'), 'ς', 'σ') AS name, min(i) AS i, arg_min(label, i) AS label FROM l GROUP BY ALL) SELECT doc_id, name, label FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 10""",
     "refers_back": f"SELECT message_id, len(list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+')), lambda w: w NOT IN ({_WORDS}))) < 2 AS refers_back FROM chat_messages",
     "code_definitions": "SELECT doc_id, CAST(unnest(range(0, len(d))) AS INTEGER) AS n, unnest(d) AS name FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^(?:async[ ]+)?(?:def|class|function|fn|func|struct|interface)[ ]+([A-Za-z_]\\w*)', 1) AS d FROM documents WHERE kind = 'code')",
     "token_count": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\v\\pZ\\x1c-\\x1f\\x{85}]')) AS INTEGER) AS tokens FROM documents",
