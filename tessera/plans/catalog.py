@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Plan modules; each has QUERIES and SQL.
-MODULES = ("problems", "temporal", "relational", "evidence", "retrieval", "graph", "text", "streaming", "readmodels", "assembly", "listings")
+MODULES = ("problems", "temporal", "relational", "evidence", "retrieval", "graph", "text", "streaming", "readmodels", "assembly", "listings", "reports")
 FLAGSHIP = "hybrid_documents"
 
 

@@ -16,7 +16,7 @@ TESTED = {
 
 SHOWN = {
     "S2": "blob_store", "S3": "new_artifacts", "S4": "log_append", "S5": "log_scan", "S7": "markdown_structure", "S8": "code_definitions",
-    "S10": "parser_dispatch", "S11": "kind_by_suffix", "S12": "export_json export_markdown", "S15": "stream_ingest", "S17": "message_items correction_chains superseded_messages",
+    "S10": "parser_dispatch", "S11": "kind_by_suffix", "S12": "export_items export_json export_markdown", "S15": "stream_ingest", "S17": "message_items correction_chains superseded_messages",
     "F1": "current_and_live", "F2": "search_filters search_filters_deleted", "F3": "conjunctive_tag_filter", "F4": "all_of_tags", "F5": "memories_in_range",
     "F6": "stale_rows", "F7": "substring_search", "F8": "suffix_match", "F9": "choice_phrases", "F10": "not_reviewed", "F11": "row_value_in", "F12": "glob_exclusion",
     "F13": "row_level_scope", "F14": "second_page",
@@ -41,7 +41,7 @@ SHOWN = {
     "G9": "hub_suppressed_expansion entity_df_hubs", "G10": "graph_sync_scope_all graph_sync_scope", "G11": "graph_label_counts", "G12": "connected_components similar_components",
     "E1": "canonical_keys", "E2": "canonical_names", "E3": "canonical_keys near_duplicate_names", "E4": "exact_candidates", "E5": "alias_candidates", "E6": "similar_names", "E7": "winner_choice",
     "E8": "merge_all merge_collisions merge_ledger", "E9": "normalize_text", "E10": "chunks", "E11": "sentences", "E12": "token_count", "E13": "embedding_cache", "E14": "version_changes", "E15": "line_diff", "E16": "tags",
-    "E17": "message_intent", "E18": "refers_back", "E19": "session_titles", "E20": "citation_grounding", "E21": "summary_grounding technical_terms", "E22": "citation_grounding", "E23": "query_kinds",
+    "E17": "message_intent", "E18": "refers_back", "E19": "session_titles", "E20": "citation_grounding", "E21": "summary_grounding technical_terms", "E22": "reflection_list", "E23": "query_kinds",
     "E24": "entity_extraction", "E25": "entity_extraction",
     "T1": "activity_by_day activity_by_week activity_by_month", "T2": "activity_in_range", "T3": "activity_by_day activity_in_range", "T4": "memories_as_of", "T5": "memories_in_range", "T6": "out_of_order",
     "T7": "find_gaps_by_user find_gaps_by_type find_gaps_by_source", "T8": "version_changes line_diff", "T9": "facet_changes", "T10": "confidence_horizon", "T11": "outcome_window",
@@ -52,7 +52,7 @@ SHOWN = {
     "ST8": "precompute_policy", "ST9": "surfacing_gate", "ST10": "surfacing_thresholds feedback_bar", "ST12": "pipeline_stages", "ST13": "tombstones restored_items purge_rules",
     "ST14": "tumbling_windows sliding_windows stream_tumbling stream_sliding stream_join",
     "Q1": "source_list", "Q2": "memory_detail_all memory_detail", "Q3": "decision_list", "Q4": "decision_detail", "Q5": "assumption_list", "Q6": "group_candidate_pairs", "Q7": "review_queue", "Q8": "pattern_list evidence_by_side",
-    "Q9": "summary_grounding", "Q10": "event_tail", "Q11": "surfacing_log", "Q12": "session_list superseded_messages", "Q13": "processing_status", "Q14": "backfill_targets", "Q15": "live_model",
+    "Q9": "reflection_list", "Q10": "event_tail", "Q11": "surfacing_log", "Q12": "session_list superseded_messages", "Q13": "processing_status", "Q14": "backfill_targets", "Q15": "live_model",
     "Q16": "assumption_proposals", "Q17": "entity_lookup",
 }
 

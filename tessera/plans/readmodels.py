@@ -54,8 +54,6 @@ QUERIES = {
     "session_counts_check": lambda s, d: read_table(s, d, "chat_sessions").select("session_id", "message_count").distinct().join(read_table(s, d, "chat_messages").groupBy("session_id").agg(F.countDistinct("ordinal").alias("turns")), "session_id", "left").where("message_count <> coalesce(turns, 0)").select("session_id", "message_count", F.coalesce("turns", F.lit(0)).alias("turns")),
     "superseded_messages": _superseded,
     "final_corrections": lambda s, d: follow_chain(read_table(s, d, "chat_messages").groupBy("message_id").agg(F.max("corrects_message_id").alias("c")), "message_id", "c").where("hops > 0").groupBy("hops").agg(n_().alias("n")),
-    "processing_status": lambda s, d: read_table(s, d, "candidates").select("candidate_id", "vector", "embedding_model").distinct().groupBy(F.when(F.col("vector").isNull(), "unembedded").when(F.col("embedding_model").isNull(), "unlabelled").otherwise("ready").alias("stage")).agg(n_().alias("n")),
-    "backfill_targets": lambda s, d: memories(s, d).where(rel.live()).join(evidence(s, d).where("memory_id IS NOT NULL").select("memory_id"), "memory_id", "left_anti").groupBy("kind").agg(n_().alias("n")),
     "assumption_proposals": lambda s, d: read_table(s, d, "memory_hits").select("query_id", "memory_id", "score", "searched_at").distinct().join(memories(s, d).select("memory_id", "occurred_at"), "memory_id").where("occurred_at > timestamp'2025-06-01'").join(evidence(s, d).groupBy("memory_id").agg(n_().alias("shared")), "memory_id", "left").select("query_id", "memory_id", "score", F.coalesce("shared", F.lit(0)).alias("shared")),
     "file_changes": lambda s, d: files.changed(memories(s, d).where("is_current").select("external_key", F.col("ingested_at").alias("modified_at"), F.length("content_hash").cast("long").alias("bytes")), memories(s, d).where("is_current AND kind <> 'note'").select("external_key", F.col("ingested_at").alias("modified_at"), F.length("content_hash").cast("long").alias("bytes"))).select("external_key").distinct(),
     "vanished_files": lambda s, d: files.vanished(memories(s, d).where("deleted_at IS NULL"), memories(s, d)),
@@ -87,8 +85,6 @@ SQL = {
     "final_corrections": """WITH RECURSIVE l AS (SELECT message_id, max(corrects_message_id) AS t FROM chat_messages GROUP BY 1),
 c AS (SELECT message_id AS key, message_id AS final, 0 AS hops FROM l UNION ALL SELECT c.key, l.t, c.hops + 1 FROM c JOIN l ON l.message_id = c.final WHERE l.t IS NOT NULL AND c.hops < 8)
 SELECT CAST(hops AS INTEGER) AS hops, count(*) AS n FROM (SELECT key, max(hops) AS hops FROM c GROUP BY 1) WHERE hops > 0 GROUP BY 1""",
-    "processing_status": "SELECT CASE WHEN vector IS NULL THEN 'unembedded' WHEN embedding_model IS NULL THEN 'unlabelled' ELSE 'ready' END AS stage, count(*) AS n FROM (SELECT DISTINCT candidate_id, vector, embedding_model FROM candidates) GROUP BY 1",
-    "backfill_targets": f"SELECT kind, count(*) AS n FROM {M} m WHERE {LIVE} AND memory_id NOT IN (SELECT memory_id FROM decision_evidence WHERE memory_id IS NOT NULL) GROUP BY 1",
     "assumption_proposals": f"""SELECT query_id, h.memory_id, score, coalesce(shared, 0) AS shared FROM (SELECT DISTINCT query_id, memory_id, score, searched_at FROM memory_hits) h JOIN {M} m ON m.memory_id = h.memory_id
 LEFT JOIN (SELECT memory_id, count(*) AS shared FROM {E} e GROUP BY 1) x ON x.memory_id = h.memory_id WHERE occurred_at > '2025-06-01'""",
     "file_changes": "SELECT DISTINCT external_key FROM memories m WHERE is_current AND NOT EXISTS (SELECT 1 FROM memories k WHERE k.is_current AND k.kind <> 'note' AND k.external_key = m.external_key AND k.ingested_at = m.ingested_at)",

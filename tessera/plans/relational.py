@@ -57,13 +57,6 @@ def _term_overlap(s, d):
     return a.groupBy("term").agg(n_().alias("sessions")).join(b.groupBy("term").agg(n_().alias("items")), "term")
 
 
-def _connections(s, d):
-    li = lineitem(s, d)
-    named = li.select("l_orderkey", F.concat(F.lit("p"), "l_partkey").alias("entity")).union(li.select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("entity"))).distinct()
-    mine = named.where("l_orderkey = 1").select("entity")
-    return named.where("l_orderkey <> 1").join(mine, "entity", "left_semi").groupBy("entity").agg(F.countDistinct("l_orderkey").alias("items"))
-
-
 def w_user():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
@@ -97,7 +90,6 @@ QUERIES = {
     "span_overlap": _spans,
     "jaccard_history": _jaccard,
     "term_overlap": _term_overlap,
-    "connections": _connections,
     "stats_one_pass": lambda s, d: memories(s, d).agg(n_().alias("total"), F.count_if("is_current").alias("current"), F.count_if(r.live()).alias("live"), F.countDistinct("source_id", "external_key").alias("items"), F.count_if(F.col("occurred_at").isNull()).alias("undated"), F.round(F.count_if(r.live()) / n_(), 6).alias("live_share")),
     "filtered_counts": lambda s, d: events(s, d).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("value") > 20).alias("large"), n_().alias("n")),
     "distinct_edges": lambda s, d: lineitem(s, d).where("l_partkey <> l_suppkey").agg(F.countDistinct("l_partkey", "l_suppkey", "l_returnflag").alias("edges")),
@@ -105,10 +97,7 @@ QUERIES = {
     "importance_evidence": lambda s, d: memories(s, d).groupBy("source_id", "external_key").agg(n_().alias("versions")).groupBy("versions").agg(n_().alias("items")),
     "weekly_rhythm": lambda s, d: memories(s, d).where("occurred_at IS NOT NULL AND occurred_at_source <> 'filesystem'").groupBy(F.date_trunc("week", "occurred_at").alias("week")).agg(n_().alias("n"), F.round(F.count_if(F.weekday("occurred_at") >= 5) / n_(), 6).alias("weekend_share")).where("weekend_share >= 0.4 OR weekend_share <= 0.1"),
     "corpus_fingerprint": lambda s, d: memories(s, d).agg(F.sha2(F.concat_ws("|", n_(), F.count_if("is_current"), F.unix_micros(F.max("ingested_at")), F.max("memory_id")), 256).alias("fingerprint")),
-    "system_report": lambda s, d: memories(s, d).agg(n_().alias("n")).select(F.lit("versions").alias("section"), "n").union(sources(s, d).agg(n_().alias("n")).select(F.lit("sources"), "n")).union(evidence(s, d).agg(n_().alias("n")).select(F.lit("evidence"), "n")).union(read_table(s, d, "chat_sessions").distinct().agg(n_().alias("n")).select(F.lit("sessions"), "n")),
-    "doctor_checks": lambda s, d: read_table(s, d, "candidates").distinct().agg(F.count_if(F.col("tokens") > 512).alias("oversize"), F.count_if(r.stale("embedding_model", "mini-48-v2")).alias("wrong_model"), F.count_if(F.col("vector").isNull()).alias("unembedded")),
     "relation_counts": lambda s, d: evidence(s, d).groupBy("relation").agg(n_().alias("n"), F.countDistinct("decision_id").alias("decisions")),
-    "purge_scope": lambda s, d: memories(s, d).where("external_key LIKE 'inbox/%'").join(evidence(s, d).groupBy("memory_id").agg(n_().alias("links")), "memory_id", "left").groupBy("source_id").agg(n_().alias("versions"), F.countDistinct("external_key").alias("items"), F.coalesce(F.sum("links"), F.lit(0)).alias("links")),
     "orphaned_entities": lambda s, d: part(s, d).join(lineitem(s, d), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"),
     "value_summary": lambda s, d: events(s, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.min("value").alias("least"), F.round(F.stddev_pop("value"), 6).alias("spread")),
     "message_ordinals": lambda s, d: read_table(s, d, "chat_messages").where("session_id IS NOT NULL").select("session_id", "message_id", F.row_number().over(Window.partitionBy("session_id").orderBy("received_at", "message_id")).alias("n")),
@@ -173,8 +162,6 @@ SELECT a.user_id, a.day, round(len(list_intersect(a.types, b.types))::DOUBLE / l
     "term_overlap": f"""WITH a AS (SELECT DISTINCT session_id, unnest(regexp_split_to_array(lower(title), '[^a-z]+')) AS term FROM chat_sessions),
 b AS (SELECT DISTINCT memory_id, unnest(regexp_split_to_array(lower(title), '[^a-z]+')) AS term FROM memories WHERE {LIVE})
 SELECT term, count(DISTINCT session_id) AS sessions, count(DISTINCT memory_id) AS items FROM a JOIN b USING (term) WHERE length(term) > 3 GROUP BY 1""",
-    "connections": """WITH n AS (SELECT l_orderkey, 'p' || l_partkey AS entity FROM lineitem UNION SELECT l_orderkey, 's' || l_suppkey FROM lineitem)
-SELECT entity, count(DISTINCT l_orderkey) AS items FROM n WHERE l_orderkey <> 1 AND entity IN (SELECT entity FROM n WHERE l_orderkey = 1) GROUP BY 1""",
     "stats_one_pass": f"SELECT count(*) AS total, count(*) FILTER (is_current) AS current, count(*) FILTER ({LIVE}) AS live, count(DISTINCT (source_id, external_key)) AS items, count(*) FILTER (occurred_at IS NULL) AS undated, round(count(*) FILTER ({LIVE}) / count(*), 6) AS live_share FROM {M} m",
     "filtered_counts": "SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value > 20) AS large, count(*) AS n FROM events GROUP BY 1",
     "distinct_edges": "SELECT count(DISTINCT (l_partkey, l_suppkey, l_returnflag)) AS edges FROM lineitem WHERE l_partkey <> l_suppkey",
@@ -183,10 +170,7 @@ SELECT entity, count(DISTINCT l_orderkey) AS items FROM n WHERE l_orderkey <> 1
     "weekly_rhythm": f"""SELECT * FROM (SELECT CAST(date_trunc('week', occurred_at) AS TIMESTAMP) AS week, count(*) AS n, round(count(*) FILTER (isodow(occurred_at) >= 6) / count(*), 6) AS weekend_share
 FROM {M} m WHERE occurred_at IS NOT NULL AND occurred_at_source <> 'filesystem' GROUP BY 1) WHERE weekend_share >= 0.4 OR weekend_share <= 0.1""",
     "corpus_fingerprint": f"SELECT sha256(concat_ws('|', count(*), count(*) FILTER (is_current), epoch_us(max(ingested_at)), max(memory_id))) AS fingerprint FROM {M} m",
-    "system_report": f"SELECT 'versions' AS section, count(*) AS n FROM {M} m UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'evidence', count(*) FROM {E} e UNION ALL SELECT 'sessions', count(*) FROM (SELECT DISTINCT * FROM chat_sessions)",
-    "doctor_checks": "SELECT count(*) FILTER (tokens > 512) AS oversize, count(*) FILTER (embedding_model IS DISTINCT FROM 'mini-48-v2') AS wrong_model, count(*) FILTER (vector IS NULL) AS unembedded FROM (SELECT DISTINCT * FROM candidates)",
     "relation_counts": f"SELECT relation, count(*) AS n, count(DISTINCT decision_id) AS decisions FROM {E} e GROUP BY 1",
-    "purge_scope": f"SELECT source_id, count(*) AS versions, count(DISTINCT external_key) AS items, CAST(coalesce(sum(links), 0) AS BIGINT) AS links FROM {M} m LEFT JOIN (SELECT memory_id, count(*) AS links FROM {E} e GROUP BY 1) USING (memory_id) WHERE external_key LIKE 'inbox/%' GROUP BY 1",
     "orphaned_entities": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
     "value_summary": "SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, round(stddev_pop(value), 6) AS spread FROM events GROUP BY 1",
     "message_ordinals": "SELECT session_id, message_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY received_at, message_id) AS INTEGER) AS n FROM chat_messages WHERE session_id IS NOT NULL",

@@ -489,3 +489,49 @@ def test_ports(spark):
     assert rows(ports.scored_pairs(pairs, "i", "q", "t", ports.OverlapReranker)) == [(1, 0.5), (2, 0.0), (3, 0.0), (4, 1.0)]
     e = ports.embed(docs, "t", lambda: ports.HashEmbedder(8))
     assert e.count() == 1 and ports.embed(docs, "t", lambda: ports.HashEmbedder(8), e).count() == 0
+
+
+# ---- reports ----
+
+
+def test_purge_scope_counts_what_goes(spark):
+    from tessera.operators import reports as rp
+
+    v = spark.createDataFrame([("s", "a", "m1", "h1"), ("s", "a", "m2", "h2"), ("s", "b", "m3", "h2"), ("s", None, "m4", None)], "source_id string, external_key string, memory_id string, content_hash string")
+    ch = spark.createDataFrame([("m1", 1, True), ("m1", 2, False), ("m3", 3, True), ("m1", 1, True)], "memory_id string, chunk_id long, embedded boolean")
+    men = spark.createDataFrame([("m1", "x"), ("m2", "y"), ("m3", "y"), (None, "z")], "memory_id string, entity string")
+    tag = spark.createDataFrame([("m1", "t"), ("m2", "t")], "memory_id string, name string")
+    turns = spark.createDataFrame([("t1", "a"), ("t2", None), ("t3", "b")], "message_id string, external_key string")
+    ev = spark.createDataFrame([(1, "m1"), (1, "m1"), (2, None), (3, "m3")], "evidence_id long, memory_id string")
+    keys = ["source_id", "external_key"]
+    got = dict(rows(rp.purge_scope(v.where("external_key = 'a'"), v, ch, men, tag, turns, ev, keys)))
+    assert got == {"items": 1, "versions": 2, "chunks": 2, "embedded chunks": 1, "mentions": 2, "tags": 2, "chat turns": 1, "evidence links": 1, "orphaned entities": 1, "owned blobs": 1, "shared blobs": 1}
+    assert set(dict(rows(rp.purge_scope(v.where("false"), v, ch, men, tag, turns, ev, keys))).values()) == {0}
+
+
+def test_checks_stages_and_connections(spark):
+    from tessera.operators import reports as rp
+
+    a = spark.createDataFrame([(i,) for i in (5, 3, 9, 1, 3)], "id long")
+    got = {x.check: (x.n, x.examples) for x in rp.checks({"some": a, "none": a.where("false")}, 2).collect()}
+    assert got == {"some": (4, "1, 3"), "none": (0, "")}
+    links = spark.createDataFrame([(1, "e"), (1, "e"), (2, "e"), (3, "e"), (1, "f"), (2, "f"), (4, None)], "item long, entity string")
+    live = spark.createDataFrame([(1, 10), (2, 9), (3, 11), (4, 1)], "item long, at int")
+    assert rows(rp.connections(links.where("item = 1"), links, live)) == [(1, "e", 1, 1), (1, "f", 1, 1)]
+    m = spark.createDataFrame([("a", None), ("b", "new"), ("c", "k")], "message_id string, external_key string")
+    items = spark.createDataFrame([("k", "m1"), ("k", "m2")], "external_key string, memory_id string")
+    ch = spark.createDataFrame([("m1", 1, True), ("m2", 2, False)], "memory_id string, chunk_id long, embedded boolean")
+    assert {x.message_id: x.stage for x in rp.stages(m, items, ch).collect()} == {"a": "not taken in", "b": "waiting", "c": "embedding"}
+
+
+def test_export_in_batches_of_versions(spark):
+    import json
+
+    from tessera.operators import reports as rp
+
+    v = spark.createDataFrame([("s", "k", i, f"m{i}") for i in range(1, 6)], "source string, key string, version int, memory_id string")
+    tag = spark.createDataFrame([("m1", "b"), ("m1", "a")], "memory_id string, name string")
+    ch = spark.createDataFrame([("m1", 7), ("m1", 7), ("m5", 8)], "memory_id string, chunk_id long")
+    out = {x.batch: json.loads(x.json) for x in rp.export_items(v, tag, ch, ["source", "key"], ["memory_id"], 2).collect()}
+    assert sorted(out) == [0, 1, 2] and [x["version"] for x in out[1]["versions"]] == [3, 4]
+    assert out[0]["versions"][0] == {"version": 1, "memory_id": "m1", "tags": ["a", "b"], "chunks": 1}
