@@ -108,9 +108,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), union), F.lit(0.0)))
 
 
-def pairs_within(df: DataFrame, group: list[str], member: str, least: int) -> DataFrame:
-    """Unordered pairs of members met in at least ``least`` groups: a, b, n. Equal pairs of a group count once."""
+def pairs_within(df: DataFrame, group: list[str], member: str, least: int, every: DataFrame | None = None, coverage: float = 0.5) -> DataFrame:
+    """Unordered pairs of members met in at least ``least`` groups: a, b, n. Equal pairs of a group count once.
+
+    Members of fewer groups are taken out before any pair is made. With ``every`` (one row
+    per group there is) nothing is said unless at least ``coverage`` of them have a member.
+    """
     d = df.select(*group, F.col(member).alias("m")).dropna().distinct()
+    often = d.groupBy("m").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("m")
+    if every is not None:
+        known, all_ = d.select(*group).distinct().agg(F.count(F.lit(1)).alias("n")).scalar(), every.agg(F.count(F.lit(1)).alias("n")).scalar()
+        d = d.where(known >= F.lit(coverage) * all_)
+    d = d.join(often, "m", "left_semi")
     a, b = d.withColumnRenamed("m", "a"), d.withColumnRenamed("m", "b")
     return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.operators.changefeed import plain
+from tessera.operators.ordered import running_sum, with_previous
 
 
 def fold_versions(log: DataFrame, keys: list[str], seq: str, content: str, kind: Column | None = None, recorded: str = "recorded_at") -> DataFrame:
@@ -20,31 +21,32 @@ def fold_versions(log: DataFrame, keys: list[str], seq: str, content: str, kind:
     purged = rows.where("_kind = 'item_purged'").select(*keys).distinct()
     rows = rows.where("_seq IS NOT NULL AND _kind IN ('artifact_observed', 'item_deleted')").join(purged, keys, "left_anti")
     once = rows.groupBy(*keys, "_seq").agg(F.min("_kind").alias("_kind"), F.min(content).alias(content), F.min("_at").alias("_at"))
-    order = Window.partitionBy(*keys).orderBy("_seq")
-    numbered = once.withColumn("version", F.sum((F.col("_kind") == "artifact_observed").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    observed = once.withColumn("_o", (F.col("_kind") == "artifact_observed").cast("bigint"))
+    numbered = running_sum(observed, keys, "_seq", "_kind", "_o", "version")  # stretches of seq, so no item is one task
     per = numbered.where("version > 0").groupBy(*keys, "version").agg(
         F.min(F.when(F.col("_kind") == "artifact_observed", F.struct("_seq", content, "_at"))).alias("v"),
         F.min(F.when(F.col("_kind") == "item_deleted", F.struct("_seq", "_at"))).alias("d"),
     )
-    newest = Window.partitionBy(*keys)
-    return per.select(
+    newest = observed.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.sum("_o").alias("_newest"))
+    both = per.join(newest, [per[k].eqNullSafe(newest[f"_{i}"]) for i, k in enumerate(keys)])
+    return both.select(
         *keys, F.col("version").cast("int").alias("version"), F.col(f"v.{content}").alias(content),
-        (F.col("version") == F.max("version").over(newest)).alias("is_current"),
+        (F.col("version") == F.col("_newest")).alias("is_current"),
         F.col("v._at").alias("ingested_at"), F.col("d._at").alias("deleted_at"),
     )
 
 
 def version_changes(versions: DataFrame, keys: list[str], text_hash: str, bytes_hash: str) -> DataFrame:
     """text_changed, bytes_changed against the version before (null for the first); adopted: same text, other bytes."""
-    order = Window.partitionBy(*keys).orderBy("version")
-    text, raw = F.lag(text_hash).over(order), F.lag(bytes_hash).over(order)
-    first = F.lag("version").over(order).isNull()
-    out = versions.withColumns(
+    both = versions.withColumn("_now", F.struct(F.col(text_hash).alias("text"), F.col(bytes_hash).alias("bytes")))
+    both = with_previous(both, keys, "version", text_hash, value="_now", out="_before")
+    known = F.col("_before").isNotNull()
+    out = both.withColumns(
         {
-            "text_changed": F.when(~first, ~text.eqNullSafe(F.col(text_hash))),
-            "bytes_changed": F.when(~first, ~raw.eqNullSafe(F.col(bytes_hash))),
+            "text_changed": F.when(known, ~F.col("_before.text").eqNullSafe(F.col(text_hash))),
+            "bytes_changed": F.when(known, ~F.col("_before.bytes").eqNullSafe(F.col(bytes_hash))),
         }
-    )
+    ).drop("_now", "_before")
     return out.withColumn("adopted", ~F.col("text_changed") & F.col("bytes_changed"))
 
 

@@ -104,7 +104,7 @@ _E = "(SELECT DISTINCT * FROM decision_evidence)"
 SQL = {
     "prompt_packing": f"""WITH RECURSIVE {_HIT}, o AS (SELECT query_id, hit_id, length(external_key) * 10 AS t, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, hit_id) AS n FROM hit),
 w AS (SELECT query_id, hit_id, n, CASE WHEN t <= 1200 THEN 1200 - t ELSE 1200 END AS room, CAST(t <= 1200 AS INTEGER) AS number, t <= 1200 AS fits FROM o WHERE n = 1 UNION ALL
-  SELECT o.query_id, o.hit_id, o.n, CASE WHEN o.t <= room THEN room - o.t ELSE room END, number + CAST(o.t <= room AS INTEGER), o.t <= room FROM w JOIN o ON o.query_id = w.query_id AND o.n = w.n + 1 WHERE o.n <= 50)
+  SELECT o.query_id, o.hit_id, o.n, CASE WHEN o.t <= room THEN room - o.t ELSE room END, number + CAST(o.t <= room AS INTEGER), o.t <= room FROM w JOIN o ON o.query_id = w.query_id AND o.n = w.n + 1)
 SELECT query_id, hit_id, number FROM w WHERE fits""",
     "embedding_cache": "SELECT DISTINCT sha256('hash-32|' || title) AS hash, 'hash-32' AS model, 32 AS dim FROM memories WHERE trim(title) <> '' AND title NOT LIKE 'A%'",
     "context_assembly": f"""WITH {_HIT}, b AS (SELECT query_id, memory_id, max(score) AS score FROM hit GROUP BY ALL),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tessera.functions.analysis import STOP_WORDS
 from tessera.functions.normal import normal_text
@@ -10,6 +10,7 @@ from tessera.operators import chunks as ch
 from tessera.operators import entities as en
 from tessera.operators import gaps, ports, relational as rel, surfacing as sf, vectors as v
 from tessera.operators.changefeed import plain
+from tessera.operators.ordered import with_previous
 from tessera.operators.versions import follow_chain
 from tessera.plans import evidence as ev
 from tessera.plans import graph as g
@@ -55,8 +56,7 @@ def _event_stats(s, d):
 
 def _restored(s, d):
     o = read_table(s, d, "item_log").where("seq IS NOT NULL").groupBy("source_name", "external_key", "seq").agg(F.min(plain("event_type")).alias("kind"))
-    w = Window.partitionBy("source_name", "external_key").orderBy("seq")
-    return o.withColumn("before", F.lag("kind").over(w)).where("kind = 'artifact_observed' AND before = 'item_deleted'").groupBy("source_name", "external_key").agg(n_().alias("restorations"))
+    return with_previous(o, ["source_name", "external_key"], "seq", "kind", value="kind", out="before").where("kind = 'artifact_observed' AND before = 'item_deleted'").groupBy("source_name", "external_key").agg(n_().alias("restorations"))
 
 
 def _pairs(s, d):

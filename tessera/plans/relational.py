@@ -84,7 +84,7 @@ QUERIES = {
     "customers_without_orders": lambda s, d: customer(s, d).join(orders(s, d), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
     "key_difference": lambda s, d: memories(s, d).select("external_key").distinct().join(read_table(s, d, "item_log").select("external_key"), "external_key", "left_anti"),
     "full_outer_join": lambda s, d: memories(s, d).groupBy("kind").agg(n_().alias("items")).join(read_table(s, d, "documents").groupBy("kind").agg(n_().alias("documents")), "kind", "full_outer").select("kind", "items", "documents"),
-    "cooccurrence": lambda s, d: r.pairs_within(lineitem(s, d), ["l_orderkey"], "l_partkey", 3),
+    "cooccurrence": lambda s, d: r.pairs_within(lineitem(s, d), ["l_orderkey"], "l_partkey", 3, orders(s, d)),
     "natural_key_relink": lambda s, d: r.natural_key_links(evidence(s, d).select("evidence_id", "source_name", "external_key").dropna(), memories(s, d).where(r.live()).join(sources(s, d).select("source_id", "source_name"), "source_id").select("source_name", "external_key", "memory_id"), ["source_name", "external_key"]).select("evidence_id", "memory_id"),
     "interval_join": _interval,
     "span_overlap": _spans,
@@ -151,7 +151,7 @@ SQL = {
     "customers_without_orders": "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_custkey IS NULL",
     "key_difference": "SELECT external_key FROM memories EXCEPT SELECT external_key FROM item_log",
     "full_outer_join": f"SELECT kind, items, documents FROM (SELECT kind, count(*) AS items FROM {M} m GROUP BY 1) FULL JOIN (SELECT kind, count(*) AS documents FROM documents GROUP BY 1) USING (kind)",
-    "cooccurrence": "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM x JOIN x y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY ALL HAVING count(*) >= 3",
+    "cooccurrence": "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM x JOIN x y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey WHERE (SELECT count(DISTINCT l_orderkey) FROM lineitem) >= 0.5 * (SELECT count(*) FROM orders) GROUP BY ALL HAVING count(*) >= 3",
     "natural_key_relink": f"SELECT evidence_id, m.memory_id FROM {E} e JOIN sources s USING (source_name) JOIN {M} m ON m.source_id = s.source_id AND m.external_key = e.external_key WHERE {LIVE}",
     "interval_join": "SELECT o_orderkey, count(*) AS hits, min(l_shipdate) AS first_seen FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 90 DAY GROUP BY 1",
     "span_overlap": """WITH e AS (SELECT event_id, user_id, CAST(trunc(value * 10) AS INTEGER) AS a FROM events),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import cut
+
 
 def append(log: DataFrame, events: DataFrame, order: list[Column], recorded_at: str) -> DataFrame:
     """``events`` with the sequence numbers after the largest of ``log``, in ``order``, and ``recorded_at``."""
@@ -11,22 +13,20 @@ def append(log: DataFrame, events: DataFrame, order: list[Column], recorded_at:
     return numbered(events, order).withColumn("seq", F.col("seq") + top).withColumn("recorded_at", F.lit(recorded_at).cast("timestamp"))
 
 
-def numbered(df: DataFrame, order: list[Column], buckets: int = 256) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``seq`` from 1 in a total order without one task seeing all rows.
 
-    The rows are ranged by the order's first column into buckets at its quantiles;
-    each bucket is numbered by itself and shifted by the sizes of those before.
+    Rows are parted into ranges of the whole order, sorted and counted off within
+    their range; the written table keeps the counts, which are shifted by the sizes of
+    the ranges before. There are as many ranges as the session has partitions.
     """
-    first = order[0]
-    keyed = df.withColumn("_k", first.cast("double"))
-    cuts = keyed.agg(F.percentile_approx("_k", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    keyed = keyed.withColumn("_b", F.when(F.col("_k").isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: e < F.col("_k")))))
-    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # below the partition's number
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    counted = cut(ranged.withColumns({"_b": F.spark_partition_id(), "_r": within + 1}), "numbered")
+    sizes = counted.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return keyed.withColumn("_r", within).join(F.broadcast(starts), "_b").withColumn("seq", F.col("_s") + F.col("_r")).drop("_k", "_b", "_r", "_s")
+    return counted.join(F.broadcast(starts), "_b").withColumn("seq", F.col("_s") + F.col("_r")).drop("_b", "_r", "_s")
 
 
 def scan(log: DataFrame, after: int, limit: int | None = None) -> DataFrame:

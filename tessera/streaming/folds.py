@@ -85,8 +85,15 @@ def rate_limit(df: DataFrame, key: str, at: str, tie: str, most: int = 60, secon
 
 
 def trailing_count(df: DataFrame, key: str, at: str, seconds: float = 60) -> DataFrame:
-    """ST3: adds ``in_window``: events of the key in the trailing window, this one and its peers included."""
-    from pyspark.sql import Window
+    """ST3: adds ``in_window``: events of the key in the trailing window, this one and its peers included; null without a time.
 
-    w = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-int(seconds * 1_000_000), 0)
-    return df.withColumn("in_window", F.count(F.lit(1)).over(w))
+    What has come up to a time less what had come before its window, both read off
+    one running sum in buckets, so a hot key is no task of its own.
+    """
+    known = df.where(F.col(at).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(at).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.timestamp_micros(F.unix_micros("_at") - int(seconds * 1_000_000) - 1)
+    asked = known.select("_k", before.alias("_x"), F.lit(0).cast("bigint").alias("_n"), F.lit(1).alias("_kind"), "_at")
+    points = known.select("_k", F.col("_at").alias("_x"), "_n", F.lit(0).alias("_kind"), "_at").unionByName(asked)
+    summed = running_sum(points, ["_k"], "_x", "_kind", "_n", "_c")
+    both = summed.groupBy("_k", "_at").agg(F.sum(F.when(F.col("_kind") == 0, F.col("_c")).otherwise(-F.col("_c"))).alias("in_window"))
+    return df.join(both, df[key].eqNullSafe(both["_k"]) & (df[at] == both["_at"]), "left").drop("_k", "_at")
