@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ast
 import difflib
+import itertools
 import re
+import warnings
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -24,15 +27,83 @@ def kind_of(key: str | Column) -> Column:
     return F.when(suffix.isin("md", "txt"), "note").when(suffix == "py", "code").when(suffix == "pdf", "document").otherwise("other")
 
 
-def headings(text: str | Column) -> Column:
-    """ATX headings outside fenced code, in order."""
-    bare = F.regexp_replace(text, r"(?ms)^(```|~~~).*?^\1[^\n]*$", "")
-    return F.regexp_extract_all(bare, F.lit(r"(?m)^ {0,3}#{1,6}[ \t]+([^\n]*?)[ \t#]*$"), F.lit(1))
+_FRONT = re.compile(r"\A---[ \t]*\n(.*?)^(?:---|\.\.\.)[ \t]*(?:\n|\Z)", re.S | re.M)
+_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\Z")
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+
+
+def parse_markdown(text: str | None) -> dict | None:
+    """Title (of the front matter, else the first heading of level 1), where the body begins, and the ATX headings
+    outside fenced code: level, text, start (offset). Null stays null; a front matter that is not closed is text."""
+    if text is None:
+        return None
+    front = _FRONT.match(text)
+    body = front.end() if front else 0
+    named = re.search(r"^title[ \t]*:[ \t]*(.+?)[ \t]*$", front[1], re.M) if front else None
+    title = named[1].strip("\"'") if named else None
+    found, fence, at = [], None, body
+    for line in text[body:].splitlines(keepends=True):
+        bare = line.rstrip("\r\n")
+        mark = _FENCE.match(bare)
+        if fence:
+            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not bare[mark.end() :].strip():
+                fence = None
+        elif mark:
+            fence = mark[1]
+        elif m := _ATX.match(bare):
+            found.append({"level": len(m[1]), "text": (m[2] or "").strip(), "start": at})
+        at += len(line)
+    if title is None:
+        title = next((h["text"] for h in found if h["level"] == 1), None)
+    return {"title": title, "body": body, "headings": found}
+
+
+_HEADING = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType())])
+_MARKDOWN = T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.IntegerType()), T.StructField("headings", T.ArrayType(_HEADING))])
+
+
+@F.pandas_udf(_MARKDOWN)
+def markdown(texts: pd.Series) -> pd.DataFrame:
+    """Column form of :func:`parse_markdown`."""
+    empty = {"title": None, "body": None, "headings": None}
+    return pd.DataFrame([parse_markdown(t) or empty for t in texts], columns=["title", "body", "headings"], dtype=object)
+
+
+# Words that may stand before a definition, and words that open one.
+MODIFIERS = ["export", "default", "declare", "public", "private", "protected", "static", "abstract", "final", "async", "pub", "unsafe", "extern"]
+OPENERS = ["def", "class", "function", "fn", "func", "struct", "interface", "type", "impl", "enum", "trait"]
+DEFINITION = rf"(?m)^(?:(?:{'|'.join(MODIFIERS)})[ \t]+)*(?:{'|'.join(OPENERS)})[ \t]+([A-Za-z_]\w*)"
 
 
 def definitions(text: str | Column) -> Column:
-    """Names of functions and classes defined at the outermost level, in order."""
-    return F.regexp_extract_all(text, F.lit(r"(?m)^(?:async[ ]+)?(?:def|class|function|fn|func|struct|interface)[ ]+([A-Za-z_]\w*)"), F.lit(1))
+    """Names defined at the outermost level, with any modifiers before them, in order."""
+    return F.regexp_extract_all(text, F.lit(DEFINITION), F.lit(1))
+
+
+def parse_python(text: str | None) -> list[dict] | None:
+    """Functions and classes at the top of a Python text by its syntax tree: kind, name, start and end (lines from 1).
+
+    A text that is no Python gives None, as a null does: the caller falls back on :func:`definitions`.
+    """
+    try:
+        tree = None if text is None else ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    if tree is None:
+        return None
+    kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class"}
+    return [{"kind": kinds[type(n)], "name": n.name, "start": n.lineno, "end": n.end_lineno} for n in tree.body if type(n) in kinds]
+
+
+_DEFINED = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(_DEFINED)
+def python_definitions(texts: pd.Series) -> pd.Series:
+    """Column form of :func:`parse_python`."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return pd.Series([parse_python(t) for t in texts], dtype=object)
 
 
 def _pieces(text: str, code: bool) -> list[tuple[int, int]]:
@@ -125,8 +196,35 @@ def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([diff_lines(a, b) for a, b in zip(old, new)], columns=["added", "removed", "kept"])
 
 
-def version_diffs(versions: DataFrame, keys: list[str], version: str, text: str) -> DataFrame:
-    """Every version against the one before it: keys, version, added, removed, kept. A join, so no item is held whole."""
+_SPANS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("old_start", "old_end", "new_start", "new_end")]]))
+
+
+def diff_spans(old: str | None, new: str | None) -> list[dict]:
+    """What changed between two texts, whole lines at a time: op (replace, delete, insert) and the character spans
+    on both sides; null is the empty text. Putting the new spans in place of the old ones gives the new text."""
+    a, b = (old or "").splitlines(keepends=True), (new or "").splitlines(keepends=True)
+    at, bt = ([0, *itertools.accumulate(map(len, x))] for x in (a, b))
+    codes = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    return [{"op": op, "old_start": at[i], "old_end": at[j], "new_start": bt[k], "new_end": bt[n]} for op, i, j, k, n in codes if op != "equal"]
+
+
+@F.pandas_udf(_SPANS)
+def line_spans(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Column form of :func:`diff_spans`."""
+    return pd.Series([diff_spans(a, b) for a, b in zip(old, new)], dtype=object)
+
+
+def _adjacent(versions: DataFrame, keys: list[str], version: str, text: str) -> DataFrame:
     v = versions.select(*keys, F.col(version).alias("version"), F.col(text).alias("_new")).dropDuplicates([*keys, "version"])
     before = v.select(*keys, (F.col("version") + 1).alias("version"), F.col("_new").alias("_old"))
-    return v.join(before, [*keys, "version"]).select(*keys, "version", line_diff("_old", "_new").alias("d")).select(*keys, "version", "d.*")
+    return v.join(before, [*keys, "version"])
+
+
+def version_spans(versions: DataFrame, keys: list[str], version: str, text: str) -> DataFrame:
+    """Every change of a version against the one before it: keys, version, op and spans."""
+    return _adjacent(versions, keys, version, text).select(*keys, "version", F.explode(line_spans("_old", "_new")).alias("d")).select(*keys, "version", "d.*")
+
+
+def version_diffs(versions: DataFrame, keys: list[str], version: str, text: str) -> DataFrame:
+    """Every version against the one before it: keys, version, added, removed, kept. A join, so no item is held whole."""
+    return _adjacent(versions, keys, version, text).select(*keys, "version", line_diff("_old", "_new").alias("d")).select(*keys, "version", "d.*")

@@ -204,12 +204,27 @@ def lexical_overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q)), F.lit(0.0))
 
 
+#: Where an excerpt may begin and end, strongest first: a paragraph, a line, a sentence, a word; and what of the mark stays.
+EDGES = ((r"\n[ \t]*\n", ""), (r"\n", ""), (r"[.!?]", r"\s"), (r"\s", ""))
+
+
 def excerpt(text: Column, at: Column, length: Column, window: int = 200) -> Column:
-    """Up to ``window`` characters around a span, drawn in to whole words."""
-    start = F.greatest(at - window, F.lit(0))
-    raw = F.substring(text, start + 1, length + 2 * window)
-    left = F.when(start > 0, F.regexp_replace(raw, r"^\S*\s+", "")).otherwise(raw)
-    return F.when(F.char_length(text) > start + length + 2 * window, F.regexp_replace(left, r"\s+\S*$", "")).otherwise(left)
+    """A span with up to ``window`` characters on either side, drawn in to the strongest boundary each side has.
+
+    A side that reaches the end of the text stays whole, one without a boundary is cut
+    where the window ends. White space around the excerpt is cut. Null for null.
+    """
+    lo = F.greatest(at - window, F.lit(0))
+    before, body = F.substring(text, lo + 1, at - lo), F.substring(text, at + 1, length)
+    after = F.substring(text, at + length + 1, F.lit(window))
+    left, right = before, after
+    for mark, follow in reversed(EDGES):
+        left = F.when(before.rlike(mark + follow), F.regexp_replace(before, rf"(?s)^.*?{mark}{follow}\s*", "")).otherwise(left)
+        kept = rf"(?s)^(.*{mark}){follow}.*$" if follow else rf"(?s)^(.*){mark}.*$"
+        right = F.when(after.rlike(mark + follow), F.regexp_replace(after, kept, "$1")).otherwise(right)
+    left = F.when(lo == 0, before).otherwise(left)
+    right = F.when(at + length + window >= F.char_length(text), after).otherwise(right)
+    return F.regexp_replace(F.concat(left, body, right), r"^\s+|\s+$", "")
 
 
 def locator(source: Column, key: Column, ordinal: Column, start: Column, end: Column, version: Column) -> Column:

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import sentence_spans
 from tessera.operators import context as cx
 from tessera.operators import evaluate as ev
 from tessera.operators import ports
@@ -53,9 +52,14 @@ def _intent(s, d):
     return memories(s, d).where(filters.condition()).select("memory_id", F.lit(weight).alias("weight"))
 
 
+CITED = "review checklist"
+
+
 def _excerpts(s, d):
-    docs = read_table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text", "source", F.col("external_key").alias("key"), F.explode(sentence_spans("text")).alias("s"))
-    return docs.select("doc_id", r.locator(F.col("source"), F.col("key"), F.lit(0), F.col("s.start"), F.col("s.end"), F.lit(1)).alias("locator"), r.excerpt(F.col("text"), F.col("s.start"), F.col("s.end") - F.col("s.start")).alias("excerpt"))
+    """Where each document first says what was searched for, with what stands around it."""
+    docs = read_table(s, d, "documents").select("doc_id", "text", "source", F.col("external_key").alias("key"), (F.locate(CITED, F.col("text")) - 1).alias("at")).where("at >= 0")
+    end = F.col("at") + len(CITED)
+    return docs.select("doc_id", r.locator(F.col("source"), F.col("key"), F.lit(0), F.col("at"), end, F.lit(1)).alias("locator"), r.excerpt(F.col("text"), F.col("at"), F.lit(len(CITED))).alias("excerpt"))
 
 
 def _counts(s, d):
@@ -101,7 +105,19 @@ QUERIES = {
 _HIT = "hit AS (SELECT DISTINCT hit_id, query_id, memory_id, source_name, external_key, score FROM memory_hits)"
 _E = "(SELECT DISTINCT * FROM decision_evidence)"
 
+def _edge(side, whole):
+    """The SQL of one side of an excerpt."""
+    out = side
+    for mark, follow in reversed(r.EDGES):
+        cut = f"regexp_replace({side}, '^.*?{mark}{follow}\\s*', '', 's')" if side == "before" else f"regexp_replace({side}, '^(.*{mark}){follow}.*$', '\\1', 's')" if follow else f"regexp_replace({side}, '^(.*){mark}.*$', '\\1', 's')"
+        out = f"CASE WHEN regexp_matches({side}, '{mark}{follow}') THEN {cut} ELSE {out} END"
+    return f"CASE WHEN {whole} THEN {side} ELSE {out} END"
+
+
 SQL = {
+    "citation_excerpts": f"""WITH x AS (SELECT doc_id, text, source, external_key AS key, instr(text, '{CITED}') - 1 AS a FROM documents WHERE instr(text, '{CITED}') > 0),
+y AS (SELECT *, substr(text, CAST(greatest(a - 200, 0) + 1 AS BIGINT), CAST(a - greatest(a - 200, 0) AS BIGINT)) AS before, substr(text, CAST(a + {len(CITED)} + 1 AS BIGINT), 200) AS after FROM x)
+SELECT doc_id, source || '::' || key || '#0 @' || a || '-' || (a + {len(CITED)}) || ' (v1)' AS locator, regexp_replace({_edge("before", "a <= 200")} || '{CITED}' || {_edge("after", f"a + {len(CITED)} + 200 >= length(text)")}, '^\\s+|\\s+$', '', 'g') AS excerpt FROM y""",
     "prompt_packing": f"""WITH RECURSIVE {_HIT}, o AS (SELECT query_id, hit_id, length(external_key) * 10 AS t, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, hit_id) AS n FROM hit),
 w AS (SELECT query_id, hit_id, n, CASE WHEN t <= 1200 THEN 1200 - t ELSE 1200 END AS room, CAST(t <= 1200 AS INTEGER) AS number, t <= 1200 AS fits FROM o WHERE n = 1 UNION ALL
   SELECT o.query_id, o.hit_id, o.n, CASE WHEN o.t <= room THEN room - o.t ELSE room END, number + CAST(o.t <= room AS INTEGER), o.t <= room FROM w JOIN o ON o.query_id = w.query_id AND o.n = w.n + 1)

@@ -15,7 +15,7 @@ TESTED = {
 }
 
 SHOWN = {
-    "S2": "blob_store", "S3": "new_artifacts", "S4": "log_append", "S5": "log_scan", "S7": "markdown_structure", "S8": "code_definitions",
+    "S2": "blob_store", "S3": "new_artifacts", "S4": "log_append", "S5": "log_scan", "S7": "markdown_structure", "S8": "code_definitions python_definitions",
     "S10": "parser_dispatch", "S11": "kind_by_suffix", "S12": "export_items export_json export_markdown", "S15": "stream_ingest", "S17": "message_items correction_chains superseded_messages",
     "F1": "current_and_live", "F2": "search_filters search_filters_deleted", "F3": "conjunctive_tag_filter", "F4": "all_of_tags", "F5": "memories_in_range",
     "F6": "stale_rows", "F7": "substring_search", "F8": "suffix_match", "F9": "choice_phrases", "F10": "not_reviewed", "F11": "row_value_in", "F12": "glob_exclusion",
@@ -40,11 +40,11 @@ SHOWN = {
     "G1": "graph_mentions graph_relations", "G2": "graph_hash", "G3": "graph_divergence", "G4": "graph_upsert", "G5": "graph_prune", "G6": "graph_neighbours", "G7": "mention_edges", "G8": "graph_reach graph_reach_past_hubs",
     "G9": "hub_suppressed_expansion entity_df_hubs", "G10": "graph_sync_scope_all graph_sync_scope", "G11": "graph_label_counts", "G12": "connected_components similar_components",
     "E1": "canonical_keys", "E2": "canonical_names", "E3": "canonical_keys near_duplicate_names", "E4": "exact_candidates", "E5": "alias_candidates", "E6": "similar_names", "E7": "winner_choice",
-    "E8": "merge_all merge_collisions merge_ledger", "E9": "normalize_text", "E10": "chunks", "E11": "sentences", "E12": "token_count", "E13": "embedding_cache", "E14": "version_changes", "E15": "line_diff", "E16": "tags",
+    "E8": "merge_all merge_collisions merge_ledger", "E9": "normalize_text", "E10": "chunks", "E11": "sentences", "E12": "token_count", "E13": "embedding_cache", "E14": "version_changes", "E15": "diff_spans line_diff", "E16": "tags",
     "E17": "message_intent", "E18": "refers_back", "E19": "session_titles", "E20": "citation_grounding", "E21": "summary_grounding technical_terms", "E22": "reflection_list", "E23": "query_kinds",
     "E24": "entity_extraction", "E25": "entity_extraction",
     "T1": "activity_by_day activity_by_week activity_by_month", "T2": "activity_in_range", "T3": "activity_by_day activity_in_range", "T4": "memories_as_of", "T5": "memories_in_range", "T6": "out_of_order",
-    "T7": "find_gaps_by_user find_gaps_by_type find_gaps_by_source", "T8": "version_changes line_diff", "T9": "facet_changes", "T10": "confidence_horizon", "T11": "outcome_window",
+    "T7": "find_gaps_by_user find_gaps_by_type find_gaps_by_source", "T8": "version_changes diff_spans line_diff", "T9": "facet_changes", "T10": "confidence_horizon", "T11": "outcome_window",
     "M1": "wilson_intervals", "M2": "calibration_bands", "M3": "pattern_confidence", "M4": "support_needed", "M5": "pattern_confidence group_hold_rates", "M6": "timing_pattern", "M7": "choice_pattern",
     "M8": "calibration_bands", "M9": "pattern_discovery", "M10": "gap_analysis unstated_assumptions orphaned_work", "M11": "user_model_changes pattern_discovery", "M12": "assessment", "M13": "trajectory_scores",
     "M14": "claim_support", "M15": "answer_evaluation", "M16": "record_validation",

@@ -77,8 +77,10 @@ QUERIES = {
     "kind_by_suffix": lambda s, d: read_table(s, d, "memories").select("memory_id", ch.kind_of("external_key").alias("inferred")).distinct(),
     "chunks": lambda s, d: _chunked(s, d).select("doc_id", "ordinal", "char_start", "char_end", "prefix_chars", "token_count"),
     "citation_integrity": _citations,
-    "markdown_structure": lambda s, d: docs(s, d).select("doc_id", F.posexplode(ch.headings("text")).alias("n", "heading")),
+    "markdown_structure": lambda s, d: docs(s, d).select("doc_id", ch.markdown("text").alias("m")).select("doc_id", "m.title", F.posexplode("m.headings").alias("n", "h")).select("doc_id", "title", "n", "h.level", F.col("h.text").alias("heading"), "h.start"),
     "code_definitions": lambda s, d: docs(s, d).where("kind = 'code'").select("doc_id", F.posexplode(ch.definitions("text")).alias("n", "name")),
+    "python_definitions": lambda s, d: docs(s, d).where("kind = 'code'").select("doc_id", F.explode_outer(ch.python_definitions("text")).alias("p")).select("doc_id", "p.*"),
+    "diff_spans": lambda s, d: ch.version_spans(read_table(s, d, "memories"), ["source_id", "external_key"], "version", "content"),
     "line_diff": lambda s, d: ch.version_diffs(read_table(s, d, "memories"), ["source_id", "external_key"], "version", "content"),
 }
 
@@ -109,7 +111,11 @@ SELECT message_id, session_id, pattern, array_to_string(list_sort(list_distinct(
     "tags": """WITH l AS (SELECT doc_id, unnest(t) AS label, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '#([\\pL\\pN_][\\pL\\pN_-]*)', 1) AS t FROM documents)),
 f AS (SELECT doc_id, replace(replace(lower(label), 'ß', 'ss'), 'ς', 'σ') AS name, min(i) AS i, arg_min(label, i) AS label FROM l GROUP BY ALL) SELECT doc_id, name, label FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 10""",
     "refers_back": f"SELECT message_id, len(list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+')), lambda w: w NOT IN ({_WORDS}))) < 2 AS refers_back FROM chat_messages",
-    "code_definitions": "SELECT doc_id, CAST(unnest(range(0, len(d))) AS INTEGER) AS n, unnest(d) AS name FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^(?:async[ ]+)?(?:def|class|function|fn|func|struct|interface)[ ]+([A-Za-z_]\\w*)', 1) AS d FROM documents WHERE kind = 'code')",
+    "code_definitions": f"SELECT doc_id, CAST(unnest(range(0, len(d))) AS INTEGER) AS n, unnest(d) AS name FROM (SELECT doc_id, regexp_extract_all(text, '{ch.DEFINITION}', 1) AS d FROM documents WHERE kind = 'code')",
+    "markdown_structure": r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+f AS (SELECT *, sum(CAST(regexp_matches(line, '^ {0,3}(```|~~~)') AS INTEGER)) OVER w AS fences, coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, start, length(regexp_extract(line, '^ {0,3}(#{1,6})(?:[ 	]|$)', 1)) AS level, trim(regexp_replace(regexp_replace(line, '^ {0,3}#{1,6}(?:[ 	]+|$)', ''), '(^|[ 	]+)#+[ 	]*$', '')) AS heading FROM f WHERE fences % 2 = 0 AND regexp_matches(line, '^ {0,3}#{1,6}(?:[ 	]|$)'))
+SELECT doc_id, first(CASE WHEN level = 1 THEN heading END ORDER BY CASE WHEN level = 1 THEN i END NULLS LAST) OVER (PARTITION BY doc_id) AS title, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS n, CAST(level AS INTEGER) AS level, heading, CAST(start AS INTEGER) AS start FROM h""",
     "token_count": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\v\\pZ\\x1c-\\x1f\\x{85}]')) AS INTEGER) AS tokens FROM documents",
     "kind_by_suffix": "SELECT DISTINCT memory_id, CASE WHEN regexp_matches(external_key, '\\.(md|txt)$') THEN 'note' WHEN external_key LIKE '%.py' THEN 'code' WHEN external_key LIKE '%.pdf' THEN 'document' ELSE 'other' END AS inferred FROM memories",
 }

@@ -535,3 +535,65 @@ def test_export_in_batches_of_versions(spark):
     out = {x.batch: json.loads(x.json) for x in rp.export_items(v, tag, ch, ["source", "key"], ["memory_id"], 2).collect()}
     assert sorted(out) == [0, 1, 2] and [x["version"] for x in out[1]["versions"]] == [3, 4]
     assert out[0]["versions"][0] == {"version": 1, "memory_id": "m1", "tags": ["a", "b"], "chunks": 1}
+
+
+# ---- parsing ----
+
+
+def test_markdown_front_matter_fences_and_offsets():
+    t = "---\ntitle: \"A plan\"\ntags: x\n---\n\n# One #\n```\n# not this\n~~~\n# nor this\n```\ntext\n## Two\n####### seven\n#no space\n"
+    got = chunks.parse_markdown(t)
+    assert got["title"] == "A plan" and t[got["body"] :].startswith("\n# One")
+    assert [(h["level"], h["text"], t[h["start"] :].split("\n")[0]) for h in got["headings"]] == [(1, "One", "# One #"), (2, "Two", "## Two")]
+    assert chunks.parse_markdown("## b\n# a")["title"] == "a" and chunks.parse_markdown("---\nopen") == {"title": None, "body": 0, "headings": []}
+    assert chunks.parse_markdown(None) is None and chunks.parse_markdown("")["headings"] == []
+
+
+def test_definitions(spark):
+    t = "export default async function f() {}\npublic static class C {}\n  def inner\ntype T = 1\npub fn g()\nimpl S {}\ndef p(x):\n"
+    assert one(spark, chunks.definitions(F.lit(t))) == ["f", "C", "T", "g", "S", "p"]
+    code = "import os\n\n@dec\nclass A:\n    def m(self): pass\n\nasync def f():\n    return 1\n"
+    assert [(p["kind"], p["name"], p["start"]) for p in chunks.parse_python(code)] == [("class", "A", 4), ("function", "f", 7)]
+    assert chunks.parse_python("def broken(") is None and chunks.parse_python(None) is None and chunks.parse_python("") == []
+
+
+@pytest.mark.parametrize(("old", "new"), [("a\nb\nc", "a\nx\nc\nd\n"), (None, "a"), ("a\n", None), ("", ""), ("same\n", "same\n"), ("a\r\nb", "b")])
+def test_diff_spans_rebuild_the_new_text(old, new):
+    a, b = old or "", new or ""
+    out, at = [], 0
+    for s in chunks.diff_spans(old, new):
+        out += [a[at : s["old_start"]], b[s["new_start"] : s["new_end"]]]
+        at = s["old_end"]
+    assert "".join(out) + a[at:] == b
+
+
+def test_excerpt_edges(spark):
+    cut = lambda t, at, n, w: one(spark, r.excerpt(F.lit(t), F.lit(at), F.lit(n), w))
+    assert cut("short text", 6, 4, 50) == "short text"
+    t = "First para.\n\nA line here\nwith the words around it. And more.\n\nLast para."
+    at = t.index("words")
+    assert cut(t, at, 5, 60) == t and cut(t, at, 5, 30) == "A line here\nwith the words around it. And more."
+    assert cut(t, at, 5, 20) == "with the words around it." and cut(t, at, 5, 6) == "the words"
+    assert cut("x" * 100, 50, 2, 10) == "x" * 22
+
+
+def test_terms_and_refusals(spark):
+    t = "Use `run_all now` and src/app.main or snake_case, camelCase, CamelCase; not 3.5, e.g. plain, `src/x.py` or A_b."
+    assert one(spark, tx.technical_terms(F.lit(t))) == ["run_all now", "src/app.main", "snake_case", "camelCase", "CamelCase", "src/x.py"]
+    for text, said in (("The passages do not contain it.", True), ("I could not find any mention there.", True), ("Nothing in them says so.", True), ("It is not so, but the note covers it [1].", False), ("All is well.", False), ("", False)):
+        assert one(spark, tx.is_refusal(F.lit(text))) is said, text
+
+
+def test_sentences_by_words():
+    t = 'Dr. Who met J. Doe. "Really?" she said. It cost 3.5 e.g. Much. (Yes.) No'
+    assert [t[a:b] for a, b in tx.sentences(t)] == ['Dr. Who met J. Doe.', '"Really?" she said.', "It cost 3.5 e.g. Much.", "(Yes.)", "No"]
+    assert tx.sentences("") == [] and tx.sentences(" a.  B") == [(0, 3), (5, 6)]
+
+
+def test_order_and_recency_phrases():
+    now = datetime(2026, 6, 15)
+    kind = lambda q: (lambda t: t and (t["kind"], t["ordering"], t["phrase"]))(tx.temporal_intent(q, now))
+    assert kind("show the first version of it") == ("ordering", "earliest", "the first version")
+    assert kind("what did it say originally") == ("ordering", "earliest", "originally")
+    assert kind("the most recent draft") == ("ordering", "latest", "the most recent draft")
+    assert kind("most recently changed") == ("relative", None, "most recently") and kind("plain words") is None
