@@ -8,10 +8,12 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.scores import emittable, pattern_confidence
+from tessera.functions.scores import emittable, pattern_confidence, rrf_term
 from tessera.functions.text import temporal_intent
+from tessera.operators.graph import expand
 from tessera.operators.relational import SearchFilters, top_per
 from tessera.operators.retrieval import rrf
+from tessera.session import cut
 
 PROMPT_TOKENS = 6000
 
@@ -54,19 +56,46 @@ def apply_intent(query: str, filters: SearchFilters, now: datetime, recency_weig
     return filters, 0.5 if t["kind"] == "relative" else recency_weight, t["ordering"]
 
 
-def context_rankings(hits: DataFrame, items: DataFrame, evidence: DataFrame, by: str, k: int = 30) -> DataFrame:
-    """Retrieval, recency and evidence rankings of a request's items, fused: by, id, score, rank.
+def context_lists(hits: DataFrame, items: DataFrame, evidence: DataFrame, mentions: DataFrame, by: str, k: int = 30, seeds: int = 5) -> DataFrame:
+    """The five rankings of a request's context: ranking, by, id, rank.
 
-    ``hits``: by, memory_id, score; ``items``: memory_id, occurred_at; ``evidence``: memory_id.
+    ``retrieval``: best score of what was found; ``recency``: the same by date; ``graph``: items near the best
+    ``seeds`` by rare entities; ``name``: other items whose key ends in the same file name as something found, by the
+    best rank that shares it; ``decisions``: decisions by the sum of 1 / (60 + rank) of the found items they rest on, under ids
+    that begin with ``decision/``. ``hits``: by, memory_id, score; ``items``: memory_id, external_key, occurred_at;
+    ``evidence``: decision_id, memory_id; ``mentions``: item, entity. Each ranking is cut at ``k``; nulls name nothing.
     """
-    best = hits.groupBy(by, "memory_id").agg(F.max("score").alias("score"))
-    linked = evidence.groupBy("memory_id").agg(F.count(F.lit(1)).alias("links"))
-    all_ = best.join(items, "memory_id", "left").join(linked, "memory_id", "left")
-    parts = []
-    for name, order in (("retrieval", F.desc_nulls_last("score")), ("recency", F.desc_nulls_last("occurred_at")), ("evidence", F.desc_nulls_last("links"))):
-        rows = all_ if name != "evidence" else all_.where("links IS NOT NULL")
-        parts.append(top_per(rows, [by], [order, F.asc("memory_id")], k).select(F.lit(name).alias("ranking"), by, F.col("memory_id").alias("id"), "rank"))
-    return rrf(parts[0].unionByName(parts[1]).unionByName(parts[2]), {"retrieval": 1.0, "recency": 1.0, "evidence": 1.0}, [by])
+    best = hits.where(F.col("memory_id").isNotNull()).groupBy(by, "memory_id").agg(F.max("score").alias("score"))
+    known = items.select("memory_id", "occurred_at", F.regexp_extract("external_key", "[^/]+$", 0).alias("_name")).distinct()
+    found = best.join(known, "memory_id", "left")
+    lists = {"retrieval": top_per(found, [by], [F.desc_nulls_last("score"), F.asc("memory_id")], k), "recency": top_per(found, [by], [F.desc_nulls_last("occurred_at"), F.asc("memory_id")], k)}
+    first = cut(lists["retrieval"].select(by, "memory_id", "_name", "rank"), "retrieval")
+    out = None
+    for name in lists:
+        part = lists[name].select(F.lit(name).alias("ranking"), by, F.col("memory_id").alias("id"), "rank")
+        out = part if out is None else out.unionByName(part)
+    start = first.where(F.col("rank") <= seeds).select(by, F.col("memory_id").alias("item"))
+    none = hits.sparkSession.createDataFrame([], "subject string, object string")
+    near = expand(mentions, none, start, best.select(by, F.col("memory_id").alias("item")), 1, [by])
+    graph = top_per(near.withColumnRenamed("item", "memory_id"), [by], [F.desc("score"), F.asc("memory_id")], k)
+    named = first.where("_name <> ''").groupBy(by, "_name").agg(F.min("rank").alias("_best"))
+    alike = named.join(known.select("memory_id", "_name"), "_name").join(best.select(by, "memory_id"), [by, "memory_id"], "left_anti")
+    alike = top_per(alike.groupBy(by, "memory_id").agg(F.min("_best").alias("_best")), [by], [F.asc("_best"), F.asc("memory_id")], k)
+    rests = evidence.select("decision_id", "memory_id").dropna().distinct().join(first, "memory_id")
+    rests = rests.groupBy(by, F.concat(F.lit("decision/"), F.col("decision_id").cast("string")).alias("memory_id")).agg(F.round(F.sum(rrf_term(F.col("rank"))), 12).alias("score"))
+    rests = top_per(rests, [by], [F.desc("score"), F.asc("memory_id")], k)
+    for name, part in (("graph", graph), ("name", alike), ("decisions", rests)):
+        out = out.unionByName(part.select(F.lit(name).alias("ranking"), by, F.col("memory_id").alias("id"), "rank"))
+    return out
+
+
+#: The rankings of a context count alike.
+CONTEXT = {"retrieval": 1.0, "recency": 1.0, "graph": 1.0, "name": 1.0, "decisions": 1.0}
+
+
+def context_rankings(hits: DataFrame, items: DataFrame, evidence: DataFrame, mentions: DataFrame, by: str, k: int = 30) -> DataFrame:
+    """:func:`context_lists` fused: by, id, score, rank."""
+    return rrf(context_lists(hits, items, evidence, mentions, by, k), CONTEXT, [by])
 
 
 def resolved(edges: DataFrame, a: str, b: str, merges: DataFrame) -> DataFrame:
@@ -100,8 +129,19 @@ def supersede(live: DataFrame, derived: DataFrame, key: str, value: str) -> Data
     return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), action.alias("action"))
 
 
-def judged(results: DataFrame, judgements: DataFrame, by: str, excluded: Column) -> tuple[DataFrame, DataFrame]:
-    """Results without excluded items, ranked again, and the relevant items (verdict relevant or missing)."""
+def judged(results: DataFrame, judgements: DataFrame, by: str, excluded: Column, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What a query returned and what was relevant to it, in one naming: (by, id, rank) and (by, id).
+
+    ``results``: by, id, chunks (ordinals met, an array), rank; ``judgements``: by, id, ordinal (null for the whole
+    item), verdict. Excluded results go first and the others move up, so ``k`` of them stand where there are as many.
+    Relevant is what was judged relevant or missing. Where an item has judgements of single chunks, these alone
+    count: it is then named by its chunks, on both sides.
+    """
     kept = results.where(~excluded)
-    again = kept.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rank", "id")))
-    return again, judgements.where(F.col("verdict").isin("relevant", "missing")).select(by, "id").distinct()
+    again = kept.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rank", "id"))).where(F.col("rank") <= k)
+    pinned = judgements.where("ordinal IS NOT NULL").select(by, "id").distinct().withColumn("_pinned", F.lit(True))
+    name = lambda o: F.concat_ws("#", F.col("id"), o)
+    chunks = F.when(F.col("_pinned"), F.coalesce(F.transform("chunks", lambda c: c.cast("string")), F.array(F.lit("")))).otherwise(F.array(F.lit(None).cast("string")))
+    found = again.join(pinned, [by, "id"], "left").select(by, "id", "rank", F.explode(chunks).alias("o"))
+    good = judgements.where(F.col("verdict").isin("relevant", "missing")).join(pinned, [by, "id"], "left").where("_pinned IS NULL OR ordinal IS NOT NULL")
+    return found.select(by, name(F.col("o")).alias("id"), "rank"), good.select(by, name(F.col("ordinal").cast("string")).alias("id")).distinct()

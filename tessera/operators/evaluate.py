@@ -103,6 +103,48 @@ def trajectory(hops: DataFrame) -> DataFrame:
     return per.withColumn("overall", F.round(sum(parts[1:], parts[0]) / 4, 6))
 
 
+def hops_of(found: DataFrame, run: str, order: list[str], item: str, group: str, parts: str) -> DataFrame:
+    """One row per step of a run, in order: run, hop (from 1), returned, new, used_id, borrowed_term.
+
+    ``parts`` are the ids a step returned (an array); new are those no step before it
+    returned. A step used an id if its ``item`` was met before, else it borrowed a term
+    if its ``group`` was. First meetings are aggregates, so nothing is held per run but its numbering.
+    """
+    n = found.withColumn("hop", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
+    ids = n.select(run, "hop", F.explode(parts).alias("_p")).distinct()
+    firsts = ids.groupBy(run, "_p").agg(F.min("hop").alias("hop")).groupBy(run, "hop").agg(F.count(F.lit(1)).alias("new"))
+    met = lambda c, name: n.groupBy(run, c).agg(F.min("hop").alias(name))
+    out = n.join(firsts, [run, "hop"], "left").join(met(item, "_i"), [run, item], "left").join(met(group, "_g"), [run, group], "left")
+    later = lambda c: F.coalesce(F.col(c) < F.col("hop"), F.lit(False))
+    returned = F.size(F.array_distinct(F.coalesce(F.col(parts), F.array().cast("array<bigint>"))))
+    return out.select(run, "hop", returned.alias("returned"), F.coalesce("new", F.lit(0)).alias("new"), later("_i").alias("used_id"), later("_g").alias("borrowed_term"))
+
+
+def answer_verdict(rate: Column, bad: Column) -> Column:
+    """An answer is ungrounded below a half of supported claims, partial below .8 or with a citation that does not exist."""
+    return F.when(rate < 0.5, "ungrounded").when((rate < 0.8) | bad, "partial").otherwise("grounded")
+
+
+def worst(metrics: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` worst queries by (mrr, ndcg, key), numbered in ``place``."""
+    low = metrics.orderBy("mrr", "ndcg", key).limit(n)
+    return low.withColumn("place", F.row_number().over(Window.orderBy("mrr", "ndcg", key)))
+
+
+#: What two runs of the same harness may differ by; a gain below it is none.
+RESOLUTION = 0.0122
+
+
+def tuned(grid: DataFrame, base: dict[str, float], metric: str = "mrr", floor: float = RESOLUTION) -> DataFrame:
+    """The settings of a :func:`weight_grid` with ``gain`` over the setting ``base`` and whether it is ``resolved``."""
+    at = None
+    for name, w in base.items():
+        same = F.col(name) == F.lit(float(w))
+        at = same if at is None else at & same
+    now = grid.where(at).agg(F.max(metric).alias("m")).scalar()
+    return grid.withColumn("gain", F.round(F.col(metric) - now, 6)).withColumn("resolved", F.col("gain") > floor)
+
+
 def claim_support(similar: DataFrame, claim: str, step: str, score: str) -> DataFrame:
     """Per claim: direct at .62 or more, inferred if two or more steps reach .58, else none."""
     per = similar.groupBy(claim).agg(F.max(score).alias("best"), F.countDistinct(F.when(F.col(score) >= 0.58, F.col(step))).alias("steps"))

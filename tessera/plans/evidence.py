@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scores as sc
+from tessera.operators import validation as val
 from tessera.operators import evidence as e
 from tessera.operators.evaluate import nearest_rank
 from tessera.plans.temporal import M, memories
@@ -60,14 +61,10 @@ def _gaps(s, d):
 
 
 def _validation(s, d):
-    c = read_table(s, d, "orders").select("o_orderkey", ((F.col("o_totalprice") % 1200) / 1000).alias("confidence"), "o_orderstatus", "o_orderpriority")
-    rules = {
-        "confidence out of range": ~F.col("confidence").between(0, 1),
-        "unknown status": ~F.col("o_orderstatus").isin("F", "O"),
-        "no priority": F.col("o_orderpriority").startswith("4"),
-    }
-    found = F.filter(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules.items()]), lambda x: x.isNotNull())
-    return c.select("o_orderkey", F.explode(found).alias("violation"))
+    """Evidence as it was handed in, row by row, against the rules for it."""
+    e = read_table(s, d, "decision_evidence").distinct()
+    rules = val.evidence_rules("memory_id", "source_name", "external_key", "chunk_ordinal", "relation") | {"not dated": F.col("linked_at").isNotNull()}
+    return val.split(e, rules)[1].select("evidence_id", F.explode("violations").alias("violation"))
 
 
 DIMENSIONS = ["code", "document", "note", "other", "email", "meeting", "decision"]
@@ -128,8 +125,9 @@ CASE WHEN stated < low THEN worked ELSE n - worked END AS support, CASE WHEN sta
     "choice_pattern": "SELECT count(*) FILTER (o_orderstatus = 'O') AS support, count(*) FILTER (o_orderstatus = 'F') AS against FROM orders",
     "orphaned_work": """WITH e AS (SELECT DISTINCT * FROM decision_evidence), p AS (SELECT decision_id, count(DISTINCT memory_id) AS items, max(linked_at) AS last, count(*) FILTER (relation = 'contradicts') AS against FROM e GROUP BY 1)
 SELECT decision_id, items, against FROM p WHERE items >= 2 AND (SELECT max(linked_at) FROM e) - last > INTERVAL 30 DAY""",
-    "record_validation": """SELECT o_orderkey, 'confidence out of range' AS violation FROM orders WHERE (o_totalprice % 1200) / 1000 > 1
-UNION ALL SELECT o_orderkey, 'unknown status' FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT o_orderkey, 'no priority' FROM orders WHERE o_orderpriority LIKE '4%'""",
+    "record_validation": """WITH e AS (SELECT DISTINCT * FROM decision_evidence) SELECT evidence_id, 'names nothing' AS violation FROM e WHERE memory_id IS NULL AND (coalesce(trim(source_name), '') = '' OR coalesce(trim(external_key), '') = '')
+UNION ALL SELECT evidence_id, 'key without source' FROM e WHERE external_key IS NOT NULL AND source_name IS NULL UNION ALL SELECT evidence_id, 'ordinal below 0' FROM e WHERE chunk_ordinal < 0
+UNION ALL SELECT evidence_id, 'unknown relation' FROM e WHERE relation IS NULL OR relation NOT IN ('informed', 'records', 'contradicts') UNION ALL SELECT evidence_id, 'not dated' FROM e WHERE linked_at IS NULL""",
     "assessment": f"SELECT kind, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'nothing observed' WHEN n < 100 THEN 'below support' END AS reason FROM {_DIMS} LEFT JOIN (SELECT kind, count(*) AS n FROM {M} m GROUP BY 1) USING (kind)",
     "facet_changes": f"""SELECT memory_id, CASE WHEN version = 1 THEN 'added' ELSE 'replaced' END AS change, ingested_at AS at FROM {M} m WHERE ingested_at BETWEEN '2025-06-01' AND '2025-07-01'
 UNION ALL SELECT memory_id, 'removed', deleted_at FROM {M} m WHERE deleted_at BETWEEN '2025-06-01' AND '2025-07-01'""",

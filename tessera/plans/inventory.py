@@ -36,7 +36,7 @@ SHOWN = {
     "R1": "ann_topk", "R2": "vector_topk", "R3": "not_unit_vectors", "R4": "keyword_topk keyword_grammar postings stored_index", "R5": "hybrid_documents hybrid_filtered", "R6": "rrf_fusion weighted_rrf", "R7": "five_signal_fusion",
     "R8": "chunk_grouping", "R9": "rerank_tail", "R10": "recency_scores", "R11": "importance_scores", "R12": "temporal_intents", "R13": "intent_application", "R14": "five_signal_fusion",
     "R15": "citation_excerpts", "R16": "citation_integrity", "R17": "mmr_select", "R18": "mmr_select", "R19": "context_assembly", "R20": "prompt_packing", "R21": "ann_recall", "R22": "ir_metrics",
-    "R23": "golden_evaluation", "R24": "weight_grid",
+    "R23": "golden_evaluation golden_worst", "R24": "weight_tuning weight_grid",
     "G1": "graph_mentions graph_relations", "G2": "graph_hash", "G3": "graph_divergence", "G4": "graph_upsert", "G5": "graph_prune", "G6": "graph_neighbours", "G7": "mention_edges", "G8": "graph_reach graph_reach_past_hubs",
     "G9": "hub_suppressed_expansion entity_df_hubs", "G10": "graph_sync_scope_all graph_sync_scope", "G11": "graph_label_counts", "G12": "connected_components similar_components",
     "E1": "canonical_keys", "E2": "canonical_names", "E3": "canonical_keys near_duplicate_names", "E4": "exact_candidates", "E5": "alias_candidates", "E6": "similar_names", "E7": "winner_choice",
@@ -47,7 +47,7 @@ SHOWN = {
     "T7": "find_gaps_by_user find_gaps_by_type find_gaps_by_source", "T8": "version_changes diff_spans line_diff", "T9": "facet_changes", "T10": "confidence_horizon", "T11": "outcome_window",
     "M1": "wilson_intervals", "M2": "calibration_bands", "M3": "pattern_confidence", "M4": "support_needed", "M5": "pattern_confidence group_hold_rates", "M6": "timing_pattern", "M7": "choice_pattern",
     "M8": "calibration_bands", "M9": "pattern_discovery", "M10": "gap_analysis unstated_assumptions orphaned_work", "M11": "user_model_changes pattern_discovery", "M12": "assessment", "M13": "trajectory_scores",
-    "M14": "claim_support", "M15": "answer_evaluation", "M16": "record_validation",
+    "M14": "claim_support answer_verdicts", "M15": "answer_evaluation", "M16": "record_validation",
     "ST1": "stream_ingest", "ST2": "pending_dedupe", "ST3": "rate_limit rate_limit_window", "ST4": "debounce stream_debounce", "ST5": "sessionize session_windows", "ST6": "delivery_lag event_latency", "ST7": "fan_out",
     "ST8": "precompute_policy", "ST9": "surfacing_gate", "ST10": "surfacing_thresholds feedback_bar", "ST12": "pipeline_stages", "ST13": "tombstones restored_items purge_rules",
     "ST14": "tumbling_windows sliding_windows stream_tumbling stream_sliding stream_join",

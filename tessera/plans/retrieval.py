@@ -172,20 +172,6 @@ def _compaction(s, d):
     return sel.compact_history(m.select("session_id", "ordinal", F.coalesce("t", F.lit(0)).alias("t")), "session_id", "ordinal", "t", 400)
 
 
-def _answers(s, d):
-    m = read_table(s, d, "chat_messages").where("answer_refused IS NOT NULL").select(
-        (F.length("content") % 3 != 0).alias("in_corpus"), F.col("answer_refused").alias("refused"),
-        (F.length("content") % 4).alias("cited"), (F.length("content") % 4 + F.length("content") % 2).alias("claims"),
-        (F.length("content") % 7 == 0).cast("int").alias("invented"), F.lit(None).cast("string").alias("error"),
-    )
-    return ev.answer_rates(m)
-
-
-def _trajectory(s, d):
-    e = read_table(s, d, "events").select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("hop"), "event_id")
-    return ev.trajectory(e.select("run", "hop", (F.col("event_id") % 5 + 1).alias("returned"), (F.col("event_id") % 3).alias("new"), (F.col("event_id") % 2 == 0).alias("used_id"), (F.col("event_id") % 3 == 0).alias("borrowed_term"), F.lit(2).alias("min_hops"), F.lit("answered").alias("ended"))).select("run", "overall")
-
-
 QUERIES = {
     "vector_topk": lambda s, d: _vector(s, d).select("query", "id", "score", "rank"),
     "not_unit_vectors": lambda s, d: v.not_unit(read_table(s, d, "candidates").select("candidate_id", "vector").where("vector IS NOT NULL AND size(vector) = 48").distinct(), "vector").select("candidate_id"),
@@ -208,8 +194,6 @@ QUERIES = {
     "weight_grid": _grid,
     "mmr_select": _mmr,
     "history_compaction": _compaction,
-    "answer_evaluation": _answers,
-    "trajectory_scores": _trajectory,
     "latest_hits_per_query": lambda s, d: rel.top_per(read_table(s, d, "memory_hits").select("query_id", "hit_id", "score").distinct().where("score IS NOT NULL"), ["query_id"], [F.desc("score"), F.asc("hit_id")], 3),
 }
 
@@ -327,11 +311,5 @@ n AS (SELECT query, count(*) AS n FROM rel GROUP BY 1),
 h AS (SELECT vector, "order", query, min(rank) AS first, count(*) FILTER (rank <= 10) AS h FROM f JOIN rel USING (query, id) GROUP BY ALL),
 o AS (SELECT vector, "order", round(sum(1 / first) / (SELECT count(*) FROM n), 6) AS mrr, round(sum(h / n) / (SELECT count(*) FROM n), 6) AS recall FROM h JOIN n USING (query) GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (ORDER BY mrr DESC, recall DESC, vector, "order") AS INTEGER) AS place FROM o""",
-    "answer_evaluation": """WITH a AS (SELECT length(content) % 3 <> 0 AS i, answer_refused AS r, length(content) % 4 AS c, length(content) % 4 + length(content) % 2 AS m, CAST(length(content) % 7 = 0 AS INTEGER) AS x FROM chat_messages WHERE answer_refused IS NOT NULL)
-SELECT count(*) AS n, round(avg(c / m) FILTER (i AND NOT r AND m > 0), 6) AS citation_rate, round(count(*) FILTER (NOT i AND r) / nullif(count(*) FILTER (NOT i), 0), 6) AS refusal_rate,
-round(count(*) FILTER (i AND r) / nullif(count(*) FILTER (i), 0), 6) AS false_refusal_rate, round(count(*) FILTER (NOT r AND x > 0) / nullif(count(*) FILTER (NOT r), 0), 6) AS hallucinated_rate FROM a""",
-    "trajectory_scores": """WITH h AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hop FROM events),
-p AS (SELECT run, sum(event_id % 3)::DOUBLE / sum(event_id % 5 + 1) AS gain, avg(CASE WHEN event_id % 2 = 0 THEN 1e0 WHEN event_id % 3 = 0 THEN 0.5e0 ELSE 0e0 END) FILTER (hop > 1) AS dependency, least(1e0, 2 / max(hop)) AS efficiency FROM h GROUP BY 1)
-SELECT run, round((coalesce(gain, 1) + coalesce(dependency, 1) + efficiency + 1) / 4, 6) AS overall FROM p""",
     "latest_hits_per_query": "SELECT query_id, hit_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS rank FROM (SELECT DISTINCT query_id, hit_id, score FROM memory_hits WHERE score IS NOT NULL)) WHERE rank <= 3",
 }
