@@ -19,13 +19,29 @@ def _raw(s, d):
     return li.select("l_orderkey", "l_linenumber", three.alias("entity"))
 
 
-def _of(s, d, lines):
-    """Mentions of the lines of one state: what two projections that saw different lines hold."""
-    li = read_table(s, d, "lineitem").where(lines)
+def _held(s, d):
+    """What a projection holds that was last brought up to date at ``SYNCED`` and never told of the merges."""
+    li = read_table(s, d, "lineitem").where(F.col("l_shipdate") < F.lit(SYNCED).cast("timestamp"))
     two = F.explode(F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")))
     return g.project_mentions(li.select("l_orderkey", "l_linenumber", two.alias("entity")), "l_orderkey", "entity", "l_linenumber")
 
 
+def _due(s, d):
+    """What it should hold: every line, merged suppliers under the one that stays."""
+    li = read_table(s, d, "lineitem")
+    supplier = F.when(F.col("l_suppkey").isin(1, 3), 2).otherwise(F.col("l_suppkey"))
+    two = F.explode(F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), supplier)))
+    return g.project_mentions(li.select("l_orderkey", "l_linenumber", two.alias("entity")), "l_orderkey", "entity", "l_linenumber")
+
+
+def _diverged(s, d):
+    return keyed_diff(_due(s, d), _held(s, d), ["item", "entity"], ["mentions"]).groupBy("difference").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The middle of the ship dates.
+SYNCED = "1998-01-01"
+
+
 def mentions(s, d):
     return g.project_mentions(_raw(s, d), "l_orderkey", "entity", "l_linenumber")
 
@@ -82,7 +98,7 @@ QUERIES = {
     "graph_mentions": mentions,
     "graph_relations": relations,
     "graph_hash": lambda s, d: g.content_hash(mentions(s, d), ["item", "entity", "mentions"]),
-    "graph_divergence": lambda s, d: keyed_diff(_of(s, d, "l_linestatus = 'F'"), _of(s, d, "l_returnflag <> 'N'"), ["item", "entity"], ["mentions"]).groupBy("difference").agg(F.count(F.lit(1)).alias("n")),
+    "graph_divergence": _diverged,
     "graph_label_counts": lambda s, d: mentions(s, d).groupBy(F.substring("entity", 1, 1).alias("label")).agg(F.countDistinct("entity").alias("nodes"), F.count(F.lit(1)).alias("edges")),
     "entity_df_hubs": lambda s, d: g.hubs(mentions(s, d)).withColumn("idf", F.round("idf", 6)),
     "graph_neighbours": lambda s, d: g.neighbours(relations(s, d), s.createDataFrame([("p1",)], "node string"), 3, "subject", "object"),
@@ -90,7 +106,6 @@ QUERIES = {
     "graph_reach_past_hubs": _reached,
     "hub_suppressed_expansion": lambda s, d: _expand(s, d).select("item", "score"),
     "graph_prune": lambda s, d: mentions(s, d).join(read_table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("item")), "item", "left_anti").groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
-    "graph_sync_scope": lambda s, d: g.sync_scope(_seeds(s, d), mentions(s, d).where("entity LIKE 'p%'")),
     "connected_components": lambda s, d: g.components(_cited(s, d), "a", "b"),
     "correction_threads": lambda s, d: g.components(read_table(s, d, "chat_messages").select("message_id", "corrects_message_id"), "message_id", "corrects_message_id"),
     "pairwise_similarity": _near,
@@ -101,10 +116,9 @@ QUERIES = {
     "exact_candidates": lambda s, d: en.exact_candidates(_parts(s, d), "p_brand", tx.collapse_key("p_name"), "p_partkey"),
     "alias_candidates": lambda s, d: en.alias_candidates(read_table(s, d, "nation").select(F.lit("n").alias("k"), "n_name", "n_nationkey"), "k", F.lower("n_name"), "n_nationkey", (("nation_1", "nation_2"), ("france", "germany"))),
     "winner_choice": lambda s, d: en.winner(_parts(s, d).join(read_table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("m"), F.min("l_shipdate").alias("seen")), "p_partkey", "left"), ["p_brand", "p_name"], "m", "seen", "p_partkey"),
-    "merge_collisions": lambda s, d: en.merge(_raw(s, d).where("entity LIKE 's%'"), s.createDataFrame([("s1", "s2"), ("s3", "s2")], "loser string, winner string"), "entity", ["l_orderkey", "l_linenumber"])[0].groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
     "merge_ledger": lambda s, d: _merged(s, d)[1].groupBy("was", "now").agg(F.count(F.lit(1)).alias("n")),
-    "graph_sync_scope_all": lambda s, d: g.sync_scope(_seeds(s, d), mentions(s, d)),
-    "merge_all": lambda s, d: _merged(s, d)[0].groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
+    "graph_sync_scope": lambda s, d: g.sync_scope(_seeds(s, d), mentions(s, d)),
+    "merge_collisions": lambda s, d: _merged(s, d)[0].groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
     "near_duplicate_names": lambda s, d: _parts(s, d).groupBy("kind", tx.collapse_key("p_name").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
     "entity_lookup": lambda s, d: read_table(s, d, "nation").where(F.lower("n_name") == "nation_7").select("n_nationkey"),
 }
@@ -135,8 +149,8 @@ SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, score FROM (SELECT *, row
 SELECT candidate_id, regexp_replace(regexp_replace(t, '([^\\s.])\\.({"|".join(tx.FILE_EXTENSIONS)})$', '\\1'), '[^a-z0-9]+', '', 'g') AS canonical FROM n""",
     "graph_mentions": f"WITH {_MEN} SELECT * FROM men",
     "graph_relations": f"WITH {_REL} SELECT * FROM rel",
-    "graph_divergence": """WITH x AS (SELECT l_orderkey AS item, unnest(['p' || l_partkey, 's' || l_suppkey]) AS entity, l_linestatus, l_returnflag FROM lineitem),
-e AS (SELECT item, entity, count(*) AS mentions FROM x WHERE l_linestatus = 'F' GROUP BY ALL), a AS (SELECT item, entity, count(*) AS mentions FROM x WHERE l_returnflag <> 'N' GROUP BY ALL)
+    "graph_divergence": f"""WITH e AS (SELECT l_orderkey AS item, entity, count(*) AS mentions FROM (SELECT l_orderkey, unnest(['p' || l_partkey, 's' || CASE WHEN l_suppkey IN (1, 3) THEN 2 ELSE l_suppkey END]) AS entity FROM lineitem) GROUP BY ALL),
+a AS (SELECT l_orderkey AS item, entity, count(*) AS mentions FROM (SELECT l_orderkey, unnest(['p' || l_partkey, 's' || l_suppkey]) AS entity FROM lineitem WHERE l_shipdate < TIMESTAMP '{SYNCED}') GROUP BY ALL)
 SELECT difference, count(*) AS n FROM (SELECT CASE WHEN a.item IS NULL THEN 'missing' WHEN e.item IS NULL THEN 'unexpected' WHEN a.mentions <> e.mentions THEN 'changed' END AS difference FROM e FULL JOIN a ON e.item = a.item AND e.entity = a.entity) WHERE difference IS NOT NULL GROUP BY 1""",
     "graph_label_counts": f"WITH {_MEN} SELECT left(entity, 1) AS label, count(DISTINCT entity) AS nodes, count(*) AS edges FROM men GROUP BY 1",
     "entity_df_hubs": f"WITH {_MEN}, {_HUB} SELECT entity, df, round(idf, 6) AS idf, hub FROM hub",
@@ -147,16 +161,14 @@ w AS (SELECT 'p1' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN both_
     "hub_suppressed_expansion": f"""WITH RECURSIVE {_MEN}, {_REL}, {_HUB}, ok AS (SELECT item, entity FROM men JOIN hub USING (entity) WHERE NOT hub), {_walk('ok', 4)}
 SELECT item, round(sum(idf / hops), 9) AS score FROM men JOIN reached USING (entity) JOIN hub USING (entity) WHERE item NOT IN (1, 2, 3, 5, 6) GROUP BY 1""",
     "graph_prune": f"WITH {_MEN} SELECT entity, count(*) AS n FROM men WHERE item NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
-    "graph_sync_scope": f"WITH {_MEN}, m AS (SELECT * FROM men WHERE entity LIKE 'p%') SELECT item, 'incremental' AS mode FROM (SELECT item FROM m WHERE entity IN (SELECT entity FROM m WHERE item IN (1, 2, 3)) UNION SELECT unnest([1, 2, 3]))",
     "canonical_keys": f"SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS key, key AS collapsed FROM {_COLL}",
     "exact_candidates": f"WITH k AS {_COLL}, a AS (SELECT p_brand, key, min(p_partkey) AS anchor FROM k GROUP BY ALL HAVING count(*) > 1) SELECT p_brand AS kind, key, anchor, p_partkey AS id FROM k JOIN a USING (p_brand, key) WHERE p_partkey <> anchor",
     "alias_candidates": "SELECT least(a.n_nationkey, b.n_nationkey) AS a, greatest(a.n_nationkey, b.n_nationkey) AS b, 0.99e0 AS confidence FROM nation a JOIN nation b ON (lower(a.n_name), lower(b.n_name)) IN (('nation_1', 'nation_2'), ('france', 'germany'))",
     "winner_choice": """WITH m AS (SELECT p_brand, p_name, p_partkey, coalesce(n, 0) AS n, seen FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, min(l_shipdate) AS seen FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)
 SELECT p_brand, p_name, p_partkey AS winner FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY n DESC, seen NULLS LAST, p_partkey) AS k FROM m) WHERE k = 1""",
-    "merge_collisions": f"WITH {_RAW}, m AS (SELECT DISTINCT l_orderkey, l_linenumber, {_MAP} AS entity FROM raw WHERE entity LIKE 's%') SELECT entity, count(*) AS n FROM m GROUP BY 1",
     "merge_ledger": f"WITH {_RAW} SELECT entity AS was, 's2' AS now, count(*) AS n FROM raw WHERE entity IN ('s1', 's3') GROUP BY ALL",
-    "graph_sync_scope_all": f"WITH {_MEN} SELECT item, 'incremental' AS mode FROM (SELECT item FROM men WHERE entity IN (SELECT entity FROM men WHERE item IN (1, 2, 3)) UNION SELECT unnest([1, 2, 3]))",
-    "merge_all": f"WITH {_RAW}, m AS (SELECT DISTINCT l_orderkey, l_linenumber, {_MAP} AS entity FROM raw) SELECT entity, count(*) AS n FROM m GROUP BY 1",
+    "graph_sync_scope": f"WITH {_MEN} SELECT item, 'incremental' AS mode FROM (SELECT item FROM men WHERE entity IN (SELECT entity FROM men WHERE item IN (1, 2, 3)) UNION SELECT unnest([1, 2, 3]))",
+    "merge_collisions": f"WITH {_RAW}, m AS (SELECT DISTINCT l_orderkey, l_linenumber, {_MAP} AS entity FROM raw) SELECT entity, count(*) AS n FROM m GROUP BY 1",
     "near_duplicate_names": f"SELECT kind, key, count(*) AS n FROM {_COLL} GROUP BY ALL HAVING count(*) > 1",
     "connected_components": f"""WITH RECURSIVE e AS (SELECT DISTINCT 'd' || decision_id AS a, concat_ws('/', source_name, external_key) AS b FROM decision_evidence), {_CC}""",
     "correction_threads": f"WITH RECURSIVE e AS (SELECT DISTINCT message_id AS a, corrects_message_id AS b FROM chat_messages WHERE corrects_message_id IS NOT NULL), {_CC}",

@@ -43,8 +43,7 @@ def _detail(m):
 
 QUERIES = {
     "source_list": lambda s, d: read_table(s, d, "sources").join(memories(s, d).where(rel.live()).select("source_id", "memory_id", "external_key"), "source_id", "left").groupBy("source_name").agg(F.countDistinct("memory_id").alias("items"), F.countDistinct("external_key").alias("keys")),
-    "memory_detail": lambda s, d: _detail(memories(s, d).where("external_key LIKE '%-10%'")),
-    "memory_detail_all": lambda s, d: _detail(memories(s, d)),
+    "memory_detail": lambda s, d: _detail(memories(s, d)),
     "decision_list": lambda s, d: evidence(s, d).groupBy("decision_id").agg(n_().alias("links"), F.count_if(F.col("relation") == "informed").alias("informed"), F.count_if(F.col("relation") == "contradicts").alias("contradicts"), F.max("linked_at").alias("last_linked")),
     "decision_detail": lambda s, d: evidence(s, d).where("memory_id IS NOT NULL").join(memories(s, d).select("memory_id", "kind", "is_current"), "memory_id").groupBy("decision_id", "relation", "kind").agg(n_().alias("n"), F.count_if("is_current").alias("current")),
     "review_queue": lambda s, d: rel.page(evidence(s, d).where("relation = 'contradicts'"), [F.desc_nulls_last("linked_at"), F.asc("evidence_id")], 50).select("evidence_id", "decision_id", "linked_at"),
@@ -72,8 +71,7 @@ LIVE = "is_current AND deleted_at IS NULL"
 
 SQL = {
     "source_list": f"SELECT source_name, count(DISTINCT memory_id) AS items, count(DISTINCT external_key) AS keys FROM sources LEFT JOIN (SELECT * FROM memories WHERE {LIVE}) m USING (source_id) GROUP BY 1",
-    "memory_detail": f"SELECT source_id, external_key, version, memory_id, ingested_at, CAST(row_number() OVER (PARTITION BY source_id, external_key ORDER BY version DESC) AS INTEGER) AS place FROM {M} m WHERE external_key LIKE '%-10%'",
-    "memory_detail_all": f"SELECT source_id, external_key, version, memory_id, ingested_at, CAST(row_number() OVER (PARTITION BY source_id, external_key ORDER BY version DESC) AS INTEGER) AS place FROM {M} m",
+    "memory_detail": f"SELECT source_id, external_key, version, memory_id, ingested_at, CAST(row_number() OVER (PARTITION BY source_id, external_key ORDER BY version DESC) AS INTEGER) AS place FROM {M} m",
     "decision_list": f"SELECT decision_id, count(*) AS links, count(*) FILTER (relation = 'informed') AS informed, count(*) FILTER (relation = 'contradicts') AS contradicts, max(linked_at) AS last_linked FROM {E} e GROUP BY 1",
     "decision_detail": f"SELECT decision_id, relation, kind, count(*) AS n, count(*) FILTER (is_current) AS current FROM {E} e JOIN {M} m USING (memory_id) GROUP BY ALL",
     "review_queue": f"SELECT evidence_id, decision_id, linked_at FROM {E} e WHERE relation = 'contradicts' ORDER BY linked_at DESC NULLS LAST, evidence_id LIMIT 50",

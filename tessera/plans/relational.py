@@ -81,9 +81,10 @@ QUERIES = {
     "semi_join": lambda s, d: memories(s, d).join(evidence(s, d).where("relation = 'contradicts'"), "memory_id", "left_semi").select("memory_id"),
     "anti_join": lambda s, d: memories(s, d).where(r.live()).join(evidence(s, d), "memory_id", "left_anti").select("memory_id"),
     "not_reviewed": lambda s, d: memories(s, d).join(sources(s, d).select("source_id", "source_name"), "source_id").join(evidence(s, d).select("source_name", "external_key"), ["source_name", "external_key"], "left_anti").select("memory_id"),
-    "customers_without_orders": lambda s, d: customer(s, d).join(orders(s, d), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
     "key_difference": lambda s, d: memories(s, d).select("external_key").distinct().join(read_table(s, d, "item_log").select("external_key"), "external_key", "left_anti"),
     "full_outer_join": lambda s, d: memories(s, d).groupBy("kind").agg(n_().alias("items")).join(read_table(s, d, "documents").groupBy("kind").agg(n_().alias("documents")), "kind", "full_outer").select("kind", "items", "documents"),
+    "customers_without_urgent_orders": lambda s, d: customer(s, d).join(orders(s, d).where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
+    "unreturned_parts": lambda s, d: part(s, d).join(lineitem(s, d).where("l_returnflag = 'R' AND l_quantity >= 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"),
     "cooccurrence": lambda s, d: r.pairs_within(lineitem(s, d), ["l_orderkey"], "l_partkey", 3, orders(s, d)),
     "natural_key_relink": lambda s, d: r.natural_key_links(evidence(s, d).select("evidence_id", "source_name", "external_key").dropna(), memories(s, d).where(r.live()).join(sources(s, d).select("source_id", "source_name"), "source_id").select("source_name", "external_key", "memory_id"), ["source_name", "external_key"]).select("evidence_id", "memory_id"),
     "interval_join": _interval,
@@ -98,7 +99,6 @@ QUERIES = {
     "weekly_rhythm": lambda s, d: memories(s, d).where("occurred_at IS NOT NULL AND occurred_at_source <> 'filesystem'").groupBy(F.date_trunc("week", "occurred_at").alias("week")).agg(n_().alias("n"), F.round(F.count_if(F.weekday("occurred_at") >= 5) / n_(), 6).alias("weekend_share")).where("weekend_share >= 0.4 OR weekend_share <= 0.1"),
     "corpus_fingerprint": lambda s, d: memories(s, d).agg(F.sha2(F.concat_ws("|", n_(), F.count_if("is_current"), F.unix_micros(F.max("ingested_at")), F.max("memory_id")), 256).alias("fingerprint")),
     "relation_counts": lambda s, d: evidence(s, d).groupBy("relation").agg(n_().alias("n"), F.countDistinct("decision_id").alias("decisions")),
-    "orphaned_entities": lambda s, d: part(s, d).join(lineitem(s, d), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"),
     "value_summary": lambda s, d: events(s, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.min("value").alias("least"), F.round(F.stddev_pop("value"), 6).alias("spread")),
     "message_ordinals": lambda s, d: read_table(s, d, "chat_messages").where("session_id IS NOT NULL").select("session_id", "message_id", F.row_number().over(Window.partitionBy("session_id").orderBy("received_at", "message_id")).alias("n")),
     "history_pairs": lambda s, d: read_table(s, d, "chat_messages").where("session_id IS NOT NULL AND ordinal IS NOT NULL").groupBy("session_id", "ordinal").agg(F.min(F.lower(F.trim("role"))).alias("role"), F.min("message_id").alias("message_id")).withColumns({"next_role": F.lead("role").over(Window.partitionBy("session_id").orderBy("ordinal")), "answer": F.lead("message_id").over(Window.partitionBy("session_id").orderBy("ordinal"))}).where("role = 'user' AND next_role = 'assistant'").select("message_id", "answer"),
@@ -148,9 +148,10 @@ SQL = {
     "semi_join": f"SELECT memory_id FROM {M} m WHERE memory_id IN (SELECT memory_id FROM decision_evidence WHERE relation = 'contradicts')",
     "anti_join": f"SELECT memory_id FROM {M} m WHERE {LIVE} AND NOT EXISTS (SELECT 1 FROM decision_evidence e WHERE e.memory_id = m.memory_id)",
     "not_reviewed": f"SELECT memory_id FROM {M} m JOIN (SELECT source_id, source_name FROM sources) s USING (source_id) WHERE NOT EXISTS (SELECT 1 FROM decision_evidence e WHERE e.source_name = s.source_name AND e.external_key = m.external_key)",
-    "customers_without_orders": "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_custkey IS NULL",
     "key_difference": "SELECT external_key FROM memories EXCEPT SELECT external_key FROM item_log",
     "full_outer_join": f"SELECT kind, items, documents FROM (SELECT kind, count(*) AS items FROM {M} m GROUP BY 1) FULL JOIN (SELECT kind, count(*) AS documents FROM documents GROUP BY 1) USING (kind)",
+    "customers_without_urgent_orders": "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' GROUP BY 1 HAVING count(o_custkey) = 0",
+    "unreturned_parts": "SELECT p_partkey FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1 HAVING count(l_partkey) = 0",
     "cooccurrence": "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM x JOIN x y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey WHERE (SELECT count(DISTINCT l_orderkey) FROM lineitem) >= 0.5 * (SELECT count(*) FROM orders) GROUP BY ALL HAVING count(*) >= 3",
     "natural_key_relink": f"SELECT evidence_id, m.memory_id FROM {E} e JOIN sources s USING (source_name) JOIN {M} m ON m.source_id = s.source_id AND m.external_key = e.external_key WHERE {LIVE}",
     "interval_join": "SELECT o_orderkey, count(*) AS hits, min(l_shipdate) AS first_seen FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 90 DAY GROUP BY 1",
@@ -171,7 +172,6 @@ SELECT term, count(DISTINCT session_id) AS sessions, count(DISTINCT memory_id) A
 FROM {M} m WHERE occurred_at IS NOT NULL AND occurred_at_source <> 'filesystem' GROUP BY 1) WHERE weekend_share >= 0.4 OR weekend_share <= 0.1""",
     "corpus_fingerprint": f"SELECT sha256(concat_ws('|', count(*), count(*) FILTER (is_current), epoch_us(max(ingested_at)), max(memory_id))) AS fingerprint FROM {M} m",
     "relation_counts": f"SELECT relation, count(*) AS n, count(DISTINCT decision_id) AS decisions FROM {E} e GROUP BY 1",
-    "orphaned_entities": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
     "value_summary": "SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, round(stddev_pop(value), 6) AS spread FROM events GROUP BY 1",
     "message_ordinals": "SELECT session_id, message_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY received_at, message_id) AS INTEGER) AS n FROM chat_messages WHERE session_id IS NOT NULL",
     "history_pairs": """WITH t AS (SELECT session_id, ordinal, min(lower(trim(role))) AS role, min(message_id) AS message_id FROM chat_messages WHERE session_id IS NOT NULL AND ordinal IS NOT NULL GROUP BY ALL),

@@ -150,13 +150,6 @@ def _metrics(s, d):
     return ev.ir_metrics(_vector(s, d), _relevant(s, d), "query", "id", K)
 
 
-def _grid(s, d):
-    exact = _vector(s, d, 20).select(F.lit("vector").alias("ranking"), "query", "id", "rank")
-    # a second ranking of the same results: by id
-    by_id = r.ranked(exact.withColumn("x", -F.col("id")), ["query"], "x", "id").select(F.lit("order").alias("ranking"), "query", "id", "rank")
-    return ev.weight_grid(exact.unionByName(by_id), _relevant(s, d), "query", {"vector": [0.0, 0.5, 1.0], "order": [0.0, 0.15, 0.3]}, K)
-
-
 def _ann(s, d):
     e = embeddings(s, d)
     return v.ivf_topk(e.where("vec_id % 50 = 0"), e, K, "vec_id", "embedding", lists=32, probes=23)
@@ -191,7 +184,6 @@ QUERIES = {
     "rerank_tail": _rerank,
     "ir_metrics": _metrics,
     "metric_summary": lambda s, d: ev.summary(_metrics(s, d), ["recall", "precision", "mrr", "ndcg"]),
-    "weight_grid": _grid,
     "mmr_select": _mmr,
     "history_compaction": _compaction,
     "latest_hits_per_query": lambda s, d: rel.top_per(read_table(s, d, "memory_hits").select("query_id", "hit_id", "score").distinct().where("score IS NOT NULL"), ["query_id"], [F.desc("score"), F.asc("hit_id")], 3),
@@ -304,12 +296,5 @@ SELECT query, id, CAST(before AS INTEGER) AS before, CAST(row_number() OVER (PAR
     "best_rank_seeds": f"WITH {_SIG} SELECT * FROM seeded",
     "ir_metrics": f"WITH {_MET} SELECT * FROM met",
     "metric_summary": f"WITH {_MET}, l AS (UNPIVOT (SELECT recall, precision, mrr, ndcg FROM met) ON recall, precision, mrr, ndcg INTO NAME metric VALUE v) SELECT metric, round(avg(v), 6) AS mean, round(median(v), 6) AS median, min(v) AS least, round(stddev_pop(v), 6) AS spread FROM l GROUP BY 1",
-    "weight_grid": f"""WITH {_V}, {_REL}, r0 AS (SELECT query, id, rank AS a, row_number() OVER (PARTITION BY query ORDER BY id) AS b FROM vt WHERE rank <= 20),
-g AS (SELECT x::DOUBLE AS vector, y::DOUBLE AS "order" FROM (VALUES (0), (0.5), (1)) p(x), (VALUES (0), (0.15), (0.3)) q(y)),
-f AS (SELECT vector, "order", query, id, row_number() OVER (PARTITION BY vector, "order", query ORDER BY round(vector / (60 + a) + "order" / (60 + b), 12) DESC, id) AS rank FROM g, r0),
-n AS (SELECT query, count(*) AS n FROM rel GROUP BY 1),
-h AS (SELECT vector, "order", query, min(rank) AS first, count(*) FILTER (rank <= 10) AS h FROM f JOIN rel USING (query, id) GROUP BY ALL),
-o AS (SELECT vector, "order", round(sum(1 / first) / (SELECT count(*) FROM n), 6) AS mrr, round(sum(h / n) / (SELECT count(*) FROM n), 6) AS recall FROM h JOIN n USING (query) GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (ORDER BY mrr DESC, recall DESC, vector, "order") AS INTEGER) AS place FROM o""",
     "latest_hits_per_query": "SELECT query_id, hit_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS rank FROM (SELECT DISTINCT query_id, hit_id, score FROM memory_hits WHERE score IS NOT NULL)) WHERE rank <= 3",
 }

@@ -12,7 +12,6 @@ from tessera.operators import chunks as ch
 from tessera.operators import retrieval as r
 from tessera.sources.tables import read_table
 
-ASKED = ["what changed last week", "decisions in March 2025 about the reranker", "the first version of the plan", "recently", "before 3 May", "token budget", "since August", "the last three months", "yesterday", "on 31 February"]
 NOW = datetime(2026, 6, 15, 12, 0, 0)
 
 
@@ -25,11 +24,8 @@ def messages(s, d):
 
 
 def _intents(s, d):
-    rows = []
-    for i, q in enumerate(ASKED):
-        t = tx.temporal_intent(q, NOW) or {}
-        rows.append((i, q, t.get("kind"), t.get("phrase"), t.get("start"), t.get("end"), t.get("ordering")))
-    return s.createDataFrame(rows, "n int, query string, kind string, phrase string, start timestamp, end timestamp, ordering string")
+    """Every message of a chat as a query at one moment: what it asks of time."""
+    return messages(s, d).select("message_id", "content").distinct().select("message_id", tx.temporal_intents(F.col("content"), NOW).alias("t")).where("t IS NOT NULL").select("message_id", "t.*")
 
 
 def _grounding(s, d):
