@@ -205,7 +205,7 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id") -> tuple[
     base = {i: max(p.containers, int(by_kind[i].get(0, 0) > 0)) for i, p in packings.items()}
 
     total = max((sum(h.values()) for h in by_kind.values()), default=0)
-    salts = min(4096, total // PER_SALT + 1)
+    salts = total // PER_SALT + 1
     items = items.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)))
 
     def numbered(df: DataFrame, by: list[str], amount) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tessera.llm import conversations as c
 from tessera.llm import lookalikes, mixing, neighbours, packing, splitting, tokens
+from tessera.session import cut
 from tessera.sources.tables import read_table
 
 
@@ -33,6 +34,45 @@ def _dropped(s, d):
     return v.where("dropped IS NOT NULL").select("session_id")
 
 
+def _pieces_hold(s, d):
+    """Per oversized version: that its pieces are numbered, within the limit, overlap as asked and make up its normal form."""
+    w = Window.partitionBy("memory_id").orderBy("piece")
+    p = _split(s, d, True).withColumn("before", F.coalesce(F.lag("end").over(w), F.lit(0)))
+    joined = (F.col("start") == F.greatest(F.col("before") - splitting.OVERLAP, F.lit(0))) & (F.char_length("content") == F.col("end") - F.col("start"))
+    new = F.substring("content", F.col("before") - F.col("start") + 1, F.lit(splitting.LIMIT))
+    per = p.groupBy("memory_id").agg(
+        (F.max("piece") + 1 == F.count(F.lit(1))).alias("numbered"), (F.max(F.char_length("content")) <= splitting.LIMIT).alias("within"), F.min(F.coalesce(joined, F.lit(False))).alias("joined"),
+        F.sum(F.char_length(new)).alias("length"),
+    )
+    return per.select("memory_id", "numbered", "within", "joined", F.col("length").cast("bigint").alias("length"))
+
+
+def _packed(s, d):
+    """Per kind: containers above the capacity, texts cut although they fit, tokens lost or doubled."""
+    sizes, kinds = cut(tokens.sized(_documents(s, d), ["doc_id"]), "sizes"), read_table(s, d, "containers").distinct()
+    put = cut(packing.pack(sizes, kinds)[0], "packed")
+    each = [(r.container_kind, r.capacity_tokens) for r in kinds.collect()]  # a small fixed table, checked by pack
+    cap = kinds.select("container_kind", "capacity_tokens")
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity_tokens")) for k, c in each]))
+    over = put.groupBy("container_kind", "container_no").agg(F.sum("tokens").alias("t")).join(cap, "container_kind").groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("over"))
+    per = put.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    held = sizes.where("tokens IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "tokens", every.alias("k")).select("doc_id", "tokens", "k.*").join(per, ["container_kind", "doc_id"], "left")
+    whole = held.groupBy("container_kind").agg(F.count_if((F.col("tokens") <= F.col("capacity_tokens")) & (F.col("n") > 1)).alias("cut"), F.count_if(~F.col("t").eqNullSafe(F.col("tokens"))).alias("wrong"))
+    return over.join(whole, "container_kind")
+
+
+def _mixed(s, d):
+    """Per target source: documents used more often than allowed, of another source, or with other tokens than they have."""
+    sizes = cut(tokens.sized(_documents(s, d), ["doc_id", "source"]), "sizes")
+    mixture, _ = mixing.mix(sizes, read_table(s, d, "mix_targets"))
+    used = mixture.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("copies"), F.max("tokens").alias("t"))
+    t = read_table(s, d, "mix_targets").select("source", "max_repeats").distinct()
+    real = sizes.select("doc_id", F.col("source").alias("own"), "tokens")
+    j = t.join(used.join(real, "doc_id", "left"), "source", "left")
+    wrong = ~F.col("own").eqNullSafe(F.col("source")) | ~F.col("t").eqNullSafe(F.col("tokens")) | (F.col("n") != F.col("copies"))
+    return j.groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("doc_id").isNotNull() & wrong).alias("wrong"))
+
+
 QUERIES = {
     "p2_found": lambda s, d: neighbours.near_pairs(_units(s, d), 0.95).select("id_a", "id_b"),
     "p2_neighbours": lambda s, d: neighbours.nearest(_units(s, d), 10),
@@ -42,10 +82,13 @@ QUERIES = {
     "p3_sessions": _sittings,
     "p5_found": lambda s, d: _split(s, d, False).select("memory_id").distinct(),
     "p5_pieces": lambda s, d: _split(s, d, True),
+    "p5_pieces_hold": _pieces_hold,
     "p6_packing": lambda s, d: packing.pack(tokens.sized(_documents(s, d), ["doc_id"]), read_table(s, d, "containers"))[0],
     "p6_report": lambda s, d: packing.pack_report(tokens.sized(_documents(s, d), ["doc_id"]), read_table(s, d, "containers")),
+    "p6_packing_holds": _packed,
     "p7_mix": lambda s, d: mixing.mix(tokens.sized(_documents(s, d), ["doc_id", "source"]), read_table(s, d, "mix_targets"))[0],
     "p7_report": lambda s, d: mixing.mix_report(tokens.sized(_documents(s, d), ["doc_id", "source"]), read_table(s, d, "mix_targets")),
+    "p7_mix_holds": _mixed,
     "p8_found": lambda s, d: lookalikes.same_looking(_documents(s, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")),
     "p8_normalized": lambda s, d: lookalikes.normalized(_documents(s, d)),
 }
@@ -80,14 +123,19 @@ r AS (SELECT *, coalesce(known, CASE WHEN (turn + coalesce(before, first, 0)) %
 SELECT session_id, CAST(part AS BIGINT) AS part, turn, role, read IS NULL AS inferred, created_at, message_id, content FROM (SELECT *, min(role) OVER q AS a, max(role) OVER q AS b FROM r WINDOW q AS (PARTITION BY session_id, part)) WHERE a < b
 """
 
+_NORMAL = """
+WITH a AS (SELECT DISTINCT memory_id, nfc_normalize(content) AS t FROM memories WHERE content IS NOT NULL),
+b AS (SELECT memory_id, replace(replace(CASE WHEN left(t, 1) = chr(65279) THEN substr(t, 2) ELSE t END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM a),
+c AS (SELECT memory_id, regexp_replace(regexp_replace(t, '[\\t\\v\\f\\x1c-\\x1f\\x85\\pZ]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM b)
+"""
+
 SQL = {
     "p3_sessions": _SITTINGS,
     "p3_found": _TURNS + "SELECT session_id FROM dropped",
     "p3_conversations": _TURNS
     + "SELECT session_id, turn, CAST(ordinal AS BIGINT) AS ordinal, role, content FROM n WHERE session_id NOT IN (SELECT session_id FROM dropped)",
-    "p5_found": """
-WITH a AS (SELECT DISTINCT memory_id, nfc_normalize(content) AS t FROM memories WHERE content IS NOT NULL),
-b AS (SELECT memory_id, replace(replace(CASE WHEN left(t, 1) = chr(65279) THEN substr(t, 2) ELSE t END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM a),
-c AS (SELECT memory_id, regexp_replace(regexp_replace(t, '[\\t\\v\\f\\x1c-\\x1f\\x85\\pZ]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM b)
-SELECT DISTINCT memory_id FROM c WHERE length(trim(t, chr(10))) > 2000""",
+    "p6_packing_holds": "SELECT DISTINCT container_kind, 0 AS over, 0 AS cut, 0 AS wrong FROM containers WHERE capacity_tokens > 0",
+    "p7_mix_holds": "SELECT DISTINCT source, 0 AS too_often, 0 AS wrong FROM mix_targets WHERE source IS NOT NULL",
+    "p5_pieces_hold": _NORMAL + "SELECT memory_id, true AS numbered, true AS within, true AS joined, max(length(trim(t, chr(10)))) AS length FROM c WHERE length(trim(t, chr(10))) > 2000 GROUP BY 1",
+    "p5_found": _NORMAL + "SELECT DISTINCT memory_id FROM c WHERE length(trim(t, chr(10))) > 2000",
 }
