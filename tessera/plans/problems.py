@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.operators.changefeed import items_in_view
+from pyspark.sql import functions as F
+
+from tessera.operators.changefeed import PURGE, item_log_kind, items_in_view
 from tessera.operators.orphans import evidence_orphans, orphan_report
+from tessera.session import cut
 from tessera.sources.tables import read_table
 
 
@@ -13,10 +16,19 @@ def _orphans(spark, d):
     )
 
 
+def _resumed(s, d):
+    """The log in two parts: the first makes the table, the second is applied to it. A purge stays known for ever."""
+    feed = read_table(s, d, "item_log")
+    middle = feed.agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("seq")).scalar()
+    base = cut(items_in_view(feed.where(F.col("seq") <= middle)), "base")
+    return items_in_view(feed.where((F.col("seq") > middle) | (item_log_kind() == PURGE)), base)
+
+
 QUERIES = {
     "p1_found": lambda s, d: _orphans(s, d).select("evidence_id", "field", "state"),
     "p1_report": lambda s, d: orphan_report(_orphans(s, d)),
     "p4_found": lambda s, d: items_in_view(read_table(s, d, "item_log")),
+    "p4_resumed": _resumed,
 }
 
 _ORPHANS = """
@@ -62,3 +74,4 @@ SELECT source_name, external_key, version, content_hash FROM last
 WHERE n = 1 AND kind = 'artifact_observed' AND deleted_at IS NULL
   AND NOT EXISTS (SELECT 1 FROM purged p WHERE p.source_name = last.source_name AND p.external_key = last.external_key)""",
 }
+SQL["p4_resumed"] = SQL["p4_found"]

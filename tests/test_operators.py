@@ -388,15 +388,15 @@ def test_whole_mentions_and_memories(spark, tmp_path):
     parts = [(i, "B" if i in (1, 2, 5) else f"B{i}") for i in range(1, 8)]
     spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{at}/part.parquet")
     # 4 shares a supplier with a changed order, 5 only a brand, 7 nothing
-    assert rows(q["graph_sync_scope_all"](spark, at), "item") == [(1,), (2,), (3,), (4,), (5,)]
-    assert rows(q["shared_entities_all"](spark, at)) == [(1, 1)]
-    got = {r.entity: r.n for r in q["merge_all"](spark, at).collect()}
+    assert rows(q["graph_sync_scope"](spark, at), "item") == [(1,), (2,), (3,), (4,), (5,)]
+    assert rows(q["shared_entities"](spark, at)) == [(1, 1)]
+    got = {r.entity: r.n for r in q["merge_collisions"](spark, at).collect()}
     assert got["s2"] == 4 and got["p1"] == 1 and got["B"] == 3 and "s1" not in got and got["s9"] == 2
     assert rows(q["merge_ledger"](spark, at)) == [("s1", "s2", 2), ("s3", "s2", 2)]
     m = [(f"m{v}{k}", 1, k, v, v == 2, "h", "note", D, "x", D, None) for k in ("a-1", "b-100") for v in (1, 2)]
     kinds = "memory_id string, source_id int, external_key string, version int, is_current boolean, content_hash string, kind string, occurred_at timestamp, occurred_at_source string, ingested_at timestamp, deleted_at timestamp"
     spark.createDataFrame(m, kinds).write.parquet(f"{at}/memories.parquet")
-    assert rows(q["memory_detail_all"](spark, at), "external_key", "version", "place") == [("a-1", 1, 2), ("a-1", 2, 1), ("b-100", 1, 2), ("b-100", 2, 1)]
+    assert rows(q["memory_detail"](spark, at), "external_key", "version", "place") == [("a-1", 1, 2), ("a-1", 2, 1), ("b-100", 1, 2), ("b-100", 2, 1)]
 
 
 def test_sentences():
@@ -587,7 +587,7 @@ def test_terms_and_refusals(spark):
 def test_sentences_by_words():
     t = 'Dr. Who met J. Doe. "Really?" she said. It cost 3.5 e.g. Much. (Yes.) No'
     assert [t[a:b] for a, b in tx.sentences(t)] == ['Dr. Who met J. Doe.', '"Really?" she said.', "It cost 3.5 e.g. Much.", "(Yes.)", "No"]
-    assert tx.sentences("") == [] and tx.sentences(" a.  B") == [(0, 3), (5, 6)]
+    assert tx.sentences("") == [] and tx.sentences(" ab.  B") == [(0, 4), (6, 7)]
 
 
 def test_order_and_recency_phrases():
@@ -597,3 +597,68 @@ def test_order_and_recency_phrases():
     assert kind("what did it say originally") == ("ordering", "earliest", "originally")
     assert kind("the most recent draft") == ("ordering", "latest", "the most recent draft")
     assert kind("most recently changed") == ("relative", None, "most recently") and kind("plain words") is None
+
+
+# ---- validation, contexts, judged results ----
+
+
+def test_record_rules(spark):
+    from tessera.operators import validation as val
+
+    d = spark.createDataFrame([("q?", "A", ["a", "b"], 0.5, "declared"), (" ", "A", ["a", "A "], 1.5, "else"), (None, None, None, None, None)], "q string, c string, a array<string>, x double, p string")
+    said = [x.v for x in d.select(val.broken(val.decision_rules("q", "c", "a", "x", "p")).alias("v")).collect()]
+    assert said == [[], ["no question", "no alternative", "confidence out of range", "unknown provenance"], ["no question", "nothing chosen", "no alternative", "confidence out of range", "unknown provenance"]]
+    o = spark.createDataFrame([("declared", 1.0), ("declared", 0.9), ("inferred", 1.0), ("inferred", 0.4)], "p string, x double")
+    assert [x.v for x in o.select(val.broken(val.outcome_rules("p", "x")).alias("v")).collect()] == [[], ["declared but not certain"], ["inferred but certain"], []]
+    j = spark.createDataFrame([("missing", None), ("missing", 2), ("relevant", 1), ("relevant", None), ("odd", 1)], "v string, r int")
+    assert [x.v for x in j.select(val.broken(val.judgement_rules("v", "r")).alias("v")).collect()] == [[], ["missing but ranked"], [], ["no rank"], ["unknown verdict"]]
+    good, bad = val.split(j, val.judgement_rules("v", "r"))
+    assert good.count() == 2 and bad.count() == 3
+
+
+def test_context_of_five_rankings(spark):
+    hits = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.5), (1, None, 0.4)], "q long, memory_id string, score double")
+    items = spark.createDataFrame([("a", "x/one.md", D), ("b", "x/two.md", None), ("c", "y/one.md", D), ("d", None, D)], "memory_id string, external_key string, occurred_at timestamp")
+    ev = spark.createDataFrame([(7, "a"), (7, "b"), (8, "b"), (9, None)], "decision_id long, memory_id string")
+    men = spark.createDataFrame([("a", "rare"), ("d", "rare"), *[(f"m{i}", "other") for i in range(40)]], "item string, entity string")
+    got = {}
+    for x in context.context_lists(hits, items, ev, men, "q").collect():
+        got.setdefault(x.ranking, []).append((x["rank"], x.id))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "retrieval": [(1, "a"), (2, "b")], "recency": [(1, "a"), (2, "b")], "graph": [(1, "d")], "name": [(1, "c")], "decisions": [(1, "decision/7"), (2, "decision/8")],
+    }
+
+
+def test_pins_beat_judgements_of_items(spark):
+    res = spark.createDataFrame([(1, "a", [0, 2], 1, "k.md"), (1, "x", [0], 2, "k.pdf"), (1, "b", [], 3, "k.md")], "q long, id string, chunks array<int>, rank int, key string")
+    j = spark.createDataFrame([(1, "a", 2, "relevant"), (1, "a", None, "not_relevant"), (1, "a", 5, "missing"), (1, "b", None, "relevant"), (1, "x", None, "relevant")], "q long, id string, ordinal int, verdict string")
+    found, good = context.judged(res, j, "q", rel.glob_excluded("key", ["*.pdf"]))
+    assert rows(found, "id", "rank") == [("a#0", 1), ("a#2", 1), ("b", 2)]
+    assert rows(good, "id") == [("a#2",), ("a#5",), ("b",), ("x",)]
+    m = evaluate.ir_metrics(found, good, "q", "id").first()
+    assert m.recall == 0.5 and m.mrr == 1.0
+    assert evaluate.worst(evaluate.ir_metrics(found, good, "q", "id"), "q", 3).count() == 1
+
+
+def test_steps_of_a_run(spark):
+    h = spark.createDataFrame([(1, 1, "m1", "s", [1, 2]), (1, 2, "m2", "s", [2, 3]), (1, 3, "m1", "t", None), (2, 1, None, None, [])], "run long, at int, item string, grp string, parts array<bigint>")
+    assert rows(evaluate.hops_of(h, "run", ["at"], "item", "grp", "parts"), "run", "hop", "returned", "new", "used_id", "borrowed_term") == [
+        (1, 1, 2, 2, False, False), (1, 2, 2, 1, False, True), (1, 3, 0, 0, True, False), (2, 1, 0, 0, False, False)
+    ]
+    assert [one(spark, evaluate.answer_verdict(F.lit(r), F.lit(b))) for r, b in ((0.4, False), (0.7, False), (0.9, True), (0.9, False))] == ["ungrounded", "partial", "partial", "grounded"]
+
+
+def test_order_by_stretches_of_numbers(spark):
+    df = spark.createDataFrame([("k", i * 40_000, f"v{i}") for i in range(6)] + [("k", None, "x"), (None, 5, "n")], "k string, seq long, v string")
+    got = {x.seq: x.before for x in ordered.with_previous(df, ["k"], "seq", "v", value="v", out="before").where("k = 'k'").collect()}
+    assert got == {0: None, **{i * 40_000: f"v{i - 1}" for i in range(1, 6)}}
+    sums = {x.seq: x.s for x in ordered.running_sum(df.dropna(subset=["seq"]), ["k"], "seq", "v", "seq", "s").where("k = 'k'").collect()}
+    assert sums[200_000] == 600_000 and sums[0] == 0
+
+
+def test_trailing_counts_of_a_hot_key(spark):
+    ts = [D + timedelta(seconds=s) for s in (0, 0, 59, 60, 3599, 3600, 3661, 7300)]
+    df = spark.createDataFrame([("hot", i, t) for i, t in enumerate(ts)] + [(None, 90, D), ("hot", 91, None)], "k string, id int, at timestamp")
+    got = {x.id: x.in_window for x in folds.trailing_count(df, "k", "at", 60).collect()}
+    want = {i: sum(timedelta(0) <= t - u <= timedelta(seconds=60) for u in ts) for i, t in enumerate(ts)}
+    assert got == {**want, 90: 1, 91: None}
