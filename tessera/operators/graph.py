@@ -83,12 +83,13 @@ def reach(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, excluded:
     if not 1 <= depth <= 3:
         raise ValueError("depth is 1 to 3")
     m = cut(mentions.select("item", "entity").dropna().distinct(), "mentions")  # read by every hop
-    return _walked(m, _other_way(relations.dropna(subset=["subject", "object"]), "subject", "object"), seeds, excluded, depth, by or [])
+    bad = None if excluded is None else cut(excluded.select("entity").distinct(), "excluded")
+    return _walked(m, _other_way(relations.dropna(subset=["subject", "object"]), "subject", "object"), seeds, bad, depth, by or [])
 
 
 def _walked(m: DataFrame, r: DataFrame, seeds: DataFrame, excluded: DataFrame | None, depth: int, by: list[str]) -> DataFrame:
     if excluded is not None:
-        bad = cut(excluded.select("entity").distinct(), "excluded")
+        bad = excluded.select("entity")
         m = m.join(bad, "entity", "left_anti")
         r = r.join(bad.withColumnRenamed("entity", "a"), "a", "left_anti").join(bad.withColumnRenamed("entity", "b"), "b", "left_anti")
     start = seeds.select(*by, "item").distinct().join(m, "item").select(*by, "entity").distinct()

@@ -198,12 +198,6 @@ def rerank(results: DataFrame, by: list[str], id_col: str, first: str, second: C
     return r.withColumn("movement", F.col("before") - F.col("final")).drop("_s")
 
 
-def lexical_overlap(query: Column, text: Column) -> Column:
-    """Stand-in for the cross-encoder: share of the query's distinct words that the text has."""
-    q, t = F.array_distinct(words(query)), F.array_distinct(words(text))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q)), F.lit(0.0))
-
-
 #: Where an excerpt may begin and end, strongest first: a paragraph, a line, a sentence, a word; and what of the mark stays.
 EDGES = ((r"\n[ \t]*\n", ""), (r"\n", ""), (r"[.!?]", r"\s"), (r"\s", ""))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,18 +155,33 @@ def _assigned(df: DataFrame, id_col: str, vector: str, c: np.ndarray, probes: in
     return clean.mapInArrow(run, "id bigint, v array<double>, list bigint")
 
 
-def ivf_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector: str, lists: int = 32, probes: int = 8, part_rows: int = 50_000) -> DataFrame:
-    """Approximate search. Every row is filed under its nearest centre; a query looks into ``probes`` lists.
+def list_count(n: int) -> int:
+    """Lists for ``n`` rows: the root of their number, at least 8, so that centres and lists grow alike."""
+    return max(8, math.isqrt(n))
 
-    A list of more than ``part_rows`` rows is searched in parts.
+
+def file_lists(rows: DataFrame, id_col: str, vector: str, lists: int | None = None) -> tuple[np.ndarray, DataFrame]:
+    """The inverted lists: their centres, and every row filed under its nearest one, written in a folder per list.
+
+    A search reads only the folders of the lists it looks into, so one filing serves any number of searches.
+    """
+    c = centroids(rows, id_col, vector, lists or list_count(rows.count()))
+    return c, cut(_assigned(rows, id_col, vector, c, 1), "lists", by=["list"])
+
+
+def ivf_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector: str, lists: int | None = None, share: float = 0.25, part_rows: int = 50_000, filed: tuple[np.ndarray, DataFrame] | None = None) -> DataFrame:
+    """Approximate search. Every row is filed under its nearest centre; a query looks into ``share`` of the lists.
+
+    A list of more than ``part_rows`` rows is searched in parts. ``filed``: lists made before by :func:`file_lists`.
     """
-    c = centroids(rows, id_col, vector, lists)
-    filed = cut(_assigned(rows, id_col, vector, c, 1), "lists")
-    sizes = {r["list"]: r.n for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    c, held = filed or file_lists(rows, id_col, vector, lists)
+    sizes = {r["list"]: r.n for r in held.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = F.element_at(F.create_map(*[x for j in range(len(c)) for x in (F.lit(j).cast("bigint"), F.lit(sizes.get(j, 0) // part_rows + 1))]), F.col("list"))
-    r = filed.select("id", "v", "list", F.pmod(F.hash("id"), parts).alias("part"), F.lit(False).alias("ask"))
-    q = _assigned(queries, id_col, vector, c, probes).select("id", "v", "list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("ask"))
-    tops = q.unionByName(r).groupBy("list", "part").applyInArrow(_top_of_block(k + 1), _TOP)
+    r = held.select("id", "v", "list", F.pmod(F.hash("id"), parts).alias("part"), F.lit(False).alias("ask"))
+    q = _assigned(queries, id_col, vector, c, math.ceil(share * len(c)))
+    met = [x["list"] for x in q.select("list").distinct().collect()]  # at most as many as there are lists
+    q = q.select("id", "v", "list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("ask"))
+    tops = q.unionByName(r.where(F.col("list").isin(met))).groupBy("list", "part").applyInArrow(_top_of_block(k + 1), _TOP)
     return _ranked(tops, k, False)
 
 

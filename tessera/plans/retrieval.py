@@ -20,6 +20,7 @@ from tessera.operators import vectors as v
 from tessera.functions.stemming import stem
 from tessera.functions.text import token_count
 from tessera.operators import graph as gr
+from tessera.operators import ports
 from tessera.session import cut, stored
 from tessera.sources.tables import read_table, state
 
@@ -133,10 +134,16 @@ def _chunks(s, d):
 
 
 def _rerank(s, d):
-    fused = r.rrf(_legs(s, d), {"vector": 1.0, "keyword": 0.5}, ["query"])
+    """The model behind the port scores the first 25 of each search, and only those."""
+    fused = r.rrf(_legs(s, d), {"vector": 1.0, "keyword": 0.5}, ["query"]).select("query", "id", F.col("score").alias("fused"))
+    fused = cut(fused, "fused")  # scored in part, then joined with its scores
     texts = documents(s, d).select(F.col("doc_id").alias("id"), "text")
     asked = F.element_at(F.create_map(*[x for q, t in SEARCHES.items() for x in (F.lit(q), F.lit(t))]), F.col("query"))
-    out = r.rerank(fused.select("query", "id", "score").join(texts, "id").withColumnRenamed("score", "fused"), ["query"], "id", "fused", F.round(r.lexical_overlap(asked, F.col("text")), 9))
+    first = rel.top_per(fused, ["query"], [F.desc("fused"), F.asc("id")], r.RERANKED).join(texts, "id")
+    pairs = first.select(F.concat_ws(":", "query", "id").alias("key"), asked.alias("asked"), "text")
+    scored = ports.scored_pairs(pairs, "key", "asked", "text", ports.OverlapReranker).select("key", F.col("score").alias("model"))
+    both = fused.join(scored, F.concat_ws(":", "query", "id") == F.col("key"), "left")
+    out = r.rerank(both.select("query", "id", "fused", "model"), ["query"], "id", "fused", F.round("model", 9))
     return out.select("query", "id", "before", "final", F.round("score", 9).alias("score"))
 
 
@@ -152,7 +159,7 @@ def _metrics(s, d):
 
 def _ann(s, d):
     e = embeddings(s, d)
-    return v.ivf_topk(e.where("vec_id % 50 = 0"), e, K, "vec_id", "embedding", lists=32, probes=23)
+    return v.ivf_topk(e.where("vec_id % 50 = 0"), e, K, "vec_id", "embedding", share=0.72)
 
 
 def _mmr(s, d):

@@ -209,7 +209,7 @@ def test_vectors_exact(spark):
     for q in range(5):
         order = [j for j in np.argsort(-s[q]) if j != q][:3]
         assert [got[q, n + 1] for n in range(3)] == order
-    ivf = vectors.ivf_topk(df.where("i < 5"), df, 3, "i", "v", lists=4, probes=4)
+    ivf = vectors.ivf_topk(df.where("i < 5"), df, 3, "i", "v", lists=4, share=1.0)
     assert vectors.recall(ivf, vectors.vector_topk(df.where("i < 5"), df, 3, "i", "v"), 3).first().recall == 1.0
     assert vectors.vector_topk(df.where("false"), df, 3, "i", "v").count() == 0
 
