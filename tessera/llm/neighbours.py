@@ -498,6 +498,20 @@ def _merge_top(k: int):
     return run
 
 
+def _improve(best: np.ndarray, who: np.ndarray, rows: np.ndarray, i: np.ndarray, cos: np.ndarray, ids: np.ndarray) -> None:
+    """Brings found (place in ``rows``, cosine, id), in order of place, into the lists of their rows."""
+    k = best.shape[1]
+    some, start, count = np.unique(i, return_index=True, return_counts=True)
+    wide = np.full((len(some), k + int(count.max())), -2, dtype=np.float32)
+    names = np.full(wide.shape, -1, dtype=np.int64)
+    wide[:, :k], names[:, :k] = best[rows[some]], who[rows[some]]
+    r = np.repeat(np.arange(len(some)), count)
+    c = k + np.arange(len(i)) - np.repeat(start, count)
+    wide[r, c], names[r, c] = cos, ids
+    top = np.argpartition(-wide, k - 1, axis=1)[:, :k]
+    best[rows[some]], who[rows[some]] = np.take_along_axis(wide, top, 1), np.take_along_axis(names, top, 1)
+
+
 def _top_of_task(k: int):
     """The ``k`` best of each asker over all cells it asks for in the task."""
 
@@ -505,11 +519,19 @@ def _top_of_task(k: int):
         best = np.full((len(reps), k), -2, dtype=np.float32)
         who = np.full((len(reps), k), -1, dtype=np.int64)
         for rows, a, _, cos in filed.scores(reps, v, n, asked):
-            cols = _best(cos, k)
-            new, ids = np.take_along_axis(cos, cols, 1), filed.reps[a + cols]
-            both, names = np.concatenate([best[rows], new], axis=1), np.concatenate([who[rows], ids], axis=1)
-            top = np.argpartition(-both, k - 1, axis=1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+            least = best[rows].min(axis=1)
+            fresh = least <= -2  # not yet k found: take the best of the cell
+            if fresh.any():
+                first = rows[fresh]
+                cols = _best(cos[fresh], k)
+                both = np.concatenate([best[first], np.take_along_axis(cos[fresh], cols, 1)], axis=1)
+                names = np.concatenate([who[first], filed.reps[a + cols]], axis=1)
+                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                best[first], who[first] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+                least = np.where(fresh, 2, least)
+            at = np.flatnonzero((cos > least[:, None]).ravel())  # few: what is nearer than the last one so far
+            if len(at):
+                _improve(best, who, rows, at // cos.shape[1], cos.ravel()[at], filed.reps[a + at % cos.shape[1]])
         pairs = np.zeros(best.shape, dtype=_PAIR)
         pairs["id"], pairs["cos"] = who, best
         real = best > -2
