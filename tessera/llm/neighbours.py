@@ -343,7 +343,7 @@ def _placed(c: Collection, h: Hashing) -> DataFrame:
 
 
 #: Scores held at once by a worker, and askers held at once.
-BLOCK, ASKERS = 8_000_000, 65_536
+BLOCK, ASKERS = 1_000_000, 65_536
 
 
 class _Filed:
