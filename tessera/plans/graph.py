@@ -143,8 +143,8 @@ _CC = "e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS no
 _MAP = "CASE WHEN entity IN ('s1', 's3') THEN 's2' ELSE entity END"
 
 SQL = {
-    "pairwise_similarity": """WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
-SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, score FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS n FROM p) WHERE n <= 3 AND score >= 0.5""",
+    "pairwise_similarity": "SELECT a, b, score FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= 0.5",
+    "similar_components": f"WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.5), {_CC}",
     "canonical_names": f"""WITH n AS (SELECT DISTINCT candidate_id, lower(regexp_extract(item_key, '[^/]*$')) AS t FROM candidates)
 SELECT candidate_id, regexp_replace(regexp_replace(t, '([^\\s.])\\.({"|".join(tx.FILE_EXTENSIONS)})$', '\\1'), '[^a-z0-9]+', '', 'g') AS canonical FROM n""",
     "graph_mentions": f"WITH {_MEN} SELECT * FROM men",

@@ -93,7 +93,31 @@ _REFUSED = f"regexp_matches(lower(content), '(?:^|[^\\w''])(?:{_NEGATED})(?:[^\\
 _NO_CLAIMS = "|".join(x.replace("'", "''") for x in tx.NO_CLAIM)
 _UNBOUND = "list_filter(nums, lambda n: n < 1 OR n > 5)"
 
+
+
+def _starts(*slots):
+    """The opening of a clause for DuckDB, which has no look-ahead."""
+    return tx._opening(*slots).replace(r"(?![\w'])", r"(?:[^\w']|$)").replace("'", "''")
+
+
+_ASKS = f"""(ends_with(c, '?') OR (regexp_matches(q, '{_starts(tx.ASKING)}') AND NOT regexp_matches(q, '{_starts(tx.EXCLAIMING, tx.ARTICLES_INDEFINITE)}') AND NOT regexp_matches(q, '{_starts([tx.EXCLAIMING_THAT], None, ["that"])}'))
+  OR regexp_matches(q, '{_starts(tx.AUXILIARIES, tx.SUBJECTS)}') OR regexp_matches(q, '{_starts(tx.REQUESTS)}'))"""
+_MARKERS = ", ".join(f"'{w}'" for w in tx.PROSE_MARKERS)
+_TERM = """CASE WHEN starts_with(p, '`') THEN replace(p, '`', '') WHEN regexp_matches(regexp_replace(p, '^[^A-Za-z_`]+([A-Za-z_])', '\\1'), '^[A-Za-z_].*[./]') THEN regexp_replace(p, '^[^A-Za-z_`]+([A-Za-z_])', '\\1')
+  WHEN regexp_matches(p, '^[a-z0-9]+(?:_[a-z0-9]+)+$') OR regexp_matches(p, '^(?:[a-z][a-z]*[A-Z]|[A-Z][a-z0-9]+[A-Z])[A-Za-z0-9]*$') THEN p END"""
+
 SQL = {
+    "message_intent": f"""WITH m AS (SELECT message_id, content, string_split_regex(regexp_replace(regexp_replace(content, '([.!?])[\\s\\v]+', '\\1' || chr(10), 'g'), '[\\s\\v]+(?:[—–]|--)[\\s\\v]+', chr(10), 'g'), '[;\\n]+') AS parts, row_number() OVER () AS n FROM chat_messages),
+l AS (SELECT n, lower(regexp_replace(unnest(parts), '^ +| +$', '', 'g')) AS c FROM m), x AS (SELECT n, c, regexp_replace(c, '{_starts(tx.LEADING)}', '') AS q FROM l WHERE c <> ''),
+k AS (SELECT n, bool_or({_ASKS}) AS asks, bool_or(NOT {_ASKS} AND len(string_split_regex(c, '[\\s\\v]+')) >= 4) AS states FROM x GROUP BY 1)
+SELECT message_id, CASE WHEN content IS NULL THEN NULL WHEN asks AND states THEN 'both' WHEN asks THEN 'question' ELSE 'statement' END AS intent FROM m LEFT JOIN k USING (n)""",
+    "session_titles": """WITH f AS (SELECT message_id, regexp_replace(regexp_replace(content, '[\\s\\v]+', ' ', 'g'), '^ +| +$', '', 'g') AS flat FROM chat_messages),
+h AS (SELECT *, left(flat, 61) AS head FROM f), c AS (SELECT *, regexp_extract(head, '^(.*?)(?:[.!?;:]| [—–] )', 1) AS clause, regexp_matches(head, '[.!?;:]| [—–] ') AS marked, regexp_extract(head, '^(.*) ', 1) AS words FROM h)
+SELECT message_id, CASE WHEN flat = '' THEN NULL WHEN length(flat) <= 60 THEN flat WHEN marked AND length(clause) >= 20 THEN regexp_replace(clause, ' +$', '') ELSE regexp_replace(CASE WHEN length(words) > 20 THEN words ELSE left(flat, 60) END, ' +$', '') || '…' END AS title FROM c""",
+    "query_kinds": f"""WITH p AS (SELECT DISTINCT session_id, list_filter(list_transform(string_split_regex(title, '[\\s\\v]+'), lambda w: regexp_replace(w, '^[`''"?.,()]+|[`''"?.,()]+$', '', 'g')), lambda w: w <> '') AS w FROM chat_sessions)
+SELECT DISTINCT session_id, len(w) > 0 AND len(list_filter(w, lambda x: regexp_matches(x, '^\\pL+$') AND NOT (upper(x) = x AND lower(x) <> x))) > 0 AND (len(w) >= 4 OR len(list_filter(w, lambda x: lower(x) IN ({_MARKERS}))) > 0) AS prose FROM p""",
+    "technical_terms": f"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '`[^`\\n]{{2,80}}`|\\w+(?:[./]\\w+)*')) AS p FROM documents), t AS (SELECT DISTINCT doc_id, {_TERM} AS term FROM d)
+SELECT term, count(*) AS documents FROM t WHERE length(term) >= 3 AND lower(term) NOT IN ('e.g', 'i.e', 'n.b') GROUP BY 1""",
     "citation_grounding": f"""WITH a AS (SELECT DISTINCT message_id, coalesce(content, '') AS content FROM chat_messages WHERE lower(trim(role)) = 'assistant'),
 p AS (SELECT message_id, content, {_NUMBERS} AS nums, coalesce({_REFUSED}, false) AS refusal, list_filter({_PARTS}, lambda s: regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(regexp_replace(lower(trim(s)), '^[-*# ]+', ''), '^(?:{_NO_CLAIMS})')) AS parts FROM a),
 c AS (SELECT *, CASE WHEN refusal THEN [] ELSE coalesce(parts, []) END AS claims FROM p),
