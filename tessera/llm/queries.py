@@ -130,6 +130,11 @@ c AS (SELECT memory_id, regexp_replace(regexp_replace(t, '[\\t\\v\\f\\x1c-\\x1f\
 """
 
 SQL = {
+    "p2_found": """
+WITH c AS (SELECT candidate_id AS id, vector FROM candidates UNION SELECT c.chunk_id, c.vector FROM (SELECT unnest(matched_chunks) AS c FROM memory_hits)),
+v AS (SELECT id, vector::DOUBLE[] AS x FROM c WHERE id IS NOT NULL AND len(vector) = 48 AND len(list_filter(vector, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+u AS (SELECT id, x, sqrt(list_inner_product(x, x)) AS n FROM v WHERE list_inner_product(x, x) > 0)
+SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.id < b.id WHERE list_inner_product(a.x, b.x) >= 0.95 * a.n * b.n""",
     "p3_sessions": _SITTINGS,
     "p3_found": _TURNS + "SELECT session_id FROM dropped",
     "p3_conversations": _TURNS
