@@ -118,6 +118,30 @@ def discovered(counts: DataFrame, known: DataFrame, least: int = 4) -> DataFrame
     return said.join(known.where("dismissed").select("key"), "key", "left_anti")
 
 
+#: What a facet needs, and from which share a group of assumptions is weak or strong and a week is worked through or rested in.
+FACET_SUPPORT, WEAK, STRONG, WORKED, RESTED = 3, 0.5, 0.8, 0.4, 0.1
+
+
+def user_facets(patterns: DataFrame, groups: DataFrame, weeks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What the evidence says of a user: key, value, support, against; only with enough support, and more than against.
+
+    Four sources: ``patterns`` (grp, support, against) recur; ``groups`` of assumptions (grp, held, broke) are weak or strong by the
+    share that held; ``weeks`` (weekend_share) tell whether weekends are worked or rested, one facet for all; ``pairs`` (a, b, n) go together.
+    """
+    rate = F.try_divide(F.col("held").cast("double"), F.col("held") + F.col("broke"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), c.cast("string"))
+    row = lambda df, key, value, support, against: df.select(key.alias("key"), value.alias("value"), support.cast("bigint").alias("support"), against.cast("bigint").alias("against"))
+    recur = row(patterns, name("pattern", F.col("grp")), F.lit("recurs"), F.col("support"), F.col("against"))
+    weak = row(groups.where(rate <= WEAK), name("group", F.col("grp")), F.lit("weak"), F.col("broke"), F.col("held"))
+    strong = row(groups.where(rate >= STRONG), name("group", F.col("grp")), F.lit("strong"), F.col("held"), F.col("broke"))
+    w = weeks.agg(F.count_if(F.col("weekend_share") >= WORKED).alias("worked"), F.count_if(F.col("weekend_share") <= RESTED).alias("rested"))
+    more = F.col("worked") > F.col("rested")
+    rhythm = row(w, F.lit("rhythm:weekends"), F.when(more, "worked").otherwise("rested"), F.greatest("worked", "rested"), F.least("worked", "rested"))
+    together = row(pairs, name("pair", F.concat_ws("+", "a", "b")), F.lit("together"), F.col("n"), F.lit(0))
+    every = recur.unionByName(weak).unionByName(strong).unionByName(rhythm).unionByName(together)
+    return every.where((F.col("support") >= FACET_SUPPORT) & (F.col("support") > F.col("against")))
+
+
 def supersede(live: DataFrame, derived: DataFrame, key: str, value: str) -> DataFrame:
     """What a new derivation does to live statements: key, action (added, superseded, kept, withdrawn)."""
     a = live.select(F.col(key).alias("_a"), F.col(value).alias("_av"))

@@ -11,7 +11,8 @@ from tessera.operators import context as cx
 from tessera.operators import evaluate as ev
 from tessera.operators import ports
 from tessera.operators import retrieval as r
-from tessera.operators.relational import SearchFilters, glob_excluded
+from tessera.operators import evidence as evd
+from tessera.operators.relational import SearchFilters, glob_excluded, pairs_within
 from tessera.plans.evidence import held
 from tessera.plans.graph import relations
 from tessera.plans import text as tp
@@ -142,7 +143,32 @@ def _claims(s, d):
     return ev.claim_support(c, "claim", "step", "score")
 
 
+#: When the model of the user was derived before.
+BEFORE = "1998-01-01", "2025-09-01"
+
+
+def _facets(s, d, lines="true", items="true"):
+    """Groups of assumptions are suppliers, pairs are parts of one order, weeks are those of the memories."""
+    li = read_table(s, d, "lineitem").where(lines)
+    word = F.when(F.col("l_returnflag") == "A", "held").when(F.col("l_returnflag") == "R", "failed")
+    kept = li.select(F.col("l_suppkey").alias("grp"), word.alias("verdict"))
+    dated = memories(s, d).where("occurred_at IS NOT NULL AND occurred_at_source <> 'filesystem'").where(items)
+    weeks = dated.groupBy(F.date_trunc("week", "occurred_at").alias("week")).agg((F.count_if(F.weekday("occurred_at") >= 5) / F.count(F.lit(1))).alias("weekend_share"))
+    pairs = pairs_within(li, ["l_orderkey"], "l_partkey", 3, read_table(s, d, "orders"))
+    return cx.user_facets(evd.group_patterns(kept, "grp", "verdict"), evd.group_rates(kept, "grp", "verdict"), weeks, pairs)
+
+
+def _model_changes(s, d):
+    """What deriving the model anew does to the one derived before; facets that were dismissed stay away."""
+    then = _facets(s, d, f"l_shipdate < timestamp'{BEFORE[0]}'", f"occurred_at < timestamp'{BEFORE[1]}'")
+    dismissed = s.createDataFrame([("group:1",), ("pattern:2",)], "key string")
+    now = _facets(s, d).join(dismissed, "key", "left_anti")
+    return cx.supersede(then, now, "key", "value")
+
+
 QUERIES = {
+    "user_model": _facets,
+    "user_model_changes": _model_changes,
     "context_assembly": _contexts,
     "prompt_packing": _prompt,
     "golden_evaluation": _golden,
@@ -156,7 +182,6 @@ QUERIES = {
     "intent_application": _intent,
     "citation_excerpts": _excerpts,
     "pattern_discovery": _discovered,
-    "user_model_changes": lambda s, d: cx.supersede(memories(s, d).where("version = 1").groupBy("external_key").agg(F.max("content_hash").alias("v")), memories(s, d).where("is_current AND deleted_at IS NULL").groupBy("external_key").agg(F.max("content_hash").alias("v")), "external_key", "v"),
     "entity_extraction": _entities,
     "embedding_cache": _embedded,
     "claim_support": _claims,
@@ -200,7 +225,21 @@ def _edge(side, whole):
     return f"CASE WHEN {whole} THEN {side} ELSE {out} END"
 
 
+def _facets_sql(lines="TRUE", items="TRUE"):
+    return f"""SELECT key, value, CAST(support AS BIGINT) AS support, CAST(against AS BIGINT) AS against FROM (
+WITH li AS (SELECT * FROM lineitem WHERE {lines}), g AS (SELECT l_suppkey AS grp, count(*) FILTER (l_returnflag = 'A') AS held, count(*) FILTER (l_returnflag = 'R') AS broke FROM li GROUP BY 1),
+w AS (SELECT count(*) FILTER (isodow(occurred_at) >= 6) / count(*) AS x FROM {M} m WHERE occurred_at IS NOT NULL AND occurred_at_source <> 'filesystem' AND {items} GROUP BY date_trunc('week', occurred_at)),
+r AS (SELECT count(*) FILTER (x >= 0.4) AS a, count(*) FILTER (x <= 0.1) AS b FROM w), x AS (SELECT DISTINCT l_orderkey, l_partkey FROM li)
+SELECT 'pattern:' || grp AS key, 'recurs' AS value, broke AS support, held AS against FROM g WHERE broke >= 4 AND broke > held UNION ALL SELECT 'group:' || grp, 'weak', broke, held FROM g WHERE held / nullif(held + broke, 0) <= 0.5
+UNION ALL SELECT 'group:' || grp, 'strong', held, broke FROM g WHERE held / nullif(held + broke, 0) >= 0.8 UNION ALL SELECT 'rhythm:weekends', CASE WHEN a > b THEN 'worked' ELSE 'rested' END, greatest(a, b), least(a, b) FROM r
+UNION ALL SELECT 'pair:' || x.l_partkey || '+' || y.l_partkey, 'together', count(*), 0 FROM x JOIN x y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey WHERE (SELECT count(DISTINCT l_orderkey) FROM x) >= 0.5 * (SELECT count(*) FROM orders) GROUP BY x.l_partkey, y.l_partkey HAVING count(*) >= 3)
+WHERE support >= 3 AND support > against"""
+
+
 SQL = {
+    "user_model": _facets_sql(),
+    "user_model_changes": f"""WITH a AS ({_facets_sql(f"l_shipdate < TIMESTAMP '{BEFORE[0]}'", f"occurred_at < TIMESTAMP '{BEFORE[1]}'")}), b AS (SELECT * FROM ({_facets_sql()}) WHERE key NOT IN ('group:1', 'pattern:2'))
+SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'withdrawn' WHEN a.value = b.value THEN 'kept' ELSE 'superseded' END AS action FROM a FULL JOIN b ON a.key = b.key""",
     "citation_excerpts": f"""WITH x AS (SELECT doc_id, text, source, external_key AS key, instr(text, '{CITED}') - 1 AS a FROM documents WHERE instr(text, '{CITED}') > 0),
 y AS (SELECT *, substr(text, CAST(greatest(a - 200, 0) + 1 AS BIGINT), CAST(a - greatest(a - 200, 0) AS BIGINT)) AS before, substr(text, CAST(a + {len(CITED)} + 1 AS BIGINT), 200) AS after FROM x)
 SELECT doc_id, source || '::' || key || '#0 @' || a || '-' || (a + {len(CITED)}) || ' (v1)' AS locator, regexp_replace({_edge("before", "a <= 200")} || '{CITED}' || {_edge("after", f"a + {len(CITED)} + 200 >= length(text)")}, '^\\s+|\\s+$', '', 'g') AS excerpt FROM y""",
@@ -234,7 +273,5 @@ round(count(*) FILTER (i AND r) / nullif(count(*) FILTER (i), 0), 6) AS false_re
     "intent_application": f"SELECT memory_id, 0.15e0 AS weight FROM {M} m WHERE is_current AND deleted_at IS NULL AND kind IN ('note', 'code') AND occurred_at >= '2025-08-01'",
     "pattern_discovery": """WITH g AS (SELECT l_suppkey AS key, count(*) FILTER (l_returnflag = 'R') AS support, count(*) FILTER (l_returnflag = 'A') AS against FROM lineitem GROUP BY 1)
 SELECT *, round(least(0.95e0, support::DOUBLE / (support + against) * least(1e0, support / 8e0)), 6) AS confidence FROM g WHERE support >= 4 AND support > against AND key <> 1""",
-    "user_model_changes": """WITH a AS (SELECT external_key, max(content_hash) AS v FROM memories WHERE version = 1 GROUP BY 1), b AS (SELECT external_key, max(content_hash) AS v FROM memories WHERE is_current AND deleted_at IS NULL GROUP BY 1)
-SELECT coalesce(a.external_key, b.external_key) AS external_key, CASE WHEN a.external_key IS NULL THEN 'added' WHEN b.external_key IS NULL THEN 'withdrawn' WHEN a.v = b.v THEN 'kept' ELSE 'superseded' END AS action FROM a FULL JOIN b ON a.external_key = b.external_key""",
     "claim_support": f"WITH {_HIT}, c AS (SELECT query_id AS claim, max(score) AS best, count(DISTINCT CASE WHEN score >= 0.58 THEN hit_id END) AS steps FROM hit WHERE score IS NOT NULL GROUP BY 1) SELECT claim, best, steps, CASE WHEN best >= 0.62 THEN 'direct' WHEN steps >= 2 THEN 'inferred' ELSE 'none' END AS support FROM c",
 }

@@ -46,7 +46,7 @@ SHOWN = {
     "T1": "activity_by_day activity_by_week activity_by_month", "T2": "activity_in_range", "T3": "activity_by_day activity_in_range", "T4": "memories_as_of", "T5": "memories_in_range", "T6": "out_of_order",
     "T7": "find_gaps_by_user find_gaps_by_type find_gaps_by_source", "T8": "version_changes diff_spans line_diff", "T9": "facet_changes", "T10": "confidence_horizon", "T11": "outcome_window",
     "M1": "wilson_intervals", "M2": "calibration_bands", "M3": "pattern_confidence", "M4": "support_needed", "M5": "pattern_confidence group_hold_rates", "M6": "timing_pattern", "M7": "choice_pattern",
-    "M8": "calibration_bands", "M9": "pattern_discovery", "M10": "gap_analysis unstated_assumptions orphaned_work", "M11": "user_model_changes pattern_discovery", "M12": "assessment", "M13": "trajectory_scores",
+    "M8": "calibration_bands", "M9": "pattern_discovery", "M10": "gap_analysis unstated_assumptions orphaned_work", "M11": "user_model user_model_changes pattern_discovery", "M12": "assessment", "M13": "trajectory_scores",
     "M14": "claim_support answer_verdicts", "M15": "answer_evaluation", "M16": "record_validation",
     "ST1": "stream_ingest", "ST2": "pending_dedupe", "ST3": "rate_limit rate_limit_window", "ST4": "debounce stream_debounce", "ST5": "sessionize session_windows", "ST6": "delivery_lag event_latency", "ST7": "fan_out",
     "ST8": "precompute_policy", "ST9": "surfacing_gate", "ST10": "surfacing_thresholds feedback_bar", "ST12": "pipeline_stages", "ST13": "tombstones restored_items purge_rules",

@@ -662,3 +662,15 @@ def test_trailing_counts_of_a_hot_key(spark):
     got = {x.id: x.in_window for x in folds.trailing_count(df, "k", "at", 60).collect()}
     want = {i: sum(timedelta(0) <= t - u <= timedelta(seconds=60) for u in ts) for i, t in enumerate(ts)}
     assert got == {**want, 90: 1, 91: None}
+
+
+def test_user_facets(spark):
+    p = spark.createDataFrame([(1, 5, 2), (2, 4, 4)], "grp long, support long, against long")
+    g = spark.createDataFrame([(1, 1, 3), (2, 9, 1), (3, 6, 4), (4, 0, 0), (5, 2, 0)], "grp long, held long, broke long")
+    w = spark.createDataFrame([(0.5,), (0.45,), (0.4,), (0.05,), (0.2,), (None,)], "weekend_share double")
+    pairs = spark.createDataFrame([(1, 2, 3), (1, 3, 2)], "a long, b long, n long")
+    assert rows(context.user_facets(p, g, w, pairs)) == [
+        ("group:1", "weak", 3, 1), ("group:2", "strong", 9, 1), ("pair:1+2", "together", 3, 0), ("pattern:1", "recurs", 5, 2), ("rhythm:weekends", "worked", 3, 1)
+    ]
+    none = context.user_facets(p.where("false"), g.where("false"), w.where("false"), pairs.where("false"))
+    assert none.count() == 0
