@@ -71,14 +71,15 @@ def session_counts(df: DataFrame, at: str, key: str, gap: str = "30 minutes", la
 def pending_dedupe(df: DataFrame, key: list[str], event: str, processed: str) -> DataFrame:
     """ST2: each event with the one it stands for: itself, or the pending one of its key.
 
-    A row with ``processed`` true closes the pending event of its key. Rows of a
-    key are taken in the order of ``event``.
+    A row with ``processed`` true closes the pending event of its key, whose state then
+    goes. Rows of a key are taken in the order of ``event`` within a micro-batch, two
+    columns of which are held; ``maxFilesPerTrigger`` of the source bounds it.
     """
     kinds = dict(df.dtypes)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = state.get[0] if state.exists else -1
-        rows = pd.concat(list(frames)).sort_values(event)
+        rows = pd.concat([f[[event, processed]] for f in frames]).sort_values(event)
         stands = []
         for e, done in zip(rows[event].tolist(), rows[processed].tolist()):
             if done:
@@ -87,7 +88,10 @@ def pending_dedupe(df: DataFrame, key: list[str], event: str, processed: str) ->
             else:
                 pending = e if pending < 0 else pending
                 stands.append(pending)
-        state.update((pending,))
+        if pending >= 0:
+            state.update((pending,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({event: rows[event].to_numpy(), "stands_for": stands})
 
     return df.groupBy(*key).applyInPandasWithState(step, f"{event} {kinds[event]}, stands_for long", "pending long", "append", GroupStateTimeout.NoTimeout)
@@ -99,7 +103,7 @@ def debounce_stream(df: DataFrame, key: str, event: str, at: str, seconds: float
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["_us", event])
+        rows = pd.concat([f[["_us", event]] for f in frames]).sort_values(["_us", event])
         out = []
         for e, t in zip(rows[event].tolist(), rows["_us"].tolist()):
             if last is None or t - last >= width:
