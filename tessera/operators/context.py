@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.scores import emittable, pattern_confidence, rrf_term
 from tessera.functions.text import temporal_intent
-from tessera.operators.graph import expand
+from tessera.operators.graph import nearest
 from tessera.operators.relational import SearchFilters, top_per
 from tessera.operators.retrieval import rrf
 from tessera.session import cut
@@ -76,8 +76,7 @@ def context_lists(hits: DataFrame, items: DataFrame, evidence: DataFrame, mentio
         out = part if out is None else out.unionByName(part)
     start = first.where(F.col("rank") <= seeds).select(by, F.col("memory_id").alias("item"))
     none = hits.sparkSession.createDataFrame([], "subject string, object string")
-    near = expand(mentions, none, start, best.select(by, F.col("memory_id").alias("item")), 1, [by])
-    graph = top_per(near.withColumnRenamed("item", "memory_id"), [by], [F.desc("score"), F.asc("memory_id")], k)
+    graph = nearest(mentions, none, start, best.select(by, F.col("memory_id").alias("item")), [by], k, 1).withColumnRenamed("item", "memory_id")
     named = first.where("_name <> ''").groupBy(by, "_name").agg(F.min("rank").alias("_best"))
     alike = named.join(known.select("memory_id", "_name"), "_name").join(best.select(by, "memory_id"), [by, "memory_id"], "left_anti")
     alike = top_per(alike.groupBy(by, "memory_id").agg(F.min("_best").alias("_best")), [by], [F.asc("_best"), F.asc("memory_id")], k)

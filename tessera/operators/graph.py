@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
+from tessera.operators.relational import top_per
 from tessera.session import cut
 
 HUB_SHARE, HUB_LEAST = 0.10, 2
@@ -135,6 +136,44 @@ def expand(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, retrieve
     return per.orderBy(*by, F.desc("score"), "item")
 
 
+def nearest(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, retrieved: DataFrame, by: list[str], k: int, depth: int = 2) -> DataFrame:
+    """The first ``k`` items of every search of :func:`expand`: by, item, score, rank.
+
+    Items that mention the same entities, hubs apart, score alike: searches walk over such
+    kinds of items and score kinds, so none is joined with all items. The first ``k`` that
+    were not retrieved are among the first ``k`` and as many as were retrieved; only these
+    are taken out of their kinds. Null searches form one search.
+    """
+    pairs = cut(mentions.select("item", "entity").dropna().distinct(), "mentions")
+    h = cut(_hubs(pairs, HUB_SHARE, HUB_LEAST), "hubs")
+    rare = pairs.join(h.where("hub").select("entity"), "entity", "left_anti")
+    items = cut(rare.groupBy("item").agg(F.sort_array(F.collect_list("entity")).alias("entities")), "items")
+    kinds = cut(items.groupBy("entities").agg(F.min("item").alias("kind"), F.count(F.lit(1)).alias("size")), "kinds")
+    members = cut(items.join(kinds, "entities").select("item", "kind"), "members")
+    m = cut(kinds.select(F.col("kind").alias("item"), F.explode("entities").alias("entity")), "mentions")  # of kinds
+    both = _other_way(relations.dropna(subset=["subject", "object"]), "subject", "object")
+    asked = seeds.join(members, "item").select(*by, F.col("kind").alias("item"))
+    reached = _walked(m, both, asked, h.where("hub"), depth, by)
+
+    known = cut(seeds.select(*by, "item").union(retrieved.select(*by, "item")).distinct().toDF(*[f"_s{i}" for i in range(len(by))], "_known"), "known")
+    room = known.groupBy(*known.columns[:-1]).agg((F.count(F.lit(1)) + k).alias("_room"))
+    most = room.agg(F.max("_room")).first()[0] or k
+    same = lambda df, other: [df[c].eqNullSafe(other[f"_s{i}"]) for i, c in enumerate(by)]
+    weighed = reached.join(h.select("entity", "idf"), "entity")
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, or few bytes that become many rows end in one task
+    weighed = weighed.join(room, same(weighed, room)).select(*by, "entity", "idf", "hops", "_room").repartition(parts, *by)
+    scored = weighed.join(m.withColumnRenamed("item", "kind"), "entity").groupBy(*by, "_room", "kind").agg((-F.round(F.sum(F.col("idf") / F.col("hops")), 9)).alias("_low"))
+    sized = scored.join(kinds.select("kind", "size"), "kind")
+    order = Window.partitionBy(*by).orderBy("_low")
+    better = F.sum("size").over(order) - F.sum("size").over(Window.partitionBy(*by, "_low"))  # items of a higher score
+    placed = sized.withColumns({"_better": better, "_place": F.row_number().over(Window.partitionBy(*by).orderBy("_low", "kind"))})
+    taken = placed.where("_place <= _room AND _better < _room").select(*by, "_low", "kind", F.explode(F.sequence(F.lit(1).cast("long"), F.least("size", F.col("_room") - F.col("_better")))).alias("_at"))
+    named = top_per(members, ["kind"], [F.asc("item")], most).withColumnRenamed("rank", "_at")
+    out = taken.join(named, ["kind", "_at"]).select(*by, "item", (-F.col("_low")).alias("score"))
+    new = out.join(known, [*same(out, known), out["item"] == known["_known"]], "left_anti")
+    return top_per(new, by, [F.desc("score"), F.asc("item")], k)
+
+
 def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """Connected components: node, component (its smallest node).
 

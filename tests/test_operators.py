@@ -360,6 +360,46 @@ def test_reach_and_hubs(spark):
     assert rows(graph.neighbours(rl.withColumnRenamed("subject", "src").withColumnRenamed("object", "dst"), spark.createDataFrame([("near",)], "n string"), 2)) == [("rare", 1)]
 
 
+@pytest.mark.parametrize("depth", [1, 2])
+def test_nearest_is_the_head_of_expand(spark, depth):
+    rng = np.random.default_rng(depth)
+    words = [f"w{i:02}" for i in range(25)]
+    of = {f"i{i:03}": sorted({words[x] for x in rng.integers(0, 25, 1 + i % 2)}) for i in range(150)}
+    men = spark.createDataFrame([(i, w) for i, ws in of.items() for w in ws] + [(f"i{i:03}", "hub") for i in range(160)] + [("i000", None), (None, "w00")], "item string, entity string")
+    rl = spark.createDataFrame([("w00", "w24"), ("w03", "hub"), ("w05", None)], "subject string, object string")
+    seeds = spark.createDataFrame([(q, f"i{x:03}") for q in (1, 2, 3, None) for x in rng.integers(0, 160, 3).tolist()], "q long, item string")
+    got = spark.createDataFrame([(1, f"i{i:03}") for i in range(0, 150, 2)] + [(None, "i001"), (2, "else"), (9, "i003"), (3, None)], "q long, item string")
+    known = {(x.q, x.item) for x in seeds.union(got).collect()}
+    per = {}
+    for x in graph.expand(men, rl, seeds, None, depth, ["q"]).collect():
+        if (x.q, x.item) not in known:
+            per.setdefault(x.q, []).append((-x.score, x.item))
+    want = {(q, item, -low, i) for q, v in per.items() for i, (low, item) in enumerate(sorted(v)[:20], 1)}
+    assert len(want) > 40
+    assert {tuple(x) for x in graph.nearest(men, rl, seeds, got, ["q"], 20, depth).select("q", "item", "score", "rank").collect()} == want
+    assert graph.nearest(men, rl, seeds.where("false"), got, ["q"], 20, depth).count() == 0
+
+
+def test_contexts_do_not_pair_searches_with_items(spark):
+    """150 searches in 1,500 items that fall into 72 kinds: what is shuffled follows their sum, not their 225,000 pairs."""
+    men = [(f"i{i}", f"w{x}") for i in range(1500) for x in (i % 24, (i % 24 + 1 + i // 24 % 3) % 24)]
+    hits = [(q, f"i{(q * 97 + x * 331) % 1500}", 1 - x / 10) for q in range(150) for x in range(5)]
+    items = spark.createDataFrame([(f"i{i}", f"k{i}", D) for i in range(1500)], "memory_id string, external_key string, occurred_at timestamp")
+    ev = spark.createDataFrame([], "decision_id long, memory_id string")
+    core = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        core.listenerBus().waitUntilEmpty(30_000)
+        status = core.statusStore()
+        every = status.stageList(None, *(getattr(status, f"stageList$default${i}")() for i in range(2, 6)))
+        return {every.apply(i).stageId(): every.apply(i).shuffleWriteRecords() for i in range(every.size())}
+
+    before = shuffled()
+    out = context.context_lists(spark.createDataFrame(hits, "q long, memory_id string, score double"), items, ev, spark.createDataFrame(men, "item string, entity string"), "q")
+    assert out.where("ranking = 'graph'").count() == 150 * 30
+    assert sum(n for stage, n in shuffled().items() if stage not in before) < 100_000
+
+
 @pytest.mark.parametrize(
     ("name", "kind", "out"),
     [("Dr. Chen", "person", "chen"), ("Dr", "person", "dr"), ("Ann Lee, PhD", "person", "annlee"), ("the React library", "technology", "react"), ("React.js", "technology", "react"), ("ReactJS", "technology", "react"),
